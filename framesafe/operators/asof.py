@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, box_of
@@ -18,12 +18,14 @@ def bracket(
     t: str = "t",
     tie: str | None = None,
     chunk: float = 3600.0,
+    reach: float | None = None,
 ) -> DataFrame:
     """Attach the build rows just before and after each probe as structs ``prev`` and ``next``.
 
     ``prev`` is at or before the probe, ``next`` strictly after it; both hold every non-key build column.
     Build rows at one time fold to the one with the smallest ``tie``. The probe and build columns are
-    kept apart by packing them into structs.
+    kept apart by packing them into structs. When only neighbours within ``reach`` matter, build rows are
+    also put into the chunks they reach, and no state has to be carried between chunks.
     """
     keys = list(keys)
     b_cols = [c for c in build.columns if c not in keys]
@@ -39,8 +41,17 @@ def bracket(
                        F.lit(None).cast(b_type).alias("__b"), p_struct.alias("__p"))
     p_type = pr.schema["__p"].dataType
     bl = one.select(*keys, "__t", F.lit(0).alias("__probe"), "__b", F.lit(None).cast(p_type).alias("__p"))
-    both = scans.with_chunk(bl.unionByName(pr), "__t", chunk)
-    seen = scans.fill(both, keys, ["__t", "__probe"], {"prev": F.col("__b")}, {"next": F.col("__b")})
+    if reach is None:
+        specs = {"prev": scans.last(F.col("__b")), "next": scans.following(F.col("__b"))}
+        seen = scans.scan(bl.unionByName(pr), keys, ["__t", "__probe"], chunk, specs)
+    else:
+        at = lambda c: F.floor(c / F.lit(chunk)).cast("long")
+        near = F.explode(F.sequence(at(F.col("__t") - reach), at(F.col("__t") + reach)))
+        both = bl.withColumn(scans.CHUNK, near).unionByName(pr.withColumn(scans.CHUNK, at(F.col("__t"))))
+        part = Window.partitionBy(*keys, scans.CHUNK)
+        fwd = part.orderBy("__t", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+        bwd = part.orderBy(F.col("__t").desc(), F.col("__probe").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        seen = both.withColumns({"prev": F.last("__b", ignorenulls=True).over(fwd), "next": F.last("__b", ignorenulls=True).over(bwd)})
     return seen.where("__probe = 1").select(*keys, *(F.col(f"__p.{c}").alias(c) for c in p_cols), "prev", "next")
 
 
@@ -95,7 +106,8 @@ def lane_at_time(probes: DataFrame, lane: DataFrame, keys: Sequence[str], fps: C
     want = F.floor(target + 0.5) if half_up else F.bround(target, 0).cast("long")
     pr = probes.withColumns({"__target": target, "f": want, "__rate": rate})
     lane = lane.select(*keys, F.col("f").cast("long").alias("f"), "x1", "y1", "x2", "y2")
-    j = bracket(pr, lane, keys, "f", chunk=chunk_frames)
+    # neighbours that can matter lie within max_gap plus one frame; rates above 240 do not occur
+    j = bracket(pr, lane, keys, "f", chunk=chunk_frames, reach=max_gap * 240 + 2 if isinstance(fps, Column) else max_gap * max(fps, 25.0) + 2)
     lo, hi = box_of("prev"), box_of("next")
     lf, hf = F.col("prev.f"), F.col("next.f")
     g_lo = F.abs(lf - F.col("__target")) / F.col("__rate")

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -68,9 +68,8 @@ def stabilize_scale(lane: DataFrame, keys: Sequence[str], fw: float, fh: float)
     references are left alone.
     """
     ref = F.when(F.col("src").isin(SCALE_SOURCES), F.struct("f", B.width(box()).alias("w"), B.height(box()).alias("h")))
-    counted = lane.groupBy(*keys).agg(F.count_if(F.col("src").isin(SCALE_SOURCES)).alias("__refs"))
-    seen = scans.fill(scans.with_chunk(lane, "f", LANE_CHUNK), keys, ["f"], {"__l": ref}, {"__r": ref}).drop(scans.CHUNK)
-    j = seen.join(counted, list(keys))
+    specs = {"__l": scans.last(ref), "__r": scans.following(ref), "__refs": scans.total(F.col("src").isin(SCALE_SOURCES))}
+    j = scans.scan(lane, keys, ["f"], LANE_CHUNK, specs)
     left, right = F.col("__l"), F.col("__r")
     share = (F.col("f") - left["f"]) / F.greatest(F.lit(1), right["f"] - left["f"])
 
@@ -158,7 +157,7 @@ def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_al
 def smooth_bidirectional(lane: DataFrame, keys: Sequence[str], alpha: float = 0.6, fw: float = 1920, fh: float = 1080) -> DataFrame:
     """Forward then backward smoothing that never moves pinned rows; runs restart at every pinned row."""
     pinned = is_pinned("src")
-    ahead = scans.running_count(scans.with_chunk(lane, "f", LANE_CHUNK), keys, ["f"], pinned, "__pins").drop(scans.CHUNK)
+    ahead = scans.scan(lane, keys, ["f"], LANE_CHUNK, {"__pins": scans.count_so_far(pinned)})
     # backward runs end with the pinned row that opens them, so they count pins before the row
     ahead = ahead.withColumn("__back", F.col("__pins") - F.when(pinned, 1).otherwise(0))
     fwd = ema_boxes(ahead, keys, alpha, alpha * 0.7, fw, fh, run="__pins")
@@ -169,38 +168,52 @@ def smooth_bidirectional(lane: DataFrame, keys: Sequence[str], alpha: float = 0.
 # -- velocity --------------------------------------------------------------------------------
 
 
-def velocities(df: DataFrame, keys: Sequence[str], order: str = "f", alpha: float = VELOCITY_ALPHA, depth: int = 64) -> DataFrame:
+def _velocity_runs(state: np.ndarray, starts: np.ndarray, first: np.ndarray, alpha: float) -> np.ndarray:
+    """Smoothed steps of the state inside runs, all runs advancing together; a run starts from ``first``."""
+    out = np.zeros_like(state)
+    out[0] = first
+    pos = np.arange(len(state))
+    pos = pos - np.maximum.accumulate(np.where(starts, pos, 0))
+    by_step = np.argsort(pos, kind="stable")
+    bounds = np.searchsorted(pos[by_step], np.arange(1, pos.max(initial=0) + 2))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        i = by_step[lo:hi]
+        out[i] = alpha * (state[i] - state[i - 1]) + (1 - alpha) * out[i - 1]
+    return out
+
+
+def velocities(df: DataFrame, keys: Sequence[str], order: str = "f", alpha: float = VELOCITY_ALPHA) -> DataFrame:
     """Smoothed velocity of (cx, cy, w, h) plus motion rate and scale-change strength.
 
-    The smoothing weight of a step falls with .55^n, below 1e-16 after ``depth`` rows, so the sum runs over
-    a bounded frame. The first step of a key has velocity zero.
+    The first row of a key has velocity zero. Tasks stream through their sorted rows with the last state
+    and velocity in hand.
     """
+    cols, v = df.columns, ["vcx", "vcy", "vw", "vh"]
     st = B.box_state(box())
-    chunked = scans.with_chunk(df.withColumn("__st", st), order, LANE_CHUNK)
-    # a chunk reads `depth` rows of the chunk before it
-    deltas = scans.fill(chunked, keys, [order], {"__p": F.col("__st")}, include_current=False)
-    names = ["cx", "cy", "w", "h"]
-    d = deltas.withColumn("__d", F.when(F.col("__p").isNotNull(), F.struct(*((F.col(f"__st.{n}") - F.col(f"__p.{n}")).alias(n) for n in names))))
-    w = Window.partitionBy(*keys, scans.CHUNK).orderBy(order).rowsBetween(-(depth - 1), 0)
-    tail = _chunk_tails(d, keys, order, depth)
-    both = d.withColumn("__real", F.lit(True)).unionByName(tail.withColumn("__real", F.lit(False)))
-    past = both.withColumn("__hist", F.collect_list(F.coalesce("__d", F.struct(*(F.lit(0.0).alias(n) for n in names)))).over(w))
-
-    def ema(n: str) -> Column:
-        return F.aggregate("__hist", F.lit(0.0), lambda acc, x: acc * (1 - alpha) + x[n] * alpha)
-
-    out = past.where("__real").withColumns({f"v{n}": ema(n) for n in names})
-    diag = F.greatest(F.lit(8.0), F.hypot("__st.w", "__st.h"))
-    zoom = F.greatest(F.abs("vw") / F.greatest(F.lit(1.0), F.col("__st.w")), F.abs("vh") / F.greatest(F.lit(1.0), F.col("__st.h")))
-    out = out.withColumns({"motion_rate": F.hypot("vcx", "vcy") / diag, "zoom": zoom})
-    return out.select(*df.columns, "vcx", "vcy", "vw", "vh", "motion_rate", "zoom")
+    src = df.withColumns({"__g": F.xxhash64(*(F.col(k).cast("string") for k in keys)), **{f"__{n}": st[n].cast("double") for n in ("cx", "cy", "w", "h")}})
+    parted = src.repartition(*keys).sortWithinPartitions(*keys, order)
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_g, last_s, last_v = None, None, None
+        for b in batches:
+            if not len(b):
+                continue
+            g, s = b["__g"].to_numpy(), b[["__cx", "__cy", "__w", "__h"]].to_numpy(dtype=float)
+            starts = np.r_[True, g[1:] != g[:-1]]
+            if last_g is not None and g[0] == last_g:
+                starts[0] = False
+                y = _velocity_runs(np.vstack([last_s, s]), np.r_[True, starts], last_v, alpha)[1:]
+            else:
+                y = _velocity_runs(s, starts, np.zeros(4), alpha)
+            last_g, last_s, last_v = g[-1], s[-1], y[-1]
+            b[v] = y
+            yield b[[*cols, *v]]
 
-def _chunk_tails(d: DataFrame, keys: Sequence[str], order: str, depth: int) -> DataFrame:
-    """The last ``depth`` rows of every chunk, handed to the next chunk as history."""
-    w = Window.partitionBy(*keys, scans.CHUNK).orderBy(F.col(order).desc())
-    last = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") < depth).drop("__rn")
-    return last.withColumn(scans.CHUNK, F.col(scans.CHUNK) + 1)
+    out = parted.mapInPandas(scan, df.select("*", *(F.lit(0.0).alias(n) for n in v)).schema)
+    w, h = B.width(box()), B.height(box())
+    diag = F.greatest(F.lit(8.0), F.hypot(F.greatest(w, F.lit(1.0)), F.greatest(h, F.lit(1.0))))
+    zoom = F.greatest(F.abs("vw") / F.greatest(F.lit(1.0), w), F.abs("vh") / F.greatest(F.lit(1.0), h))
+    return out.withColumns({"motion_rate": F.hypot("vcx", "vcy") / diag, "zoom": zoom})
 
 
 def predict(df: DataFrame, steps: Column | int, fw: float, fh: float) -> DataFrame:
@@ -221,11 +234,10 @@ def preserve_memory(boxes: DataFrame, frames: DataFrame, keys: Sequence[str], fw
                     per_frame: float = 0.035, cap: float = 0.85) -> DataFrame:
     """Preserve boxes for every frame: the frame's own, else the last ones carried up to ``grace`` frames
     and grown with their age. Adds ``age`` (0 for own boxes)."""
-    own = boxes.select(*keys, "f").distinct().withColumn("__own", F.col("f"))
-    asked = frames.select(*keys, "f").unionByName(own.select(*keys, "f")).distinct().join(own, [*keys, "f"], "left")
-    seen = scans.fill(scans.with_chunk(asked, "f", LANE_CHUNK), keys, ["f"], {"__from": F.col("__own")})
-    near = seen.withColumn("age", F.col("f") - F.col("__from")).where(F.col("age").between(0, grace))
-    near = near.join(frames.select(*keys, "f"), [*keys, "f"], "left_semi")
+    own = boxes.select(*keys, F.col("f").alias("__from")).distinct()
+    spread = own.select(*keys, "__from", F.explode(F.sequence(F.col("__from"), F.col("__from") + grace)).alias("f"))
+    newest = spread.groupBy(*keys, "f").agg(F.max("__from").alias("__from"))
+    near = newest.join(frames.select(*keys, "f"), [*keys, "f"], "left_semi").withColumn("age", F.col("f") - F.col("__from"))
     src = boxes.select(*keys, F.col("f").alias("__from"), *Box._fields)
     j = near.select(*keys, "f", "age", "__from").join(src, [*keys, "__from"])
     factor = F.least(F.lit(cap), F.greatest(F.lit(1), F.col("age")) * per_frame) + 1.0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions.scalars import clean_str, norm_action, norm_category, norm_class, norm_severity, snake_key, text_key
+from ..session import checkpoint
 from . import scans
 
 # Words of the keep rule.
@@ -145,11 +146,10 @@ def merge_events(rows: DataFrame, keys: Sequence[str], seq: str = "seq", gap: fl
     keys = list(keys)
     cols = rows.columns
     same = F.struct(*(clean_str(c).alias(c) for c in ("category", "severity", "action_type")), text_key("object_class").alias("object"))
-    d = scans.with_chunk(rows.withColumn("__same", same), seq, chunk)
-    d = scans.fill(d, keys, [seq], {"__prev": F.col("__same")}, include_current=False)
-    d = scans.running_max(d, keys, [seq], "end_sec", "__reach")
+    specs = {"__prev": scans.last(F.col("__same"), current=False), "__reach": scans.max_before(F.col("end_sec"))}
+    d = scans.scan(rows.withColumn("__same", same), keys, [seq], chunk, specs)
     cut = F.col("__prev").isNull() | (F.col("__prev") != F.col("__same")) | (F.col("start_sec") > F.col("__reach") + gap)
-    d = scans.running_count(d, keys, [seq], cut, "__block").drop(scans.CHUNK, "__prev", "__reach", "__same")
+    d = scans.scan(d, keys, [seq], chunk, {"__block": scans.count_so_far(cut)}).drop("__prev", "__reach", "__same")
     d = d.withColumns({
         "__ent": text_key("entity_hint"), "__lab": text_key("label"),
         "__g": F.xxhash64(*(F.col(k).cast("string") for k in keys), "__block"),
@@ -191,8 +191,7 @@ def merge_events(rows: DataFrame, keys: Sequence[str], seq: str = "seq", gap: fl
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str, chunk: float = 10_000) -> DataFrame:
     """1-based position within the key without sorting a whole key in one task."""
-    d = scans.with_chunk(df, order, chunk)
-    return scans.running_count(d, keys, [order], F.lit(True), out).drop(scans.CHUNK)
+    return scans.scan(df, keys, [order], chunk, {out: scans.count_so_far(F.lit(True))})
 
 
 ACTION_KEY = ["action_type", "object_class", "entity_hint", "redaction_target", "scene_role", "label"]
@@ -204,6 +203,7 @@ def merge_actions(events: DataFrame, keys: Sequence[str], seq: str = "seq") -> t
     An action keeps its first event's values, the highest confidence, the longest reason, the widest span.
     """
     keys = list(keys)
+    events = checkpoint(events)  # read several times below
     parts = [text_key(c).alias(f"__k{i}") for i, c in enumerate(ACTION_KEY)]
     e = number_rows(events, keys, seq, "__n").select("*", *parts)
     kcols = [f"__k{i}" for i in range(len(ACTION_KEY))]

@@ -7,13 +7,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scans
-from .scans import CHUNK
 
-CHUNK_GAPS = 20_000  # a chunk of a merge holds at most this many pre-merged cells
+
+def fold_cells(df: DataFrame, keys: Sequence[str], gap: float, start: Column, end: Column) -> DataFrame:
+    """One row ``(keys…, __s, __e, __n)`` per cell of half a gap.
+
+    Ranges that start in one cell always belong together, so folding them is exact. It happens on the map
+    side, and it bounds a key: however many rows it has, at most duration / (gap / 2) are left of it.
+    """
+    cell = F.floor(start / F.lit(gap / 2.0)).cast("long") if gap > 0 else start
+    return (
+        df.where(start.isNotNull() & end.isNotNull())
+        .groupBy(*keys, cell.alias("__cell"))
+        .agg(F.min(start).alias("__s"), F.max(F.greatest(start, end)).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    )
+
+
+def _islands(folded: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
+    """Folded cells with the number of their island; the window sees folded rows only."""
+    w = Window.partitionBy(*keys).orderBy("__s", "__e")
+    reach = F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("__s") > reach + F.lit(gap)), 1).otherwise(0)
+    marked = folded.withColumn("__new", fresh)
+    return marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def merge_ranges(
@@ -23,29 +43,14 @@ def merge_ranges(
     min_len: float | None = None,
     start: str = "start",
     end: str = "end",
-    chunk: float | None = None,
 ) -> DataFrame:
     """Merge ranges of a key that overlap or lie within ``gap``; islands as ``(keys…, start, end)``.
 
-    Two ranges that start within one cell narrower than the gap always belong together, so rows are
-    first folded per cell with map-side aggregation: that bounds what one task can see of a hot key.
-    ``min_len`` widens short islands about their centre, never below zero.
+    ``min_len`` widens short islands about their centre, never below zero. Two shuffles: the fold per
+    cell and the window per key; the islands are then grouped where they lie.
     """
-    s, e = F.col(start), F.greatest(F.col(start), F.col(end))
-    cell = F.floor(s / F.lit(gap / 2.0)).cast("long") if gap > 0 else s
-    width = chunk or (gap * CHUNK_GAPS if gap > 0 else 3600.0)
-    folded = (
-        df.where(s.isNotNull() & F.col(end).isNotNull())
-        .withColumn("__cell", cell)
-        .groupBy(*keys, "__cell")
-        .agg(F.min(s).alias("__s"), F.max(e).alias("__e"))
-    )
-    chunked = scans.with_chunk(folded, "__s", width)
-    before = scans.running_max(chunked, keys, ["__s", "__e"], "__e", "__before")
-    fresh = F.col("__before").isNull() | (F.col("__s") > F.col("__before") + F.lit(gap))
-    marked = scans.fill(before, keys, ["__s", "__e"], {"__island": F.when(fresh, F.col("__s"))})
-    out = marked.groupBy(*keys, "__island").agg(F.max("__e").alias("__end"))
-    out = out.select(*keys, F.col("__island").alias(start), F.col("__end").alias(end))
+    cells = _islands(fold_cells(df, keys, gap, F.col(start), F.col(end)), keys, gap)
+    out = cells.groupBy(*keys, "__island").agg(F.min("__s").alias(start), F.max("__e").alias(end)).drop("__island")
     return widen(out, min_len, start, end) if min_len else out
 
 
@@ -169,8 +174,8 @@ def nearest_gap(probes: DataFrame, segments: DataFrame, on: Sequence[str], item:
                        F.lit(None).cast(t_type).alias("__e"))
     built = segments.select(*keys, F.col("start").cast(t_type).alias("__t"), F.lit(0).alias("__probe"),
                             F.col("start").cast(t_type).alias("__s"), F.col("end").cast(t_type).alias("__e"))
-    both = scans.with_chunk(tagged.unionByName(built), "__t", chunk)
-    seen = scans.fill(both, keys, ["__t", "__probe"], {"__last_end": F.col("__e")}, {"__next_start": F.col("__s")})
+    specs = {"__last_end": scans.last(F.col("__e")), "__next_start": scans.following(F.col("__s"))}
+    seen = scans.scan(tagged.unionByName(built), keys, ["__t", "__probe"], chunk, specs)
     # greatest() skips nulls, so a missing end must stay missing
     behind = F.when(F.col("__last_end").isNotNull(), F.greatest(F.col("__t") - F.col("__last_end"), F.lit(0).cast(t_type)))
     ahead = F.col("__next_start") - F.col("__t")
@@ -258,19 +263,10 @@ def appearance_groups(df: DataFrame, keys: Sequence[str], gap: float = 4.0, t: s
 
     Appearances are folded per cell narrower than the gap first, as in :func:`merge_ranges`.
     """
-    cell = F.floor(F.col(t) / F.lit(gap / 2.0)).cast("long")
-    folded = (
-        df.where(F.col(t).isNotNull())
-        .groupBy(*keys, cell.alias("__cell"))
-        .agg(F.min(t).alias("__s"), F.max(t).alias("__e"), F.count(F.lit(1)).alias("__n"))
-    )
-    chunked = scans.with_chunk(folded, "__s", gap * CHUNK_GAPS)
-    before = scans.running_max(chunked, keys, ["__s"], "__e", "__before")
-    fresh = F.col("__before").isNull() | (F.col("__s") - F.col("__before") > F.lit(gap))
-    marked = scans.fill(before, keys, ["__s"], {"__first": F.when(fresh, F.col("__s"))})
-    return marked.groupBy(*keys, "__first").agg(F.max("__e").alias("end"), F.sum("__n").alias("appearances")).select(
-        *keys, F.col("__first").alias("start"), "end", "appearances"
-    )
+    cells = _islands(fold_cells(df, keys, gap, F.col(t), F.col(t)), keys, gap)
+    return cells.groupBy(*keys, "__island").agg(
+        F.min("__s").alias("start"), F.max("__e").alias("end"), F.sum("__n").alias("appearances")
+    ).drop("__island")
 
 
 def extend_by_ranges(groups: DataFrame, ranges: DataFrame, keys: Sequence[str], slack: float = 4.0) -> DataFrame:

@@ -210,7 +210,7 @@ def progress_percent(done: Column, total: Column) -> Column:
 def progress_changes(df: DataFrame, keys: Sequence[str], order: str, chunk: float = 10_000) -> DataFrame:
     """Only rows where the stage or the whole percent differs from the row before."""
     now = F.struct("stage", "percent")
-    d = scans.fill(scans.with_chunk(df.withColumn("__now", now), order, chunk), keys, [order], {"__prev": F.col("__now")}, include_current=False)
+    d = scans.scan(df.withColumn("__now", now), keys, [order], chunk, {"__prev": scans.last(F.col("__now"), current=False)})
     return d.where(F.col("__prev").isNull() | (F.col("__prev") != F.col("__now"))).select(*df.columns)
 
 

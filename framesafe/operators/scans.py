@@ -1,13 +1,15 @@
 """Ordered scans over long keys, cut into chunks.
 
 A window over a whole key puts the key into one task, and one video may hold a third of all rows.
-The scans here window over ``(key, chunk)`` only, where a chunk is a bounded stretch of the order
-column, and carry the state from chunk to chunk through a summary with one row per chunk.
+The scan here windows over ``(key, chunk)`` only, where a chunk is a bounded stretch of the order
+column, and carries state from chunk to chunk through one summary with a row per chunk. All wanted
+values share that summary, so the input is read twice whatever their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,77 +17,78 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 
 
-def with_chunk(df: DataFrame, order: str | Column, width: float) -> DataFrame:
-    c = F.col(order) if isinstance(order, str) else order
-    return df.withColumn(CHUNK, F.floor(c / F.lit(width)).cast("long"))
+class Spec(NamedTuple):
+    """One value of a scan: ``last``, ``next``, ``max``, ``count`` or ``total`` of a column."""
 
+    kind: str
+    value: Column
+    current: bool = True
 
-def _carry(summary: DataFrame, keys: Sequence[str], exprs: dict[str, Column]) -> DataFrame:
-    """Per chunk, the running value over all earlier chunks of the key."""
-    w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(*keys, CHUNK, *(e.over(w).alias(n) for n, e in exprs.items()))
 
+def last(value: Column, current: bool = True) -> Spec:
+    """Last non-null value at or before the row (``current=False``: before it)."""
+    return Spec("last", value, current)
 
-def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(carry, [*keys, CHUNK], "left")
 
+def following(value: Column, current: bool = True) -> Spec:
+    """Next non-null value at or after the row (``current=False``: after it)."""
+    return Spec("next", value, current)
 
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Max of ``value`` over all earlier rows of the key; ``df`` carries the chunk column."""
-    w = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(*(F.col(o) for o in order))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = df.withColumn("__sc_l", F.max(value).over(w))
-    carry = _carry(df.groupBy(*keys, CHUNK).agg(F.max(value).alias("__v")), keys, {"__sc_b": F.max("__v")})
-    return _join_carry(local, carry, keys).withColumn(out, F.greatest("__sc_l", "__sc_b")).drop("__sc_l", "__sc_b")
-
-
-def fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], forward: dict[str, Column] | None = None,
-         backward: dict[str, Column] | None = None, include_current: bool = True) -> DataFrame:
-    """Last (``forward``) and next (``backward``) non-null of each value at every row of the key.
-
-    ``df`` carries the chunk column; ``order`` must be a total order within the key. Both directions
-    share one chunk summary and one shuffle of the rows.
-    """
-    end = 0 if include_current else -1
-    local, aggs, carries, names = df, [], {}, []
-    for back, values in ((False, forward or {}), (True, backward or {})):
-        way = (lambda c: c.desc()) if back else (lambda c: c.asc())
-        w = (
-            Window.partitionBy(*keys, CHUNK)
-            .orderBy(*(way(F.col(o)) for o in order))
-            .rowsBetween(Window.unboundedPreceding, end)
-        )
-        wk = Window.partitionBy(*keys).orderBy(way(F.col(CHUNK))).rowsBetween(Window.unboundedPreceding, -1)
-        for name, v in values.items():
-            i = len(names)
-            names.append(name)
-            stamped = F.when(v.isNotNull(), F.struct(*(F.col(o) for o in order), v.alias("__x")))
-            aggs.append((F.min if back else F.max)(stamped).alias(f"__s{i}"))
-            local = local.withColumn(f"__l{i}", F.last(v, ignorenulls=True).over(w))
-            carries[f"__c{i}"] = F.last(F.col(f"__s{i}.__x"), ignorenulls=True).over(wk)
-    summary = df.groupBy(*keys, CHUNK).agg(*aggs)
-    carry = summary.select(*keys, CHUNK, *(e.alias(n) for n, e in carries.items()))
-    out = _join_carry(local, carry, keys)
-    for i, name in enumerate(names):
-        out = out.withColumn(name, F.coalesce(F.col(f"__l{i}"), F.col(f"__c{i}")))
-    return out.drop(*(f"__{p}{i}" for i in range(len(names)) for p in "lc"))
-
-
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, out: str) -> DataFrame:
-    """Number of rows up to and including this one where ``flag`` holds."""
-    w = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(*(F.col(o) for o in order))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    one = F.when(flag, 1).otherwise(0).cast("long")
-    local = df.withColumn("__sc_l", F.sum(one).over(w))
-    carry = _carry(df.groupBy(*keys, CHUNK).agg(F.sum(one).alias("__v")), keys, {"__sc_b": F.sum("__v")})
-    return (
-        _join_carry(local, carry, keys)
-        .withColumn(out, F.col("__sc_l") + F.coalesce("__sc_b", F.lit(0).cast("long")))
-        .drop("__sc_l", "__sc_b")
+
+def max_before(value: Column) -> Spec:
+    return Spec("max", value, False)
+
+
+def count_so_far(flag: Column) -> Spec:
+    """Rows up to and including this one where the flag holds."""
+    return Spec("count", flag, True)
+
+
+def total(flag: Column) -> Spec:
+    """Rows of the whole key where the flag holds."""
+    return Spec("total", flag, True)
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: float, specs: dict[str, Spec]) -> DataFrame:
+    """Add the wanted values to every row. ``order`` is a total order within the key; its first column is
+    numeric and cut into chunks of width ``chunk``."""
+    keys, part = list(keys), [*keys, CHUNK]
+    src = df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(chunk)).cast("long"))
+    asc = [F.col(o).asc() for o in order]
+    desc = [F.col(o).desc() for o in order]
+    stamp = [F.col(o) for o in order]
+    wk = Window.partitionBy(*keys)
+    upto, before, after = (
+        wk.orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1),
+        wk.orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1),
+        wk.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1),
     )
+    local, sums, carries, final = {}, [], [], {}
+    for i, (name, s) in enumerate(specs.items()):
+        end = 0 if s.current else -1
+        w = Window.partitionBy(*part).orderBy(*(desc if s.kind == "next" else asc)).rowsBetween(Window.unboundedPreceding, end)
+        lo, sm, ca = f"__l{i}", f"__s{i}", f"__c{i}"
+        if s.kind in ("last", "next"):
+            marked = F.when(s.value.isNotNull(), F.struct(*stamp, s.value.alias("__x")))
+            local[lo] = F.last(s.value, ignorenulls=True).over(w)
+            sums.append((F.max if s.kind == "last" else F.min)(marked).alias(sm))
+            carries.append(F.last(F.col(sm)["__x"], ignorenulls=True).over(upto if s.kind == "last" else after).alias(ca))
+            final[name] = F.coalesce(F.col(lo), F.col(ca))
+        elif s.kind == "max":
+            local[lo] = F.max(s.value).over(w)
+            sums.append(F.max(s.value).alias(sm))
+            carries.append(F.max(sm).over(before).alias(ca))
+            final[name] = F.greatest(F.col(lo), F.col(ca))
+        else:
+            one = F.when(s.value, 1).otherwise(0).cast("long")
+            sums.append(F.sum(one).alias(sm))
+            if s.kind == "count":
+                local[lo] = F.sum(one).over(w)
+                carries.append(F.sum(sm).over(before).alias(ca))
+                final[name] = F.col(lo) + F.coalesce(F.col(ca), F.lit(0).cast("long"))
+            else:
+                carries.append(F.sum(sm).over(wk).alias(ca))
+                final[name] = F.col(ca)
+    carry = src.groupBy(*part).agg(*sums).select(*part, *carries)
+    out = src.withColumns(local) if local else src
+    return out.join(carry, part, "left").select(*df.columns, *(c.alias(n) for n, c in final.items()))

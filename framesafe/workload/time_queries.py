@@ -421,4 +421,4 @@ def sampled_regions(spark, sf):
 @query("object_ranges_by_video", f"WITH {DET}, pad AS (SELECT video_id, t_ms AS s, t_ms+2000 AS e FROM det WHERE kind='object'), {islands('pad', 'video_id', 0, 'm')} SELECT video_id, s AS start_ms, e AS end_ms FROM m")
 def object_ranges_by_video(spark, sf):
     r = objects(spark, sf).select("video_id", F.col("t_ms").alias("start"), (F.col("t_ms") + 2000).alias("end"))
-    return ranges.merge_ranges(r, ["video_id"], 0, chunk=600_000).withColumnsRenamed({"start": "start_ms", "end": "end_ms"})
+    return ranges.merge_ranges(r, ["video_id"], 0).withColumnsRenamed({"start": "start_ms", "end": "end_ms"})
