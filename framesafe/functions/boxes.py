@@ -312,28 +312,29 @@ def box_union(a: Box, b: Box, fw, fh) -> Box:
 
 
 def head_from_person(p: Box, fw, fh) -> Box:
-    """The upper part of a person box."""
-    q = valid_box(p, "frame", fw, fh)
-    w, h = F.greatest(q.x2 - q.x1, F.lit(1.0)), F.greatest(q.y2 - q.y1, F.lit(1.0))
+    """The upper part of a person box that lies in the frame (see ``valid_box`` in frame mode)."""
+    w, h = F.greatest(p.x2 - p.x1, F.lit(1.0)), F.greatest(p.y2 - p.y1, F.lit(1.0))
     share = F.when(h < 96, 0.30).when(h < 180, 0.26).otherwise(0.22)
     hh = F.greatest(F.lit(MIN_HEAD_SIDE), h * share)
     hw = F.greatest(F.lit(MIN_HEAD_SIDE), F.least(w * 0.62, F.greatest(w * 0.42, hh * 0.82)))
-    cx = (q.x1 + q.x2) / 2.0
-    head = Box(cx - hw / 2.0, q.y1 - h * 0.01, cx + hw / 2.0, q.y1 + hh + h * 0.02)
-    return valid_box(keep_if((w >= MIN_HEAD_SIDE) & (h >= MIN_HEAD_SIDE), head), "frame", fw, fh)
+    cx = (p.x1 + p.x2) / 2.0
+    ok = p.x1.isNotNull() & (w >= MIN_HEAD_SIDE) & (h >= MIN_HEAD_SIDE)
+    head = Box(cx - hw / 2.0, p.y1 - h * 0.01, cx + hw / 2.0, p.y1 + hh + h * 0.02)
+    # the head straddles its centre, so clamping cannot empty it
+    return keep_if(ok, Box(*map(_round_int, clamp_box(head, fw, fh))))
 
 
 def fit_head(head: Box, preferred: Box, fw, fh) -> Box:
-    """Pull a head box toward the tracked face and bound its size by it."""
-    h, p = valid_box(head, "frame", fw, fh), valid_box(preferred, "int")
+    """Pull a valid head box toward a valid tracked face and bound its size by it."""
+    h, p = head, preferred
     pw, ph = F.greatest(p.x2 - p.x1, F.lit(1.0)), F.greatest(p.y2 - p.y1, F.lit(1.0))
     bias = F.when(box_center_dist(h, p) / F.greatest(F.hypot(pw, ph), F.lit(1.0)) <= 0.8, 0.72).otherwise(0.56)
     (hcx, hcy), (pcx, pcy) = box_center(h), box_center(p)
     cx, cy = pcx * bias + hcx * (1 - bias), pcy * bias + hcy * (1 - bias)
     tw = F.least(F.greatest(pw * 1.10, F.lit(8.0)), F.greatest(h.x2 - h.x1, F.lit(1.0)))
     th = F.least(F.greatest(ph * 1.16, F.lit(8.0)), F.greatest(h.y2 - h.y1, F.lit(1.0)))
-    fitted = valid_box(Box(cx - tw / 2, cy - th / 2, cx + tw / 2, cy + th / 2), "frame", fw, fh)
-    return choose(h.x1.isNull() | p.x1.isNull(), h, fitted)
+    fitted = clamp_box(Box(cx - tw / 2, cy - th / 2, cx + tw / 2, cy + th / 2), fw, fh)
+    return choose(h.x1.isNull() | p.x1.isNull(), h, Box(*map(_round_int, fitted)))
 
 
 def rel_padding(manual: Box, face: Box) -> Column:

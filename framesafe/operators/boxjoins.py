@@ -205,13 +205,14 @@ def unclaimed(free: DataFrame, min_side: float = 30.0) -> DataFrame:
 
 
 def _best_and_margin(df: DataFrame, keys: Sequence[str], score: Column, order: Column, payload: Sequence[str]) -> DataFrame:
-    """Best row per key with the score of the runner-up; two map-side combined aggregations, no sort."""
-    row = F.struct(score.alias("score"), (-order).alias("first"), *payload)
-    best = df.groupBy(*keys).agg(F.max(row).alias("best"))
-    ranked = df.withColumn("__s", score).join(
-        best.select(*keys, F.col("best.first").alias("__f")), list(keys)
-    ).where(-order != F.col("__f"))
-    second = ranked.groupBy(*keys).agg(F.max("__s").alias("second"))
+    """Best row per key with the score of the runner-up, rows with a null score left out.
+
+    A fold of two maxima, combined on the map side: the second is the best of all rows but the first.
+    """
+    row = F.when(score.isNotNull(), F.struct(score.alias("score"), (-order).alias("first"), *payload))
+    best = df.groupBy(*keys).agg(F.max(row).alias("best")).where(F.col("best").isNotNull())
+    rest = df.withColumn("__s", score).join(best.select(*keys, F.col("best.first").alias("__f")), list(keys))
+    second = rest.groupBy(*keys).agg(F.max(F.when(-order != F.col("__f"), F.col("__s"))).alias("second"))
     return best.join(second, list(keys), "left")
 
 
@@ -265,17 +266,14 @@ def best_head(persons: DataFrame, anchors: DataFrame, on: Sequence[str], fw, fh,
     ``anchors``: keys, ``s_x1..`` search box and ``p_x1..`` preferred box (may be null).
     """
     j = persons.select(*on, seq, *Box._fields, "det_score").join(anchors, list(on))
-    search = B.valid_box(box("s_"), "frame", fw, fh)
-    wanted = B.valid_box(box("p_"), "frame", fw, fh)
-    pref = B.choose(wanted.x1.isNull(), search, wanted)
-    person = B.valid_box(box(), "frame", fw, fh)
-    raw = B.head_from_person(person, fw, fh)
-    fitted = B.fit_head(raw, pref, fw, fh)
-    head = B.choose(F.col("p_x1").isNull(), raw, fitted)
-    cols = {f"h_{n}": c for n, c in zip(Box._fields, head)}
-    cols |= {f"r_{n}": c for n, c in zip(Box._fields, pref)} | {f"w_{n}": c for n, c in zip(Box._fields, search)}
-    cols |= {f"q_{n}": c for n, c in zip(Box._fields, person)}
-    j = j.withColumns(cols).where(F.col("h_x1").isNotNull() & F.col("w_x1").isNotNull())
+    # one projection per step: each box is computed once and then read as plain columns
+    put = lambda df, p, b: df.withColumns({p + n: c for n, c in zip(Box._fields, b)})
+    j = put(put(j, "w_", B.valid_box(box("s_"), "frame", fw, fh)), "v_", B.valid_box(box("p_"), "frame", fw, fh))
+    j = put(j, "r_", B.choose(F.col("v_x1").isNull(), box("w_"), box("v_")))
+    j = put(j, "q_", B.valid_box(box(), "frame", fw, fh))
+    j = put(j, "g_", B.head_from_person(box("q_"), fw, fh))
+    j = put(j, "e_", B.fit_head(box("g_"), box("r_"), fw, fh))
+    j = put(j, "h_", B.choose(F.col("p_x1").isNull(), box("g_"), box("e_")))
     h, p, s, q = box("h_"), box("r_"), box("w_"), box("q_")
     hs, ps, pi = B.box_iou(h, s), B.box_iou(q, s), B.box_iou(h, p)
     sc, pc, area = B.center_ratio(h, s), B.center_ratio(h, p), B.log_area_gap(h, p)
@@ -284,8 +282,10 @@ def best_head(persons: DataFrame, anchors: DataFrame, on: Sequence[str], fw, fh,
     if strict:
         ok = ok & ~((area > 1.25) & (pi < 0.08))
     score = F.col("det_score") * 1.4 + pi * 4.2 + hs * 2.0 + ps * 0.6 - pc * 1.55 - sc * 0.55 - area * 0.28
-    best = _best_and_margin(j.where(ok).withColumn("__score", score), on, F.col("__score"), F.col(seq),
-                            ["h_x1", "h_y1", "h_x2", "h_y2", "det_score"])
+    # no filter on computed boxes: it would be pushed down and the boxes computed over and over
+    usable = F.col("h_x1").isNotNull() & F.col("w_x1").isNotNull() & ok
+    j = j.withColumn("__score", F.when(usable, score))
+    best = _best_and_margin(j, on, F.col("__score"), F.col(seq), ["h_x1", "h_y1", "h_x2", "h_y2", "det_score"])
     if strict:
         best = best.where(F.col("second").isNull() | (F.col("best.score") - F.col("second") >= 0.45))
     return best.select(*on, (-F.col("best.first")).alias(seq), *(F.col(f"best.h_{n}").alias(n) for n in Box._fields),

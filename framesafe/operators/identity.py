@@ -45,7 +45,6 @@ def _rows(arr: pa.Array) -> np.ndarray:
     return flat.reshape(len(arr), -1) if len(arr) else flat.reshape(0, 0)
 
 
-@F.arrow_udf("double")
 def _cosine_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 
@@ -64,7 +63,7 @@ def _cosine_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two vector columns, one Arrow batch at a time; null when either is null."""
-    return _cosine_arrow(a, b)
+    return F.arrow_udf(_cosine_arrow, "double")(a, b)
 
 
 # -- identification --------------------------------------------------------------------------
