@@ -6,6 +6,8 @@ container keys, so every later lookup is one map access.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ _ARRAY = "array<variant>"
 _MAP = "map<string,variant>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Column expressions have no local names; nesting helpers that read their argument several times would
+    grow the plan exponentially. A one-element transform binds the value.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
@@ -58,28 +69,48 @@ def fenced_json(c: Column, extract: bool = False) -> Column:
 
     With ``extract`` the outermost object or list inside other text is taken.
     """
-    t = F.trim(c, F.lit(" \t\r\n"))
-    inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*(\n|$)", ""), r"(^|\n)[ \t]*```[ \t]*$", "")
-    t = F.when(t.startswith("```"), F.trim(inner, F.lit(" \t\r\n"))).otherwise(t)
+    blank = F.lit(" \t\r\n")
+
+    def unfence(t: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*(\n|$)", ""), r"(^|\n)[ \t]*```[ \t]*$", "")
+        return F.when(t.startswith("```"), F.trim(inner, blank)).otherwise(t)
+
+    def cut(t: Column) -> Column:
+        inside = F.regexp_extract(t, r"(\{[\s\S]*\}|\[[\s\S]*\])", 1)
+        return F.coalesce(F.nullif(inside, F.lit("")), t)
+
+    t = let(F.trim(c, blank), unfence)
     if extract:
-        cut = F.regexp_extract(t, r"(\{[\s\S]*\}|\[[\s\S]*\])", 1)
-        t = F.when(cut != "", cut).otherwise(t)
-    return F.when(t != "", F.try_parse_json(t))
+        t = let(t, cut)
+    return F.try_parse_json(F.nullif(t, F.lit("")))
 
 
 def _opened(v: Column, extract: bool) -> Column:
     """A JSON string holding JSON becomes that JSON."""
-    return F.when(_kind(v) == "STRING", fenced_json(text_of(v), extract)).otherwise(v)
+    return let(v, lambda x: F.when(_kind(x) == "STRING", fenced_json(F.try_variant_get(x, "$", "string"), extract)).otherwise(x))
+
+
+def _members(v: Column, keys: list[str], pick: Callable[[Column], Column] | None = None) -> Column:
+    """The values an object has under ``keys``, in the order of ``keys``."""
+    names = F.array(*(F.lit(k) for k in keys))
+    body = pick or (lambda x: x)
+    found = let(F.try_variant_get(v, "$", _MAP), lambda m: F.transform(names, lambda k: body(F.try_element_at(m, k))))
+    return F.array_compact(found)
+
+
+def _first(arr: Column) -> Column:
+    return F.try_element_at(arr, F.lit(1))
 
 
 def task_result(v: Column) -> Column:
     """First result-like key that is neither null nor empty text, else the payload itself."""
+    filled = lambda x: ~F.is_variant_null(x) & (F.coalesce(text_of(x), F.lit("-")) != "")
+    return let(v, lambda p: F.coalesce(_first(F.filter(_members(p, RESULT_KEYS), filled)), p))
 
-    def filled(key: str) -> Column:
-        x = get(v, key)
-        return F.when(~F.is_variant_null(x) & (F.coalesce(text_of(x), F.lit("-")) != ""), x)
 
-    return F.coalesce(*(filled(k) for k in RESULT_KEYS), v)
+def open_payload(c: Column) -> Column:
+    """Task payload text to its result: the payload, its result key, JSON inside text opened."""
+    return let(fenced_json(c, extract=True), lambda v: F.coalesce(_opened(task_result(v), True), v))
 
 
 def task_id(v: Column) -> Column:
@@ -108,7 +139,7 @@ def _objects_under_any_key(v: Column) -> Column:
 
 
 def _non_empty(a: Column) -> Column:
-    return F.when(F.size(a) > 0, a)
+    return let(a, lambda x: F.when(F.size(x) > 0, x))
 
 
 def segments(v: Column, definition_ids: list[str], order: str = "keys_first", extract: bool = True,
@@ -120,37 +151,47 @@ def segments(v: Column, definition_ids: list[str], order: str = "keys_first", ex
     holding JSON are opened on the way. ``order="ids_first"`` looks under the definition ids first.
     Nesting is followed ``depth`` levels.
     """
-    levels = []
-    cur = v
-    for _ in range(depth):
-        cur = _opened(cur, extract)
-        own = F.when(is_list(cur), F.try_variant_get(cur, "$", _ARRAY))
-        by_key = [F.try_variant_get(_opened(get(cur, k), extract), "$", _ARRAY) for k in LIST_KEYS]
-        by_id = [F.try_variant_get(_opened(get(cur, k), extract), "$", _ARRAY) for k in definition_ids]
-        empty = F.array().cast(_ARRAY)
-        grouped = _non_empty(F.flatten(F.array(*(F.coalesce(a, empty) for a in by_id)))) if by_id else F.lit(None)
-        loose = _non_empty(_objects_under_any_key(cur)) if any_key else F.lit(None)
-        found = [*by_key, grouped] if order == "keys_first" else [grouped, *by_key]
-        levels.append(F.coalesce(own, *found, loose))
-        inside = [F.when(is_object(x), x) for x in (_opened(get(cur, k), extract) for k in [*LIST_KEYS, "result"])]
-        cur = F.coalesce(*inside, get(cur, "result"))
-    return F.coalesce(*levels, F.array().cast(_ARRAY))
+    empty = F.array().cast(_ARRAY)
+    opened = lambda x: _opened(x, extract)
+    as_list = lambda x: F.try_variant_get(x, "$", _ARRAY)
+
+    def search(cur: Column, inside: Column, left: int) -> Column:
+        own = F.when(is_list(cur), as_list(cur))
+        by_key = _first(F.array_compact(F.transform(F.slice(inside, 1, len(LIST_KEYS)), as_list)))
+        found = [by_key]
+        if definition_ids:
+            grouped = _non_empty(F.flatten(F.transform(_members(cur, definition_ids, opened), lambda x: F.coalesce(as_list(x), empty))))
+            found = [by_key, grouped] if order == "keys_first" else [grouped, by_key]
+        loose = [_non_empty(_objects_under_any_key(cur))] if any_key else []
+        deeper = [let(F.coalesce(_first(F.filter(inside, is_object)), F.element_at(inside, -1)), lambda x: level(x, left - 1))] if left > 1 else []
+        return F.coalesce(own, *found, *loose, *deeper)
+
+    def level(cur: Column, left: int) -> Column:
+        # every listed key keeps its place, so the list keys are the first ones
+        names = F.array(*(F.lit(k) for k in [*LIST_KEYS, "result"]))
+        inside = let(F.try_variant_get(cur, "$", _MAP), lambda m: F.transform(names, lambda k: opened(F.try_element_at(m, k))))
+        return let(inside, lambda i: search(cur, i, left))
+
+    return F.coalesce(let(_opened(v, extract), lambda c: level(c, depth)), empty)
 
 
 def segment_fields(v: Column) -> Column:
     """Container maps merged in order, own keys on top."""
-    own = F.try_variant_get(v, "$", _MAP)
+    as_map = lambda x: F.try_variant_get(x, "$", _MAP)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(_ARRAY))
-    layers = [F.try_variant_get(get(v, k), "$", _MAP) for k in CONTAINER_KEYS] + [own]
-    merged = none
-    for layer in layers:
-        layer = F.coalesce(layer, none)
-        merged = _overlay(merged, layer)
-    return merged
+    layers = F.array_compact(F.concat(F.transform(_members(v, CONTAINER_KEYS), as_map), F.array(as_map(v))))
+    over = lambda below, top: F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(top, k)), top)
+    return F.aggregate(layers, none, over)
 
 
-def _overlay(below: Column, above: Column) -> Column:
-    return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
+def field_texts(m: Column) -> Column:
+    """The fields as text: JSON strings trimmed, every other kind empty."""
+    return F.transform_values(m, lambda _, x: F.coalesce(F.trim(text_of(x)), F.lit("")))
+
+
+def text(texts: Column, *keys: str) -> Column:
+    """The text of the first key present, empty when there is none."""
+    return F.coalesce(*(F.try_element_at(texts, F.lit(k)) for k in keys), F.lit(""))
 
 
 def field(m: Column, *keys: str) -> Column:
@@ -158,10 +199,6 @@ def field(m: Column, *keys: str) -> Column:
     return F.coalesce(*(F.try_element_at(m, F.lit(k)) for k in keys))
 
 
-def field_text(m: Column, *keys: str) -> Column:
-    return F.coalesce(F.trim(text_of(field(m, *keys))), F.lit(""))
-
-
 def field_number(m: Column, *keys: str) -> Column:
     return number_of(field(m, *keys))
 
@@ -189,8 +226,9 @@ def field_tags(m: Column, key: str = "tags") -> Column:
 
 def list_items(v: Column) -> Column:
     """Items of one page of a listing."""
-    arr = [F.try_variant_get(get(v, k), "$", _ARRAY) for k in PAGE_KEYS]
-    return F.coalesce(F.when(is_list(v), F.try_variant_get(v, "$", _ARRAY)), *arr, F.array().cast(_ARRAY))
+    as_list = lambda x: F.try_variant_get(x, "$", _ARRAY)
+    own = F.when(is_list(v), as_list(v))
+    return F.coalesce(own, _first(_members(v, PAGE_KEYS, as_list)), F.array().cast(_ARRAY))
 
 
 def next_page_token(v: Column) -> Column:

@@ -85,10 +85,9 @@ def snake_key(c: Column | str) -> Column:
 
 
 def _fold(key: Column, allowed: list[str], words: dict[str, str], default: str) -> Column:
-    out = F.when(key.isin(allowed), key)
-    for word, meaning in words.items():
-        out = out.when(key == word, F.lit(meaning))
-    return out.otherwise(F.lit(default))
+    table = {**{w: w for w in allowed}, **words}
+    lookup = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(lookup, key), F.lit(default))
 
 
 def norm_severity(c: Column | str) -> Column:

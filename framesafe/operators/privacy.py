@@ -85,35 +85,28 @@ def keep_privacy_target(df: DataFrame) -> DataFrame:
     return df.where(keep_target())
 
 
-def open_payload(c: Column) -> Column:
-    """Task payload text to its result as VARIANT: the payload, its result key, JSON inside text opened."""
-    v = P.fenced_json(c, extract=True)
-    r = P.task_result(v)
-    inner = F.when(P.text_of(r).isNotNull(), P.fenced_json(P.text_of(r), extract=True)).otherwise(r)
-    return F.coalesce(inner, v)
-
-
 def explode_segments(payloads: DataFrame, keys: Sequence[str], payload: str = "payload",
                      definition_ids: Sequence[str] = PRIVACY_SEGMENT_IDS, order: str = "keys_first",
                      any_key: bool = True) -> DataFrame:
-    """One row per segment: keys, ``seq``, ``fields`` (map)."""
-    opened = payloads.select(*keys, open_payload(F.col(payload)).alias("__v"))
-    segs = P.segments(F.col("__v"), list(definition_ids), order=order, any_key=any_key)
-    rows = opened.select(*keys, F.posexplode(segs).alias("seq", "__s")).where(P.is_object(F.col("__s")))
-    return rows.select(*keys, F.col("seq").cast("long").alias("seq"), P.segment_fields(F.col("__s")).alias("fields"))
+    """One row per segment: keys, ``seq``, ``fields`` (map of VARIANT), ``texts`` (map of text)."""
+    segs = P.segments(P.open_payload(F.col(payload)), list(definition_ids), order=order, any_key=any_key)
+    maps = F.transform(segs, lambda x: F.when(P.is_object(x), P.let(P.segment_fields(x), lambda m: F.struct(m.alias("m"), P.field_texts(m).alias("t")))))
+    # the maps are built inside the generator, so later filters cannot be pushed into their construction
+    rows = payloads.select(*keys, F.posexplode(maps).alias("seq", "__x")).where(F.col("__x").isNotNull())
+    return rows.select(*keys, F.col("seq").cast("long").alias("seq"), F.col("__x.m").alias("fields"), F.col("__x.t").alias("texts"))
 
 
 def privacy_rows(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Typed, normalised segment rows from ``fields`` maps; the keep rule is not applied yet."""
-    m = F.col("fields")
+    m, tx = F.col("fields"), F.col("texts")
     s, e = P.segment_time(m, True), P.segment_time(m, False)
     rows = segments.select(
         *keys, "seq", s.alias("start_sec"), F.greatest(s, e).alias("__e"),
-        norm_category(P.field_text(m, "privacy_category", "category", "type", "kind")).alias("category"),
-        norm_severity(P.field_text(m, "risk_level", "severity", "priority")).alias("severity"),
+        norm_category(P.text(tx, "privacy_category", "category", "type", "kind")).alias("category"),
+        norm_severity(P.text(tx, "risk_level", "severity", "priority")).alias("severity"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(P.field_number(m, "confidence", "score"), F.lit(0.65)))).alias("confidence"),
-        P.field_text(m, "recommended_action", "action", "action_type").alias("__action"),
-        *(P.field_text(m, *names).alias(n) for n, names in TEXT_FIELDS.items()),
+        P.text(tx, "recommended_action", "action", "action_type").alias("__action"),
+        *(P.text(tx, *names).alias(n) for n, names in TEXT_FIELDS.items()),
     )
     title = F.initcap(F.translate("category", "_", " "))
     rows = rows.withColumn("label", F.when(F.col("label") == "", title).otherwise(F.col("label")))
@@ -337,21 +330,21 @@ def preview_summary(preview: DataFrame, events: DataFrame, keys: Sequence[str])
 
 def people_rows(segments: DataFrame, keys: Sequence[str], definition: str | None = None) -> DataFrame:
     """Typed rows of a people/scene analysis, ``kind`` person or scene."""
-    m = F.col("fields")
+    m, tx = F.col("fields"), F.col("texts")
     s, e = P.segment_time(m, True), P.segment_time(m, False)
     lo, hi = F.least(s, e), F.greatest(s, e)
-    raw = F.lower(P.field_text(m, "segment_definition_id", "definition_id", "segment_id", "category", "type"))
+    raw = F.lower(P.text(tx, "segment_definition_id", "definition_id", "segment_id", "category", "type"))
     raw = F.lower(F.col(definition)) if definition else raw
     return segments.select(
         *keys, "seq", F.bround(lo, 3).alias("start_sec"), F.bround(F.when(hi == lo, lo + 1.0).otherwise(hi), 3).alias("end_sec"),
         F.when(raw.contains("scene"), "scene").otherwise("person").alias("kind"),
-        P.field_text(m, "name", "label", "person_name").alias("name"),
-        P.field_text(m, "description", "summary", "visual_description", "scene_description").alias("description"),
+        P.text(tx, "name", "label", "person_name").alias("name"),
+        P.text(tx, "description", "summary", "visual_description", "scene_description").alias("description"),
         P.field_number(m, "confidence", "score").alias("confidence"),
         P.field_bool(m, "should_anonymize", "redact", "needs_redaction").alias("should_anonymize"),
         P.field_bool(m, "is_official", "official").alias("is_official"),
         P.field_bool(m, "review_required", "needs_review", "human_review").alias("review_required"),
-        P.field_text(m, "redaction_reason", "reason", "rationale").alias("redaction_reason"),
+        P.text(tx, "redaction_reason", "reason", "rationale").alias("redaction_reason"),
         P.field_tags(m).alias("tags"),
     )
 

@@ -274,14 +274,15 @@ def search_bars(spark, sf):
 
 
 @query("waveform", """
-WITH s AS (SELECT l_suppkey AS ch, l_quantity - 25 AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem),
-z AS (SELECT ch, max(i)+1 AS len, greatest(1, CAST(floor((max(i)+1)/32) AS BIGINT)) AS w FROM s GROUP BY 1), b AS (SELECT s.ch, least(31, CAST(floor(i/w) AS BIGINT)) AS bucket, abs(v) AS a FROM s JOIN z ON z.ch=s.ch),
-p AS (SELECT z.ch, x.bucket, coalesce(max(a), 0) AS p FROM z, (SELECT unnest(generate_series(0, 31)) AS bucket) x LEFT JOIN b ON b.ch=z.ch AND b.bucket=x.bucket GROUP BY 1, 2),
+WITH s AS (SELECT l_suppkey AS ch, l_quantity - 25 AS v, l_orderkey*8 + l_linenumber AS i FROM lineitem),
+z AS (SELECT ch, max(i)+1 AS len, greatest(1, CAST(floor((max(i)+1)/32) AS BIGINT)) AS w FROM s GROUP BY 1),
+b AS (SELECT s.ch, least(31, CAST(floor(i/w) AS BIGINT)) AS bucket, abs(v) AS a, i, len, w FROM s JOIN z ON z.ch=s.ch),
+k AS (SELECT *, greatest(1, CAST(floor((CASE WHEN bucket=31 THEN len-bucket*w ELSE w END)/600) AS BIGINT)) AS step FROM b),
+q AS (SELECT ch, bucket, max(a) AS a FROM k WHERE (i-bucket*w) % step = 0 GROUP BY 1, 2),
+p AS (SELECT z.ch, x.bucket, coalesce(a, 0) AS p FROM z CROSS JOIN (SELECT unnest(generate_series(0, 31)) AS bucket) x LEFT JOIN q ON q.ch=z.ch AND q.bucket=x.bucket),
 r AS (SELECT ch, list_sort(list(p) FILTER (p > 0)) AS l FROM p GROUP BY 1)
 SELECT p.ch, p.bucket, round(pow(least(1.0::DOUBLE, p/greatest(l[CAST(floor(len(l)*0.96::DOUBLE) AS BIGINT)+1], 0.001::DOUBLE)), 0.72::DOUBLE) + 1e-9, 6) AS value FROM p JOIN r ON r.ch=p.ch""")
 def waveform(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ch"), (F.col("l_quantity") - 25).alias("v"), (F.row_number().over(w) - 1).cast("long").alias("i"))
+    i = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ch"), (F.col("l_quantity") - 25).alias("v"), i.alias("i"))
     return search.waveform(s, ["ch"], 32).withColumn("value", F.round(F.col("value") + 1e-9, 6))
