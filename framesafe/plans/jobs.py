@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import identity, lanes, privacy, ranges, review
 from ..operators.ranges import overlap_score
+from ..session import checkpoint
 
 
 def ingest(dets: DataFrame, people: DataFrame, people_ranges: DataFrame, job: str = "job_id") -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def build_lanes(appearances: DataFrame, signals: DataFrame | None, entity_ranges
     width = 15_000.0  # frames per bucket of the frame-in-segment join
     as_ranges = seg.select(*keys, "segment", F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
     anchors = ranges.points_in_ranges(appearances.select(*keys, "f", "seq", "x1", "y1", "x2", "y2"), as_ranges, keys, "f", width)
-    anchors = anchors.drop("start", "end")
+    anchors = checkpoint(anchors.drop("start", "end"))  # read by both seeds and the pins
     k = [*keys, "segment"]
     # one seed per direction replaces the other candidates of the first and last anchor frame
     first = lanes.choose_seed(anchors, k, own, forward=True)
@@ -54,7 +55,8 @@ def build_lanes(appearances: DataFrame, signals: DataFrame | None, entity_ranges
     sig = None
     if signals is not None:
         sig = ranges.points_in_ranges(signals, as_ranges, keys, "f", width).drop("start", "end")
-    run = lanes.replay_tracks(lanes.replay_frames(seg, pins, sig, keys), k, fw, fh)
+    # the replay is the costly step: run it once, both directions and the later scans read the result
+    run = checkpoint(lanes.replay_tracks(lanes.replay_frames(seg, pins, sig, keys), k, fw, fh))
     fwd = run.where("direction = 1").drop("direction")
     bwd = run.where("direction = -1").drop("direction")
     fused = lanes.fuse_lanes(fwd, bwd, k, fw, fh)
@@ -66,7 +68,7 @@ def build_lanes(appearances: DataFrame, signals: DataFrame | None, entity_ranges
 def normalize_privacy(payloads: DataFrame, keys: Sequence[str], payload: str = "payload", finder: str = "Analysis") -> dict[str, DataFrame]:
     """Raw payload text to events, actions and summary."""
     rows = privacy.privacy_rows(privacy.explode_segments(payloads, keys, payload), keys)
-    kept = privacy.keep_privacy_target(rows)
+    kept = checkpoint(privacy.keep_privacy_target(rows))  # the merge reads it several times; payloads are parsed once
     merged = privacy.merge_events(kept, keys)
     events, actions = privacy.merge_actions(merged, keys)
     cut = {"label": 120, "description": 600, "reason": 600, "inclusion_reason": 600, "handling_note": 220, "redaction_target": 120,

@@ -61,7 +61,7 @@ def plan_requests(req: DataFrame, jobs: DataFrame, faces: DataFrame) -> tuple[Da
     nothing = (n_found + F.size("regions") == 0) & (F.size("entity_list") == 0)
     err = lambda code, msg: F.struct(F.lit(code).alias("error_code"), F.lit(msg).alias("error"))
     problem = (
-        F.when(F.coalesce("job_id", F.lit("")) == "", err(400, "job_id is required"))
+        F.when(F.coalesce(F.col("job_id").cast("string"), F.lit("")) == "", err(400, "job_id is required"))
         .when(F.col("__status").isNull(), err(404, "job not found"))
         .when(F.col("__status") != "ready", err(409, "job is not ready for redaction"))
         .when(F.col("reverse") & (F.size("focus_ids") > 0) & (n_focus == 0), err(400, "focused face could not be resolved"))

@@ -215,11 +215,11 @@ def quality_filter(spark, sf):
     return boxjoins.quality_filter(d, "normal").select("seq")
 
 
-@query("class_filter", f"WITH {DET} SELECT seq, label FROM det WHERE label IN (SELECT DISTINCT event_type FROM events WHERE user_id < 3 AND event_type <> 'view')")
+@query("class_filter", f"WITH {DET} SELECT seq, label FROM det WHERE label IN (SELECT DISTINCT event_type FROM events WHERE event_type <> 'view')")
 def class_filter(spark, sf):
     from .bindings import table
 
-    want = table(spark, sf, "events").where("user_id < 3 AND event_type <> 'view'").select(F.upper("event_type").alias("c"))
+    want = table(spark, sf, "events").where("event_type <> 'view'").select(F.upper("event_type").alias("c"))
     return boxjoins.class_filter(det(spark, sf), want, "label").select("seq", "label")
 
 

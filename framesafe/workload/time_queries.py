@@ -253,10 +253,10 @@ def nearest_gap(spark, sf):
 
 
 @query("active_clips", f"""
-WITH {DET}, {CLIP} SELECT d.seq, c.ok, c.ln, c."start" AS start_s, c."end" AS end_s FROM det d JOIN clip c ON c.video_id=d.person_no AND d.sec % 60 BETWEEN c."start" AND c."end" WHERE d.label='signup' AND c.ln >= 6""")
+WITH {DET}, {CLIP} SELECT d.seq, c.ok, c.ln, c."start" AS start_s, c."end" AS end_s FROM det d JOIN clip c ON c.video_id=d.person_no AND d.sec % 60 BETWEEN c."start" AND c."end" WHERE d.label='signup'""")
 def active_clips(spark, sf):
     d = det(spark, sf).where("label = 'signup'").select("seq", F.col("person_no").alias("video_id"), (F.col("sec") % 60).alias("t"))
-    c = clip(spark, sf).where("ln >= 6").select("video_id", "ok", "ln", "start", "end")
+    c = clip(spark, sf).select("video_id", "ok", "ln", "start", "end")
     return ranges.active_at(d, c, ["video_id"], "t", 5).select("seq", "ok", "ln", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
 
 
