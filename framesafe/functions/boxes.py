@@ -216,10 +216,8 @@ def safety_ratio(b: Box, src: Column | None = None) -> Column:
     return clip(F.lit(PAD_BASE) + far + head, 0.0, PAD_CAP)
 
 
-def safety_pad(b: Box, fw, fh, src: Column | None = None, ratio: Column | None = None) -> Box:
-    """Mask padding followed by the lane safety margin, with 40 % more on top."""
-    r = safety_ratio(b, src) if ratio is None else ratio
-    m = mask_pad(b, fw, fh)
+def safety_margin(m: Box, r: Column, fw, fh) -> Box:
+    """A masked box grown by a share ``r`` of its size, with 40 % more on top; null when nothing is left."""
     w, h = F.greatest(m.x2 - m.x1, F.lit(1.0)), F.greatest(m.y2 - m.y1, F.lit(1.0))
     out = Box(
         F.greatest(F.lit(0.0), m.x1 - w * r),
@@ -230,6 +228,11 @@ def safety_pad(b: Box, fw, fh, src: Column | None = None, ratio: Column | None =
     return keep_if(is_valid(out), out)
 
 
+def safety_pad(b: Box, fw, fh, src: Column | None = None, ratio: Column | None = None) -> Box:
+    """Mask padding followed by the lane safety margin."""
+    return safety_margin(mask_pad(b, fw, fh), safety_ratio(b, src) if ratio is None else ratio, fw, fh)
+
+
 def motion_pad(b: Box, strength, fw, fh, cap: float = 0.14) -> Box:
     bonus = F.least(F.lit(max(0.0, cap)), F.greatest(F.lit(0.0), _num(strength)) * 5.5)
     return box_expand(b, bonus + 1.0, fw, fh)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seq_id
-from ..session import checkpoint, fits_in_broadcast
+from ..session import checkpoint, fits_in_broadcast, spread
 
 # Similarity limits of face clustering.
 ASSIGN_SIM = 0.42
@@ -390,7 +390,7 @@ def cluster_faces(dets: DataFrame, job: str = "job_id", seq: str = "seq", thresh
 
     schema = f"`{job}` {types[job]}, `{seq}` {types[seq]}, cluster long"
     if most <= group_limit:
-        return slim.groupBy(job).applyInPandas(one, schema)
+        return spread(slim, job).groupBy(job).applyInPandas(one, schema)
 
     shards = sizes.select(job, F.ceil(F.col("n") / group_limit).cast("long").alias("__shards"))
     cut = slim.join(shards, job).withColumn("__shard", F.pmod(F.xxhash64(seq), F.col("__shards")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.boxes import Box, box, box_of
+from ..session import spread
 from . import scans
 
 # Fixed values.
@@ -77,16 +78,20 @@ def stabilize_scale(lane: DataFrame, keys: Sequence[str], fw: float, fh: float)
         between = left[n] * (1 - share) + right[n] * share
         return F.when(left.isNull(), right[n]).when(right.isNull(), left[n]).when(left["f"] == right["f"], left[n]).otherwise(between)
 
+    # step by step, so that every value is computed once
+    j = j.withColumns({"__w": size("w"), "__h": size("h")})
     cx, cy = B.box_center(box())
-    w, h = size("w"), size("h")
+    w, h = F.col("__w"), F.col("__h")
     new = Box(
         F.greatest(F.lit(0.0), cx - w / 2),
         F.greatest(F.lit(0.0), cy - h / 2),
         F.least(F.lit(float(fw)), cx + w / 2),
         F.least(F.lit(float(fh)), cy + h / 2),
     )
-    change = (F.col("__refs") >= 2) & ~is_pinned("src") & (w > 0) & (h > 0) & B.is_valid(new)
-    out = B.choose(F.coalesce(change, F.lit(False)), new, box())
+    j = j.withColumns({f"__n_{n}": c for n, c in zip(Box._fields, new)})
+    change = (F.col("__refs") >= 2) & ~is_pinned("src") & (w > 0) & (h > 0) & B.is_valid(box("__n_"))
+    j = j.withColumn("__ok", F.coalesce(change, F.lit(False)))
+    out = B.choose(F.col("__ok"), box("__n_"), box())
     return j.withColumns(dict(zip(Box._fields, out))).select(*lane.columns)
 
 
@@ -130,7 +135,7 @@ def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_al
     for n in Box._fields:
         src = src.withColumn(n, F.col(n).cast("double"))
     way = F.col(order).desc() if descending else F.col(order).asc()
-    parted = src.repartition(*(F.col(g) for g in group)).sortWithinPartitions(*group, way)
+    parted = spread(src, *group).sortWithinPartitions(*group, way)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_g, last_box = None, None
@@ -191,7 +196,7 @@ def velocities(df: DataFrame, keys: Sequence[str], order: str = "f", alpha: floa
     cols, v = df.columns, ["vcx", "vcy", "vw", "vh"]
     st = B.box_state(box())
     src = df.withColumns({"__g": F.xxhash64(*(F.col(k).cast("string") for k in keys)), **{f"__{n}": st[n].cast("double") for n in ("cx", "cy", "w", "h")}})
-    parted = src.repartition(*keys).sortWithinPartitions(*keys, order)
+    parted = spread(src, *keys).sortWithinPartitions(*keys, order)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_g, last_s, last_v = None, None, None
@@ -384,14 +389,23 @@ def _fuse(cands: list[tuple[tuple[float, ...], float]], fw: float, fh: float):
     reach = max(1.0, _diag(lead)) * 0.7
     near = [(b, w) for b, w in cands if b == lead or _iou(b, lead) >= 0.18 or _shift(b, lead) <= reach]
     total = sum(w for _, w in near)
-    acc = np.zeros(4)
-    for b, w in near:
-        acc += np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, max(1.0, b[2] - b[0]), max(1.0, b[3] - b[1])]) * (w / total)
-    cx, cy, w, h = acc
+    cx = sum((b[0] + b[2]) / 2 * w for b, w in near) / total
+    cy = sum((b[1] + b[3]) / 2 * w for b, w in near) / total
+    w, h = (sum(max(1.0, b[i + 2] - b[i]) * x for b, x in near) / total for i in (0, 1))
     out = (min(max(cx - w / 2, 0.0), fw), min(max(cy - h / 2, 0.0), fh), min(max(cx + w / 2, 0.0), fw), min(max(cy + h / 2, 0.0), fh))
     return out if out[2] > out[0] and out[3] > out[1] else lead
 
 
+def _ease(new, prev, a: float, s: float, fw: float, fh: float):
+    """One smoothing step on plain numbers; a box that would vanish stays new."""
+    lo, hi = [0.0, 0.0], [0.0, 0.0]
+    for i, top in ((0, fw), (1, fh)):
+        c = a * (new[i] + new[i + 2]) / 2 + (1 - a) * (prev[i] + prev[i + 2]) / 2
+        z = s * max(1.0, new[i + 2] - new[i]) + (1 - s) * max(1.0, prev[i + 2] - prev[i])
+        lo[i], hi[i] = min(max(c - z / 2, 0.0), top), min(max(c + z / 2, 0.0), top)
+    return (lo[0], lo[1], hi[0], hi[1]) if hi[0] > lo[0] and hi[1] > lo[1] else new
+
+
 def _limit_scale(b, ref, fw, fh, step=0.075):
     w, h, rw, rh = b[2] - b[0], b[3] - b[1], ref[2] - ref[0], ref[3] - ref[1]
     if min(w, h, rw, rh) <= 0:
@@ -449,8 +463,7 @@ def _step(t: _Track, anchors, signals: dict) -> tuple[tuple[float, ...], str, fl
     rate = math.hypot(t.v[0], t.v[1]) / max(8.0, math.hypot(before[2], before[3]))
     zoom = max(abs(t.v[2]) / max(1.0, before[2]), abs(t.v[3]) / max(1.0, before[3]))
     a, s = _lock_alphas(rate, zoom)
-    one = lambda x: np.array([x], dtype=float)
-    out = tuple(float(v) for v in _blend(one(fused), one(t.box), np.array([a]), np.array([s]), t.fw, t.fh)[0])
+    out = _ease(fused, t.box, a, s, t.fw, t.fh)
     t.box = out
     now = t.state()
     t.v = tuple(VELOCITY_ALPHA * (n - b) + (1 - VELOCITY_ALPHA) * v for n, b, v in zip(now, before, t.v))
@@ -476,7 +489,7 @@ def replay_tracks(frames: DataFrame, keys: Sequence[str], fw: float, fh: float)
     keys = list(keys)
     step = F.col("f") * F.col("direction")
     src = frames.withColumns({"__step": step, "__g": F.xxhash64(*(F.col(k).cast("string") for k in keys), F.col("direction"))})
-    parted = src.repartition(*keys, "direction").sortWithinPartitions(*keys, "direction", "__step")
+    parted = spread(src, *keys, "direction").sortWithinPartitions(*keys, "direction", "__step")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in keys)
     schema = f"{key_schema}, direction int, f long, x1 double, y1 double, x2 double, y2 double, src string, conf double"
     fields = Box._fields
@@ -541,8 +554,10 @@ def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame |
 def serialize_lane(lane: DataFrame, keys: Sequence[str], fps: Column | float, fw: float, fh: float) -> DataFrame:
     """Lane rows as stored: safety pad applied, time from the frame, rounded."""
     f = fps if isinstance(fps, Column) else F.lit(float(fps))
-    padded = B.safety_pad(box(), fw, fh, F.col("src"))
-    rows = lane.select(
+    m = lane.withColumns({f"__m_{n}": c for n, c in zip(Box._fields, B.mask_pad(box(), fw, fh))})
+    m = m.withColumn("__r", B.safety_ratio(box(), F.col("src")))
+    padded = B.safety_margin(box("__m_"), F.col("__r"), fw, fh)
+    rows = m.select(
         *keys, "f", F.bround(F.col("f") / F.greatest(f, F.lit(1.0)), 4).alias("t"),
         *(F.bround(c, 3).alias(n) for n, c in zip(Box._fields, padded)),
         F.coalesce(F.nullif("src", F.lit("")), F.lit("track")).alias("src"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions.scalars import clean_str, norm_action, norm_category, norm_class, norm_severity, snake_key, text_key
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from . import scans
 
 # Words of the keep rule.
@@ -147,7 +147,7 @@ def merge_events(rows: DataFrame, keys: Sequence[str], seq: str = "seq", gap: fl
         "__ent": text_key("entity_hint"), "__lab": text_key("label"),
         "__g": F.xxhash64(*(F.col(k).cast("string") for k in keys), "__block"),
     })
-    parted = d.repartition(*keys, "__block").sortWithinPartitions(*keys, "__block", seq)
+    parted = spread(d, *keys, "__block").sortWithinPartitions(*keys, "__block", seq)
     out_schema = d.select(*cols).withColumn("members", F.lit(1)).schema
 
     def joins(run: dict, r: dict) -> bool:

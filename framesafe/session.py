@@ -52,3 +52,13 @@ def fits_in_broadcast(df: DataFrame, max_rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only behind the size check; otherwise the join shuffles as usual."""
     return F.broadcast(df) if fits_in_broadcast(df, max_rows) else df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partition by ``cols`` into the session's number of shuffle partitions.
+
+    For stages that do heavy work per row: an explicit number keeps adaptive execution from packing
+    small inputs into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

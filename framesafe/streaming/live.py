@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..session import spread
+
 # Fixed values.
 MAX_GAP = 0.85
 KEEP_CONFIDENCE = 0.12
@@ -298,7 +300,7 @@ def _run_stream(df: DataFrame, step: Step, schema: str, silence: float) -> DataF
 def _replay(df: DataFrame, step: Step, schema: str) -> DataFrame:
     """The same steps over a table: jobs spread over tasks, one state at a time per task."""
     cols = _columns(schema)
-    src = _prepared(df).repartition("job_id").sortWithinPartitions("job_id", "time_sec", "det_id")
+    src = spread(_prepared(df), "job_id").sortWithinPartitions("job_id", "time_sec", "det_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job, t, state, pending = None, None, {}, []
