@@ -18,10 +18,9 @@ DETECTION_VERSION = 1
 
 def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Whole-file JSON documents with their path; unreadable files give no row."""
-    bad = "__corrupt"
-    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    df = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return df.where(F.col(bad).isNull()).drop(bad).select("*", F.col("_metadata.file_path").alias("file_path"))
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    good = raw.where(F.try_parse_json("value").isNotNull())
+    return good.select(F.from_json("value", schema).alias("d"), "file_path").select("d.*", "file_path")
 
 
 def run_id(path: Column) -> Column:
@@ -61,7 +60,7 @@ def people_of(manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def read_detections(spark: SparkSession, root: str, pattern: str = "*/detection_metadata.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``faces``, ``appearances`` and ``objects``."""
-    df = _documents(spark, f"{root.rstrip('/')}/{pattern}", schemas.DETECTIONS).withColumn("job_id", run_id(F.col("file_path")))
+    df = _documents(spark, f"{root.rstrip('/')}/{pattern}", schemas.detections()).withColumn("job_id", run_id(F.col("file_path")))
     f = df.select("job_id", F.posexplode("unique_faces").alias("face_pos", "f"))
     faces = f.select("job_id", "face_pos", "f.*").drop("appearances")
     b = box_from_array("a.bbox")
@@ -163,7 +162,7 @@ def resolve_cached_artifact(requests: DataFrame, artifacts: DataFrame) -> DataFr
 
 def read_lanes(spark: SparkSession, glob: str, min_version: int = LANE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Lane headers and rows; empty or outdated lanes count as missing."""
-    df = _documents(spark, glob, schemas.LANE).where((F.col("build_version") >= min_version) & (F.size("lane") > 0))
+    df = _documents(spark, glob, schemas.lane()).where((F.col("build_version") >= min_version) & (F.size("lane") > 0))
     head = df.select("job_id", "person_id", "build_version", "video.*", "segments", "built_at")
     rows = df.select("job_id", "person_id", F.explode("lane").alias("r")).select("job_id", "person_id", "r.*")
     return head, rows
