@@ -18,7 +18,7 @@ DETECTION_VERSION = 1
 
 def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Whole-file JSON documents with their path; unreadable files give no row."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
     good = raw.where(F.try_parse_json("value").isNotNull())
     return good.select(F.from_json("value", schema).alias("d"), "file_path").select("d.*", "file_path")
 
