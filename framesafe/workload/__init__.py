@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def load():
     """All queries and their SQL, by name."""
-    from . import box_queries, catalog_queries, identity_queries, privacy_queries, time_queries  # noqa: F401
+    from . import box_queries, catalog_queries, display_queries, identity_queries, privacy_queries, time_queries  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
