@@ -58,11 +58,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: float,
     desc = [F.col(o).desc() for o in order]
     stamp = [F.col(o) for o in order]
     wk = Window.partitionBy(*keys)
-    upto, before, after = (
-        wk.orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1),
-        wk.orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1),
-        wk.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1),
-    )
+    before = wk.orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = wk.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     local, sums, carries, final = {}, [], [], {}
     for i, (name, s) in enumerate(specs.items()):
         end = 0 if s.current else -1
@@ -72,7 +69,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: float,
             marked = F.when(s.value.isNotNull(), F.struct(*stamp, s.value.alias("__x")))
             local[lo] = F.last(s.value, ignorenulls=True).over(w)
             sums.append((F.max if s.kind == "last" else F.min)(marked).alias(sm))
-            carries.append(F.last(F.col(sm)["__x"], ignorenulls=True).over(upto if s.kind == "last" else after).alias(ca))
+            carries.append(F.last(F.col(sm)["__x"], ignorenulls=True).over(before if s.kind == "last" else after).alias(ca))
             final[name] = F.coalesce(F.col(lo), F.col(ca))
         elif s.kind == "max":
             local[lo] = F.max(s.value).over(w)

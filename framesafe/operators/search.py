@@ -53,21 +53,20 @@ def dedupe_clips(clips: DataFrame, keys: Sequence[str]) -> DataFrame:
     return clips.where(F.col("start").isNotNull()).select(*keys, *have).distinct()
 
 
-def rank_clips(clips: DataFrame, keys: Sequence[str], top: int | None = None, salts: int = 16) -> DataFrame:
-    """Position of every clip within its video, or the ``top`` first ones.
+def rank_clips(clips: DataFrame, keys: Sequence[str], top: int, salts: int = 64) -> DataFrame:
+    """The ``top`` first clips of every video with their position.
 
-    With ``top`` a salted round keeps the best of each slice before the final order, so a video with very
-    many clips is not sorted in one task.
+    A salted round keeps the best of each slice before the final order, so a video with very many clips is
+    not sorted in one task. Clips that are equal in every column share a slice; fold them with
+    :func:`dedupe_clips` first.
     """
     order = clip_order()
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if top is not None:
-        have = [c for c in CLIP if c in clips.columns]
-        salted = clips.withColumn("__salt", F.pmod(F.xxhash64(*have), F.lit(salts)))
-        ws = Window.partitionBy(*keys, "__salt").orderBy(*order)
-        clips = salted.withColumn("__rn", F.row_number().over(ws)).where(F.col("__rn") <= top).drop("__rn", "__salt")
-    out = clips.withColumn("clip_pos", F.row_number().over(w))
-    return out if top is None else out.where(F.col("clip_pos") <= top)
+    have = [c for c in CLIP if c in clips.columns]
+    salted = clips.withColumn("__salt", F.pmod(F.xxhash64(*have), F.lit(salts)))
+    ws = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    best = salted.withColumn("__rn", F.row_number().over(ws)).where(F.col("__rn") <= top).drop("__rn", "__salt")
+    out = best.withColumn("clip_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return out.where(F.col("clip_pos") <= top)
 
 
 def group_hits(clips: DataFrame, keys: Sequence[str], score: str = "item_score") -> DataFrame:
