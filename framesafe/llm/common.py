@@ -99,9 +99,9 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a piece, with A-Z lower-cased for the hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
         n = len(data)
-        inside = ~SPACE[data]
+        inside = ~between[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
@@ -315,3 +315,55 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of some ``least`` rows from a partition sorted by ``keys`` that never cut a group, and the group's number of each row."""
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) < least:
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks()
+        group = numbered(t)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield t.slice(0, cut), group[:cut]
+        kept = t.slice(cut).to_batches()
+    if kept:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield t, numbered(t)
+
+
+def id_filter(ids: DataFrame, column: str, bits: int):
+    """A broadcast bit map of bounded size that holds every id of a long column; other ids rarely test positive."""
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        h = mix(batch.column(0).to_numpy().view(np.uint64))
+        yield np.concatenate([h, h])
+
+    return seen_twice_filter(ids.select(column), values, bits)
+
+
+def may_hold_ids(bitmap: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    return may_hold(bitmap, mix(ids.astype(np.int64).view(np.uint64)), bits)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach; where the cluster names none (tests), the session's own checkpoint folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpoint(spark.range(1))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
