@@ -276,41 +276,50 @@ def may_hold(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (test(a) & test(b)).astype(bool)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+SETTLE_EDGES = 500_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", settle: int = SETTLE_EDGES) -> DataFrame:
     """``node, component`` of every node that has an edge; the component is its smallest node.
 
-    Alternating stars: every node passes its smallest neighbour on to larger neighbours, then to all,
-    until each node hangs on the smallest of its component. Each round is two aggregations and joins
-    of edges, cut by a checkpoint; a star of any size is pre-aggregated on the map side, and joins
-    with a frequent node are left to adaptive skew splitting.
+    While there are more than ``settle`` edges, each node hooks on its smallest neighbour, then on that
+    one's, and edges are contracted to the hooks (which keeps who is connected, and the smallest node).
+    The hooks are minima, added up on the map side however large a star is. What is left of the edges,
+    of that bounded number, is settled in one task.
     """
     e = checkpoint(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
-    while True:
+    hops: list[DataFrame] = []
+    while e.count() > settle:
         both = e.select("v", "u").union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        # large star: larger neighbours of u link to the smallest neighbour of u (or u)
-        low = checkpoint(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")))
-        large = both.join(low, both.u == low.w).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpoint(large.where("u <> v").distinct())
-        # small star: u and its smaller neighbours link to the smallest of them
-        low = checkpoint(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
-        small = large.join(low, large.u == low.w)
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        new = checkpoint(new.where("u <> v").distinct())
-        if _same(e, new):
-            return new.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-                new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        e = new
-
-
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Equal sets of edges, told by the number of rows and two sums of hashes."""
-
-    def digest(df: DataFrame):
-        h = F.xxhash64("u", "v")
-        return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
-
-    return digest(a) == digest(b)
+        hook = checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")).select("node", F.least("node", "to").alias("to")))
+        hook = checkpoint(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to").select("node", F.col("beyond").alias("to")))
+        hops.append(hook)
+        ends = [hook.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("u", "v")]
+        moved = e.join(ends[0], "u").join(ends[1], "v").where("u_to <> v_to")
+        e = checkpoint(moved.select(F.least("u_to", "v_to").alias("v"), F.greatest("u_to", "v_to").alias("u")).distinct())
+
+    def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                u, v = root(u), root(v)
+                parent[max(u, v)] = min(u, v)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "to"])
+
+    hops.append(e.select("u", "v").coalesce(1).mapInArrow(union_find, "node long, to long"))
+    found = hops[0]
+    for hop in hops[1:]:
+        step = hop.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        found = found.join(step, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
+    return checkpoint(found.select("node", F.col("to").alias("component")))
 
 
 def text_or_empty(c: str = "text") -> Column:

@@ -214,8 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(edges)
 
     for every in (False, True):
-        found = checkpoint(groups)
-        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         sizes = placed.groupBy("node", "comp").agg(F.count("*").alias("c"))
         main = sizes.groupBy("node").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
         open_ = placed.join(checkpoint(main), "node").withColumn("rest", F.col("comp") != F.col("main"))
