@@ -6,6 +6,7 @@ whole documents at a time, so that a task's memory does not grow with the batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,6 +143,25 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, first: np.ndarray, size:
     return out, rows
 
 
+def row_order(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """An order by row, then hash: one sort of packed keys; by both columns in the rare case that the packing tells too little."""
+    if len(row) and int(row.max()) < 1 << 20:
+        key = (row.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
+        order = np.argsort(key)
+        k, h = key[order], hashes[order]
+        if not ((k[1:] == k[:-1]) & (h[1:] != h[:-1])).any():
+            return order
+    return np.lexsort((hashes, row))
+
+
+def distinct_in_rows(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each row, in order of rows, their rows, and how often each comes."""
+    order = row_order(hashes, row)
+    h, r = hashes[order], row[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[first], r[first], np.diff(np.r_[first, len(h)])
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that take one batch at a time."""
 
@@ -376,3 +396,10 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         checkpoint(spark.range(1))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, compressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, html_text, line_dedup, near_dups, neighbours, quality, warc
+from . import bpe, class_lm, decontaminate, html_text, line_dedup, near_dups, neighbours, quality, repeats, warc
 from .common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -127,3 +127,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_class_lm")
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op6_repeats")
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
