@@ -285,7 +285,7 @@ def seen_twice_filter(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator
     parts = df.mapInArrow(own, "bucket int, once binary, twice binary").repartition("bucket").mapInArrow(add_up, "bucket int, bits binary")
     whole = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (BUCKET_BITS - 3)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # at most 2 ** bits bits
         whole[r["bucket"] * step : (r["bucket"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return df.sparkSession.sparkContext.broadcast(whole)
 
@@ -302,8 +302,8 @@ SETTLE_EDGES = 500_000
 def components(edges: DataFrame, a: str = "a", b: str = "b", settle: int = SETTLE_EDGES) -> DataFrame:
     """``node, component`` of every node that has an edge; the component is its smallest node.
 
-    While there are more than ``settle`` edges, each node hooks on its smallest neighbour, then on that
-    one's, and edges are contracted to the hooks (which keeps who is connected, and the smallest node).
+    While there are more than ``settle`` edges, each node hooks on its smallest neighbour, and edges are
+    contracted to where the hooks end (which keeps who is connected, and the smallest node).
     The hooks are minima, added up on the map side however large a star is. What is left of the edges,
     of that bounded number, is settled in one task.
     """
@@ -312,7 +312,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", settle: int = SETTL
     while e.count() > settle:
         both = e.select("v", "u").union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         hook = checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")).select("node", F.least("node", "to").alias("to")))
-        hook = checkpoint(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to").select("node", F.col("beyond").alias("to")))
+        while True:  # jump along the hooks to their ends; each jump doubles the reach
+            beyond = hook.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+            jumped = checkpoint(hook.join(beyond, "to"))
+            hook = jumped.select("node", F.col("beyond").alias("to"))
+            if jumped.where("to <> beyond").isEmpty():
+                break
         hops.append(hook)
         ends = [hook.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("u", "v")]
         moved = e.join(ends[0], "u").join(ends[1], "v").where("u_to <> v_to")

@@ -129,6 +129,12 @@ def build_graph(units: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
     return graph, start
 
 
+def _fit_to_square(vectors: np.ndarray) -> np.ndarray:
+    """The vectors, those that would overflow or vanish when squared scaled to a largest component of 1."""
+    top = np.abs(vectors).max(1, keepdims=True)
+    return np.where((top > 1e100) | (top < 1e-100), vectors / top, vectors)
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(1, keepdims=True)  # no overflow or underflow in the norm
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
@@ -189,11 +195,12 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 query_ids = np.frombuffer(one["q_ids"], np.int64)
                 graph = np.frombuffer(one["graph"], np.int32).reshape(len(vectors) + 1, DEGREE).astype(np.int64)
                 found, _ = _beam(_units(vectors), graph, one["start"], _units(queries), SEARCH_BEAM)
-                norms, q_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+                scaled, q_scaled = _fit_to_square(vectors), _fit_to_square(queries)
+                norms, q_norms = np.linalg.norm(scaled, axis=1), np.linalg.norm(q_scaled, axis=1)
                 out: list[tuple] = []
                 for q, points in enumerate(found):
                     points = points[points >= 0]
-                    score = vectors[points] @ queries[q] / (norms[points] * q_norms[q])
+                    score = scaled[points] @ q_scaled[q] / (norms[points] * q_norms[q])
                     each = [(-s, i) for s, p in zip(score.tolist(), points) for i in ids[p].tolist() if i != query_ids[q] and i < np.iinfo(np.int64).max]
                     out += [(int(query_ids[q]), i, -s) for s, i in sorted(each)[:k]]
                 if out:
