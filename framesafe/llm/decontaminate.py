@@ -4,7 +4,8 @@ Words are runs of letters and digits (any character above ASCII counts as a lett
 
 1. A pass over all documents counts, for each three-word gram of the benchmark, the documents that hold
    it (a bit map of bounded size tells the benchmark's grams; counts are added up per task first).
-2. The rarer half of an item's grams are its seeds, so an item keeps seeds however often it leaked.
+2. An item's seeds are the rarer half of its grams that documents hold and all that are at most ``RARE`` times as frequent as its
+   lower quartile: an item keeps seeds however often it leaked, also those that partial copies raise.
 3. A second pass emits, around each seed in a document, a passage that reaches two item lengths to both
    sides; joined on the seed they give the pairs of passage and item to align.
 4. The alignment (match 2, mismatch -1, gap -1) is scored against that of the item with itself. Pairs of
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, filter_bits, id_filter, may_hold_ids, per_batch, pieces, signed
+from .common import Words, distinct_in_rows, filter_bits, id_filter, may_hold_ids, per_batch, pieces, signed
 
 GRAM = 3
+RARE = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS = 1 << 21  # of the alignment rows that are computed together
 
@@ -82,10 +84,7 @@ def _gram_counts(texts: DataFrame, bitmap, bits: int) -> DataFrame:
             for _, _, data, offsets in pieces(batch.column("text")):
                 hashes, row, _ = _grams(Words(data, offsets, BETWEEN))
                 hit = may_hold_ids(bitmap.value, signed(hashes), bits)
-                hashes, row = hashes[hit], row[hit]
-                order = np.lexsort((hashes, row))
-                hashes, row = hashes[order], row[order]
-                waiting.append(hashes[np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]] if len(hashes) else hashes)
+                waiting.append(distinct_in_rows(hashes[hit], row[hit])[0])
                 if sum(map(len, waiting)) > 1 << 20:
                     grams, counts = add(waiting)
                     waiting = []
@@ -186,9 +185,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
     grams = checkpoint(items.select("item_id", F.explode("grams").alias("gram")).distinct())
     counts = checkpoint(_gram_counts(texts, id_filter(grams, "gram", bits), bits))
     rarity = Window.partitionBy("item_id").orderBy("n", "gram")
-    ranked = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = grams.join(counts, "gram")  # grams that no document holds are no use as seeds
     ranked = ranked.withColumns({"k": F.row_number().over(rarity), "of": F.count("*").over(Window.partitionBy("item_id"))})
-    seeds = checkpoint(ranked.where("2 * k <= of + 1 AND n > 0").select("item_id", "gram"))
+    usual = F.max(F.when(F.col("k") == F.ceil(F.col("of") / 4), F.col("n"))).over(Window.partitionBy("item_id"))
+    rare = (2 * F.col("k") <= F.col("of") + 1) | (F.col("n") <= RARE * F.col("usual"))
+    seeds = checkpoint(ranked.withColumn("usual", usual).where(rare).select("item_id", "gram"))
     passages = checkpoint(_passages(texts, id_filter(seeds, "gram", bits), bits, reach))
     key = ["doc_id", "start", "mark"]
     passages = passages.withColumn("mark", F.xxhash64("words"))

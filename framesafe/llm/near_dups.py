@@ -10,8 +10,10 @@ intersection is at least 75 % of the union. Documents with equal sets form a cla
   trees together miss it with less than 1e-7.
 * Leaves are compared exhaustively on sketches (a byte of each minwise value; pairs under ``FLOOR`` are
   at 0.75 with less than 1e-6). Large leaves, of many almost equal documents, are compared in blocks.
-* Candidates are confirmed on the full sets. So as not to form all pairs within a group, two rounds first
-  confirm one partner per document; the last one takes every candidate whose ends are still apart.
+* Candidates are confirmed on the full sets. So as not to form all pairs within a group, a first round
+  confirms one partner per document; the second takes the full sets of those that still have a possible
+  partner in another component to their leaf, finds every link there by one matrix product and returns
+  only the links that join components.
 
 Documents without words are linked with nothing. Null text is empty. Rows without ``doc_id`` are linked
 with nothing, stay, and have no component. Rows that repeat a ``doc_id`` are one node of the graph.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, byte_strings, components, filter_bits, id_filter, may_hold_ids, mix, per_batch, pieces, seeds, signed, whole_groups
+from .common import Words, byte_strings, components, distinct_in_rows, filter_bits, id_filter, may_hold_ids, mix, per_batch, pieces, seeds, signed, whole_groups
 
 WORDS, PERCENT = 5, 75
 TREES, LEVELS, BRANCHES = 16, 3, 2
@@ -42,13 +44,9 @@ ROW = "doc_id long, n_shingles int, fp_a long, fp_b long, keys binary"
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, sorted, their rows and the rows' set sizes."""
+    """Distinct shingles of each row, their rows and the rows' set sizes."""
     hashes, row = Words(data, offsets).shingles(WORDS)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    if len(hashes):
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])]
-        hashes, row = hashes[new], row[new]
+    hashes, row, _ = distinct_in_rows(hashes, row)
     return hashes, row, np.bincount(row, minlength=len(offsets) - 1)
 
 
@@ -115,46 +113,112 @@ def _leaves(classes: DataFrame) -> DataFrame:
     return found
 
 
-def _candidates(members: DataFrame, every: bool) -> DataFrame:
-    """Pairs ``a < b`` of one block that the sketches leave possible and that are in different components.
+def _compared(batches: Iterator[pa.RecordBatch]):
+    """Per table of whole blocks: the table, its groups, ids, and pairs of rows (upper, lower) that the sketches leave possible."""
+    for t, group in whole_groups(batches, ["node", "block"]):
+        ids, comp, n, rest = (t.column(c).to_numpy() for c in ("id", "comp", "n", "rest"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
 
-    Either every such pair or, for each class, its smallest partner.
-    """
+        def pairs(group=group, ids=ids, comp=comp, n=n, rest=rest, sketch=sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for d in range(1, int(np.bincount(group).max())):
+                i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & (rest[d:] | rest[:-d]) & (ids[d:] != ids[:-d]))
+                fit = np.minimum(n[i], n[i + d]) * 100 >= np.maximum(n[i], n[i + d]) * PERCENT
+                i = i[fit]
+                for at in range(0, len(i), 1 << 15):
+                    x = i[at : at + (1 << 15)]
+                    x = x[(sketch[x] == sketch[x + d]).sum(1) >= FLOOR * HASHES]
+                    yield x, x + d
+
+        yield t, ids, pairs()
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition("node", "block").sortWithinPartitions("node", "block", "id")
+
+
+def _first_partners(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b``: for each class of a block its smallest possible partner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in whole_groups(batches, ["node", "block"]):
-            ids, comp, n, rest = (t.column(c).to_numpy() for c in ("id", "comp", "n", "rest"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        for _, ids, pairs in _compared(batches):
             low, up = np.full(len(ids), -1), np.full(len(ids), -1)
-            pairs = []
-            for d in range(1, int(np.bincount(group).max())):
-                i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & (rest[d:] | rest[:-d]) & (ids[d:] != ids[:-d]))
-                if not len(i):
-                    continue
-                j = i + d
-                fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT
-                i, j = i[fit], j[fit]
-                for at in range(0, len(i), 1 << 16):
-                    x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                    near = (sketch[x] == sketch[y]).sum(1) >= FLOOR * HASHES
-                    x, y = x[near], y[near]
-                    if every:
-                        pairs.append(np.stack([ids[x], ids[y]]))
-                    else:
-                        low[y] = x
-                        first = up[x] < 0
-                        up[x[first]] = y[first]
-            if not every:
-                has = low >= 0
-                only = ~has & (up >= 0)
-                pairs = [np.stack([ids[low[has]], ids[has]]), np.stack([ids[only], ids[up[only]]])]
-            a, b = np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1)
+            for x, y in pairs:
+                low[y] = x
+                first = up[x] < 0
+                up[x[first]] = y[first]
+            has = low >= 0
+            only = ~has & (up >= 0)
+            a, b = np.r_[ids[low[has]], ids[only]], np.r_[ids[has], ids[up[only]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    dealt = members.repartition("node", "block").sortWithinPartitions("node", "block", "id")
+    return _dealt(members).mapInArrow(work, "a long, b long").distinct()
+
+
+def _still_open(members: DataFrame) -> DataFrame:
+    """``node, block, id, comp`` of the classes that have a possible partner of another component in their block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, ids, pairs in _compared(batches):
+            active = np.zeros(len(ids), bool)
+            for x, y in pairs:
+                active[x] = active[y] = True
+            yield from t.select(["node", "block", "id", "comp"]).filter(pa.array(active)).combine_chunks().to_batches()
+
+    return _dealt(members).mapInArrow(work, "node long, block int, id long, comp long").distinct()
+
+
+def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: confirmed links that join components, one for each join within a block.
+
+    The intersections of all pairs of a block are one product of its 0/1 matrix of documents and shared shingles.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in whole_groups(batches, ["node", "block"], 2000):
+            out: list[tuple[int, int]] = []
+            all_ids, all_comps = t.column("id").to_numpy(), t.column("comp").to_numpy()
+            lists = t.column("shingles").combine_chunks()
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = lists.slice(lo, hi - lo)
+                sizes = part.value_lengths().to_numpy()
+                both = _intersections(part.flatten().to_numpy(), sizes)
+                linked = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * PERCENT
+                ids, comp = all_ids[lo:hi], np.unique(all_comps[lo:hi], return_inverse=True)[1]
+                for k in range(hi - lo):
+                    for m in np.flatnonzero(linked[k, :k] & (comp[:k] != comp[k])):
+                        if comp[m] != comp[k]:
+                            out.append((int(ids[k]), int(ids[m])))
+                            comp[comp == comp[m]] = comp[k]
+            if out:
+                a, b = np.array(out).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    joined = active.join(sets, "id").select("node", "block", "id", "comp", "shingles")
+    dealt = joined.repartition("node", "block").sortWithinPartitions("node", "block", "id")
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
+def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    m = len(sizes)
+    row = np.repeat(np.arange(m), sizes)
+    _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    mine = shared[column]
+    row, column = row[mine], number[column[mine]]
+    both = np.zeros((m, m), np.float32)
+    width = max(1, (1 << 22) // m)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        held = np.zeros((m, width), np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held @ held.T
+    return both.astype(np.int64)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -206,25 +270,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # first round: one partner each, large leaves within their blocks
     alone = members.withColumns({"comp": F.col("id"), "rest": F.lit(True), "block": home})
-    pairs = checkpoint(_candidates(alone, every=False))
+    pairs = checkpoint(_first_partners(alone))
     both_ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     involved = checkpoint(both_ends.union(leaves.where(F.col("size") > BLOCK).select("id")).distinct())
     sets = checkpoint(_full_sets(docs, involved))
     edges = checkpoint(_confirm(pairs, sets))
     groups = components(edges)
 
-    for every in (False, True):
-        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        sizes = placed.groupBy("node", "comp").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("node").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
-        open_ = placed.join(checkpoint(main), "node").withColumn("rest", F.col("comp") != F.col("main"))
-        # classes outside the node's largest component meet every block, the others their own
-        blocks = F.when(F.col("rest"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(home))
-        dealt = open_.select("node", "id", "n", "sketch", "comp", "rest", F.explode(blocks).alias("block"))
-        more = checkpoint(_confirm(_candidates(dealt, every), sets))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            groups = components(edges)
+    # second round: classes outside their node's largest component against all of the node, block by block
+    placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    sizes = placed.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("node").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("rests"))
+    open_ = placed.join(checkpoint(main.where("comps > 1")), "node").withColumn("rest", F.col("comp") != F.col("main"))
+    across = F.ceil(F.col("rests") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "id"), across).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), across - 1), lambda j: home * across + j)
+    as_rest = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: i * across + own)
+    blocks = F.when(F.col("size") <= BLOCK, F.array(F.lit(0))).when(F.col("rest"), F.array_union(as_member, as_rest)).otherwise(as_member)
+    dealt = open_.select("node", "id", "n", "sketch", "comp", "rest", F.explode(blocks).alias("block"))
+    more = checkpoint(_links_of_blocks(checkpoint(_still_open(dealt)), sets))
+    if not more.isEmpty():
+        groups = components(edges.union(more))
 
     of_class = classes.select(*marks, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     of_class = checkpoint(of_class.select(*marks, F.coalesce("component", "id").alias("component_id")))
