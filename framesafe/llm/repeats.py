@@ -16,7 +16,8 @@ and the ``WINDOW`` bytes from it; the dictionary holds the distinct contexts, th
    the longest common prefixes of neighbours, cuts into intervals for each length; the suffixes of the
    phrases before them fall into classes. Windows are equal if class and interval are: the corpus order of
    prefix-free parsing, truncated to the window. Cores of very many contexts are counted window by window instead.
-4. Windows without a trigger in their first ``LEAD`` bytes (monotonous text) are counted by themselves.
+4. Windows without a trigger in their first ``LEAD`` bytes take the first of a denser kind (every ``DENSE``
+   bytes); those without any (runs of one character, say) are counted by themselves.
 
 Contexts and windows are told apart by 64-bit hashes.
 
@@ -51,12 +52,40 @@ from .common import (
 )
 
 WINDOW = 200
-GRAM, EVERY = 8, 32
+GRAM, EVERY, DENSE = 8, 32, 8
 LEAD = 152  # of a window before its trigger, at most
 CORE = WINDOW - LEAD
 HOT_CORE = 20_000  # contexts; a larger group is counted window by window
 
 
+def _lead(lo: np.ndarray, hi: np.ndarray, of: np.ndarray, trigger: np.ndarray):
+    """Triggers that are the first within ``LEAD`` bytes of some of the window starts ``lo`` to ``hi`` (ascending ranges).
+
+    Returns the triggers with their leads (bytes to the first such start) and rows, and the ranges of the other starts.
+    """
+    some = hi > lo
+    lo, hi, of = lo[some], hi[some], of[some]
+    first, last = np.searchsorted(trigger, lo), np.searchsorted(trigger, hi + LEAD)
+    counts = last - first
+    which = np.repeat(np.arange(len(lo)), counts)
+    t = trigger[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+    start = lo[which]
+    again = np.flatnonzero(which[1:] == which[:-1]) + 1
+    start[again] = t[again - 1] + 1  # starts after the trigger before
+    none_lo, none_hi = start, np.minimum(t - LEAD, hi[which])
+    lead = np.minimum(t - start, LEAD)
+    use = t - lead < hi[which]
+    end = lo.copy()
+    if len(t):
+        final = np.flatnonzero(np.r_[which[1:] != which[:-1], True])
+        end[which[final]] = t[final] + 1
+    left_lo, left_hi, left_of = np.r_[none_lo, end], np.r_[none_hi, hi], np.r_[of[which], of]
+    order = np.argsort(left_lo, kind="stable")
+    left_lo, left_hi, left_of = left_lo[order], left_hi[order], left_of[order]
+    some = left_hi > left_lo
+    return (t[use], lead[use], of[which][use]), (left_lo[some], left_hi[some], left_of[some])
+
+
 class Parse:
     """Phrase borders of the texts of a piece, and the windows that no border leads."""
 
@@ -64,27 +93,17 @@ class Parse:
         self.data, self.hash = data, RangeHash(data)
         n = len(data)
         at = np.arange(max(0, n - GRAM + 1))
-        trigger = at[(self.hash(at, at + GRAM) & np.uint64(EVERY - 1)) == 0]
-        row = np.searchsorted(offsets, trigger, side="right") - 1
-        inside = trigger + GRAM <= offsets[row + 1]
-        trigger, row = trigger[inside], row[inside]
-        begin, end = offsets[row], offsets[row + 1]
-        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-        before = np.where(first, begin, np.r_[0, trigger[:-1] + 1]) if len(row) else begin  # the first start that this trigger leads
-        lead = np.minimum(trigger - before, LEAD)
-        tail = np.minimum(end - trigger, WINDOW)
-        use = lead + tail >= WINDOW
-        self.at, self.row, self.lead, self.tail = trigger[use], row[use], lead[use], tail[use]
-        # starts from the last trigger, or the text's beginning, to where the next trigger leads, or the text's end
+        rolling = self.hash(at, at + GRAM)
+        row = np.searchsorted(offsets, at, side="right") - 1
+        dense = np.flatnonzero(((rolling & np.uint64(DENSE - 1)) == 0) & (at + GRAM <= offsets[row + 1]))
+        trigger = dense[(rolling[dense] & np.uint64(EVERY - 1)) == 0]
         rows = np.arange(len(offsets) - 1)
-        last = offsets[:-1].copy()
-        last[row] = trigger + 1  # triggers ascend, so the last one stays
-        lo, hi = np.r_[before, last], np.r_[np.minimum(trigger - LEAD, end - WINDOW + 1), offsets[1:] - WINDOW + 1]
-        of = np.r_[row, rows]
-        some = hi > lo
-        lo, hi, of = lo[some], hi[some], of[some]
+        borders, (lo, hi, of) = _lead(offsets[:-1], np.maximum(offsets[1:] - WINDOW + 1, offsets[:-1]), rows, trigger)
+        more, (lo, hi, of) = _lead(lo, hi, of, dense)
+        self.at, self.lead, self.row = (np.concatenate(x) for x in zip(borders, more))
+        self.tail = np.minimum(offsets[self.row + 1] - self.at, WINDOW)
         sizes = hi - lo
-        self.gap = np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(lo) else np.zeros(0, np.int64)
+        self.gap = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         self.gap_row = np.repeat(of, sizes)
 
     def cores(self) -> np.ndarray:
