@@ -429,3 +429,8 @@ def session_id(explicit: Column, entity_ids: Column, query: Column, query_text:
 def seq_id(prefix: str, n: Column, width: int = 0) -> Column:
     """``evt_001`` or ``person_7`` style ids."""
     return F.format_string(f"{prefix}%0{width}d" if width else f"{prefix}%d", n)
+
+
+def null_safe_hash(*cols: str) -> Column:
+    """A 64-bit hash of columns in which a null counts: (null, a) and (a, null) differ."""
+    return F.xxhash64(*(x for c in cols for x in (F.col(c).isNull(), F.col(c).cast("string"))))

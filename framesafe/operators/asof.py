@@ -106,8 +106,8 @@ def lane_at_time(probes: DataFrame, lane: DataFrame, keys: Sequence[str], fps: C
     want = F.floor(target + 0.5) if half_up else F.bround(target, 0).cast("long")
     pr = probes.withColumns({"__target": target, "f": want, "__rate": rate})
     lane = lane.select(*keys, F.col("f").cast("long").alias("f"), "x1", "y1", "x2", "y2")
-    # neighbours that can matter lie within max_gap plus one frame; rates above 240 do not occur
-    j = bracket(pr, lane, keys, "f", chunk=chunk_frames, reach=max_gap * 240 + 2 if isinstance(fps, Column) else max_gap * max(fps, 25.0) + 2)
+    # neighbours that can matter lie within max_gap plus one frame; where rates differ by row, state is carried instead
+    j = bracket(pr, lane, keys, "f", chunk=chunk_frames, reach=None if isinstance(fps, Column) else max_gap * max(fps, 25.0) + 2)
     lo, hi = box_of("prev"), box_of("next")
     lf, hf = F.col("prev.f"), F.col("next.f")
     g_lo = F.abs(lf - F.col("__target")) / F.col("__rate")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_str, overview_from_metadata
+from ..functions.scalars import clean_str, null_safe_hash, overview_from_metadata
 from . import asof
 
 # Fixed values.
@@ -203,7 +203,7 @@ def attach_snapshots(rows: DataFrame, snaps: DataFrame, keys: Sequence[str], can
     suffixes = F.array(*(F.lit(s) for s in ("", ".png", ".jpg", ".jpeg")))
     names = F.flatten(F.transform(candidates, lambda c: F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(
         F.transform(suffixes, lambda s: F.concat(c, s)))))
-    r = rows.withColumn("__row", F.xxhash64(*(F.col(c).cast("string") for c in rows.columns if c in keys or not c.startswith("__"))))
+    r = rows.withColumn("__row", null_safe_hash(*(c for c in rows.columns if c in keys or not c.startswith("__"))))
     tried = r.select(*keys, "__row", F.posexplode(names).alias("__pos", "filename"))
     hit = tried.join(snaps.select(*keys, "filename"), [*keys, "filename"]).groupBy(*keys, "__row").agg(
         F.min(F.struct(F.lit(0).alias("step"), F.col("__pos"), "filename")).alias("m")

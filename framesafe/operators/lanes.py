@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.boxes import Box, box, box_of
+from ..functions.scalars import null_safe_hash
 from ..session import spread
 from . import scans
 
@@ -131,7 +132,7 @@ def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_al
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     s = a if size_alpha is None else (size_alpha if isinstance(size_alpha, Column) else F.lit(float(size_alpha)))
     cols = df.columns
-    src = df.withColumns({"__a": a.cast("double"), "__s": s.cast("double"), "__g": F.xxhash64(*(F.col(g).cast("string") for g in group))})
+    src = df.withColumns({"__a": a.cast("double"), "__s": s.cast("double"), "__g": null_safe_hash(*group)})
     for n in Box._fields:
         src = src.withColumn(n, F.col(n).cast("double"))
     way = F.col(order).desc() if descending else F.col(order).asc()
@@ -195,7 +196,7 @@ def velocities(df: DataFrame, keys: Sequence[str], order: str = "f", alpha: floa
     """
     cols, v = df.columns, ["vcx", "vcy", "vw", "vh"]
     st = B.box_state(box())
-    src = df.withColumns({"__g": F.xxhash64(*(F.col(k).cast("string") for k in keys)), **{f"__{n}": st[n].cast("double") for n in ("cx", "cy", "w", "h")}})
+    src = df.withColumns({"__g": null_safe_hash(*keys), **{f"__{n}": st[n].cast("double") for n in ("cx", "cy", "w", "h")}})
     parted = spread(src, *keys).sortWithinPartitions(*keys, order)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -488,7 +489,7 @@ def replay_tracks(frames: DataFrame, keys: Sequence[str], fw: float, fh: float)
     """
     keys = list(keys)
     step = F.col("f") * F.col("direction")
-    src = frames.withColumns({"__step": step, "__g": F.xxhash64(*(F.col(k).cast("string") for k in keys), F.col("direction"))})
+    src = frames.withColumns({"__step": step, "__g": null_safe_hash(*keys, "direction")})
     parted = spread(src, *keys, "direction").sortWithinPartitions(*keys, "direction", "__step")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in keys)
     schema = f"{key_schema}, direction int, f long, x1 double, y1 double, x2 double, y2 double, src string, conf double"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
-from ..functions.scalars import clean_str, norm_action, norm_category, norm_class, norm_severity, snake_key, text_key
+from ..functions.scalars import clean_str, norm_action, norm_category, norm_class, norm_severity, null_safe_hash, snake_key, text_key
 from ..session import checkpoint, spread
 from . import scans
 
@@ -145,7 +145,7 @@ def merge_events(rows: DataFrame, keys: Sequence[str], seq: str = "seq", gap: fl
     d = scans.scan(d, keys, [seq], chunk, {"__block": scans.count_so_far(cut)}).drop("__prev", "__reach", "__same")
     d = d.withColumns({
         "__ent": text_key("entity_hint"), "__lab": text_key("label"),
-        "__g": F.xxhash64(*(F.col(k).cast("string") for k in keys), "__block"),
+        "__g": null_safe_hash(*keys, "__block"),
     })
     parted = spread(d, *keys, "__block").sortWithinPartitions(*keys, "__block", seq)
     out_schema = d.select(*cols).withColumn("members", F.lit(1)).schema

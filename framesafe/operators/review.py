@@ -68,7 +68,8 @@ def needs_refresh(faces: DataFrame, people: DataFrame, job: str = "job_id") -> D
     tagged = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)).isin("anonymized", "official"))
     f = faces.groupBy(job).agg(missing.alias("__missing"), F.bool_or(yes("should_anonymize") | yes("is_official") | tagged).alias("__local"))
     p = people.groupBy(job).agg(F.bool_or(yes("should_anonymize") | yes("is_official") | (F.size("tags") > 0)).alias("__remote"))
-    return f.join(p, job).select(job, (F.col("__missing") | (F.col("__remote") & ~F.col("__local"))).alias("needs_refresh"))
+    remote = F.coalesce("__remote", F.lit(False))
+    return f.join(p, job, "left").select(job, (F.col("__missing") | (remote & ~F.col("__local"))).alias("needs_refresh"))
 
 
 # -- review lists ----------------------------------------------------------------------------

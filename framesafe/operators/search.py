@@ -84,15 +84,16 @@ def combine_hits(clips: DataFrame, set_col: str, op: str = "or", keys: Sequence[
                  n_sets: int | None = None, score: str = "item_score") -> tuple[DataFrame, DataFrame]:
     """OR or AND of result sets: videos with their best score, and their deduplicated clips.
 
-    An unknown operator means OR. For AND a video must occur in every set; ``n_sets`` defaults to the
-    number of sets present.
+    An unknown operator means OR. For AND a video must occur in every one of ``n_sets`` sets, empty ones
+    included, so their number has to be given.
     """
+    if op == "and" and n_sets is None:
+        raise ValueError("AND needs the number of sets: an empty one leaves no rows to count")
     keys = list(keys)
     per_set = clips.groupBy(*keys, set_col).agg(F.max(score).alias("__s"))
     videos = per_set.groupBy(*keys).agg(F.max("__s").alias("score"), F.count(F.lit(1)).alias("__sets"))
     if op == "and":
-        want = n_sets if n_sets is not None else clips.select(set_col).distinct().count()
-        videos = videos.where(F.col("__sets") == want)
+        videos = videos.where(F.col("__sets") == n_sets)
     videos = videos.select(*keys, "score")
     kept = dedupe_clips(clips, keys)
     if op == "and":
@@ -207,9 +208,9 @@ def search_series(clips: DataFrame, keys: Sequence[str], duration: Column, sampl
     return per_bar.withColumn("is_peak", (best > 0.05) & (F.col("value") >= best * PEAK_SHARE))
 
 
-def waveform(signal: DataFrame, keys: Sequence[str], n: int, index: str = "i", value: str = "v", strided: bool = True) -> DataFrame:
+def waveform(signal: DataFrame, keys: Sequence[str], n: int, index: str = "i", value: str = "v", strided: bool = False) -> DataFrame:
     """Peak of the signal per bucket, scaled by the 96th-percentile order statistic of the positive peaks,
-    power .72. Rows are samples of one or more channels; a bucket reads every step-th sample (600 at most)."""
+    power .72. Rows are samples of one or more channels. All samples count; ``strided`` reads 600 of a bucket at most."""
     keys = list(keys)
     size = signal.groupBy(*keys).agg((F.max(index) + 1).alias("__len"))
     s = signal.join(size, keys).withColumn("__w", F.greatest(F.lit(1), F.floor(F.col("__len") / n)).cast("long"))

@@ -56,8 +56,10 @@ def mask_plan(
 ) -> tuple[DataFrame, DataFrame]:
     """Masks and restore boxes per frame.
 
-    ``lane`` (keys, person_id, f, box) is drawn as it is; ``detections`` (keys, f, kind, person_id, box) count on
-    scheduled frames inside ``limit`` (keys, start, end in seconds), faces padded, people with a lane left out;
+    ``lane`` (keys, person_id, f, box) is drawn as it is; ``detections`` (keys, f, kind, person_id, box) count
+    inside ``limit`` (keys, start, end in seconds), faces padded, faces of people with a lane left out. The
+    detection schedule ``every_n`` thins detector rows of objects only: faces and rows that a tracker carries on
+    between detections (boolean ``tracked``, optional) are drawn on every frame;
     ``regions`` (keys, f, box, shape, effect) are drawn frames of custom regions. In reverse mode every face is
     masked except near ``preserve`` boxes (keys, f, box), whose boxes are carried over short gaps and come
     back as restore boxes.
@@ -65,11 +67,14 @@ def mask_plan(
     keys = list(keys)
     lane = lane_boxes(lane)
     covered = lane.select(*keys, "person_id").where(F.col("person_id").isNotNull()).distinct()
-    det = detections.where(F.pmod(F.col("f"), F.lit(max(1, min(10, every_n)))) == 0)
+    face_kind = F.lower(F.col("kind")) == "face"
+    free = face_kind | F.coalesce("tracked", F.lit(False)) if "tracked" in detections.columns else face_kind
+    det = detections.where(free | (F.pmod(F.col("f"), F.lit(max(1, min(10, every_n)))) == 0))
     if limit is not None:
         det = ranges.in_ranges(det.withColumn("t", F.col("f") / F.lit(fps)), limit, keys, empty_means_all=True).drop("t")
     if not reverse:
-        det = det.join(covered, [*keys, "person_id"], "left_anti")
+        held = det.join(covered.withColumn("__lane", F.lit(True)), [*keys, "person_id"], "left")
+        det = held.where(~(F.lower(F.col("kind")) == "face") | F.col("__lane").isNull()).drop("__lane")
     on = [*keys, "f"]
     hold = None
     if reverse:

@@ -9,7 +9,7 @@ from ..functions.boxes import box
 from ..operators import identity, lanes, ranges, review
 from ..plans import jobs, masks, requests
 from ..streaming import live
-from .bindings import DET, ENC, FPS, JOB, det, faces, job, objects, table, with_encoding
+from .bindings import DET, ENC, FPS, JOB, det, faces, islands, job, objects, table, with_encoding
 from .registry import query
 
 VP = ["video_id", "person_no"]
@@ -103,20 +103,20 @@ def selected_ids(spark, sf):
     return review.selected_ids(d.where("kind = 'face'"), d.where("score100 >= 99"), ["video_id"])
 
 
-@query("uncovered_targets", f"WITH {DET} SELECT DISTINCT video_id, person_no FROM det d WHERE kind='object' AND NOT EXISTS (SELECT 1 FROM det l WHERE l.label='purchase' AND l.score100>=90 AND l.video_id=d.video_id AND l.person_no=d.person_no)")
+@query("uncovered_targets", f"WITH {DET} SELECT DISTINCT video_id, person_no, sec FROM det d WHERE kind='object' AND NOT EXISTS (SELECT 1 FROM det l WHERE l.label='purchase' AND l.video_id=d.video_id AND l.person_no=d.person_no AND l.sec=d.sec)")
 def uncovered_targets(spark, sf):
     d = det(spark, sf)
-    return review.uncovered_targets(d.where("kind = 'object'").select(*VP).distinct(), d.where("label = 'purchase' AND score100 >= 90"), VP)
+    return review.uncovered_targets(d.where("kind = 'object'").select(*VP, "sec").distinct(), d.where("label = 'purchase'"), [*VP, "sec"])
 
 
 @query("visible_boxes", f"""
-WITH {DET}, l AS (SELECT * FROM det WHERE label='purchase' AND score100 >= 50) SELECT seq, 'lane' AS origin FROM l
+WITH {DET}, l AS (SELECT * FROM det WHERE label='purchase') SELECT seq, 'lane' AS origin FROM l
 UNION ALL SELECT seq, 'live' FROM det d WHERE kind='object' AND NOT EXISTS (SELECT 1 FROM l WHERE l.video_id=d.video_id AND l.person_no=d.person_no)""")
 def visible_boxes(spark, sf):
     d = det(spark, sf)
     cols = d.select("video_id", F.col("person_no").alias("person_id"), F.col("seq").alias("f"), F.col("x1").alias("x"), F.col("y1").alias("y"),
                     (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), "label", "kind", "score100")
-    v = review.visible_boxes(cols.where("label = 'purchase' AND score100 >= 50"), cols.where("kind = 'object'"), ["video_id"])
+    v = review.visible_boxes(cols.where("label = 'purchase'"), cols.where("kind = 'object'"), ["video_id"])
     return v.select(F.col("f").alias("seq"), "origin")
 
 
@@ -224,11 +224,21 @@ def plan_tables(spark, sf):
     lane = d.where("label = 'purchase'").groupBy("video_id", "person_id", "f").agg(F.min_by(F.struct(*BOX), "seq").alias("b")).select("video_id", "person_id", "f", "b.*")
     dets = d.where("label <> 'purchase'").select("video_id", "f", "kind", "person_id", *BOX, "seq")
     limit = ranges.target_ranges(d.where("label = 'view'").withColumn("t", F.col("t_ms") / 1000.0), ["video_id"])
-    regions = d.where("label = 'error' AND score100 >= 90").select("video_id", "f", *BOX, F.lit("oval").alias("shape"), F.lit("blur").alias("effect"))
+    regions = d.where("label = 'error'").select("video_id", "f", *BOX, F.lit("oval").alias("shape"), F.lit("blur").alias("effect"))
     return lane, dets, regions, limit
 
 
-@query("mask_plan")
+PLAN = f"""{DET}, lane AS (SELECT video_id, person_no, frame_idx AS f, arg_min({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, seq) AS b FROM det WHERE label='purchase' GROUP BY 1, 2, 3),
+vw AS (SELECT video_id, greatest(0, t_ms-1000) AS s, t_ms+1350 AS e FROM det WHERE label='view'), {islands("vw", "video_id", 500, "lim")},
+dd AS (SELECT * FROM det d WHERE label NOT IN ('purchase') AND (kind='face' OR frame_idx % 2 = 0)
+  AND (kind='object' OR NOT EXISTS (SELECT 1 FROM lane l WHERE l.video_id=d.video_id AND l.person_no=d.person_no))
+  AND (EXISTS (SELECT 1 FROM lim WHERE lim.video_id=d.video_id AND d.frame_idx*40 BETWEEN s AND e) OR NOT EXISTS (SELECT 1 FROM lim WHERE lim.video_id=d.video_id))),
+plan AS (SELECT video_id, f, 'lane' AS origin, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2, 'rect' AS shape FROM lane
+  UNION ALL SELECT video_id, frame_idx, 'detection', x1, y1, x2, y2, 'rect' FROM dd
+  UNION ALL SELECT video_id, frame_idx, 'region', x1, y1, x2, y2, 'oval' FROM det WHERE label='error')"""
+
+
+@query("mask_plan", f"WITH {PLAN} SELECT video_id, f, origin, x1, y1, x2, y2, shape FROM plan")
 def mask_plan(spark, sf):
     lane, dets, regions, limit = plan_tables(spark, sf)
     p, _ = masks.mask_plan(lane, dets, regions, lane, limit, ["video_id"], 1920, 1080, every_n=2)
@@ -242,7 +252,9 @@ def reverse_mask_plan(spark, sf):
     return p.select("video_id", "f", F.col("origin"), *BOX).unionByName(r.select("video_id", "f", F.lit("restore").alias("origin"), *BOX))
 
 
-@query("mask_stats")
+@query("mask_stats", f"""
+WITH {PLAN} SELECT video_id, count(DISTINCT f) AS masked_frames, count(*) FILTER (origin='lane') AS lane_masks, count(*) FILTER (origin='detection') AS detection_masks,
+  count(*) FILTER (origin='region') AS region_masks, min(f) AS first_frame, max(f) AS last_frame FROM plan GROUP BY 1""")
 def mask_stats(spark, sf):
     lane, dets, regions, limit = plan_tables(spark, sf)
     p, _ = masks.mask_plan(lane, dets, regions, lane, limit, ["video_id"], 1920, 1080, every_n=2)

@@ -105,8 +105,8 @@ def uniform_keyframes(spark, sf):
 
 
 @query("person_timeline", f"""
-WITH {DET}, app AS (SELECT video_id, person_no, greatest(0, t_ms-180) AS s, greatest(0, t_ms+280) AS e FROM det WHERE label='purchase' AND score100 >= 60),
-own AS (SELECT video_id, person_no, t_ms AS s, t_ms+2000 AS e FROM det WHERE label='view' AND score100 >= 60),
+WITH {DET}, app AS (SELECT video_id, person_no, greatest(0, t_ms-180) AS s, greatest(0, t_ms+280) AS e FROM det WHERE label='purchase'),
+own AS (SELECT video_id, person_no, t_ms AS s, t_ms+2000 AS e FROM det WHERE label='view'),
 rem AS (SELECT video_id, person_no, t_ms AS s, t_ms+1000 AS e FROM det WHERE label='click'),
 {islands("app", "video_id, person_no", 700, "a")}, {islands("own", "video_id, person_no", 450, "o")}, {islands("rem", "video_id, person_no", 450, "r")},
 al AS (SELECT 'appearances' AS source, 0 AS rk, video_id, person_no, s, e, 700 AS ml FROM a UNION ALL SELECT 'ranges', 1, video_id, person_no, s, e, 550 FROM o
@@ -118,23 +118,23 @@ SELECT al.video_id, al.person_no, source,
 FROM al JOIN best ON best.video_id=al.video_id AND best.person_no=al.person_no AND best.rk=al.rk""")
 def person_timeline(spark, sf):
     d = det(spark, sf)
-    a = d.where("label = 'purchase' AND score100 >= 60")
-    own = d.where("label = 'view' AND score100 >= 60").select(*VP, F.col("t_ms").alias("start"), (F.col("t_ms") + 2000).alias("end"))
+    a = d.where("label = 'purchase'")
+    own = d.where("label = 'view'").select(*VP, F.col("t_ms").alias("start"), (F.col("t_ms") + 2000).alias("end"))
     remote = d.where("label = 'click'").select(*VP, F.col("t_ms").alias("start"), (F.col("t_ms") + 1000).alias("end"))
     out = ranges.person_timeline(a, own, remote, VP, 1000, "t_ms")
     return out.select(*VP, "source", F.col("start").cast("double").alias("start_ms"), F.col("end").cast("double").alias("end_ms"))
 
 
 @query("effective_ranges", f"""
-WITH {DET}, al AS (SELECT 'faces' AS source, 0 AS rk, video_id, t_ms AS s, t_ms+1000 AS e FROM det WHERE label='purchase' AND score100 >= 97
-  UNION ALL SELECT 'entities', 1, video_id, t_ms, t_ms+2000 FROM det WHERE label='view' AND score100 >= 97
+WITH {DET}, al AS (SELECT 'faces' AS source, 0 AS rk, video_id, t_ms AS s, t_ms+1000 AS e FROM det WHERE label='purchase'
+  UNION ALL SELECT 'entities', 1, video_id, t_ms, t_ms+2000 FROM det WHERE label='view'
   UNION ALL SELECT 'people', 2, video_id, t_ms, t_ms+3000 FROM det WHERE kind='object'),
 best AS (SELECT video_id, min(rk) AS rk FROM al GROUP BY video_id)
 SELECT al.video_id, source, s AS start_ms, e AS end_ms FROM al JOIN best ON best.video_id=al.video_id AND best.rk=al.rk""")
 def effective_ranges(spark, sf):
     d = det(spark, sf)
     r = lambda cond, w: d.where(cond).select("video_id", F.col("t_ms").alias("start"), (F.col("t_ms") + w).alias("end"))
-    out = ranges.effective_ranges(r("label = 'purchase' AND score100 >= 97", 1000), r("label = 'view' AND score100 >= 97", 2000), r("kind = 'object'", 3000), ["video_id"])
+    out = ranges.effective_ranges(r("label = 'purchase'", 1000), r("label = 'view'", 2000), r("kind = 'object'", 3000), ["video_id"])
     return out.withColumnsRenamed({"start": "start_ms", "end": "end_ms"})
 
 
@@ -253,9 +253,9 @@ def nearest_gap(spark, sf):
 
 
 @query("active_clips", f"""
-WITH {DET}, {CLIP} SELECT d.seq, c.ok, c.ln, c."start" AS start_s, c."end" AS end_s FROM det d JOIN clip c ON c.video_id=d.person_no AND d.sec % 60 BETWEEN c."start" AND c."end" WHERE d.label='signup'""")
+WITH {DET}, {CLIP} SELECT d.seq, c.ok, c.ln, c."start" AS start_s, c."end" AS end_s FROM det d JOIN clip c ON c.video_id=d.person_no AND d.sec % 60 BETWEEN c."start" AND c."end" """)
 def active_clips(spark, sf):
-    d = det(spark, sf).where("label = 'signup'").select("seq", F.col("person_no").alias("video_id"), (F.col("sec") % 60).alias("t"))
+    d = det(spark, sf).select("seq", F.col("person_no").alias("video_id"), (F.col("sec") % 60).alias("t"))
     c = clip(spark, sf).select("video_id", "ok", "ln", "start", "end")
     return ranges.active_at(d, c, ["video_id"], "t", 5).select("seq", "ok", "ln", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
 

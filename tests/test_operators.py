@@ -312,3 +312,54 @@ def test_best_job_prefers_time_then_status(spark):
 
 def test_checkpoint_keeps_rows(spark):
     assert checkpoint(spark.range(5)).count() == 5
+
+
+def test_and_needs_the_number_of_sets_and_counts_empty_ones(spark):
+    from framesafe.operators import search
+
+    clips = spark.createDataFrame([("a", 1, 0, 5, 1, 9)], "set_id string, video_id long, start long, end long, rank long, item_score long")
+    with pytest.raises(ValueError):
+        search.combine_hits(clips, "set_id", "and")
+    assert search.combine_hits(clips, "set_id", "and", n_sets=2)[0].count() == 0
+    assert search.combine_hits(clips, "set_id", "and", n_sets=1)[0].count() == 1
+
+
+def test_row_hashes_tell_nulls_apart(spark):
+    from framesafe.functions.scalars import null_safe_hash
+
+    rows = spark.createDataFrame([(None, "a"), ("a", None), ("a", None)], "x string, y string").select(null_safe_hash("x", "y").alias("h")).collect()
+    assert rows[0].h != rows[1].h == rows[2].h
+
+
+def test_jobs_without_people_are_told_to_refresh(spark):
+    from framesafe.operators import review
+
+    faces = spark.createDataFrame([(1, None, True, False, False, 0.5, ["x"])], "job_id long, priority_rank long, should_anonymize boolean, is_official boolean, review_required boolean, description_match_score double, tags array<string>")
+    people = spark.createDataFrame([], "job_id long, should_anonymize boolean, is_official boolean, tags array<string>")
+    assert [tuple(r) for r in review.needs_refresh(faces, people).collect()] == [(1, True)]
+
+
+def test_lane_at_time_with_high_rates_per_row(spark):
+    from pyspark.sql import functions as F
+
+    from framesafe.operators import asof
+
+    lane = spark.createDataFrame([(1, 89_980, 0.0, 0.0, 9.0, 9.0)], "job_id long, f long, x1 double, y1 double, x2 double, y2 double")
+    probe = spark.createDataFrame([(1, 90.03, 1000.0)], "job_id long, t double, fps double")
+    assert asof.lane_at_time(probe, lane, ["job_id"], F.col("fps")).count() == 1
+
+
+def test_mask_plan_thins_detector_objects_only(spark):
+    from framesafe.plans import masks
+
+    box = "x1 double, y1 double, x2 double, y2 double"
+    b = (10.0, 10.0, 60.0, 60.0)
+    lane = spark.createDataFrame([(1, "p", 3, *b)], f"job_id long, person_id string, f long, {box}")
+    kinds = [("object", "p", False), ("object", None, True), ("face", "q", False), ("face", "p", False)]
+    rows = [(1, f, k, p, *b, t) for f in range(6) for k, p, t in kinds]
+    dets = spark.createDataFrame(rows, f"job_id long, f long, kind string, person_id string, {box}, tracked boolean")
+    regions = spark.createDataFrame([], f"job_id long, f long, {box}, shape string, effect string")
+    plan, _ = masks.mask_plan(lane, dets, regions, lane, None, ["job_id"], 640, 360, every_n=3)
+    got = {(r.kind, r.origin): r.n for r in plan.groupBy("kind", "origin").count().withColumnRenamed("count", "n").collect()}
+    assert got == {("face", "lane"): 1, ("face", "detection"): 6, ("object", "detection"): 2 + 6}
+
