@@ -407,31 +407,35 @@ def _ease(new, prev, a: float, s: float, fw: float, fh: float):
     return (lo[0], lo[1], hi[0], hi[1]) if hi[0] > lo[0] and hi[1] > lo[1] else new
 
 
-def _limit_scale(b, ref, fw, fh, step=0.075):
-    w, h, rw, rh = b[2] - b[0], b[3] - b[1], ref[2] - ref[0], ref[3] - ref[1]
-    if min(w, h, rw, rh) <= 0:
-        return b
-    g = 1.0 + step
-    nw, nh = min(max(w, rw / g), rw * g), min(max(h, rh / g), rh * g)
-    if abs(nw - w) < 1e-3 and abs(nh - h) < 1e-3:
+# A box may grow or shrink by 7.5 % a frame; the weights of a new centre and a new size fall
+# between two speeds (in diagonals a frame); the trust in a tracker's box falls between two ratios of areas.
+GROWTH = 1.075
+SPEEDS, CENTRE_WEIGHTS, SIZE_WEIGHTS = (0.012, 0.06), (0.62, 0.36), (0.42, 0.24)
+AREA_RATIOS, TRUST = (1.25, 2.0), (1.0, 0.4)
+
+
+def _sizes(*boxes) -> np.ndarray:
+    """Width and height of each box."""
+    b = np.asarray(boxes, float)
+    return b[:, 2:] - b[:, :2]
+
+
+def _limit_scale(b, ref, fw, fh):
+    new, old = _sizes(b, ref)
+    kept = np.clip(new, old / GROWTH, old * GROWTH)
+    if min(new.min(), old.min()) <= 0 or np.abs(kept - new).max() < 1e-3:
         return b
-    return _frame_box((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, nw, nh, fw, fh) or b
+    return _frame_box((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, *kept.tolist(), fw, fh) or b
 
 
 def _lock_alphas(rate: float, zoom: float) -> tuple[float, float]:
-    w = min(1.0, max(0.0, (rate - 0.012) / 0.048))
-    size = 0.42 * (1 - w) + 0.24 * w
-    if zoom > 0.04:
-        size = min(1.0, size + min(0.25, zoom * 2.5))
-    return 0.62 * (1 - w) + 0.36 * w, size
+    centre, size = (float(np.interp(rate, SPEEDS, w)) for w in (CENTRE_WEIGHTS, SIZE_WEIGHTS))
+    return centre, min(1.0, size + min(0.25, zoom * 2.5)) if zoom > 0.04 else size
 
 
 def _penalty(tracker, other) -> float:
-    a, b = ((x[2] - x[0]) * (x[3] - x[1]) for x in (tracker, other))
-    if min(a, b) <= 0:
-        return 1.0
-    excess = max(a, b) / min(a, b) - 1.25
-    return 1.0 if excess <= 0 else max(0.4, 1.0 - min(1.0, excess / 0.75) * 0.6)
+    areas = _sizes(tracker, other).prod(1)
+    return float(np.interp(areas.max() / areas.min(), AREA_RATIOS, TRUST)) if areas.min() > 0 else 1.0
 
 
 def _step(t: _Track, anchors, signals: dict) -> tuple[tuple[float, ...], str, float] | None:

@@ -1,7 +1,7 @@
 """Live detections as keyed state: tracking per job and display smoothing.
 
-The step functions below are small and pure: state and the detections of one time in, rows and state
-out. The streaming operators keep that state per job; the batch replays run the same steps over sorted
+The step functions below are pure: state and the detections of one time in, rows and state out; all tracks
+are scored against all detections of a time at once, as matrices. The streaming operators keep that state per job; the batch replays run the same steps over sorted
 rows, so a stream can be checked against its replay.
 """
 
@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,194 +20,228 @@ from pyspark.sql.types import StructType
 
 from ..session import spread
 
-# Fixed values.
-MAX_GAP = 0.85
-KEEP_CONFIDENCE = 0.12
-DECAY = 0.94
 SIZE = ("x", "y", "width", "height")
 VELOCITY = ("vx", "vy", "vwidth", "vheight")
+KINDS = ("face", "object")  # column order of the tables below
+
+# Fixed values of tracking.
+MAX_GAP = 0.85
+KEEP_CONFIDENCE, DECAY = 0.12, 0.94
+TRACK_REACH = (0.16, 0.22)
+TRACK_WEIGHTS = {"iou": 5.0, "distance": -1.2, "growth": -0.2, "motion": 0.9}
+TRACK_BONUS = (4.0, 2.0)
+LEAST_OVERLAP, DOUBTFUL_OVERLAP, MOST_GROWTH = 0.04, 0.08, 3.0
+# A track that nothing continues ends this many seconds after its last detection.
+UNSEEN = 1.4
+
+# Fixed values of display smoothing.
 HOLD, HOLD_IDENTIFIED = 1.4, 1.8
-PAD = {"face": 0.01, "object": 0.08}
-TOP_SPEED = {"face": 1.45, "object": 1.8}
-TOP_SIZE_SPEED = 1.3
-VELOCITY_BLEND = 0.58
-SMOOTH = 0.34
-LEAD = {"face": (0.05, 0.18), "object": (0.08, 0.28)}
-FACE_SHIFT = {"sticky": 0.28, "major": 0.82, "minor_dist": 0.035, "major_dist": 0.18, "minor_size": 0.18, "major_size": 0.45}
-OTHER_SHIFT = {"sticky": 0.22, "major": 0.72, "minor_dist": 0.028, "major_dist": 0.16, "minor_size": 0.16, "major_size": 0.5}
+PAD = (0.01, 0.08)
+LAG, LEAD = (0.05, 0.08), (0.18, 0.28)
+TOP_SPEED, TOP_SIZE_SPEED = (1.45, 1.8), 1.3
+VELOCITY_BLEND, SMOOTH = 0.58, 0.34
+SHOW_WEIGHTS = {"iou": 5.2, "distance": -1.35, "change": -0.35, "confidence": 0.15}
+SHOW_REACH = (0.15, 0.18)
+SHOW_REACH_KEYED, SHOW_BONUS_KEYED = 0.34, 10.0
+SLOWING = np.array([0.86, 0.86, 0.82, 0.82])
+#: For identified faces and for all else: still, moving; then bounds of distance and of size change for both.
+SHIFT = np.array([[0.28, 0.82, 0.035, 0.18, 0.18, 0.45], [0.22, 0.72, 0.028, 0.16, 0.16, 0.5]])
 
 IN_COLUMNS = ["time_sec", "det_id", "kind", "label", "person_id", "object_class", "confidence", *SIZE, "motion_strength", "tracking_mode"]
 TRACK_SCHEMA = "job_id string, time_sec double, track_id string, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double, late boolean"
 STABLE_SCHEMA = "job_id string, time_sec double, id string, kind string, label string, person_id string, confidence double, x double, y double, width double, height double, held boolean"
 
 
-def _iou(a: dict, b: dict) -> float:
-    w = min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])
-    h = min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
-    inter = max(0.0, w) * max(0.0, h)
-    union = a["width"] * a["height"] + b["width"] * b["height"] - inter
-    return inter / union if union > 0 else 0.0
+# -- pairs of boxes --------------------------------------------------------------------------
 
 
-def _distance(a: dict, b: dict) -> float:
-    return math.hypot(a["x"] - b["x"] + (a["width"] - b["width"]) / 2, a["y"] - b["y"] + (a["height"] - b["height"]) / 2)
+def _numbers(rows: list[dict], names: tuple[str, ...] = SIZE) -> np.ndarray:
+    return np.array([[r.get(n) or 0.0 for n in names] for r in rows], float).reshape(len(rows), len(names))
 
 
-def _greedy(scored: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
-    """Best scores first, each side once; ties by position."""
-    left, right, out = set(), set(), []
-    for _, i, j in sorted(scored, key=lambda s: (-s[0], s[1], s[2])):
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append((i, j))
-    return out
+def _texts(rows: list[dict], name: str) -> np.ndarray:
+    return np.array([r.get(name) or "" for r in rows], object)
 
 
-# -- tracking --------------------------------------------------------------------------------
+def _kind(rows: list[dict]) -> np.ndarray:
+    """0 for faces, 1 for all else."""
+    return np.array([r["kind"] != "face" for r in rows], int)
 
 
-def track_score(t: dict, d: dict) -> float | None:
-    """How well a detection continues a track; None when it cannot."""
-    if t["kind"] != d["kind"]:
-        return None
-    face = t["kind"] == "face"
-    if face and t["person_id"] and d["person_id"] and t["person_id"] != d["person_id"]:
-        return None
-    if not face and t["label"] != d["label"]:
-        return None
-    strength = max(0.0, t.get("motion_strength") or 0.0)
-    iou, dist = _iou(t, d), _distance(t, d)
-    reach = (0.16 if face else 0.22) + min(0.24, strength * 3.0) + (0.05 if t.get("tracking_mode") == "global" else 0.0)
-    if iou < 0.04 and dist > reach:
-        return None
-    areas = sorted(max(1e-6, b["width"] * b["height"]) for b in (t, d))
-    ratio = areas[1] / areas[0]
-    if ratio > 3.0 and iou < 0.08:
-        return None
-    bonus = 4.0 if face and t["person_id"] and d["person_id"] else 2.0 if t["kind"] == "object" and t["object_class"] and d["object_class"] else 0.0
-    return bonus + 5.0 * iou - 1.2 * dist - 0.2 * (ratio - 1.0) + min(0.28, 0.9 * strength)
-
-
-def _blend(t: dict, d: dict) -> dict:
-    a = min(0.86, 0.62 + min(0.18, 1.6 * max(0.0, t.get("motion_strength") or 0.0)) + (0.08 if t.get("tracking_mode") == "global" else 0.0))
-    if d["kind"] == "face":
-        a = max(a, 0.88 if d["person_id"] or t["person_id"] else 0.78)
-    mixed = {n: round(t[n] * (1 - a) + d[n] * a, 6) for n in SIZE}
-    return {**d, **mixed, "confidence": round(max(t["confidence"], d["confidence"]), 4)}
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, None] == b[None, :]).astype(bool)
 
 
-def track_step(job: str, state: dict, time_sec: float, dets: list[dict], reset: bool = False) -> tuple[list[dict], dict]:
-    """Detections of one time against the tracks of a job.
+def _geometry(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Overlap, distance of centres, ratio of areas and change of size of every box of ``a`` with every box of ``b``."""
+    corner, other = a[:, None, :2], b[None, :, :2]
+    size, size_b = a[:, None, 2:], b[None, :, 2:]
+    shared = np.maximum(0.0, np.minimum(corner + size, other + size_b) - np.maximum(corner, other)).prod(2)
+    area, area_b = size.prod(2), size_b.prod(2)
+    union = area + area_b - shared
+    floor, floor_b = np.maximum(1e-6, area), np.maximum(1e-6, area_b)
+    return {
+        "iou": np.divide(shared, union, out=np.zeros_like(shared), where=union > 0),
+        "distance": np.linalg.norm(corner - other + (size - size_b) / 2, axis=2),
+        "growth": np.maximum(floor, floor_b) / np.minimum(floor, floor_b) - 1.0,
+        "change": (np.abs(size_b - size) / np.maximum(size, 1e-3)).max(2),
+    }
 
-    Times that do not advance are late: their rows come out flagged and leave the state alone. A jump of
-    more than .85 s, or a reset, starts with no tracks.
-    """
-    last = state.get("time")
-    if last is not None and not reset and time_sec <= last:
-        return [{**d, "track_id": None, "late": True} for d in dets], state
-    alive = [] if last is None or reset or time_sec - last > MAX_GAP else state["tracks"]
-    tracks = [{**t, "confidence": round(max(KEEP_CONFIDENCE, t["confidence"] * DECAY), 4)} for t in alive]
-    scored = [(s, i, j) for i, t in enumerate(tracks) for j, d in enumerate(dets) if (s := track_score(t, d)) is not None]
-    pairs = _greedy(scored)
-    used_t, used_d = {i for i, _ in pairs}, {j for _, j in pairs}
-    out = [{**_blend(tracks[i], dets[j]), "track_id": tracks[i]["track_id"]} for i, j in pairs]
-    n = state.get("next", 0)
-    for j, d in enumerate(dets):
-        if j not in used_d:
-            out.append({**d, "track_id": f"{job}:{n}"})
-            n += 1
-    out += [t for i, t in enumerate(tracks) if i not in used_t]
-    return [{**r, "late": False} for r in out], {"time": time_sec, "tracks": out, "next": n}
 
+def _weighted(parts: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
+    return sum(w * parts[name] for name, w in weights.items())
 
-# -- display smoothing -----------------------------------------------------------------------
+
+def _assign(score: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the matches: the best pair that is left, first in row order among equals."""
+    left = np.where(possible, score, -np.inf)
+    pairs = []
+    for _ in range(min(left.shape)):
+        i, j = divmod(int(left.argmax()), left.shape[1])
+        if left[i, j] == -np.inf:
+            break
+        pairs.append((i, j))
+        left[i], left[:, j] = -np.inf, -np.inf
+    rows, columns = np.array(pairs, int).reshape(-1, 2).T
+    return rows, columns
 
 
-def _key(d: dict) -> str | None:
-    if d.get("track_id"):
-        return f"track:{d['track_id']}"
-    return f"face:{d['person_id']}" if d["kind"] == "face" and d["person_id"] else None
+# -- tracking --------------------------------------------------------------------------------
 
 
-def _unit(v: float) -> float:
-    return max(0.0, min(1.0, v))
+def _motion(tracks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    strength = np.maximum(0.0, _numbers(tracks, ("motion_strength",))[:, 0])
+    return strength, _texts(tracks, "tracking_mode") == "global"
 
 
-def _padded(d: dict) -> dict:
-    grow = 1 + 2 * PAD["face" if d["kind"] == "face" else "object"]
-    w, h = _unit(d["width"] * grow), _unit(d["height"] * grow)
-    cx, cy = d["x"] + d["width"] / 2, d["y"] + d["height"] / 2
-    return {**d, "x": _unit(cx - w / 2), "y": _unit(cy - h / 2), "width": w, "height": h}
+def track_scores(tracks: list[dict], dets: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """How well each detection continues each track, and where it can at all."""
+    pair = _geometry(_numbers(tracks), _numbers(dets))
+    kind, person, person_d = _kind(tracks), _texts(tracks, "person_id"), _texts(dets, "person_id")
+    strength, moving = _motion(tracks)
+    named = (person != "")[:, None] & (person_d != "")[None, :]
+    face = (kind == 0)[:, None]
+    alike = _same(_texts(tracks, "kind"), _texts(dets, "kind")) & np.where(face, ~named | _same(person, person_d), _same(_texts(tracks, "label"), _texts(dets, "label")))
+    reach = np.array(TRACK_REACH)[kind] + np.minimum(0.24, strength * 3.0) + 0.05 * moving
+    near = (pair["iou"] >= LEAST_OVERLAP) | (pair["distance"] <= reach[:, None])
+    steady = (pair["growth"] <= MOST_GROWTH - 1.0) | (pair["iou"] >= DOUBTFUL_OVERLAP)
+    classed = (_texts(tracks, "object_class") != "")[:, None] & (_texts(dets, "object_class") != "")[None, :]
+    is_object = (_texts(tracks, "kind") == "object")[:, None]
+    bonus = np.where(face & named, TRACK_BONUS[0], np.where(is_object & classed, TRACK_BONUS[1], 0.0))
+    pair["motion"] = np.broadcast_to(np.minimum(0.28 / TRACK_WEIGHTS["motion"], strength)[:, None], bonus.shape)
+    return bonus + _weighted(pair, TRACK_WEIGHTS), alike & near & steady
 
 
-def predict(d: dict, now: float) -> dict:
-    """The box moved on by its velocity, a bounded time ahead or back."""
-    lag, lead = LEAD["face" if d["kind"] == "face" else "object"]
-    dt = max(-lag, min(lead, now - d["time"]))
-    if abs(dt) < 1e-4:
-        return d
-    w, h = _unit(d["width"] + d["vwidth"] * dt), _unit(d["height"] + d["vheight"] * dt)
-    return {**d, "width": w, "height": h, "x": _unit(min(1 - w, d["x"] + d["vx"] * dt)), "y": _unit(min(1 - h, d["y"] + d["vy"] * dt))}
+def _blended(tracks: list[dict], dets: list[dict]) -> list[dict]:
+    """Each track moved towards its detection."""
+    strength, moving = _motion(tracks)
+    share = np.minimum(0.86, 0.62 + np.minimum(0.18, 1.6 * strength) + 0.08 * moving)
+    known = (_texts(tracks, "person_id") != "") | (_texts(dets, "person_id") != "")
+    share = np.where(_kind(dets) == 0, np.maximum(share, np.where(known, 0.88, 0.78)), share)[:, None]
+    boxes = np.round(_numbers(tracks) * (1 - share) + _numbers(dets) * share, 6).tolist()
+    return [d | dict(zip(SIZE, b)) | {"confidence": round(max(t["confidence"], d["confidence"]), 4), "track_id": t["track_id"]} for t, d, b in zip(tracks, dets, boxes)]
 
 
-def _size_change(a: dict, b: dict) -> float:
-    return max(abs(b[n] - a[n]) / max(a[n], 1e-3) for n in ("width", "height"))
+def track_step(job: str, state: dict, time_sec: float, dets: list[dict], reset: bool = False) -> tuple[list[dict], dict]:
+    """Detections of one time against the tracks of a job.
+
+    Times that do not advance are late: their rows come out flagged and leave the state alone. A jump of
+    more than .85 s, or a reset, starts with no tracks. Unseen tracks fade and end after ``UNSEEN`` seconds.
+    """
+    last = state.get("time")
+    if last is not None and not reset and time_sec <= last:
+        return [{**d, "track_id": None, "late": True} for d in dets], state
+    fresh_start = last is None or reset or time_sec - last > MAX_GAP
+    alive = [] if fresh_start else [t for t in state["tracks"] if time_sec - t.get("seen", last) <= UNSEEN]
+    tracks = [{**t, "confidence": round(max(KEEP_CONFIDENCE, t["confidence"] * DECAY), 4)} for t in alive]
+    rows, columns = _assign(*track_scores(tracks, dets)) if tracks and dets else (np.zeros(0, int), np.zeros(0, int))
+    n = state.get("next", 0)
+    found = _blended([tracks[i] for i in rows], [dets[j] for j in columns]) if len(rows) else []
+    new = [{**dets[j], "track_id": f"{job}:{n + k}"} for k, j in enumerate(sorted(set(range(len(dets))) - set(columns.tolist())))]
+    seen = [{**r, "seen": time_sec} for r in found + new]
+    out = seen + [t for i, t in enumerate(tracks) if i not in set(rows.tolist())]
+    return [{**r, "late": False} for r in out], {"time": time_sec, "tracks": out, "next": n + len(new)}
 
 
-def display_score(prev: dict, anchor: dict, cand: dict) -> float | None:
-    if prev["kind"] != cand["kind"]:
-        return None
-    pk, ck = _key(prev), _key(cand)
-    if pk and ck and pk != ck:
-        return None
-    named = prev["label"] != cand["label"]
-    if cand["kind"] == "object" and named:
-        return None
-    if cand["kind"] == "face" and pk is None and named and "Face" not in (prev["label"], cand["label"]):
-        return None
-    iou, dist, change = _iou(anchor, cand), _distance(anchor, cand), _size_change(anchor, cand)
-    allow = min(0.14 if pk else 0.08, 0.09 * math.hypot(prev["vx"], prev["vy"]))
-    reach = (0.34 if pk else 0.15 if cand["kind"] == "face" else 0.18) + allow
-    if (iou < 0.04 and dist > reach) or (change > 1.15 and dist > 0.09 and iou < 0.08):
-        return None
-    return (10 if pk and pk == ck else 0) + 5.2 * iou - 1.35 * dist - 0.35 * change + 0.15 * _unit(cand["confidence"] or 0.0)
+# -- display smoothing -----------------------------------------------------------------------
 
 
-def _alpha(prev: dict, dist: float, change: float) -> float:
-    rule = FACE_SHIFT if prev["kind"] == "face" and _key(prev) else OTHER_SHIFT
-    if dist <= rule["minor_dist"] and change <= rule["minor_size"]:
-        return rule["sticky"]
-    return rule["major"] if dist >= rule["major_dist"] or change >= rule["major_size"] else SMOOTH
+def _keys(rows: list[dict]) -> np.ndarray:
+    """What identifies a displayed box over time, or an empty text."""
+    track, person = _texts(rows, "track_id"), _texts(rows, "person_id")
+    return np.array([f"track:{t}" if t else f"face:{p}" if k == 0 and p else "" for t, p, k in zip(track, person, _kind(rows))], object)
+
+
+def _padded(dets: list[dict]) -> np.ndarray:
+    boxes = _numbers(dets)
+    size = np.clip(boxes[:, 2:] * (1 + 2 * np.array(PAD)[_kind(dets)])[:, None], 0, 1)
+    return np.hstack([np.clip(boxes[:, :2] + boxes[:, 2:] / 2 - size / 2, 0, 1), size])
+
+
+def _ahead(shown: list[dict], now: float) -> np.ndarray:
+    """The boxes moved on by their velocities, a bounded time ahead or back."""
+    boxes, speed, kind = _numbers(shown), _numbers(shown, VELOCITY), _kind(shown)
+    step = np.clip(now - _numbers(shown, ("time",))[:, 0], -np.array(LAG)[kind], np.array(LEAD)[kind])[:, None]
+    size = np.clip(boxes[:, 2:] + speed[:, 2:] * step, 0, 1)
+    moved = np.hstack([np.clip(np.minimum(1 - size, boxes[:, :2] + speed[:, :2] * step), 0, 1), size])
+    return np.where(np.abs(step) < 1e-4, boxes, moved)
+
+
+def display_scores(shown: list[dict], ahead: np.ndarray, dets: list[dict], boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    """How well each detection continues each displayed box, where it can at all, and the geometry of the pairs."""
+    pair = _geometry(ahead, boxes)
+    key, key_d, kind = _keys(shown), _keys(dets), _kind(shown)
+    keyed, both = (key != "")[:, None], (key != "")[:, None] & (key_d != "")[None, :]
+    equal = both & _same(key, key_d)
+    renamed = ~_same(_texts(shown, "label"), _texts(dets, "label"))
+    unnamed = (_texts(shown, "label") == "Face")[:, None] | (_texts(dets, "label") == "Face")[None, :]
+    is_object, face = (_texts(shown, "kind") == "object")[:, None], (kind == 0)[:, None]
+    other_name = renamed & (is_object | (face & ~keyed & ~unnamed))
+    alike = _same(_texts(shown, "kind"), _texts(dets, "kind")) & (~both | equal) & ~other_name
+    speed = np.linalg.norm(_numbers(shown, ("vx", "vy")), axis=1)
+    reach = np.where(key != "", SHOW_REACH_KEYED, np.array(SHOW_REACH)[kind]) + np.minimum(np.where(key != "", 0.14, 0.08), 0.09 * speed)
+    near = (pair["iou"] >= LEAST_OVERLAP) | (pair["distance"] <= reach[:, None])
+    steady = (pair["change"] <= 1.15) | (pair["distance"] <= 0.09) | (pair["iou"] >= DOUBTFUL_OVERLAP)
+    pair["confidence"] = np.broadcast_to(np.clip(_numbers(dets, ("confidence",))[:, 0], 0, 1), near.shape)
+    return SHOW_BONUS_KEYED * equal + _weighted(pair, SHOW_WEIGHTS), alike & near & steady, pair
+
+
+def _eased(shown: list[dict], ahead: np.ndarray, dets: list[dict], boxes: np.ndarray, distance: np.ndarray, change: np.ndarray, now: float) -> list[dict]:
+    """Displayed boxes eased towards their detections: little for small shifts, nearly all the way for large ones."""
+    still, moving, small, large, small_change, large_change = SHIFT[((_kind(shown) == 0) & (_keys(shown) != "") == 0).astype(int)].T
+    share = np.where((distance >= large) | (change >= large_change), moving, SMOOTH)
+    share = np.where((distance <= small) & (change <= small_change), still, share)[:, None]
+    new = ahead * (1 - share) + boxes * share
+    span = np.maximum(1 / 120, np.abs(now - _numbers(shown, ("time",))))
+    top = np.array(TOP_SPEED)[_kind(dets)]
+    limit = np.stack([top, top, np.full(len(top), TOP_SIZE_SPEED), np.full(len(top), TOP_SIZE_SPEED)], 1)
+    speed = _numbers(shown, VELOCITY) * (1 - VELOCITY_BLEND) + np.clip((new - _numbers(shown)) / span, -limit, limit) * VELOCITY_BLEND
+    state = np.hstack([new, speed]).tolist()
+    return [d | dict(zip(SIZE + VELOCITY, v)) | {"time": now, "seen": now, "id": p["id"], "held": False} for p, d, v in zip(shown, dets, state)]
 
 
 def stabilize_step(shown: list[dict], time_sec: float, dets: list[dict]) -> list[dict]:
     """What to show after the detections of one time: matched boxes eased toward them, missing ones held."""
-    fresh = [_padded({**d, "time": time_sec, "seen": time_sec, **dict.fromkeys(VELOCITY, 0.0)}) for d in dets]
-    ahead = [predict(p, time_sec) for p in shown]
-    scored = [(s, i, j) for i, p in enumerate(shown) for j, c in enumerate(fresh) if (s := display_score(p, ahead[i], c)) is not None]
-    match = dict(_greedy(scored))
+    boxes = _padded(dets)
+    rows = columns = np.zeros(0, int)
+    if shown and dets:
+        ahead = _ahead(shown, time_sec)
+        score, possible, pair = display_scores(shown, ahead, dets, boxes)
+        rows, columns = _assign(score, possible)
+        eased = _eased([shown[i] for i in rows], ahead[rows], [dets[j] for j in columns], boxes[columns], pair["distance"][rows, columns], pair["change"][rows, columns], time_sec)
+    moved = dict(zip(rows.tolist(), eased)) if len(rows) else {}
     out = []
     for i, p in enumerate(shown):
-        if i in match:
-            c, a = fresh[match[i]], ahead[i]
-            w = _alpha(p, _distance(a, c), _size_change(a, c))
-            nxt = {**c, **{n: a[n] * (1 - w) + c[n] * w for n in SIZE}}
-            dt = max(1 / 120, abs(nxt["time"] - p["time"]))
-            top = TOP_SPEED["face" if c["kind"] == "face" else "object"]
-            for v, n, lim in zip(VELOCITY, SIZE, (top, top, TOP_SIZE_SPEED, TOP_SIZE_SPEED)):
-                speed = max(-lim, min(lim, (nxt[n] - p[n]) / dt))
-                nxt[v] = p[v] * (1 - VELOCITY_BLEND) + speed * VELOCITY_BLEND
-            out.append({**nxt, "id": p["id"], "held": False})
-        else:
-            hold = HOLD_IDENTIFIED if p["kind"] == "face" and p["person_id"] else HOLD
-            if time_sec - p["seen"] <= hold:
-                slow = {"vx": p["vx"] * 0.86, "vy": p["vy"] * 0.86, "vwidth": p["vwidth"] * 0.82, "vheight": p["vheight"] * 0.82}
-                out.append({**p, **slow, "held": True})
-    used = set(match.values())
-    for j, c in enumerate(fresh):
-        if j not in used:
-            out.append({**c, "id": _key(c) or f"{c['kind']}:{c['label']}:{c['det_id']}", "held": False})
+        hold = HOLD_IDENTIFIED if p["kind"] == "face" and p["person_id"] else HOLD
+        if i in moved:
+            out.append(moved[i])
+        elif time_sec - p["seen"] <= hold:
+            out.append(p | dict(zip(VELOCITY, (_numbers([p], VELOCITY)[0] * SLOWING).tolist())) | {"held": True})
+    keys = _keys(dets)
+    for j in sorted(set(range(len(dets))) - set(columns.tolist())):
+        d = dets[j]
+        start = dict(zip(SIZE, boxes[j].tolist())) | dict.fromkeys(VELOCITY, 0.0)
+        out.append(d | start | {"time": time_sec, "seen": time_sec, "id": keys[j] or f"{d['kind']}:{d['label']}:{d['det_id']}", "held": False})
     return out
 
 
