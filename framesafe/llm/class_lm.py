@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, per_batch, pieces, signed
+from .common import Words, distinct_in_rows, per_batch, pieces, signed
 
 CLASS_WORDS, CLASSES = 1024, 32
 HEAD = 400_000
@@ -153,12 +153,9 @@ class ClassModel:
         base = np.log10((n + 1) / under)
         add = lambda x: np.bincount(row, x, rows)
         rare = np.flatnonzero(~frequent & ~(end & (self.tokens == 0)))
-        order = rare[np.lexsort((hashes[rare], row[rare]))]
-        h, r = hashes[order], row[order]
-        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else order
-        times = np.diff(np.r_[new, len(h)])
-        cuts = np.searchsorted(r[new], np.arange(rows + 1)).astype(np.int32)
-        return add(None).astype(np.int64), add((n > 0).astype(float)).astype(np.int64), add(base), add(np.log10(p)), h[new], times.astype(np.int32), cuts
+        words, r, times = distinct_in_rows(hashes[rare], row[rare])
+        cuts = np.searchsorted(r, np.arange(rows + 1)).astype(np.int32)
+        return add(None).astype(np.int64), add((n > 0).astype(float)).astype(np.int64), add(base), add(np.log10(p)), words, times.astype(np.int32), cuts
 
 
 def train(docs: DataFrame, class_words: int = CLASS_WORDS, classes: int = CLASSES, head: int = HEAD) -> tuple[ClassModel, DataFrame]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import LOWER, SPACE, RangeHash, filter_bits, may_hold, per_batch, pieces, seen_twice_filter, signed
+from .common import LOWER, SPACE, RangeHash, distinct_in_rows, filter_bits, may_hold, per_batch, pieces, seen_twice_filter, signed
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -71,9 +71,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in pieces(batch.column("text")):
             _, _, hashed, row = _line_keys(data, offsets, min_chars)
-            order = np.lexsort((row, hashed))
-            hashed, row = hashed[order], row[order]
-            yield hashed[np.r_[True, (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])]] if len(hashed) else hashed
+            yield distinct_in_rows(hashed, row)[0]
 
     bitmap = seen_twice_filter(texts, hashes, bits)
 

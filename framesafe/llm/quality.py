@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, per_batch, pieces, shingle_hashes
+from .common import Words, distinct_in_rows, per_batch, pieces, shingle_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "symbols", "calls", "spaces", "wide", "log_lines",
@@ -62,14 +62,12 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.bincount(w.row[mask], minlength=rows) / many
 
     def distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((hashes, row))
-        h, r = hashes[order], row[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.zeros(0, bool)
-        runs = np.diff(np.r_[np.flatnonzero(new), len(h)])
-        top = np.zeros(rows)
-        np.maximum.at(top, r[new], runs)
-        total = np.maximum(np.bincount(row, minlength=rows), 1)
-        return np.bincount(r[new], minlength=rows) / total, top / total
+        _, r, times = distinct_in_rows(hashes, row)
+        top, total = np.zeros(rows), np.maximum(np.bincount(row, minlength=rows), 1)
+        if len(r):
+            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            top[r[starts]] = np.maximum.reduceat(times, starts)
+        return np.bincount(r, minlength=rows) / total, top / total
 
     words, top = distinct(w.hash, w.row)
     triples, _ = distinct(*shingle_hashes(w.hash, w.row, w.first, 3))
