@@ -38,6 +38,8 @@ TREES, LEVELS, BRANCHES = 16, 3, 2
 LEAF = 64  # a larger node goes down a level
 BLOCK = 2048  # of a large leaf
 FLOOR = 0.53
+FEW_HOLDERS = 32
+SMALL = 16  # larger groups are compared by matrices
 HASHES = TREES * (1 + (LEVELS - 1) * BRANCHES)
 
 ROW = "doc_id long, n_shingles int, fp_a long, fp_b long, keys binary"
@@ -119,15 +121,34 @@ def _compared(batches: Iterator[pa.RecordBatch]):
         ids, comp, n, rest = (t.column(c).to_numpy() for c in ("id", "comp", "n", "rest"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
 
-        def pairs(group=group, ids=ids, comp=comp, n=n, rest=rest, sketch=sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for d in range(1, int(np.bincount(group).max())):
-                i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & (rest[d:] | rest[:-d]) & (ids[d:] != ids[:-d]))
-                fit = np.minimum(n[i], n[i + d]) * 100 >= np.maximum(n[i], n[i + d]) * PERCENT
-                i = i[fit]
-                for at in range(0, len(i), 1 << 15):
-                    x = i[at : at + (1 << 15)]
-                    x = x[(sketch[x] == sketch[x + d]).sum(1) >= FLOOR * HASHES]
-                    yield x, x + d
+        def fit(x: np.ndarray, y: np.ndarray, comp=comp, n=n, rest=rest, ids=ids) -> np.ndarray:
+            apart = (comp[x] != comp[y]) & (rest[x] | rest[y]) & (ids[x] != ids[y])
+            return apart & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT)
+
+        def pairs(group=group, rest=rest, sketch=sketch, fit=fit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            first, size = np.unique(group, return_index=True, return_counts=True)[1:]
+            few = np.flatnonzero(np.repeat(size <= SMALL, size))  # small groups: all of a distance together
+            for d in range(1, SMALL):
+                x = few[few + d < len(group)]
+                x = x[group[x] == group[x + d]]
+                if not len(x):
+                    break
+                x = x[fit(x, x + d)]
+                x = x[(sketch[x] == sketch[x + d]).sum(1) >= FLOOR * HASHES]
+                yield x, x + d
+            for at, m in zip(first[size > SMALL], size[size > SMALL]):  # large ones: a count matrix, some rows at a time
+                every, columns = np.arange(at, at + m), np.ascontiguousarray(sketch[at : at + m].T)
+                mine = every[rest[every]]
+                for k in range(0, len(mine), 512):
+                    rows = mine[k : k + 512]
+                    same = np.zeros((len(rows), m), np.uint8)
+                    for column in columns:
+                        same += column[rows - at, None] == column[None, :]
+                    a, b = np.nonzero(same >= FLOOR * HASHES)
+                    a, b = rows[a], every[b]
+                    x, y = np.minimum(a, b), np.maximum(a, b)
+                    good = (x < y) & fit(x, y)
+                    yield x[good], y[good]
 
         yield t, ids, pairs()
 
@@ -141,13 +162,13 @@ def _first_partners(members: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, pairs in _compared(batches):
-            low, up = np.full(len(ids), -1), np.full(len(ids), -1)
+            none = len(ids)
+            low, up = np.full(none, none), np.full(none, none)
             for x, y in pairs:
-                low[y] = x
-                first = up[x] < 0
-                up[x[first]] = y[first]
-            has = low >= 0
-            only = ~has & (up >= 0)
+                np.minimum.at(low, y, x)
+                np.minimum.at(up, x, y)
+            has = low < none
+            only = ~has & (up < none)
             a, b = np.r_[ids[low[has]], ids[only]], np.r_[ids[has], ids[up[only]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -200,23 +221,32 @@ def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: pairs are listed for shingles of few holders, others multiplied."""
     m = len(sizes)
-    row = np.repeat(np.arange(m), sizes)
     _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    mine = shared[column]
-    row, column = row[mine], number[column[mine]]
-    both = np.zeros((m, m), np.float32)
-    width = max(1, (1 << 22) // m)
     order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(column, [at, at + width])
-        held = np.zeros((m, width), np.float32)
-        held[row[lo:hi], column[lo:hi] - at] = 1
-        both += held @ held.T
-    return both.astype(np.int64)
+    row, column = np.repeat(np.arange(m), sizes)[order], column[order]
+    holders = times[column]
+    few = (holders > 1) & (holders <= FEW_HOLDERS)
+    r, c = row[few], column[few]
+    both = np.zeros(m * m, np.int64)
+    for d in range(1, min(FEW_HOLDERS, len(r))):
+        pair = np.flatnonzero(c[d:] == c[:-d])
+        if not len(pair):
+            break
+        code, n = np.unique(r[pair] * m + r[pair + d], return_counts=True)
+        both[code] += n
+    both = both.reshape(m, m)
+    both += both.T
+    many = holders > FEW_HOLDERS
+    r, c = row[many], np.unique(column[many], return_inverse=True)[1]
+    width = max(1, (1 << 22) // m)
+    for at in range(0, int(c.max()) + 1 if len(c) else 0, width):
+        lo, hi = np.searchsorted(c, [at, at + width])
+        held = np.zeros((m, min(width, int(c[-1]) + 1 - at)), np.float32)
+        held[r[lo:hi], c[lo:hi] - at] = 1
+        both += (held @ held.T).astype(np.int64)
+    return both
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
