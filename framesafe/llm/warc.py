@@ -26,9 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framesafe.session import checkpoint
-
-from .common import shared_folder
+from .common import shared_folder, stored
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -41,7 +39,7 @@ def _records(pages: DataFrame, min_revisit: int) -> DataFrame:
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "bytes": F.octet_length("html")})
     heads = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= min_revisit)
     heads = heads.groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("digest")).agg(F.min("page_id").alias("head"), F.count("*").alias("n"))
-    joined = rows.join(checkpoint(heads.where("n > 1 AND head IS NOT NULL").select("digest", "head")), "digest", "left")
+    joined = rows.join(stored(heads.where("n > 1 AND head IS NOT NULL").select("digest", "head")), "digest", "left")
     revisit = F.col("head").isNotNull() & ~F.col("head").eqNullSafe(F.col("page_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -120,21 +118,21 @@ def _reached(found: DataFrame) -> DataFrame:
     named = found.where("block_bytes IS NOT NULL").withColumn("next", next_)
     breaks = F.when(F.lag("next").over(order).eqNullSafe(F.col("off")), 0).otherwise(1)
     runs = named.withColumn("new", breaks).withColumn("run", F.sum("new").over(order)).drop("new")
-    runs = checkpoint(runs.withColumn("run", F.struct("split", "run")))
+    runs = stored(runs.withColumn("run", F.struct("split", "run")))
     exits = runs.groupBy("file", "run").agg(F.max("next").alias("next"))
     goal = runs.select("file", F.col("off").alias("next"), F.col("run").alias("to"))
-    jump = checkpoint(exits.join(goal, ["file", "next"]).select("file", "run", "to", F.col("next").alias("entry")))
+    jump = stored(exits.join(goal, ["file", "next"]).select("file", "run", "to", F.col("next").alias("entry")))
     step, reach = jump.select("file", "run", "to"), runs.where("off = 0").select("file", "run")
     known = reach.count()
     while True:
         ahead = reach.join(step, ["file", "run"]).select("file", F.col("to").alias("run"))
-        reach = checkpoint(reach.union(ahead).distinct())
+        reach = stored(reach.union(ahead).distinct())
         now = reach.count()
         if now == known:
             break
         known = now
         second = step.select("file", F.col("run").alias("to"), F.col("to").alias("beyond"))
-        step = checkpoint(step.join(second, ["file", "to"]).select("file", "run", F.col("beyond").alias("to")))
+        step = stored(step.join(second, ["file", "to"]).select("file", "run", F.col("beyond").alias("to")))
     entries = reach.join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), "entry")
     entries = entries.union(runs.where("off = 0").select("file", "run", F.lit(0).cast("long").alias("entry")))
     entries = entries.groupBy("file", "run").agg(F.min("entry").alias("entry"))
@@ -148,7 +146,7 @@ def _cut_payloads(spark: SparkSession, folder: str, records: DataFrame, found: D
     order = Window.partitionBy("file").orderBy("off")
     owner = F.last(F.when(F.col("real"), F.col("off")), ignorenulls=True).over(order)
     owned = found.select("file", "off").join(starts, ["file", "off"], "left").withColumn("owner", owner)
-    needed = checkpoint(owned.join(broken.select("file", F.col("off").alias("owner"), "skip", "payload_bytes"), ["file", "owner"]))
+    needed = stored(owned.join(broken.select("file", F.col("off").alias("owner"), "skip", "payload_bytes"), ["file", "owner"]))
     again = _offsets(_cuts(spark, folder).withColumn("length", F.octet_length("value").cast("long")))
     parts = needed.join(again.select("file", "off", "value"), ["file", "off"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC)
@@ -162,15 +160,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     The digest is computed from the payload read; a revisit has the length and digest of its response.
     """
-    found = checkpoint(_offsets(_parse(_cuts(spark, folder))))
-    records = checkpoint(_reached(found))
+    found = stored(_offsets(_parse(_cuts(spark, folder))))
+    records = stored(_reached(found))
     if not records.where("digest IS NULL").isEmpty():
         joined = _cut_payloads(spark, folder, records, found)
-        records = checkpoint(records.join(joined, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "joined")))
+        records = stored(records.join(joined, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "joined")))
     responses = records.where("type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("said"), F.col("payload_bytes").alias("of"))
     out = ["page_id", "url", "type", "payload_bytes", "digest", "refers_to", "file", "off"]
     own = records.where("type IS DISTINCT FROM 'revisit'").select(*out)
-    again = records.where("type = 'revisit'").drop("payload_bytes", "digest").join(checkpoint(responses.distinct()), ["refers_to", "said"], "left")
+    again = records.where("type = 'revisit'").drop("payload_bytes", "digest").join(stored(responses.distinct()), ["refers_to", "said"], "left")
     again = again.select(*[F.col({"payload_bytes": "of", "digest": "said"}.get(c, c)).alias(c) for c in out])
     return own.union(again).withColumnsRenamed({"type": "record_type", "digest": "payload_digest"})
 
