@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits (any character above ASCII counts as a letter), lower-cased.
 
-1. A pass over all documents counts, for each three-word gram of the benchmark, the documents that hold
-   it (a bit map of bounded size tells the benchmark's grams; counts are added up per task first).
-2. An item's seeds are the rarer half of its grams that documents hold and all that are at most ``RARE`` times as frequent as its
-   lower quartile: an item keeps seeds however often it leaked, also those that partial copies raise.
-3. A second pass emits, around each seed in a document, a passage that reaches two item lengths to both
-   sides; joined on the seed they give the pairs of passage and item to align.
+1. The seeds of an item are all its three-word grams, however many documents hold them: copies of one item
+   that change different words share different grams with it, so none can be left out for being frequent.
+2. A pass over all documents emits, around each seed in a document, a passage that reaches two item lengths
+   to both sides (a bit map of bounded size tells the seeds); joined on the seed they give the pairs of
+   passage and item. Both joins are dealt by a salt too, as a seed or an item may be hot.
+3. A pair whose passage holds too few of the item's words to reach ``threshold`` with all of them matched is
+   dropped; the bound is exact.
 4. The alignment (match 2, mismatch -1, gap -1) is scored against that of the item with itself. Pairs of
-   ``threshold`` or more are leaks: exact, edited and paraphrased copies, and parts of half an item.
+   ``threshold`` or more are leaks: exact, edited and paraphrased copies, and parts of half an item. A copy
+   that keeps no three words in a row of the item is not looked up (every third word changed scores 0.5).
 
 Null and empty texts, rows without ``doc_id`` and items without ``item_id`` or with fewer than three words
 match nothing. Repeated rows give one result per ``doc_id`` and ``item_id``: the best. Other columns are not read.
@@ -21,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, distinct_in_rows, filter_bits, id_filter, may_hold_ids, per_batch, pieces, signed
+from .common import Words, filter_bits, id_filter, may_hold_ids, per_batch, pieces, signed
 
 GRAM = 3
-RARE = 8
+SALTS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS = 1 << 21  # of the alignment rows that are computed together
 
@@ -68,33 +70,6 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return per_batch(texts, work, "item_id long, item array<long>, grams array<long>").where(F.size("item") >= GRAM)
 
 
-def _gram_counts(texts: DataFrame, bitmap, bits: int) -> DataFrame:
-    """``gram, n``: documents that hold a gram of the map."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def add(new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            every, where = np.unique(np.concatenate([grams, *new]), return_inverse=True)
-            weight = np.concatenate([counts, np.ones(sum(map(len, new)), np.int64)])
-            return every, np.bincount(where, weight, len(every)).astype(np.int64)
-
-        waiting: list[np.ndarray] = []
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch.column("text")):
-                hashes, row, _ = _grams(Words(data, offsets, BETWEEN))
-                hit = may_hold_ids(bitmap.value, signed(hashes), bits)
-                waiting.append(distinct_in_rows(hashes[hit], row[hit])[0])
-                if sum(map(len, waiting)) > 1 << 20:
-                    grams, counts = add(waiting)
-                    waiting = []
-        grams, counts = add(waiting)
-        if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), pa.array(counts)], ["gram", "n"])
-
-    return texts.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _passages(texts: DataFrame, bitmap, bits: int, reach: int) -> DataFrame:
     """``doc_id, start, words, seeds``: stretches of words around the seeds; overlapping ones are one."""
 
@@ -149,7 +124,8 @@ def _align(pairs: DataFrame, threshold: float) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         items = [x.values.to_numpy() for x in batch.column("item")]
         passages = [x.values.to_numpy() for x in batch.column("words")]
-        order = sorted(range(len(items)), key=lambda i: (len(passages[i]), len(items[i])))
+        able = [i for i, (x, y) in enumerate(zip(items, passages)) if np.isin(x, y).mean() >= threshold]
+        order = sorted(able, key=lambda i: (len(passages[i]), len(items[i])))
         ids, starts, item_ids = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy(), batch.column("item_id").to_numpy()
         found: list[tuple] = []
         while order:
@@ -183,18 +159,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
         return spark.createDataFrame([], MATCHES)
     reach, bits = 2 * size[0], filter_bits(size[1])
     grams = checkpoint(items.select("item_id", F.explode("grams").alias("gram")).distinct())
-    counts = checkpoint(_gram_counts(texts, id_filter(grams, "gram", bits), bits))
-    rarity = Window.partitionBy("item_id").orderBy("n", "gram")
-    ranked = grams.join(counts, "gram")  # grams that no document holds are no use as seeds
-    ranked = ranked.withColumns({"k": F.row_number().over(rarity), "of": F.count("*").over(Window.partitionBy("item_id"))})
-    usual = F.max(F.when(F.col("k") == F.ceil(F.col("of") / 4), F.col("n"))).over(Window.partitionBy("item_id"))
-    rare = (2 * F.col("k") <= F.col("of") + 1) | (F.col("n") <= RARE * F.col("usual"))
-    seeds = checkpoint(ranked.withColumn("usual", usual).where(rare).select("item_id", "gram"))
-    passages = checkpoint(_passages(texts, id_filter(seeds, "gram", bits), bits, reach))
+    passages = checkpoint(_passages(texts, id_filter(grams, "gram", bits), bits, reach))
     key = ["doc_id", "start", "mark"]
     passages = passages.withColumn("mark", F.xxhash64("words"))
-    pairs = passages.select(*key, F.explode("seeds").alias("gram")).join(seeds, "gram").select(*key, "item_id").distinct()
-    ready = pairs.join(passages.select(*key, "words"), key).join(items.select("item_id", "item"), "item_id")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int").alias("salt")
+    pairs = passages.select(*key, salt, F.explode("seeds").alias("gram")).join(salted(grams), ["gram", "salt"]).select(*key, "salt", "item_id").distinct()
+    ready = pairs.join(passages.select(*key, "words"), key).join(salted(items.select("item_id", "item")), ["item_id", "salt"])
     found = _align(ready.select("doc_id", "start", "words", "item_id", "item"), threshold)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("first_word"), -F.col("last_word"))).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), (-F.col("b.col3")).alias("last_word"))

@@ -264,6 +264,16 @@ def test_leaks_are_exact_edited_and_partial_copies(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 == decontaminate.leaks(df, bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("copies", [8, 9, 1000])
+def test_edited_copies_are_found_however_many_beside_a_full_one(spark, copies):
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join("other" if k % 4 == 3 else w for k, w in enumerate(item))
+    docs = [(0, "before " + " ".join(item) + " after")] + [(d, f"before x{d} {edited} after") for d in range(1, copies + 1)] + [(5000, "before w0 w1 w2 after")]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got.pop(0) == 1.0 and sorted(got) == list(range(1, copies + 1)) and min(got.values()) >= 0.5
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(2)
     items = [rng.integers(10, 16, rng.integers(1, 12)) for _ in range(60)]
