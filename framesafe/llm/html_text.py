@@ -5,6 +5,10 @@ own and its neighbours' word counts and link densities, by whether it is a headi
 to the page's article (if it marks one), and by whether page furniture (menus, sidebars, notices, adverts,
 forms, comments ...) holds it. The tree is trained on the small labelled table below.
 
+Names are weaker signs than tags: an article inside a container that only a name makes furniture ("sidebar
+layout") counts as the page's article if it holds more words than all other text (``_settled``). A page
+marks an article only where one holds text that is not furniture.
+
 Scripts, styles, comments and tags are no text. Character references are decoded; white space inside a
 block becomes one space; blocks are trimmed and, if not empty, joined in page order by an empty line.
 Nothing is cut or capped. Null or empty html, and pages without an article, give an empty text. Repeated
@@ -67,6 +71,17 @@ FURNITURE = re.compile(
 )
 OUTER = re.compile(r"(?i)(?<![a-z])(?:header|masthead|footer|banner|topbar|bottom|copyright|aside|side)(?![a-z])")
 ARTICLE = re.compile(r"(?i)(?<![a-z])(?:articlebody|main)(?![a-z])")
+# what an article's name may say besides
+WITH_MAIN = frozenset(
+    "articlebody main area article block body center col column container content contents entry inner left page post region right section site story"
+    " text view wrap wrapper".split()
+) | {""}
+# names of lists that hold articles other than the page's own
+LISTS = re.compile(r"(?i)(?<![a-z])(?:comments?|commentlist|disqus\w*|respond|replies|reply|related|recommended)(?![a-z])")
+# "has-sidebar", "content-with-left-sidebar", "no-comments": these tell of furniture elsewhere
+MODIFIER = re.compile(r"(?i)(?<![a-z])(?:has|with|without|no)[-_][\w-]*")
+# kinds of furniture: by tag; an outer frame; by name; by a name of LISTS; an article in either of the last two
+FIRM, FRAME, SOFT, LISTED, IN_SOFT, IN_LISTED = range(1, 7)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -79,6 +94,20 @@ NAMED = re.compile(r"""(?i)(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*
 OPEN_ARTICLE = re.compile(r"(?i)<(?:article|main)\b")
 
 
+def _names_article(names: str) -> bool:
+    """Whether one name is an article's, and no "main-nav" or "main-logo"."""
+    return any(ARTICLE.search(n) and WITH_MAIN.issuperset(re.split("[^a-z]+", n.lower())) for n in names.split())
+
+
+def _settled(blocks: list[tuple]) -> list[tuple]:
+    """The blocks with furniture as 0 or 1, once the whole page tells which articles inside furniture are its own."""
+    soft = sum(b[1] for b in blocks if b[5] == IN_SOFT)
+    other = sum(b[1] for b in blocks if not b[5])
+    listed = sum(b[1] for b in blocks if b[5] == IN_LISTED)
+    own = {0} | ({IN_SOFT} if soft > other else set()) | ({IN_LISTED} if listed and not soft and not other else set())
+    return [(*b[:5], int(b[5] not in own)) for b in blocks]
+
+
 def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """Text, words, linked words, heading, article and furniture of each block that holds text."""
     blocks: list[tuple] = []
@@ -141,22 +170,35 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 close("p")
             open_.append((tag, article, furniture, heading, link))
             names = " ".join(x or y or z for x, y, z in NAMED.findall(attributes)) if "=" in attributes else ""
-            if tag in ("article", "main") or names and ARTICLE.search(names):
-                if not article and furniture == 2:  # an outer frame of that name holds the article
+            names = MODIFIER.sub(" ", names) if names else ""
+            opens = tag in ("article", "main") or bool(names) and tag not in FURNITURE_TAGS and tag != "header" and _names_article(names)
+            if names and tag not in ("html", "body", "article", "main") and furniture != FIRM:
+                if FURNITURE.search(names):
+                    furniture = LISTED if furniture in (LISTED, IN_LISTED) or LISTS.search(names) else SOFT
+                elif not article and not opens and not furniture and OUTER.search(names):
+                    furniture = FRAME
+            if opens:
+                if furniture == FRAME and not article:  # an outer frame of that name holds the article
                     furniture = 0
+                elif furniture == SOFT:
+                    furniture = IN_SOFT
+                elif furniture == LISTED:
+                    furniture = IN_SOFT if tag == "main" else IN_LISTED
                 article = 1
             if tag in FURNITURE_TAGS or tag == "header" and not article:
-                furniture = 1
-            elif names and tag not in ("html", "body", "article", "main") and furniture != 1:
-                furniture = 1 if FURNITURE.search(names) else 2 if not article and OUTER.search(names) else furniture
+                furniture = FIRM
             elif tag == "article" and names and re.search(r"(?i)(?<![a-z])comment", names):
-                furniture = 1
+                furniture = FIRM
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = 1
     if at < len(page):
         say(page[at:])
     flush()
-    return blocks
+    return _settled(blocks)
+
+
+def marks_article(blocks: list[tuple]) -> bool:
+    return any(b[4] and not b[5] for b in blocks)
 
 
 def block_features(blocks: list[tuple], marked: bool) -> np.ndarray:
@@ -213,7 +255,7 @@ def main_text(page: str | None) -> str:
     blocks = flat_blocks(page) if page else []
     if not blocks:
         return ""
-    keep = classify(_trained(), block_features(blocks, any(b[4] for b in blocks)))
+    keep = classify(_trained(), block_features(blocks, marks_article(blocks)))
     return "\n\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
@@ -225,7 +267,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [flat_blocks(p) if p else [] for p in part.column("html").to_pylist()]
-            rows = [block_features(b, any(x[4] for x in b)) for b in found if b]
+            rows = [block_features(b, marks_article(b)) for b in found if b]
             keep = iter(classify(tree, np.concatenate([np.zeros((0, len(FEATURES))), *rows])).tolist())
             texts = ["\n\n".join([b[0] for b in blocks if next(keep)]) for blocks in found]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])

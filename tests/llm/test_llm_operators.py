@@ -124,6 +124,25 @@ def test_pages_without_article_keep_long_blocks():
     assert html_text.main_text(page) == f"{long}\n\n{long} end"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "sidebar-layout", "wrap with-left-sidebar no-comments", "search-page", "related-on"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_articles_in_containers_with_furniture_names_are_kept(name, tag):
+    page = f"""<nav class="main-nav"><a href=x>Home</a></nav><div class="{name}"><{tag}><h1>Title</h1><p>First of the text.</p><div class="ad">Buy now</div>
+    <p>Second.</p></{tag}><div class="sidebar"><p>Elsewhere</p></div></div><footer>me</footer>"""
+    assert html_text.main_text(page) == "Title\n\nFirst of the text.\n\nSecond."
+
+
+@pytest.mark.parametrize("name", ["main-nav", "main-menu", "main-header", "main-logo", "sidebar"])
+def test_names_of_furniture_mark_no_article(name):
+    long = " ".join(f"word{i}" for i in range(60))
+    for tag in ("nav", "div"):
+        page = f"<body><{tag} class='{name}'><a href=x>Home</a></{tag}><div>{long}</div><div>{long} end</div></body>"
+        assert html_text.main_text(page) == f"{long}\n\n{long} end"
+    teasers = "<div class='related'><article>Read this as well</article></div><div class='widgets'><article>And this</article></div>"
+    assert html_text.main_text(f"<div>{long}</div><div>{long} end</div>{teasers}") == f"{long}\n\n{long} end"
+    assert html_text.main_text(f"<main><article>{long}</article>{teasers}</main>") == long
+
+
 def test_page_rows(spark):
     long = "<article>" + "<p>one &lt; two</p>" * 20000
     rows = [(1, "u", "<article><p>A"), (2, None, None), (3, "u", ""), (None, "u", "<article>B</article>"), (5, "u", long), (5, "u", "<<a<p x='>'>")]
