@@ -419,6 +419,34 @@ def test_class_model_is_a_distribution(spark, corpus):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_every_training_word_has_a_class(spark, corpus):
+    df = spark.createDataFrame(corpus, DOC)
+    model, words = class_lm.train_all(df, class_words=20, classes=4)
+    table = {r.word: (r.n, r.kind) for r in words.collect()}
+    end = int(class_lm.END_HASH.view(np.int64))
+    assert table[end][1] == class_lm.END and {k for w, (_, k) in table.items() if w != end} <= {2, 3, 4, 5} and len(table) == model.distinct
+    for before in range(6):
+        n, kind = np.array(list(table.values())).T
+        unseen = model.chance(np.array([before]), np.array([class_lm.REST]), np.array([0]))
+        assert model.chance(np.full(len(n), before), kind, n).sum() + unseen.sum() == pytest.approx(1, abs=1e-9)
+    # the class bigrams and the scores by brute force, whatever number of words the tasks hold
+    import pyarrow as pa
+
+    moves, want = np.zeros((6, 6)), []
+    for i, t in corpus:
+        tokens = class_lm._tokens(*next((d, o) for _, _, d, o in common.pieces(pa.array([t or ""]))))[0].view(np.int64)
+        n, kind = np.array([table.get(int(w), (0, class_lm.REST)) for w in tokens]).T
+        before = np.r_[class_lm.END, kind[:-1]]
+        want.append((str(i), len(tokens), round(float(np.log10(model.chance(before, kind, n)).sum()), 6)))
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            np.add.at(moves, (before, kind), 1)
+    assert (model.moves == moves).all()
+    for head in (40, 100_000):
+        got = class_lm.score(df, class_words=20, classes=4, head=head).collect()
+        for g, w in zip(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got), sorted(want)):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-5)
+
+
 def test_exchange_clustering_ends_where_no_move_helps():
     pairs = np.random.default_rng(0).poisson(2, (24, 24)).astype(float)
 
