@@ -467,30 +467,46 @@ def _merge_clusters(pdf: pd.DataFrame, job: str, threshold: float) -> pd.DataFra
 # -- identities across jobs ------------------------------------------------------------------
 
 
-def resolve_identities(people: DataFrame, key: str = "person_key", vec: str = "centroid", threshold: float = LINK_SIM,
-                       bands: int = 16, bits: int = 6, seed: int = 7) -> DataFrame:
+def _linked_keys(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A tree of keys for each component of a matrix of links: as many rows as members, however dense the links."""
+    open_left, open_right = linked.any(1), linked.any(0)
+    a, b = [left[:0]], [left[:0]]
+    for first in np.flatnonzero(open_left):
+        rows = np.array([first]) if open_left[first] else np.zeros(0, int)
+        while len(rows):
+            open_left[rows] = False
+            columns = np.flatnonzero(linked[rows].any(0) & open_right)
+            open_right[columns] = False
+            b += [left[rows], right[columns]]
+            a += [np.repeat(left[first : first + 1], len(rows) + len(columns))]
+            rows = np.flatnonzero(linked[:, columns].any(1) & open_left)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def resolve_identities(people: DataFrame, key: str = "person_key", vec: str = "centroid", threshold: float = LINK_SIM, block: int = 2048) -> DataFrame:
     """Link people of different jobs that look alike: ``(key, identity)``.
 
-    Random-plane signatures put similar vectors into shared buckets. Inside a bucket every member is
-    compared with the bucket's smallest key only, so a crowded bucket costs one comparison per member.
-    Links above the threshold are closed to connected components by label passing.
+    Every pair of people is compared: blocks of vectors meet in pairs, one matrix product each, and a pair
+    of blocks gives a tree of its links. Links above the threshold are closed to connected components by
+    label passing. The work grows with the square of the people, divided over the pairs of blocks.
     """
-    dim = len(people.select(vec).where(F.col(vec).isNotNull()).first()[0])
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    powers = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<long>")
-    def signature(v: pd.Series) -> pd.Series:
-        on = (_matrix(v) @ planes.T > 0).reshape(len(v), bands, bits)
-        return pd.Series(list((on * powers).sum(2) + np.arange(bands) * (1 << bits)))
-
-    base = people.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("__v"))
-    sig = base.select(key, F.explode(signature("__v")).alias("__b"), "__v")
-    head = sig.groupBy("__b").agg(F.min(F.struct(F.col(key), "__v")).alias("__h"))
-    links = sig.join(head, "__b").where(F.col(key) != F.col(f"__h.{key}"))
-    links = links.where(cosine(F.col("__v"), F.col("__h.__v")) > threshold)
-    edges = links.select(F.col(key).alias("a"), F.col(f"__h.{key}").alias("b")).distinct()
-    labels = connected_components(base.select(F.col(key).alias("node")), edges)
+    base = people.where(F.col(vec).isNotNull()).select(F.col(key).alias("node"), F.col(vec).alias("v")).distinct()
+    blocks = max(1, -(-base.count() // block))
+    each = base.withColumn("mine", F.pmod(F.xxhash64("node", "v"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    met = each.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(rows["v"])
+        v = v / np.maximum(np.abs(v).max(1, keepdims=True), 1e-300)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        of, keys = rows["mine"].to_numpy(), rows["node"].to_numpy()
+        left, right = of == rows["i"].iloc[0], of == rows["j"].iloc[0]
+        a, b = _linked_keys(keys[left], keys[right], v[left] @ v[right].T > threshold)
+        return pd.DataFrame({"a": a, "b": b})[a != b]
+
+    kind = base.schema["node"].dataType.simpleString()
+    edges = met.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    labels = connected_components(base.select("node"), edges)
     return labels.select(F.col("node").alias(key), F.col("label").alias("identity"))
 
 

@@ -363,3 +363,24 @@ def test_mask_plan_thins_detector_objects_only(spark):
     got = {(r.kind, r.origin): r.n for r in plan.groupBy("kind", "origin").count().withColumnRenamed("count", "n").collect()}
     assert got == {("face", "lane"): 1, ("face", "detection"): 6, ("object", "detection"): 2 + 6}
 
+
+def test_identities_link_every_pair_above_the_limit(spark):
+    import numpy as np
+    from framesafe.operators import identity
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((150, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(150, [0.0] * 16), (151, None)]
+    people = spark.createDataFrame(rows, "person_key long, centroid array<double>")
+    people.createOrReplaceTempView("people_pairs")
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0D, (s, p) -> s + p)"
+    a, b = "a.centroid", "b.centroid"
+    for limit in (0.55, 0.6, 0.7):
+        links = spark.sql(f"SELECT a.person_key x, b.person_key y FROM people_pairs a JOIN people_pairs b ON a.person_key < b.person_key AND {dot(a, b)} > {limit} * sqrt({dot(a, a)} * {dot(b, b)})").collect()
+        want = list(range(151))
+        for x, y in [(r.x, r.y) for r in links]:
+            low, high = sorted((want[x], want[y]))
+            want = [low if w == high else w for w in want]
+        for block in (2048, 40):
+            got = {r.person_key: r.identity for r in identity.resolve_identities(people, threshold=limit, block=block).collect()}
+            assert got == dict(enumerate(want))
