@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, decontaminate, html_text, line_dedup, near_dups, neighbours, quality, repeats, warc
+from . import bpe, class_lm, crc_resample, decontaminate, html_text, line_dedup, near_dups, neighbours, quality, repeats, warc
 from .common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -133,3 +133,57 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The remainder of each byte under the CRC-32 polynomial, as a list; ``{crc}`` below folds the bytes of a word by it.
+_CRC_TABLE = """
+    steps AS (
+        SELECT i AS byte, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+    crc_table AS (SELECT list(c ORDER BY byte) AS t FROM steps)
+"""
+
+
+def _crc_of(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, in a query that reads ``crc_table``."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen({text}) + 1), "
+        f"lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))), "
+        "lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)))"
+    )
+
+
+@query(
+    "op11_crc_resample",
+    rf"""
+    WITH {_CRC_TABLE},
+    bags AS (
+        SELECT TRUE AS corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        UNION ALL
+        SELECT FALSE, item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    words AS (SELECT corpus, doc_id, unnest(w) AS word FROM bags),
+    hashed AS (SELECT word, {_crc_of('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM words), crc_table),
+    counts AS (
+        SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t
+        FROM words JOIN hashed USING (word) GROUP BY bucket),
+    totals AS (SELECT count(*) FILTER (corpus) AS s_all, count(*) FILTER (NOT corpus) AS t_all FROM words),
+    gain AS (
+        SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g
+        FROM counts, totals),
+    weights AS (
+        SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g
+        FROM words JOIN hashed USING (word) JOIN gain USING (bucket) WHERE corpus GROUP BY doc_id),
+    scored AS (
+        SELECT d.doc_id, coalesce(n, 0) AS n_features,
+               CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+               CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+        FROM documents d LEFT JOIN weights USING (doc_id)),
+    drawn AS (
+        SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n_all
+        FROM scored WHERE n_features >= 20)
+    SELECT s.doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * n_all // 100 THEN rank END AS rank
+    FROM scored s LEFT JOIN drawn USING (doc_id)
+    """,
+)
+def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
