@@ -78,6 +78,17 @@ def moved_on(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _carried(ends: list[int], width: int) -> list[int]:
+    """The prefix before each lane, from the lanes' own CRCs."""
+    each = np.arange(256, dtype=np.uint32)
+    a, b, c, d = (moved_on(each << np.uint32(8 * j), np.full(256, width)).tolist() for j in range(4))
+    crc, out = 0, []
+    for own in ends:
+        out.append(crc)
+        crc = a[crc & 255] ^ b[(crc >> 8) & 255] ^ c[(crc >> 16) & 255] ^ d[crc >> 24] ^ own
+    return out
+
+
 def running_crcs(data: np.ndarray) -> np.ndarray:
     """Raw CRC of each prefix of ``data``: ``len + 1`` numbers, the first of them 0."""
     n = len(data)
@@ -89,14 +100,12 @@ def running_crcs(data: np.ndarray) -> np.ndarray:
     crcs = np.empty((width, lanes), np.uint32)
     state = np.zeros(lanes, np.uint32)
     for k in range(width if lanes else 0):
-        state = BYTE[(state ^ steps[k]) & 255] ^ (state >> 8)
+        state = BYTE.take((state ^ steps[k]) & 255) ^ (state >> 8)
         crcs[k] = state
     # what stands before a lane, moved on along it, is added to all of its prefixes
-    before = np.zeros(lanes, np.uint32)
-    for lane in range(1, lanes):
-        before[lane : lane + 1] = moved_on(before[lane - 1 : lane], np.array([width])) ^ crcs[-1, lane - 1]
+    before = np.array(_carried(crcs[-1].tolist(), width), np.uint32) if lanes else state
     for k in range(width if lanes > 1 else 0):
-        before = BYTE[before & 255] ^ (before >> 8)
+        before = BYTE.take(before & 255) ^ (before >> 8)
         crcs[k] ^= before
     out = np.zeros(n + 1, np.uint32)
     out[1:] = crcs.T.reshape(-1)[:n]

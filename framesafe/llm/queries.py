@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, crc_resample, decontaminate, html_text, line_dedup, near_dups, neighbours, quality, repeats, warc
+from . import bpe, class_lm, crc_resample, decontaminate, html_text, line_dedup, near_dups, neighbours, prefix_trie, quality, repeats, warc
 from .common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -187,3 +187,37 @@ def _crc_of(text: str) -> str:
 )
 def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_resample.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH {_CRC_TABLE},
+    turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS l FROM turns GROUP BY conv_id),
+    forks AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS id, l FROM own),
+    forks_h AS (SELECT conv_id, {_crc_of('id')} % 6 AS h, l FROM forks, crc_table),
+    rebuilt AS (
+        SELECT f.conv_id, list_concat(coalesce(b.l[1 : f.h], []), f.l[f.h + 1 :]) AS p
+        FROM forks_h f LEFT JOIN own b ON b.conv_id = f.conv_id - f.conv_id % 100),
+    spots AS (SELECT conv_id, d AS depth, p[1 : d] AS path, len(p) = d AS ends FROM rebuilt, unnest(range(len(p) + 1)) AS r(d)),
+    nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM spots GROUP BY path, depth),
+    kin AS (SELECT path[1 : depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+    valued AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS saved
+        FROM nodes n LEFT JOIN kin USING (path, depth)),
+    totals AS (
+        SELECT path[1 : a] AS path, a AS depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+        FROM valued, unnest(range(depth + 1)) AS r(a) GROUP BY ALL)
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, t.n_leaves, t.saved_tokens, v.ends_sha256
+    FROM valued v JOIN totals t USING (path, depth) LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = v.path[1 : v.depth - 1]
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.forked_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
