@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, crc_resample, decontaminate, html_text, line_dedup, near_dups, neighbours, prefix_trie, quality, repeats, warc
+from . import bpe, class_lm, crc_resample, decontaminate, html_text, lexicon_bpe, line_dedup, near_dups, neighbours, prefix_trie, quality, repeats, warc
 from .common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -221,3 +221,8 @@ def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.forked_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
+@query("op12_lexicon_bpe")
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
