@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, RangeHash, per_batch, pieces, shared_folder, stored
+from .common import PIECE_BYTES, per_batch, pieces, shared_folder, stored
 
 LEXICON = 131_072
 LONGEST = 64  # bytes of a word of the lexicon
@@ -338,6 +338,32 @@ class Lexicon:
         return held, count, met
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin[i], begin[i] + 1, ...``: ``size[i]`` numbers each, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of at most 7 bytes as one number each: their bytes and their length."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    window = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = (ends - starts).astype(np.uint64)
+    return (window[starts] & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1))) | (size << np.uint64(56))
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that stand for all equal ones (short words; others stand for themselves), and the number of each word's among them."""
+    short = (ends - starts <= 7) & (token < 0)
+    at, rest = np.flatnonzero(short), np.flatnonzero(~short)
+    _, first, which = np.unique(_packed(data, starts[at], ends[at]), return_index=True, return_inverse=True)
+    out = np.empty(len(starts), np.int64)
+    out[at] = which
+    out[rest] = np.arange(len(first), len(first) + len(rest))
+    return np.concatenate([at[first], rest]), out
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
@@ -382,29 +408,31 @@ class Encoder:
 
     def encode_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a piece, and the ``rows + 1`` offsets of the texts among them."""
-        starts, ends, token = self.words(data, offsets)
+        every, every_end, token = self.words(data, offsets)
+        own, which = _distinct(data, every, every_end, token)
+        starts, ends, token = every[own], every_end[own], token[own]
         held, count, met = self.lexicon.walk(data, starts, ends)
         held &= token < 0
         lone = np.flatnonzero(~held)
         raw, plain = data.tobytes(), token[lone].tolist()
         merged = [self._unseen(raw[a:b]) if t < 0 else (t,) for a, b, t in zip(starts[lone].tolist(), ends[lone].tolist(), plain)]
         count[lone] = [len(m) for m in merged]
-        first = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(count, out=first[1:])
-        ids = np.zeros(first[-1], np.int32)
+        begin_own = np.cumsum(count) - count
+        ids = np.zeros(count.sum(), np.int32)
         lex = self.lexicon
         for words, place, outputs in met:
             keep = held[words]
-            to, outputs = (first[words] + place)[keep], outputs[keep]
+            to, outputs = (begin_own[words] + place)[keep], outputs[keep]
             begin, size = lex.begin[outputs], lex.size[outputs]
             for k in range(int(size.max(initial=0))):
                 has = size > k
                 ids[to[has] + k] = lex.ids[begin[has] + k]
         if len(lone):
-            size = count[lone]
-            spread = np.repeat(first[lone] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            ids[spread] = [i for m in merged for i in m]
-        return ids, first[np.searchsorted(starts, offsets)]
+            ids[_ranges(begin_own[lone], count[lone])] = [i for m in merged for i in m]
+        size = count[which]
+        first = np.zeros(len(every) + 1, np.int64)
+        np.cumsum(size, out=first[1:])
+        return ids[_ranges(begin_own[which], size)], first[np.searchsorted(every, offsets)]
 
     def encode_texts(self, column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of rows: first row, end row, ids, offsets of the rows among them."""
@@ -419,8 +447,7 @@ class Encoder:
     def bytes_of(self, ids: np.ndarray) -> bytes:
         ids = ids[(ids >= 0) & (ids < len(self.token_sizes))]
         size = self.token_sizes[ids]
-        ends = np.cumsum(size)
-        return self.token_bytes[np.repeat(self.token_ends[ids] - ends, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        return self.token_bytes[_ranges(self.token_ends[ids] - size, size)].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bytes_of(ids).decode("utf-8", "replace")
@@ -463,8 +490,8 @@ def count_words(docs: DataFrame, vocabulary) -> DataFrame:
                     starts, ends, token = encoder.words(part, offsets if len(offsets) > 2 else np.array([0, y - x]))
                     use = (token < 0) & (ends - starts <= LONGEST)
                     starts, ends = starts[use], ends[use]
-                    # equal hashes of different words would only blur the counts
-                    _, at, n = np.unique(RangeHash(part)(starts, ends), return_index=True, return_counts=True)
+                    own, which = _distinct(part, starts, ends, token[use])
+                    at, n = own, np.bincount(which, minlength=len(own))
                     raw = part.tobytes()
                     for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist()):
                         w = raw[a:b]
