@@ -1,24 +1,34 @@
-"""Live detections as keyed state: tracking per job and display smoothing.
+"""Live detections as keyed state on event time: tracking per job, and display smoothing behind it.
 
-The step functions below are pure: state and the detections of one time in, rows and state out; all tracks
-are scored against all detections of a time at once, as matrices. The streaming operators keep that state per job; the batch replays run the same steps over sorted
-rows, so a stream can be checked against its replay.
+The step functions are pure: state and the detections of one time in, rows and state out; all tracks are scored
+against all detections of a time at once, as matrices.
+
+A stream holds the rows of a time in a typed buffer until the watermark has passed it, and then steps once for the
+whole time, in order of time, by an event-time timer. How micro-batches cut a time, and in which order rows arrive
+within the delay, so has no influence. A row that comes after its time was stepped is late: tracking puts it out
+flagged, display drops it. ``live_display`` chains both in one query; the first operator hands its event-time column
+and watermark to the second. State that has run out (tracks after ``MAX_GAP``, boxes after their hold) is dropped by
+timers, and what numbers a job's tracks after ``forget`` seconds without rows.
+
+The batch replays cut a job at gaps after which no state is left, and run the same steps with one state per run; the
+numbers of tracks are made up from the counts per run. So a job is spread over tasks, and a stream can be checked
+against its replay.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..session import spread
+from ..operators import scans
+from ..session import checkpoint, spread
 
 SIZE = ("x", "y", "width", "height")
 VELOCITY = ("vx", "vy", "vwidth", "vheight")
@@ -30,6 +40,7 @@ KEEP_CONFIDENCE, DECAY = 0.12, 0.94
 TRACK_REACH = (0.16, 0.22)
 TRACK_WEIGHTS = {"iou": 5.0, "distance": -1.2, "growth": -0.2, "motion": 0.9}
 TRACK_BONUS = (4.0, 2.0)
+MOTION_CAP = 0.28  # the most that motion adds to a score
 LEAST_OVERLAP, DOUBTFUL_OVERLAP, MOST_GROWTH = 0.04, 0.08, 3.0
 # A track that nothing continues ends this many seconds after its last detection.
 UNSEEN = 1.4
@@ -48,8 +59,8 @@ SLOWING = np.array([0.86, 0.86, 0.82, 0.82])
 SHIFT = np.array([[0.28, 0.82, 0.035, 0.18, 0.18, 0.45], [0.22, 0.72, 0.028, 0.16, 0.16, 0.5]])
 
 IN_COLUMNS = ["time_sec", "det_id", "kind", "label", "person_id", "object_class", "confidence", *SIZE, "motion_strength", "tracking_mode"]
-TRACK_SCHEMA = "job_id string, time_sec double, track_id string, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double, late boolean"
-STABLE_SCHEMA = "job_id string, time_sec double, id string, kind string, label string, person_id string, confidence double, x double, y double, width double, height double, held boolean"
+TRACK_SCHEMA = "job_id string, event_time timestamp, time_sec double, det_id long, track_id string, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double, late boolean"
+STABLE_SCHEMA = "job_id string, event_time timestamp, time_sec double, id string, track_id string, kind string, label string, person_id string, confidence double, x double, y double, width double, height double, held boolean"
 
 
 # -- pairs of boxes --------------------------------------------------------------------------
@@ -128,8 +139,8 @@ def track_scores(tracks: list[dict], dets: list[dict]) -> tuple[np.ndarray, np.n
     classed = (_texts(tracks, "object_class") != "")[:, None] & (_texts(dets, "object_class") != "")[None, :]
     is_object = (_texts(tracks, "kind") == "object")[:, None]
     bonus = np.where(face & named, TRACK_BONUS[0], np.where(is_object & classed, TRACK_BONUS[1], 0.0))
-    pair["motion"] = np.broadcast_to(np.minimum(0.28 / TRACK_WEIGHTS["motion"], strength)[:, None], bonus.shape)
-    return bonus + _weighted(pair, TRACK_WEIGHTS), alike & near & steady
+    pair["motion"] = np.broadcast_to(np.minimum(MOTION_CAP, TRACK_WEIGHTS["motion"] * strength)[:, None], bonus.shape)
+    return bonus + _weighted(pair, TRACK_WEIGHTS | {"motion": 1.0}), alike & near & steady
 
 
 def _blended(tracks: list[dict], dets: list[dict]) -> list[dict]:
@@ -221,7 +232,12 @@ def _eased(shown: list[dict], ahead: np.ndarray, dets: list[dict], boxes: np.nda
 
 
 def stabilize_step(shown: list[dict], time_sec: float, dets: list[dict]) -> list[dict]:
-    """What to show after the detections of one time: matched boxes eased toward them, missing ones held."""
+    """What to show after the detections of one time: matched boxes eased toward them, missing ones held.
+
+    A box whose hold has run out is gone before anything is matched.
+    """
+    hold = lambda p: HOLD_IDENTIFIED if p["kind"] == "face" and p["person_id"] else HOLD
+    shown = [p for p in shown if time_sec - p["seen"] <= hold(p)]
     boxes = _padded(dets)
     rows = columns = np.zeros(0, int)
     if shown and dets:
@@ -232,10 +248,9 @@ def stabilize_step(shown: list[dict], time_sec: float, dets: list[dict]) -> list
     moved = dict(zip(rows.tolist(), eased)) if len(rows) else {}
     out = []
     for i, p in enumerate(shown):
-        hold = HOLD_IDENTIFIED if p["kind"] == "face" and p["person_id"] else HOLD
         if i in moved:
             out.append(moved[i])
-        elif time_sec - p["seen"] <= hold:
+        else:
             out.append(p | dict(zip(VELOCITY, (_numbers([p], VELOCITY)[0] * SLOWING).tolist())) | {"held": True})
     keys = _keys(dets)
     for j in sorted(set(range(len(dets))) - set(columns.tolist())):
@@ -249,136 +264,223 @@ def stabilize_step(shown: list[dict], time_sec: float, dets: list[dict]) -> list
 
 
 def _clean(r: dict) -> dict:
-    """Missing values of a pandas row as None or empty text."""
-    out = {k: (None if v is None or (isinstance(v, float) and math.isnan(v)) else v) for k, v in r.items()}
+    """Missing values of a row as None or empty text."""
+    out = {k: (None if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NA else v) for k, v in r.items()}
     for k in ("label", "person_id", "object_class"):
         out[k] = out.get(k) or ""
     out["confidence"] = float(out.get("confidence") or 0.0)
     return out
 
 
-def _by_time(rows: pd.DataFrame) -> Iterator[tuple[float, list[dict]]]:
-    rows = rows.sort_values(["time_sec", "det_id"], kind="stable")
-    for t, g in rows.groupby("time_sec", sort=False):
-        yield float(t), [_clean(r) for r in g.to_dict("records")]
-
-
 def _track_rows(job: str, state: dict, t: float, dets: list[dict]) -> tuple[list[dict], dict]:
     out, state = track_step(job, state, t, dets)
-    return [{**r, "job_id": job, "time_sec": t} for r in out], state
+    return [{**r, "job_id": job, "time_sec": t} for r in out], {**state, "kept": state["tracks"]}
 
 
 def _stable_rows(job: str, state: dict, t: float, dets: list[dict]) -> tuple[list[dict], dict]:
-    if state.get("time") is not None and t <= state["time"]:
-        return [], state  # late: what is shown cannot change any more
-    shown = stabilize_step(state.get("shown", []), t, dets)
-    return [{**r, "job_id": job, "time_sec": t} for r in shown], {"time": t, "shown": shown}
+    shown = stabilize_step(state.get("kept", []), t, dets)
+    return [{**r, "job_id": job, "time_sec": t} for r in shown], {"time": t, "kept": shown}
 
 
 Step = Callable[[str, dict, float, list[dict]], tuple[list[dict], dict]]
 
+#: What waits for its time, and what the steps keep from time to time.
+ROW = "time_sec double, det_id long, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double, motion_strength double, tracking_mode string, track_id string"
+WAITING = f"event_ms long, {ROW}"
+KEPT = f"{ROW}, seen double, time double, id string, held boolean, vx double, vy double, vwidth double, vheight double"
+
 
-def _columns(schema: str) -> list[str]:
+def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-class _JobState(StatefulProcessor):
-    """Keeps one JSON state per job and drops it when the job has been silent."""
+def _typed(rows: list[dict], schema: str) -> list[tuple]:
+    """Rows as tuples of a state's schema; numpy numbers as plain ones."""
+    plain = lambda v: v.item() if isinstance(v, np.generic) else v
+    return [tuple(plain(r.get(n)) for n in _names(schema)) for r in rows]
+
+
+class _TimedSteps(StatefulProcessor):
+    """Buffers rows by job until the watermark passes their time, then steps through the times in order."""
 
-    def __init__(self, step: Step, columns: list[str], silence: float):
-        self.step, self.columns, self.silence = step, columns, silence
+    def __init__(self, step: Step, schema: str, void_after: float, forget: float, show_late: bool, settled: bool):
+        self.step, self.schema, self.show_late, self.settled = step, schema, show_late, settled
+        self.void_ms, self.forget_ms = int(math.ceil(void_after * 1000)), int(forget * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "json string")
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.kept = handle.getListState("kept", KEPT)
+        self.clock = handle.getValueState("clock", "time double, next long, done_ms long")
+
+    def _frame(self, out: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[*_names(self.schema), "event_ms"])
+        frame["event_time"] = pd.to_datetime(frame["event_ms"].astype("int64"), unit="ms", utc=True)
+        return frame[_names(self.schema)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        batch = pd.concat(list(rows))
-        out = []
-        for t, dets in _by_time(batch):
-            got, state = self.step(str(key[0]), state, t, dets)
-            out += got
-        self.state.update((json.dumps(state, default=str),))
-        now = timerValues.getCurrentProcessingTimeInMs()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(now + int(self.silence * 1000))
-        yield pd.DataFrame(out, columns=self.columns) if out else pd.DataFrame(columns=self.columns)
+        reached = timerValues.getCurrentWatermarkInMs()
+        done = self.clock.get()[2] if self.clock.exists() else -1
+        # what an operator before this one settled comes when the watermark has passed it
+        closed = done if self.settled else max(done, reached)
+        late: list[dict] = []
+        for batch in rows:
+            records = [_clean(r) for r in batch.to_dict("records")]
+            fresh = [r for r in records if r["event_ms"] > closed]
+            late += [r for r in records if r["event_ms"] <= closed]
+            if fresh:
+                self.waiting.appendList(_typed(fresh, WAITING))
+                for ms in {r["event_ms"] for r in fresh}:
+                    self.handle.registerTimer(int(ms))
+        if late and self.show_late:  # known only now, so that is their event time
+            yield self._frame([{**r, "job_id": str(key[0]), "track_id": None, "late": True, "event_ms": reached + 1} for r in late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self.state.clear()
-        return iter([])
+        reached = timerValues.getCurrentWatermarkInMs()
+        names = _names(WAITING)
+        rows = [dict(zip(names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r["event_ms"] <= reached), key=lambda r: (r["time_sec"], r["det_id"] is not None, r["det_id"] or 0, r["track_id"] or ""))
+        if not due:
+            self._tidy(reached)
+            return
+        rest = [r for r in rows if r["event_ms"] > reached]
+        if rest:
+            self.waiting.put(_typed(rest, WAITING))
+        else:
+            self.waiting.clear()
+        time, number, _ = self.clock.get() if self.clock.exists() else (None, 0, 0)
+        kept = [_clean(dict(zip(_names(KEPT), r))) for r in self.kept.get()] if self.kept.exists() else []
+        state = {"time": time, "next": number, "tracks": kept, "kept": kept}
+        out: list[dict] = []
+        job = str(key[0])
+        for k, r in enumerate(due):
+            if k == 0 or r["time_sec"] != due[k - 1]["time_sec"]:
+                now: list[dict] = []
+            now.append(_clean(r))
+            if k + 1 == len(due) or due[k + 1]["time_sec"] != r["time_sec"]:
+                shown, state = self.step(job, state, r["time_sec"], now)
+                out += [{**x, "event_ms": max(y["event_ms"] for y in now)} for x in shown]
+        last = max(r["event_ms"] for r in due)
+        self.clock.update((float(state["time"]), int(state.get("next") or number or 0), int(last)))
+        if state["kept"]:
+            self.kept.put(_typed(state["kept"], KEPT))
+        else:
+            self.kept.clear()
+        self.handle.registerTimer(last + self.void_ms + 1)
+        self.handle.registerTimer(last + self.forget_ms)
+        yield self._frame(out)
+
+    def _tidy(self, reached: int) -> None:
+        if not self.clock.exists() or self.waiting.exists():
+            return
+        done = self.clock.get()[2]
+        if reached > done + self.void_ms:
+            self.kept.clear()
+        if reached >= done + self.forget_ms:
+            self.clock.clear()
 
     def close(self) -> None:
         pass
 
 
-def _prepared(df: DataFrame) -> DataFrame:
+def _prepared(df: DataFrame, *more: Column) -> DataFrame:
     """The input columns with defaults for the optional ones."""
-    out = df
-    optional = {"motion_strength": F.lit(0.0), "tracking_mode": F.lit("local"), "person_id": F.lit(None).cast("string"), "object_class": F.lit(None).cast("string")}
-    for c, v in optional.items():
-        if c not in df.columns:
-            out = out.withColumn(c, v)
-    extra = ["track_id"] if "track_id" in df.columns else []
-    return out.select(F.col("job_id").cast("string").alias("job_id"), *IN_COLUMNS, *extra)
+    optional = {"det_id": "bigint", "motion_strength": "double", "tracking_mode": "string", "person_id": "string", "object_class": "string", "track_id": "string"}
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ROW).fields}
+    have = set(df.columns)
+    pick = lambda c: (F.col(c) if c in have or c not in optional else F.lit(None)).cast(kinds[c]).alias(c)
+    return df.select(F.col("job_id").cast("string").alias("job_id"), *map(pick, kinds), *more)
+
+
+def _event_time(df: DataFrame) -> DataFrame:
+    """A stream with an ``event_time``; without one, the time in the video counts from a fixed day on."""
+    return df if "event_time" in df.columns else df.withColumn("event_time", F.timestamp_seconds(F.col("time_sec") + F.lit(86_400.0)))
+
+
+def _run_stream(df: DataFrame, step: Step, schema: str, void_after: float, forget: float, show_late: bool, settled: bool = False) -> DataFrame:
+    # the buffer decides what is late; the column with the watermark itself stays out, or Spark would drop late rows unseen
+    src = _prepared(df, F.unix_millis("event_time").alias("event_ms"))
+    return src.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_TimedSteps(step, schema, void_after, forget, show_late, settled),
+        outputStructType=StructType.fromDDL(schema), outputMode="Append", timeMode="EventTime", eventTimeColumnName="event_time",
+    )
 
 
-def _run_stream(df: DataFrame, step: Step, schema: str, silence: float) -> DataFrame:
-    proc = _JobState(step, _columns(schema), silence)
-    return _prepared(df).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=StructType.fromDDL(schema), outputMode="Append", timeMode="ProcessingTime"
-    )
+def _runs(df: DataFrame, void_after: float, chunk: float = 600.0) -> DataFrame:
+    """``df`` with ``__run``: a job is cut where more than ``void_after`` seconds pass without a row."""
+    order = ["time_sec", "det_id", "track_id"]
+    gaps = scans.scan(df, ["job_id"], order, chunk, {"__prior": scans.last(F.col("time_sec"), current=False)})
+    gaps = gaps.withColumn("__new", F.col("time_sec") - F.col("__prior") > void_after)
+    return scans.scan(gaps, ["job_id"], order, chunk, {"__run": scans.count_so_far(F.col("__new"))}).drop("__prior", "__new")
 
 
-def _replay(df: DataFrame, step: Step, schema: str) -> DataFrame:
-    """The same steps over a table: jobs spread over tasks, one state at a time per task."""
-    cols = _columns(schema)
-    src = spread(_prepared(df), "job_id").sortWithinPartitions("job_id", "time_sec", "det_id")
+def _replay(df: DataFrame, step: Step, schema: str, void_after: float) -> DataFrame:
+    """The same steps over a table: runs of jobs spread over tasks, one state at a time per task."""
+    cols = [c for c in _names(schema) if c != "event_time"]
+    types = ", ".join(c for c in schema.split(", ") if not c.startswith("event_time "))
+    src = spread(_runs(_prepared(df), void_after), "job_id", "__run").sortWithinPartitions("job_id", "__run", "time_sec", "det_id", "track_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, t, state, pending = None, None, {}, []
+        run, t, state, pending = None, None, {}, []
 
         def flush() -> list[dict]:
             nonlocal state
-            got, state = step(job, state, t, pending)
-            return got
+            got, state = step(run[0], state, t, pending)
+            return [{**r, "__run": run[1]} for r in got]
 
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                if job is not None and (r["job_id"] != job or r["time_sec"] != t):
+                here = (r["job_id"], r["__run"])
+                if run is not None and (here != run or r["time_sec"] != t):
                     out += flush()
                     pending = []
-                if r["job_id"] != job:
+                if here != run:
                     state = {}
-                job, t = r["job_id"], r["time_sec"]
+                run, t = here, r["time_sec"]
                 pending.append(_clean(r))
             if out:
-                yield pd.DataFrame(out, columns=cols)
+                yield pd.DataFrame(out, columns=[*cols, "__run"])
         if pending:
-            yield pd.DataFrame(flush(), columns=cols)
+            yield pd.DataFrame(flush(), columns=[*cols, "__run"])
 
-    return src.mapInPandas(scan, schema)
+    return src.mapInPandas(scan, f"{types}, __run long")
 
 
-def live_tracks(stream: DataFrame, silence: float = 30.0) -> DataFrame:
-    """Tracked detections of a stream; late rows come out with ``late`` true and no track."""
-    return _run_stream(stream, _track_rows, TRACK_SCHEMA, silence)
+def live_tracks(stream: DataFrame, delay: str = "2 seconds", forget: float = 86_400.0) -> DataFrame:
+    """Tracked detections of a stream, a time at once when the watermark (``delay`` behind ``event_time``) has passed it.
+
+    Rows that come after their time was stepped come out with ``late`` true and no track. After ``forget`` seconds
+    without rows a job's numbering starts anew.
+    """
+    return _run_stream(_event_time(stream).withWatermark("event_time", delay), _track_rows, TRACK_SCHEMA, MAX_GAP, forget, True)
 
 
 def replay_live_tracks(df: DataFrame) -> DataFrame:
-    return _replay(df, _track_rows, TRACK_SCHEMA)
+    """The same for a table, without ``event_time``; nothing is late there."""
+    stepped = checkpoint(_replay(df, _track_rows, TRACK_SCHEMA, MAX_GAP).withColumn("__no", F.substring_index("track_id", ":", -1).cast("long")))
+    counts = stepped.groupBy("job_id", "__run").agg((F.max("__no") + 1).alias("n"))
+    before = Window.partitionBy("job_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    # a run's own numbers start at 0, so the count of new tracks before it is the sum over earlier runs
+    offset = counts.select("job_id", "__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    numbered = stepped.join(offset, ["job_id", "__run"]).withColumn("track_id", F.concat("job_id", F.lit(":"), (F.col("__before") + F.col("__no")).cast("string")))
+    return numbered.select(*[c for c in _names(TRACK_SCHEMA) if c != "event_time"])
 
 
-def stabilize(stream: DataFrame, silence: float = 30.0) -> DataFrame:
-    """Displayed boxes of a stream with stable ids."""
-    return _run_stream(stream, _stable_rows, STABLE_SCHEMA, silence)
+def stabilize(stream: DataFrame, delay: str | None = "2 seconds", forget: float = 86_400.0) -> DataFrame:
+    """Displayed boxes of a stream with stable ids. ``delay=None``: the stream comes from ``live_tracks``, with its watermark."""
+    src = stream if delay is None else _event_time(stream).withWatermark("event_time", delay)
+    return _run_stream(src, _stable_rows, STABLE_SCHEMA, HOLD_IDENTIFIED, forget, False, settled=delay is None)
 
 
 def replay_stabilize(df: DataFrame) -> DataFrame:
-    return _replay(df, _stable_rows, STABLE_SCHEMA)
+    """The same for a table, without ``event_time``."""
+    return _replay(df, _stable_rows, STABLE_SCHEMA, HOLD_IDENTIFIED).drop("__run")
+
+
+def live_display(stream: DataFrame, delay: str = "2 seconds", forget: float = 86_400.0) -> DataFrame:
+    """Tracking and display in one query: equals ``replay_stabilize(replay_live_tracks(...))`` of the rows that were not late."""
+    return stabilize(live_tracks(stream, delay, forget).where(~F.col("late")), None, forget)
 
 
 def split_late(tracked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -279,11 +279,15 @@ def live_rows(spark, sf):
 
 @query("live_replay")
 def live_replay(spark, sf):
-    t = live.replay_live_tracks(live_rows(spark, sf))
-    return t.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("track_id").alias("tracks"))
+    return live.replay_live_tracks(live_rows(spark, sf))
 
 
 @query("stabilize_replay")
 def stabilize_replay(spark, sf):
-    t = live.replay_stabilize(live_rows(spark, sf))
-    return t.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("held").alias("held"), F.countDistinct("id").alias("ids"))
+    return live.replay_stabilize(live_rows(spark, sf))
+
+
+@query("display_replay")
+def display_replay(spark, sf):
+    """Tracking, then display: what the chained stream shows."""
+    return live.replay_stabilize(live.replay_live_tracks(live_rows(spark, sf)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import random
 
 import numpy as np
 import pytest
@@ -128,11 +130,37 @@ def stream_of(spark, data, schema, path, parts):
     return spark.readStream.schema(spark.createDataFrame(data, schema).schema).parquet(str(path))
 
 
-def test_track_stream_equals_replay(spark, tmp_path):
+FAR = ("far", 1e6, 0, "face", "Face", None, None, 0.8, 0.1, 0.1, 0.1, 0.1)  # moves the watermark past all else
+
+
+def cut_stream(spark, batches, schema, path):
+    """A stream whose micro-batches are the given lists of rows, one file each."""
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(path / f"{i:03d}"))
+        for part in (path / f"{i:03d}").glob("part-*"):
+            os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    kind = spark.createDataFrame(batches[0], schema).schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
+def cuts_of(data, how):
+    """The rows in order of time, cut so that single times fall apart, or shuffled by up to a second."""
+    data = sorted(data, key=lambda r: (r[1], r[0], r[2]))
+    if how == "whole":
+        return [data, [FAR]]
+    if how == "shuffled":
+        rng = random.Random(5)
+        data = sorted(data, key=lambda r: r[1] + rng.random())
+    step = {"five": -(-len(data) // 5), "seven": 7, "shuffled": 11}[how]
+    return [data[i : i + step] for i in range(0, len(data), step)] + [[FAR]]
+
+
+@pytest.mark.parametrize("how", ["whole", "five", "seven", "shuffled"])
+def test_track_stream_equals_replay_however_batches_cut(spark, tmp_path, how):
     data = live_data()
     want = live.replay_live_tracks(spark.createDataFrame(data, LIVE))
-    got = run(spark, live.live_tracks(stream_of(spark, data, LIVE, tmp_path / "in", 1)), "tracks")
-    cols = ["job_id", "time_sec", "track_id", "confidence", "x", "late"]
+    got = run(spark, live.live_tracks(cut_stream(spark, cuts_of(data, how), LIVE, tmp_path / "in")), f"tracks_{how}")
+    cols = ["job_id", "time_sec", "det_id", "track_id", "confidence", "x", "late"]
     assert rows(got.select(*cols)) == rows(want.select(*cols))
     assert want.where("late").count() == 0 and want.select("track_id").distinct().count() >= 6
 
@@ -140,11 +168,40 @@ def test_track_stream_equals_replay(spark, tmp_path):
 def test_display_stream_equals_replay(spark, tmp_path):
     data = live_data()
     want = live.replay_stabilize(spark.createDataFrame(data, LIVE))
-    got = run(spark, live.stabilize(stream_of(spark, data, LIVE, tmp_path / "in", 1)), "shown")
+    got = run(spark, live.stabilize(cut_stream(spark, cuts_of(data, "seven"), LIVE, tmp_path / "in")), "shown")
     cols = ["job_id", "time_sec", "id", "x", "held"]
     assert rows(got.select(*cols)) == rows(want.select(*cols))
 
 
+@pytest.mark.parametrize("how", ["five", "shuffled"])
+def test_tracking_and_display_in_one_query(spark, tmp_path, how):
+    data = live_data()
+    want = live.replay_stabilize(live.replay_live_tracks(spark.createDataFrame(data, LIVE)))
+    got = run(spark, live.live_display(cut_stream(spark, cuts_of(data, how), LIVE, tmp_path / "in")), f"chain_{how}")
+    cols = ["job_id", "time_sec", "id", "track_id", "x", "width", "held"]
+    assert rows(got.select(*cols)) == rows(want.select(*cols)) and got.count() > 60
+
+
+def test_late_rows_go_to_the_side(spark, tmp_path):
+    data = sorted(live_data(), key=lambda r: (r[1], r[0], r[2]))
+    late = [r for r in data if r[0] == "a" and r[1] < 0.5]
+    on_time = [r for r in data if r not in late]
+    batches = [on_time, [("far", 50.0, *FAR[2:])], late, [FAR]]
+    fine, side = live.split_late(run(spark, live.live_tracks(cut_stream(spark, batches, LIVE, tmp_path / "in")), "with_late"))
+    want = live.replay_live_tracks(spark.createDataFrame([*on_time, ("far", 50.0, *FAR[2:])], LIVE))
+    cols = ["job_id", "time_sec", "track_id", "x"]
+    assert rows(fine.select(*cols)) == rows(want.select(*cols))
+    assert sorted((r.job_id, r.det_id, r.track_id) for r in side.collect()) == sorted((r[0], r[2], None) for r in late)
+
+
+def test_replay_spreads_one_job_over_tasks(spark):
+    data = [("j", k * 100 + i * 0.2, k * 10 + i, "face", "Face", None, None, 0.8, 0.1 + i * 0.01, 0.2, 0.1, 0.1) for k in range(40) for i in range(4)]
+    runs = live._runs(live._prepared(spark.createDataFrame(data, LIVE)), live.MAX_GAP)
+    assert runs.select("__run").distinct().count() == 40
+    got = live.replay_live_tracks(spark.createDataFrame(data, LIVE))
+    assert sorted(int(r.track_id.split(":")[1]) for r in got.where("det_id % 10 = 0").collect()) == list(range(40))
+
+
 def test_track_rules():
     base = {"kind": "face", "label": "Face", "person_id": "", "object_class": "", "confidence": 0.5, "x": 0.1, "y": 0.1, "width": 0.1, "height": 0.1}
     out, st = live.track_step("j", {}, 1.0, [base])
