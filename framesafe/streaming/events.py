@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,13 +64,13 @@ def appearance_sessions(df: DataFrame, keys: Sequence[str], ts: str = "ts", gap:
     return g.select(*keys, F.col("w.start").alias("first_seen"), "last_seen", "appearances")
 
 
-def sample_bursts(requests: DataFrame, samples: DataFrame, keys: Sequence[str], reach: float = 0.12, delay: str = "2 seconds", distinct_faces: bool = False) -> DataFrame:
-    """The merged detections of the samples within ``reach`` seconds of each request, streams or tables.
+def burst_pairs(requests: DataFrame, samples: DataFrame, keys: Sequence[str], reach: float = 0.12, delay: str = "2 seconds") -> DataFrame:
+    """Each request with each sample within ``reach`` seconds of it, streams or tables.
 
     ``requests``: ``keys, request_id, ts``; ``samples``: ``keys, sample_ts`` and the columns of a detection with its
     ``seq``. Both ends count. Streams are joined by an interval of event times behind both watermarks, so state ends
-    ``reach`` and ``delay`` after a row; a burst comes out when neither side can add to it. A sample serves every
-    request that it is near to; requests without samples have no rows.
+    ``reach`` and ``delay`` after a row. A sample serves every request that it is near to; requests without samples
+    have no rows.
 
     The join is by key and second, so that a busy key is many small groups; a request stands in the one or two
     seconds that its interval touches, a sample in one, so no pair comes twice.
@@ -83,15 +82,20 @@ def sample_bursts(requests: DataFrame, samples: DataFrame, keys: Sequence[str],
     asked = requests.select(*keys, "request_id", "ts", F.explode(F.sequence(second(F.col("ts") - width), second(F.col("ts") + width))).alias("__second"))
     taken = samples.withColumn("__second", second(F.col("sample_ts")))
     near = F.expr(f"sample_ts BETWEEN ts - INTERVAL {round(reach * 1_000_000)} MICROSECOND AND ts + INTERVAL {round(reach * 1_000_000)} MICROSECOND")
-    pairs = asked.join(taken, [*keys, "__second"]).where(near)
+    return asked.join(taken, [*keys, "__second"]).where(near).drop("__second")
+
+
+def sample_bursts(requests: DataFrame, samples: DataFrame, keys: Sequence[str], reach: float = 0.12, delay: str = "2 seconds", distinct_faces: bool = False) -> DataFrame:
+    """The merged detections of the samples about each request (see ``burst_pairs``); of a stream, when no sample can join any more."""
     seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
-    pairs = pairs.withColumns({"t": seconds("ts"), "sample_time": seconds("sample_ts")})
+    pairs = burst_pairs(requests, samples, keys, reach, delay).withColumns({"t": seconds("ts"), "sample_time": seconds("sample_ts")})
     return merge_temporal(pairs, [*keys, "request_id", "ts"], distinct_faces=distinct_faces)
 
 
 # -- artifacts -------------------------------------------------------------------------------
 
 VERSIONS, CURRENT = "versions", "current"
+REPAIRS = 1 << 40  # number of the first batch of repairs, behind all batches of streams
 
 
 def folded_artifacts(artifacts: DataFrame, tasks: DataFrame | None = None, faces: DataFrame | None = None) -> DataFrame:
@@ -134,13 +138,11 @@ def _bucket(buckets: int) -> Column:
 def upsert_artifacts(batch: DataFrame, batch_id: int, sink: str, buckets: int = 64) -> None:
     """Fold a batch of artifacts into the versions under ``sink``; a batch that comes again replaces itself.
 
-    ``versions/batch_id=N`` holds the rows of batch N, partitioned by a bucket of the artifact's id: one row per
-    artifact, that with the newest ``updated_at`` of its batch. Which version is current is a pointer,
-    ``current/batch_id=N``: for each artifact of the batch, whether the row is newer than all before it. Readers
-    take the newest pointer of each artifact and look up that one version.
-
-    Writing a batch reads the pointers of earlier batches only, so running it twice, or anew after a failure between
-    both writes, gives the same files.
+    ``versions/batch_id=N`` holds the rows of batch N, in folders by a bucket of the artifact's id: one row per
+    artifact, that with the newest ``updated_at`` of its batch, done ones before open ones of the same time.
+    ``current/batch_id=N`` points to them. Readers take the newest pointer of each artifact and that one version.
+    A batch writes its own two folders only, so running it twice, or anew after a failure between both writes, gives
+    the same files, and a version that comes late does not become current.
     """
     spark = batch.sparkSession
     key = F.coalesce(F.col("metadata.artifact_id"), F.concat(F.lit("job:"), F.col("metadata.job_id")))
@@ -151,23 +153,12 @@ def upsert_artifacts(batch: DataFrame, batch_id: int, sink: str, buckets: int =
     newest = newest.select("artifact_id", _bucket(buckets), "r.*")
     newest = newest.select("artifact_id", "bucket", F.col("__rank.at").alias("at"), F.col("__rank.done").alias("done"), *batch.columns)
     newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/{VERSIONS}/batch_id={batch_id}")
-    written = spark.read.schema(newest.schema).parquet(f"{sink}/{VERSIONS}/batch_id={batch_id}").select("artifact_id", "bucket", "at", "done")
-    pointers = _pointers(spark, sink)
-    if pointers is not None:
-        before = pointers.where(F.col("batch_id") < batch_id).join(written.select("artifact_id", "bucket"), ["bucket", "artifact_id"], "left_semi")
-        before = before.groupBy("bucket", "artifact_id").agg(F.max(F.struct("at", "done")).alias("__before"))
-        written = written.join(before, ["bucket", "artifact_id"], "left")
-        written = written.where(F.col("__before").isNull() | (F.struct("at", "done") >= F.col("__before"))).drop("__before")
+    written = spark.read.parquet(f"{sink}/{VERSIONS}/batch_id={batch_id}")
     written.select("artifact_id", "at", "done", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/{CURRENT}/batch_id={batch_id}")
 
 
-def _pointers(spark: SparkSession, sink: str) -> DataFrame | None:
-    try:
-        return spark.read.schema("artifact_id string, at string, done boolean, batch_id long, bucket int").parquet(f"{sink}/{CURRENT}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _pointers(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.schema("artifact_id string, at string, done boolean, batch_id long, bucket int").parquet(f"{sink}/{CURRENT}")
 
 
 def ingest_artifacts(spark: SparkSession, glob: str, schema: StructType, sink: str, checkpoint: str, once: bool = True,
@@ -188,7 +179,7 @@ def ingest_artifacts(spark: SparkSession, glob: str, schema: StructType, sink: s
 def repair_artifacts(spark: SparkSession, sink: str, tasks: DataFrame | None = None, faces: DataFrame | None = None, buckets: int = 64) -> int:
     """Fold what the service says now into the current artifacts that are not done; how many changed.
 
-    The changed rows are a batch of their own behind the newest one, with ``updated_at`` as it was: running it again
+    The changed rows are a batch of their own, numbered behind those of streams, with ``updated_at`` as it was: running it again
     finds nothing to change.
     """
     open_ = current_artifacts(spark, sink).where(~F.col("metadata.status").isin("ready", "failed"))

@@ -6,6 +6,7 @@ import base64
 import json
 import os
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -233,6 +234,91 @@ def test_sessions_stream(spark, tmp_path):
     assert sorted(r.appearances for r in got.collect())[-2:] == [2, 3]
 
 
+SAMPLE = "job_id string, sample_ts timestamp, seq long, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double"
+
+
+def bursts(t0):
+    """Requests beside the edges of seconds, and five samples about each."""
+    ms = lambda n: t0 + timedelta(milliseconds=n)
+    asked = [("a", f"r{i}", ms(t)) for i, t in enumerate((1000, 1990, 2950, 4040, 4100))] + [("b", "s0", ms(1000)), ("b", "empty", ms(9000))]
+    taken = []
+    for job, _, ts in [r for r in asked if r[1] != "empty"]:
+        for k, off in enumerate((-120, -60, 0, 60, 120)):
+            taken.append((job, ts + timedelta(milliseconds=off), len(taken), "face", "Face", None, None, 0.5 + k / 10, 0.1 + k / 100, 0.2, 0.1, 0.1))
+        taken.append((job, ts + timedelta(microseconds=120_001), len(taken), "object", "Car", None, "car", 0.5, 0.7, 0.2, 0.1, 0.1))
+    return asked, taken
+
+
+def expected_pairs(asked, taken):
+    return sorted((j, r, s[2]) for j, r, ts in asked for s in taken if s[0] == j and abs(s[1] - ts) <= timedelta(milliseconds=120))
+
+
+def test_bursts_meet_their_requests_across_seconds(spark):
+    asked, taken = bursts(datetime(2024, 1, 1))
+    req, smp = spark.createDataFrame(asked, "job_id string, request_id string, ts timestamp"), spark.createDataFrame(taken, SAMPLE)
+    pairs = events.burst_pairs(req, smp, ["job_id"])
+    assert sorted((r.job_id, r.request_id, r.seq) for r in pairs.collect()) == expected_pairs(asked, taken)
+    merged = events.sample_bursts(req, smp, ["job_id"]).collect()
+    assert {r.request_id for r in merged} == {"r0", "r1", "r2", "r3", "r4", "s0"}
+    one = next(r for r in merged if r.request_id == "s0" and r.kind == "face")
+    weights = [(0.5 + k / 10) / (1 + abs(o) * 12) for k, o in enumerate((-0.12, -0.06, 0, 0.06, 0.12))]
+    assert one.members == 5 and one.x == pytest.approx(sum(w * (0.1 + k / 100) for k, w in enumerate(weights)) / sum(weights), abs=1e-6)
+
+
+def test_burst_stream_with_late_samples(spark, tmp_path):
+    asked, taken = bursts(datetime(2024, 1, 1))
+    end = datetime(2024, 1, 1, 1)
+    late = [s for s in taken if s[0] == "b"][:2]
+    early = [s for s in taken if s not in late and s[1] < datetime(2024, 1, 1, 0, 0, 3)]
+    rest = [s for s in taken if s not in late and s not in early]
+    far = ("far", end, 99, *taken[0][3:])
+    requests = cut_stream(spark, [asked[:3] + asked[5:6], asked[3:5], [("far", "x", end)], [("far", "y", end + timedelta(hours=1))], [("far", "z", end + timedelta(hours=2))]], "job_id string, request_id string, ts timestamp", tmp_path / "req")
+    samples = cut_stream(spark, [rest[:4], early + rest[4:], [far], [*late, ("far", end + timedelta(hours=1), 98, *taken[0][3:])], [("far", end + timedelta(hours=2), 97, *taken[0][3:])]], SAMPLE, tmp_path / "smp")
+    got = run(spark, events.sample_bursts(requests, samples, ["job_id"]), "bursts").where("job_id <> 'far'")
+    want = events.sample_bursts(spark.createDataFrame(asked, "job_id string, request_id string, ts timestamp"), spark.createDataFrame([s for s in taken if s not in late], SAMPLE), ["job_id"])
+    cols = ["job_id", "request_id", "id", "members", "x", "confidence"]
+    assert rows(got.select(*cols)) == rows(want.select(*cols)) and got.count() > 5
+
+
+def artifact(i, status, at, task=None, job="j", text="x"):
+    return {"metadata": {"artifact_id": i, "job_id": job, "status": status, "updated_at": at, "service_task_id": task}, "summary": {"overall_summary": text}}
+
+
+def tree(path):
+    return {str(p.relative_to(path).parent): len(p.read_bytes()) for p in sorted(path.rglob("part-*.parquet"))}
+
+
+def test_artifact_batches_are_upserts(spark, tmp_path):
+    schema, sink = schemas.privacy_artifact(), str(tmp_path / "sink")
+    read = lambda docs: spark.read.schema(schema).json(spark.sparkContext.parallelize(map(json.dumps, docs)))
+    first = [artifact("a", "Pending", "2024-01-01"), artifact("b", "completed", "2024-01-02"), artifact("a", "ready", "2024-01-03", text="new"), artifact(None, "queued", "2024-01-01", job="only")]
+    for _ in range(2):
+        events.upsert_artifacts(events.folded_artifacts(read(first)), 0, sink)
+    events.upsert_artifacts(events.folded_artifacts(read([artifact("b", "processing", "2024-01-01"), artifact("c", "failed", "2024-01-01")])), 1, sink)
+    before = tree(tmp_path / "sink")
+    for n in (0, 1):  # batches run again
+        docs = first if n == 0 else [artifact("b", "processing", "2024-01-01"), artifact("c", "failed", "2024-01-01")]
+        events.upsert_artifacts(events.folded_artifacts(read(docs)), n, sink)
+    assert tree(tmp_path / "sink") == before
+    got = {r.artifact_id: (r.metadata.status, r.batch_id, r.summary.overall_summary) for r in events.current_artifacts(spark, sink).collect()}
+    assert got == {"a": ("ready", 0, "new"), "b": ("ready", 0, "x"), "c": ("failed", 1, "x"), "job:only": ("queued", 0, "x")}
+
+
+def test_stuck_artifacts_turn_ready_or_failed(spark, tmp_path):
+    schema, sink = schemas.privacy_artifact(), str(tmp_path / "sink")
+    docs = [artifact("t1", "processing", "1", "task1"), artifact("t2", "running", "1", "task2"), artifact("t3", "processing", "1", "task3"), artifact("f", "processing", "1", job="with"), artifact("n", "processing", "1", job="without"), artifact("q", "queued", "1")]
+    read = spark.read.schema(schema).json(spark.sparkContext.parallelize(map(json.dumps, docs)))
+    events.upsert_artifacts(events.folded_artifacts(read), 0, sink)
+    tasks = spark.createDataFrame([("task1", "completed", None), ("task2", "error", "no audio"), ("task3", "indexing", None)], "task_id string, status string, error string")
+    faces = spark.createDataFrame([("with",), ("with",), ("other",)], "job_id string")
+    assert events.repair_artifacts(spark, sink, tasks, faces) == 4
+    got = {r.artifact_id: (r.metadata.status, r.error) for r in events.current_artifacts(spark, sink).collect()}
+    assert got == {"t1": ("ready", None), "t2": ("failed", "no audio"), "t3": ("processing", None), "f": ("ready", None), "n": ("failed", None), "q": ("queued", None)}
+    assert events.repair_artifacts(spark, sink, tasks, faces) == 0
+    events.upsert_artifacts(events.folded_artifacts(spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(artifact("n", "ready", "2"))]))), 1, sink)
+    assert [r.metadata.status for r in events.current_artifacts(spark, sink).where("artifact_id = 'n'").collect()] == ["ready"]
+
+
 def test_artifact_ingest_is_repeatable(spark, tmp_path):
     put(tmp_path / "in/a.json", {"metadata": {"artifact_id": "x", "status": "queued"}})
     schema = schemas.privacy_artifact()
