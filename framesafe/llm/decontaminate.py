@@ -70,6 +70,22 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return per_batch(texts, work, "item_id long, item array<long>, grams array<long>").where(F.size("item") >= GRAM)
 
 
+def _windows(start: int, end: int, seeds: np.ndarray, first: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
+    """A stretch as windows of at most ``4 * reach`` words: start, end, and its seeds' numbers.
+
+    A reportable alignment spans at most ``reach`` words, and neighbours share as many, so one window holds it whole.
+    """
+    size = 4 * reach
+    while True:
+        stop = min(end, start + size)
+        x, y = np.searchsorted(seeds, [start, stop - GRAM + 1])
+        if x < y:
+            yield start, stop, first + int(x), first + int(y)
+        if stop == end:
+            return
+        start = stop - reach
+
+
 def _passages(texts: DataFrame, bitmap, bits: int, reach: int) -> DataFrame:
     """``doc_id, start, words, seeds``: stretches of words around the seeds; overlapping ones are one."""
 
@@ -86,11 +102,13 @@ def _passages(texts: DataFrame, bitmap, bits: int, reach: int) -> DataFrame:
             new = np.r_[True, (lo[1:] > hi[:-1]) | (row[hit][1:] != row[hit][:-1])]
             heads, tails = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(hit)] - 1
             starts, ends = lo[heads], hi[tails]
-            words = [w.hash[a:b] for a, b in zip(starts, ends)]
-            seeds = [np.unique(hashes[hit[a : b + 1]]) for a, b in zip(heads, tails)]
-            rows = row[hit][heads]
+            spans = [s for k, (a, b) in enumerate(zip(heads.tolist(), tails.tolist())) for s in _windows(int(starts[k]), int(ends[k]), at[hit[a : b + 1]], a, reach)]
+            words = [w.hash[a:b] for a, b, _, _ in spans]
+            seeds = [np.unique(hashes[hit[x:y]]) for _, _, x, y in spans]
+            begin = np.array([a for a, _, _, _ in spans])
+            rows = w.row[begin]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[first + rows]), pa.array((starts - w.first[rows]).astype(np.int32)), _lists(words), _lists(seeds)],
+                [pa.array(ids[first + rows]), pa.array((begin - w.first[rows]).astype(np.int32)), _lists(words), _lists(seeds)],
                 ["doc_id", "start", "words", "seeds"],
             )
 

@@ -36,7 +36,7 @@ from .common import Words, byte_strings, components, distinct_in_rows, filter_bi
 WORDS, PERCENT = 5, 75
 TREES, LEVELS, BRANCHES = 16, 3, 2
 LEAF = 64  # a larger node goes down a level
-BLOCK = 2048  # of a large leaf
+BLOCK = 1024  # of a large leaf; a comparison holds up to two blocks
 FLOOR = 0.53
 FEW_HOLDERS = 32
 SMALL = 16  # larger groups are compared by matrices
@@ -204,10 +204,11 @@ def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
                 part = lists.slice(lo, hi - lo)
                 sizes = part.value_lengths().to_numpy()
                 both = _intersections(part.flatten().to_numpy(), sizes)
-                linked = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * PERCENT
+                wide = sizes.astype(np.int64)
                 ids, comp = all_ids[lo:hi], np.unique(all_comps[lo:hi], return_inverse=True)[1]
                 for k in range(hi - lo):
-                    for m in np.flatnonzero(linked[k, :k] & (comp[:k] != comp[k])):
+                    linked = both[k, :k] * 100 >= (wide[k] + wide[:k] - both[k, :k]) * PERCENT
+                    for m in np.flatnonzero(linked & (comp[:k] != comp[k])):
                         if comp[m] != comp[k]:
                             out.append((int(ids[k]), int(ids[m])))
                             comp[comp == comp[m]] = comp[k]
@@ -221,7 +222,10 @@ def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets: pairs are listed for shingles of few holders, others multiplied."""
+    """Sizes of the intersections of all pairs of sets: pairs are listed for shingles of few holders, others multiplied.
+
+    Three matrices of the sets' number squared, of four bytes each, are all that it holds besides its input.
+    """
     m = len(sizes)
     _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
@@ -229,7 +233,7 @@ def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     holders = times[column]
     few = (holders > 1) & (holders <= FEW_HOLDERS)
     r, c = row[few], column[few]
-    both = np.zeros(m * m, np.int64)
+    both = np.zeros(m * m, np.int32)
     for d in range(1, min(FEW_HOLDERS, len(r))):
         pair = np.flatnonzero(c[d:] == c[:-d])
         if not len(pair):
@@ -245,7 +249,7 @@ def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(c, [at, at + width])
         held = np.zeros((m, min(width, int(c[-1]) + 1 - at)), np.float32)
         held[r[lo:hi], c[lo:hi] - at] = 1
-        both += (held @ held.T).astype(np.int64)
+        np.add(both, held @ held.T, out=both, casting="unsafe")
     return both
 
 
