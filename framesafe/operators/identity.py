@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seq_id
@@ -276,192 +277,213 @@ def pick_reference_face(images: DataFrame, dets: DataFrame, key: Sequence[str],
 # -- clustering ------------------------------------------------------------------------------
 
 
-class _Clusters:
-    """Clusters of one group: unit vectors, sums, members, best member."""
-
-    def __init__(self, dim: int):
-        self.sums = np.zeros((0, dim))
-        self.members: list[list[int]] = []
-
-    @staticmethod
-    def _unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=-1, keepdims=True)
-        return m / np.where(n > 0, n, 1.0)
-
-    def centroids(self) -> np.ndarray:
-        return self._unit(self.sums)
-
-    def assign(self, x: np.ndarray, limit: float) -> None:
-        """One pass in row order: join the most similar cluster above the limit or open a new one."""
-        owner = np.full(len(x), -1)
-        for i, v in enumerate(x):
-            sims = self.centroids() @ v
-            if len(sims):
-                seen = owner[:i]
-                small = np.array([len(m) <= MEMBER_LIMIT for m in self.members])
-                direct = np.full(len(sims), -np.inf)
-                np.maximum.at(direct, seen, x[:i] @ v)
-                sims = np.where(small, np.maximum(sims, direct), sims)
-            best = int(np.argmax(sims)) if len(sims) else -1
-            if best >= 0 and sims[best] > limit:
-                self.members[best].append(i)
-                self.sums[best] += v
-            else:
-                best = len(self.members)
-                self.members.append([i])
-                self.sums = np.vstack([self.sums, v])
-            owner[i] = best
+def _units(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=-1, keepdims=True)
+    return m / np.where(n > 0, n, 1.0)
 
-    def merge(self, similar) -> None:
-        """Passes over ordered pairs; ``similar(i, j)`` decides on the clusters as they are by then."""
-        for _ in range(MAX_PASSES):
-            alive = list(range(len(self.members)))
-            gone: set[int] = set()
-            for i in alive:
-                if i in gone:
-                    continue
-                for j in alive[i + 1 :]:
-                    if j not in gone and similar(i, j):
-                        self.members[i] += self.members[j]
-                        self.sums[i] += self.sums[j]
-                        gone.add(j)
-            if not gone:
-                return
-            keep = [i for i in alive if i not in gone]
-            self.members = [self.members[i] for i in keep]
-            self.sums = self.sums[keep]
 
+class _Vectors:
+    """Rows of one width in order of arrival, the first ``held`` bytes of them in memory, the rest in a scratch file of the task."""
 
-def _sample(members: list[int]) -> list[int]:
-    if len(members) <= LINK_SAMPLE:
-        return members
-    return [members[i] for i in np.linspace(0, len(members) - 1, LINK_SAMPLE, dtype=int)]
+    def __init__(self, held: int):
+        self.held, self.size, self.blocks, self.file, self.n = held, 0, [], None, 0
+        self.mapped: np.ndarray | None = None
 
+    def append(self, x: np.ndarray) -> None:
+        self.n += len(x)
+        self.size += x.nbytes
+        self.blocks.append(x)
+        if self.size > self.held:
+            self.file = self.file or tempfile.TemporaryFile()
+            for block in self.blocks:
+                self.file.write(np.ascontiguousarray(block).data)
+            self.blocks, self.size, self.width = [], 0, x.shape[1]
 
-def _merge_all(c: _Clusters, x: np.ndarray, quality: np.ndarray, limit: float) -> None:
-    """Centroid, best-link and representative merges, in this order."""
-    c.merge(lambda i, j: float(_Clusters._unit(c.sums[i]) @ _Clusters._unit(c.sums[j])) > CENTROID_SIM)
-    c.merge(lambda i, j: float((x[_sample(c.members[i])] @ x[_sample(c.members[j])].T).max()) > LINK_SIM)
+    def rows(self) -> np.ndarray:
+        """All rows, mapped from the file where there is one; nothing may be appended afterwards."""
+        if self.mapped is None:
+            if self.file is None:
+                self.mapped = np.concatenate(self.blocks)
+            else:
+                for block in self.blocks:
+                    self.file.write(np.ascontiguousarray(block).data)
+                self.file.flush()
+                self.mapped = np.memmap(self.file, np.float64, "r", shape=(self.n, self.width))
+            self.blocks = []
+        return self.mapped
+
+
+class JobClusters:
+    """The detections of one job, in order, clustered by one rule whatever their number.
+
+    A detection joins the most similar cluster above the limit or opens one; similar to the centroid, and to each
+    member while there are at most ``MEMBER_LIMIT``. Then clusters are merged by centroid, by the best of evenly
+    spaced members, and by their best member. Similarities come from one matrix product per block of detections;
+    within a block, sums and best members move on by the block's own Gram matrix. Held are a sum per cluster, the
+    members of small clusters, and some twenty bytes a detection; vectors wait in a scratch file for the merges.
+    """
 
-    def rep(i: int) -> np.ndarray:
-        m = c.members[i]
-        return x[m[int(np.argmax(quality[m]))]]
+    def __init__(self, limit: float = ASSIGN_SIM, block: int = 256, held: int = 32 << 20):
+        self.limit, self.block = limit, block
+        self.vectors = _Vectors(held)
+        self.quality: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
+        self.sums: np.ndarray | None = None
+        self.counts = np.zeros(0, np.int64)
+
+    def add(self, x: np.ndarray, quality: np.ndarray) -> None:
+        x = _units(x.astype(np.float64))
+        if self.sums is None:
+            self.sums, self.near, self.near_of = np.zeros((0, x.shape[1])), np.zeros((0, x.shape[1])), np.zeros(0, np.int64)
+        self.vectors.append(x)
+        self.quality.append(np.asarray(quality, float))
+        for at in range(0, len(x), self.block):
+            self._assign(x[at : at + self.block])
+
+    def _assign(self, x: np.ndarray) -> None:
+        had, n = len(self.counts), len(x)
+        gram = x @ x.T
+        along = np.zeros((had + n, n))  # sums by the block's rows
+        direct = np.full((had + n, n), -np.inf)  # best members by them
+        along[:had] = self.sums @ x.T
+        if len(self.near_of):  # members lie in order of their clusters
+            starts = np.flatnonzero(np.r_[True, self.near_of[1:] != self.near_of[:-1]])
+            direct[self.near_of[starts]] = np.maximum.reduceat(self.near @ x.T, starts)
+        counts = np.concatenate([self.counts, np.zeros(n, np.int64)])
+        square = np.concatenate([(self.sums**2).sum(1), np.zeros(n)])
+        c, owner = had, np.empty(n, np.int64)
+        for i in range(n):
+            length = np.sqrt(np.maximum(square[:c], 0.0))
+            sims = along[:c, i] / np.where(length > 0, length, 1.0)
+            sims = np.where(counts[:c] <= MEMBER_LIMIT, np.maximum(sims, direct[:c, i]), sims)
+            best = int(sims.argmax()) if c else -1
+            if best < 0 or sims[best] <= self.limit:
+                best, c = c, c + 1
+            square[best] += 2 * along[best, i] + gram[i, i]
+            along[best] += gram[i]
+            np.maximum(direct[best], gram[i], out=direct[best])
+            counts[best] += 1
+            owner[i] = best
+        self.counts = counts[:c]
+        self.sums = np.vstack([self.sums, np.zeros((c - had, x.shape[1]))])
+        np.add.at(self.sums, owner, x)
+        of = np.concatenate([self.near_of, owner])
+        order = np.argsort(of, kind="stable")
+        order = order[self.counts[of[order]] <= MEMBER_LIMIT]
+        self.near, self.near_of = np.vstack([self.near, x])[order], of[order]
+        self.owner.append(owner.astype(np.int32))
+
+    def labels(self) -> np.ndarray:
+        """The cluster of every detection, numbered by first appearance."""
+        if self.sums is None:
+            return np.zeros(0, np.int64)
+        owner, quality, x = np.concatenate(self.owner), np.concatenate(self.quality), self.vectors.rows()
+        order = np.argsort(owner, kind="stable")
+        members = np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)
+        sums = self.sums.copy()
+        best = [int(m[int(np.argmax(quality[m]))]) for m in members]
+
+        def absorb(i: int, j: int) -> None:
+            members[i] = np.concatenate([members[i], members[j]])
+            sums[i] += sums[j]
+            if quality[best[j]] > quality[best[i]]:
+                best[i] = best[j]
+
+        alive = list(range(len(members)))
+        for similar in (self._by_centroid(sums), self._by_members(members, x), self._by_best(best, x)):
+            for _ in range(MAX_PASSES):
+                gone: set[int] = set()
+                for i in alive:
+                    rest = [j for j in alive if j > i and j not in gone] if i not in gone else []
+                    while rest:  # the next similar one by the cluster as it is by then
+                        at = similar(i, rest)
+                        if at is None:
+                            break
+                        absorb(i, rest[at])
+                        gone.add(rest[at])
+                        rest = rest[at + 1 :]
+                if not gone:
+                    break
+                alive = [i for i in alive if i not in gone]
+        out = np.empty(len(owner), np.int64)
+        for n, i in enumerate(alive):
+            out[members[i]] = n
+        return out
 
-    c.merge(lambda i, j: float(rep(i) @ rep(j)) > limit)
+    def _by_centroid(self, sums: np.ndarray):
+        def first(i: int, rest: list[int]) -> int | None:
+            above = np.flatnonzero(_units(sums[rest]) @ _units(sums[i]) > CENTROID_SIM)
+            return int(above[0]) if len(above) else None
 
+        return first
 
-def cluster_vectors(x: np.ndarray, quality: np.ndarray, limit: float = ASSIGN_SIM) -> np.ndarray:
-    """Cluster number of every row of ``x`` (one job, in detection order)."""
-    x = _Clusters._unit(x.astype(np.float64))
-    c = _Clusters(x.shape[1])
-    c.assign(x, limit)
-    _merge_all(c, x, quality, limit)
-    out = np.empty(len(x), dtype=np.int64)
-    for n, m in enumerate(c.members):
-        out[m] = n
-    return out
+    def _by_members(self, members: list[np.ndarray], x: np.ndarray):
+        held: dict[int, tuple[int, np.ndarray]] = {}
 
+        def some(i: int) -> np.ndarray:
+            m = members[i]
+            if held.get(i, (0,))[0] != len(m):  # evenly spaced over the members in their order
+                held[i] = len(m), np.asarray(x[m if len(m) <= LINK_SAMPLE else m[np.linspace(0, len(m) - 1, LINK_SAMPLE, dtype=int)]])
+            return held[i][1]
 
-GROUP_LIMIT = 20_000
-FAN_IN = 16
+        def first(i: int, rest: list[int]) -> int | None:
+            mine = some(i)
+            for k in range(0, len(rest), 64):
+                pools = [some(j) for j in rest[k : k + 64]]
+                starts = np.cumsum([0] + [len(p) for p in pools[:-1]])
+                above = np.flatnonzero(np.maximum.reduceat((np.concatenate(pools) @ mine.T).max(1), starts) > LINK_SIM)
+                if len(above):
+                    return k + int(above[0])
+            return None
 
+        return first
 
-def cluster_faces(dets: DataFrame, job: str = "job_id", seq: str = "seq", threshold: float = ASSIGN_SIM,
-                  group_limit: int = GROUP_LIMIT) -> DataFrame:
+    def _by_best(self, best: list[int], x: np.ndarray):
+        def first(i: int, rest: list[int]) -> int | None:
+            above = np.flatnonzero(x[[best[j] for j in rest]] @ x[best[i]] > self.limit)
+            return int(above[0]) if len(above) else None
+
+        return first
+
+
+def cluster_faces(dets: DataFrame, job: str = "job_id", seq: str = "seq", threshold: float = ASSIGN_SIM, held: int = 32 << 20) -> DataFrame:
     """Give every detection with an encoding its cluster number within the job.
 
-    The rule depends on the order of detections, so a job runs in one task while it has at most
-    ``group_limit`` detections. A larger job is cut into shards that are clustered by the same rule;
-    shard clusters are then merged by the same three merge rules, ``FAN_IN`` shards at a time. All
-    detections are kept; only there may the result depend on the cut.
+    The rule depends on the order of detections, so a job is one stream of rows, which Spark partitions and sorts;
+    jobs are spread over tasks. One rule holds at every size (see ``JobClusters``): a job of any length takes a
+    bounded number of vectors in memory.
     """
     quality = F.coalesce("det_score", F.lit(0.0)) + F.coalesce("sharpness", F.lit(0.0)) * 0.01
-    src = dets.where(F.col("encoding").isNotNull())
-    sizes = src.groupBy(job).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    slim = src.select(job, seq, "encoding", quality.alias("__q"))
+    slim = dets.where(F.col("encoding").isNotNull()).select(F.col(job).alias("job"), F.col(seq).alias("seq"), F.col("encoding").cast("array<double>").alias("v"), quality.alias("q"))
+    src = spread(slim, "job").sortWithinPartitions("job", "seq")
     types = dict(slim.dtypes)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable")
-        out = pdf[[job, seq]].copy()
-        out["cluster"] = cluster_vectors(_matrix(pdf["encoding"]), pdf["__q"].to_numpy(), threshold)
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, clusters, rows = None, None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            labels, at = clusters.labels(), 0
+            for part in rows:
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[at : at + part.num_rows])], ["job", "seq", "cluster"])
+                at += part.num_rows
 
-    schema = f"`{job}` {types[job]}, `{seq}` {types[seq]}, cluster long"
-    if most <= group_limit:
-        return spread(slim, job).groupBy(job).applyInPandas(one, schema)
-
-    shards = sizes.select(job, F.ceil(F.col("n") / group_limit).cast("long").alias("__shards"))
-    cut = slim.join(shards, job).withColumn("__shard", F.pmod(F.xxhash64(seq), F.col("__shards")))
-    first = checkpoint(cut.groupBy(job, "__shard").applyInPandas(
-        lambda p: _shard_clusters(p, job, seq, threshold), _cluster_schema(types[job], job)
-    ))
-    owner = first.select(job, F.explode("rows").alias(seq), F.col("uid").alias("__uid")).withColumn(seq, F.col(seq).cast(types[seq]))
-    level = first.drop("rows")
-    width = int(-(-most // group_limit))
-    while width > 1:
-        grouped = level.withColumn("__shard", F.floor(F.col("__shard") / FAN_IN).cast("long"))
-        merged = checkpoint(grouped.groupBy(job, "__shard").applyInPandas(
-            lambda p: _merge_clusters(p, job, threshold), _cluster_schema(types[job], job)
-        ))
-        step = merged.select(job, F.explode("rows").alias("__uid"), F.col("uid").alias("__up"))
-        owner = owner.join(step, [job, "__uid"]).select(job, seq, F.col("__up").alias("__uid"))
-        level = merged.drop("rows")
-        width = -(-width // FAN_IN)
-    firsts = owner.groupBy(job, "__uid").agg(F.min(seq).alias("__first"))
-    w = Window.partitionBy(job).orderBy("__first")
-    numbered = firsts.select(job, "__uid", (F.row_number().over(w) - 1).cast("long").alias("cluster"))
-    return owner.join(numbered, [job, "__uid"]).select(job, seq, "cluster")
-
-
-def _cluster_schema(job_type: str, job: str) -> str:
-    return f"`{job}` {job_type}, `__shard` long, uid string, vsum array<double>, n long, sample array<array<double>>, rep array<double>, best double, rows array<string>"
-
-
-def _shard_clusters(pdf: pd.DataFrame, job: str, seq: str, threshold: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(seq, kind="stable").reset_index(drop=True)
-    x = _Clusters._unit(_matrix(pdf["encoding"]))
-    q = pdf["__q"].to_numpy()
-    labels = cluster_vectors(x, q, threshold)
-    out = []
-    for c in range(labels.max() + 1):
-        m = np.flatnonzero(labels == c)
-        out.append(_summary(pdf[job].iloc[0], int(pdf["__shard"].iloc[0]), f"{pdf['__shard'].iloc[0]}/{c}", x[m].sum(0), len(m),
-                            x[_sample(list(m))], x[m[np.argmax(q[m])]], float(q[m].max()), pdf[seq].iloc[m].astype(str).tolist()))
-    return pd.DataFrame(out, columns=["job", "__shard", "uid", "vsum", "n", "sample", "rep", "best", "rows"]).rename(columns={"job": job})
-
-
-def _summary(job, shard, uid, vsum, n, sample, rep, best, rows):
-    return (job, shard, uid, vsum.tolist(), n, [s.tolist() for s in sample], rep.tolist(), best, rows)
-
-
-def _merge_clusters(pdf: pd.DataFrame, job: str, threshold: float) -> pd.DataFrame:
-    """Merge the cluster summaries of some shards by the three merge rules."""
-    pdf = pdf.sort_values(["n", "uid"], ascending=[False, True]).reset_index(drop=True)
-    sums = _matrix(pdf["vsum"])
-    samples = [np.stack([np.asarray(v) for v in s]) for s in pdf["sample"]]
-    reps, best = _matrix(pdf["rep"]), pdf["best"].to_numpy()
-    c = _Clusters(sums.shape[1])
-    c.sums, c.members = sums.copy(), [[i] for i in range(len(pdf))]
-
-    def pool(i: int) -> np.ndarray:
-        rows = np.concatenate([samples[m] for m in c.members[i]])
-        return rows[np.linspace(0, len(rows) - 1, min(len(rows), LINK_SAMPLE), dtype=int)]
-
-    def rep(i: int) -> np.ndarray:
-        return reps[max(c.members[i], key=lambda m: best[m])]
-
-    c.merge(lambda i, j: float(_Clusters._unit(c.sums[i]) @ _Clusters._unit(c.sums[j])) > CENTROID_SIM)
-    c.merge(lambda i, j: float((pool(i) @ pool(j).T).max()) > LINK_SIM)
-    c.merge(lambda i, j: float(rep(i) @ rep(j)) > threshold)
-    shard = int(pdf["__shard"].iloc[0])
-    out = [
-        _summary(pdf[job].iloc[0], shard, f"{shard}:{n}:{pdf['uid'].iloc[m[0]]}", c.sums[n], int(pdf["n"].iloc[m].sum()), pool(n),
-                 rep(n), float(best[m].max()), pdf["uid"].iloc[m].tolist())
-        for n, m in enumerate(c.members)
-    ]
-    return pd.DataFrame(out, columns=["job", "__shard", "uid", "vsum", "n", "sample", "rep", "best", "rows"]).rename(columns={"job": job})
+        for batch in batches:
+            jobs = batch.column("job").to_pylist()
+            cuts = [0, *(i for i in range(1, len(jobs)) if jobs[i] != jobs[i - 1]), len(jobs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if clusters is None or jobs[a] != key:
+                    if clusters is not None:
+                        yield from done()
+                    key, clusters, rows = jobs[a], JobClusters(threshold, held=held), []
+                part = batch.slice(a, b - a)
+                clusters.add(_rows(part.column("v")), part.column("q").to_numpy())
+                rows.append(part.select(["job", "seq"]))
+        if clusters is not None:
+            yield from done()
+
+    return src.mapInArrow(run, f"job {types['job']}, seq {types['seq']}, cluster long").toDF(job, seq, "cluster")
 
 
 # -- identities across jobs ------------------------------------------------------------------

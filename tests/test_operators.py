@@ -205,12 +205,36 @@ def test_clusters_equal_the_plain_rule(spark, spread):
     assert sorted(tuple(sorted(c)) for c in got.values()) == plain_clusters(v, q, 0.42)
 
 
-def test_large_jobs_are_sharded_without_losing_rows(spark):
-    v = people(300, 0.2)
-    df = spark.createDataFrame([("j", i, v[i].tolist(), 0.5, 0.0) for i in range(300)], "job_id string, seq long, encoding array<double>, det_score double, sharpness double")
-    whole = identity.cluster_faces(df).groupBy("cluster").count()
-    cut = identity.cluster_faces(df, group_limit=40).groupBy("cluster").count()
-    assert sorted(r["count"] for r in cut.collect()) == sorted(r["count"] for r in whole.collect())
+@pytest.mark.parametrize("block, held", [(1, 1 << 30), (7, 0), (64, 5000), (256, 0), (10_000, 1 << 30)])
+def test_one_clustering_rule_at_every_size(block, held):
+    """Blocks and scratch files change nothing, also where clusters outgrow the limits of members and samples."""
+    v, q = people(420, 0.9, seed=4), np.random.default_rng(5).random(420)
+    c = identity.JobClusters(0.42, block, held)
+    for at in range(0, 420, 50):
+        c.add(v[at : at + 50] * 3.0, q[at : at + 50])
+    got = {}
+    for n, label in enumerate(c.labels().tolist()):
+        got.setdefault(label, []).append(n)
+    want = plain_clusters(v, q.tolist(), 0.42)
+    assert sorted(tuple(x) for x in got.values()) == want and max(map(len, want)) > 60
+    assert [got[k][0] for k in sorted(got)] == sorted(x[0] for x in got.values())
+
+
+def test_clusters_of_many_jobs_and_batches(spark):
+    v = people(300, 0.8)
+    df = spark.createDataFrame([(f"j{i % 3}", i, v[i].tolist() if i % 10 else None, 0.5, None) for i in range(300)], "job_id string, seq long, encoding array<double>, det_score double, sharpness double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {}
+        for r in identity.cluster_faces(df, held=1000).collect():
+            got.setdefault((r.job_id, r.cluster), []).append(r.seq)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        mine = [i for i in range(300) if i % 3 == k and i % 10]
+        want = [tuple(mine[n] for n in c) for c in plain_clusters(v[mine], [0.5] * len(mine), 0.42)]
+        assert sorted(tuple(sorted(s)) for (j, _), s in got.items() if j == f"j{k}") == sorted(want)
+    assert identity.cluster_faces(df.limit(0)).collect() == []
 
 
 def test_topk_blocks_equal_broadcast(spark):
