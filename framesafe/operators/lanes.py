@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -124,19 +124,41 @@ def smooth_runs(boxes: np.ndarray, starts: np.ndarray, a: np.ndarray, s: np.ndar
     return out
 
 
+def fading_rows(alpha: float) -> int:
+    """After how many rows the weight of what came before is below e^-40."""
+    return max(1, math.ceil(40.0 / -math.log(max(1.0 - alpha, 1e-12))))
+
+
 def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_alpha: Column | float | None = None,
               fw: float = 1920, fh: float = 1080, order: str = "f", descending: bool = False,
               run: str | None = None) -> DataFrame:
-    """Smooth the boxes of each key (and run) along ``order``; the first row of a run keeps its box."""
+    """Smooth the boxes of each key (and run) along ``order``; the first row of a run keeps its box.
+
+    With fixed alphas above zero, a run is cut into stretches that are smoothed apart, each after a warm-up by the
+    rows before it, as many as it takes for the box before them to fade below e^-40: one lane is spread over tasks.
+    Alphas by row may be zero and keep a box for ever, so a run stays one stretch then.
+    """
     group = [*keys, run] if run else list(keys)
+    fixed = [x for x in (alpha, alpha if size_alpha is None else size_alpha) if not isinstance(x, Column)]
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     s = a if size_alpha is None else (size_alpha if isinstance(size_alpha, Column) else F.lit(float(size_alpha)))
     cols = df.columns
-    src = df.withColumns({"__a": a.cast("double"), "__s": s.cast("double"), "__g": null_safe_hash(*group)})
+    src = df.withColumns({"__a": a.cast("double"), "__s": s.cast("double"), "__k": F.struct(*group)})
     for n in Box._fields:
         src = src.withColumn(n, F.col(n).cast("double"))
+    if len(fixed) == 2 and min(fixed) >= 0.01:
+        warm = fading_rows(min(fixed))
+        size = 8 * warm
+        src = scans.scan(src, ["__k"], [order], LANE_CHUNK, {"__n": scans.count_so_far(F.lit(True)), "__all": scans.total(F.lit(True))})
+        nth = F.col("__all") - F.col("__n") if descending else F.col("__n") - 1
+        own = F.floor(nth / size)
+        parts = F.when(nth % size >= size - warm, F.array(own, own + 1)).otherwise(F.array(own))
+        src = src.withColumn("__own", own).withColumn("__part", F.explode(parts)).withColumn("__warm", F.col("__part") != F.col("__own"))
+    else:
+        src = src.withColumns({"__part": F.lit(0).cast("long"), "__warm": F.lit(False)})
+    src = src.withColumn("__g", null_safe_hash("__part", *group))
     way = F.col(order).desc() if descending else F.col(order).asc()
-    parted = spread(src, *group).sortWithinPartitions(*group, way)
+    parted = spread(src.select(*cols, "__a", "__s", "__g", "__part", "__warm"), *group, "__part").sortWithinPartitions(*group, "__part", way)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_g, last_box = None, None
@@ -154,7 +176,7 @@ def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_al
                 y = smooth_runs(x, starts, av, sv, fw, fh)
             last_g, last_box = g[-1], y[-1]
             b[list(Box._fields)] = y
-            yield b[cols]
+            yield b[~b["__warm"].to_numpy(bool)][cols]
 
     schema = src.select(*cols).schema
     return parted.mapInPandas(scan, schema)
@@ -174,48 +196,30 @@ def smooth_bidirectional(lane: DataFrame, keys: Sequence[str], alpha: float = 0.
 # -- velocity --------------------------------------------------------------------------------
 
 
-def _velocity_runs(state: np.ndarray, starts: np.ndarray, first: np.ndarray, alpha: float) -> np.ndarray:
-    """Smoothed steps of the state inside runs, all runs advancing together; a run starts from ``first``."""
-    out = np.zeros_like(state)
-    out[0] = first
-    pos = np.arange(len(state))
-    pos = pos - np.maximum.accumulate(np.where(starts, pos, 0))
-    by_step = np.argsort(pos, kind="stable")
-    bounds = np.searchsorted(pos[by_step], np.arange(1, pos.max(initial=0) + 2))
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        i = by_step[lo:hi]
-        out[i] = alpha * (state[i] - state[i - 1]) + (1 - alpha) * out[i - 1]
-    return out
-
-
 def velocities(df: DataFrame, keys: Sequence[str], order: str = "f", alpha: float = VELOCITY_ALPHA) -> DataFrame:
-    """Smoothed velocity of (cx, cy, w, h) plus motion rate and scale-change strength.
+    """Smoothed velocity of (cx, cy, w, h) plus motion rate and scale-change strength; frames of a key differ.
 
-    The first row of a key has velocity zero. Tasks stream through their sorted rows with the last state
-    and velocity in hand.
+    The first row of a key has velocity zero. The recurrence ``v = alpha * step + (1 - alpha) * v`` is linear, so it is
+    a running sum of steps weighted by powers, over stretches of rows that are long enough for what came before a
+    stretch to have faded below the precision of doubles, plus the faded end of the stretch before. A lane is so
+    spread over tasks, and nothing leaves the JVM.
     """
-    cols, v = df.columns, ["vcx", "vcy", "vw", "vh"]
+    names, cols = ("cx", "cy", "w", "h"), df.columns
+    fade = 1.0 - alpha
+    size = fading_rows(alpha)
     st = B.box_state(box())
-    src = df.withColumns({"__g": null_safe_hash(*keys), **{f"__{n}": st[n].cast("double") for n in ("cx", "cy", "w", "h")}})
-    parted = spread(src, *keys).sortWithinPartitions(*keys, order)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_g, last_s, last_v = None, None, None
-        for b in batches:
-            if not len(b):
-                continue
-            g, s = b["__g"].to_numpy(), b[["__cx", "__cy", "__w", "__h"]].to_numpy(dtype=float)
-            starts = np.r_[True, g[1:] != g[:-1]]
-            if last_g is not None and g[0] == last_g:
-                starts[0] = False
-                y = _velocity_runs(np.vstack([last_s, s]), np.r_[True, starts], last_v, alpha)[1:]
-            else:
-                y = _velocity_runs(s, starts, np.zeros(4), alpha)
-            last_g, last_s, last_v = g[-1], s[-1], y[-1]
-            b[v] = y
-            yield b[[*cols, *v]]
-
-    out = parted.mapInPandas(scan, df.select("*", *(F.lit(0.0).alias(n) for n in v)).schema)
+    src = df.withColumns({"__g": F.struct(*keys), "__s": F.struct(*(st[n].cast("double").alias(n) for n in names))})
+    spec = {"__p": scans.last(F.col("__s"), current=False), "__n": scans.count_so_far(F.lit(True))}
+    src = scans.scan(src, ["__g"], [order], LANE_CHUNK, spec)
+    src = src.withColumns({"__part": F.floor((F.col("__n") - 1) / size), "__at": (F.col("__n") - 1) % size})
+    so_far = Window.partitionBy("__g", "__part").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda n: F.coalesce(F.col(f"__s.{n}") - F.col(f"__p.{n}"), F.lit(0.0))
+    local = {f"__{n}": alpha * F.pow(F.lit(fade), F.col("__at")) * F.sum(step(n) * F.pow(F.lit(fade), -F.col("__at"))).over(so_far) for n in names}
+    src = src.withColumns(local)
+    ends = src.where(F.col("__at") == size - 1).select("__g", (F.col("__part") + 1).alias("__part"), F.struct(*(F.col(f"__{n}").alias(n) for n in names)).alias("__e"))
+    src = src.join(ends, ["__g", "__part"], "left")
+    left = F.pow(F.lit(fade), F.col("__at") + 1)
+    out = src.select(*cols, *((F.col(f"__{n}") + left * F.coalesce(F.col(f"__e.{n}"), F.lit(0.0))).alias(f"v{n}") for n in names))
     w, h = B.width(box()), B.height(box())
     diag = F.greatest(F.lit(8.0), F.hypot(F.greatest(w, F.lit(1.0)), F.greatest(h, F.lit(1.0))))
     zoom = F.greatest(F.abs("vw") / F.greatest(F.lit(1.0), w), F.abs("vh") / F.greatest(F.lit(1.0), h))

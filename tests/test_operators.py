@@ -283,6 +283,32 @@ def test_smoothing_ignores_batch_cuts(spark):
     assert v == rows(lanes.velocities(df, ["k"]).select("f", "vcx"))
 
 
+def test_long_lanes_are_cut_without_a_trace(spark):
+    """One lane of many stretches, and lanes with null keys, against the recurrences row by row."""
+    rng = np.random.default_rng(3)
+    place = np.cumsum(rng.normal(0, 5, (3000, 2)), axis=0) % 800
+    data = [("a" if i < 2900 else None, 3 * i, *(float(v) for v in (x, y, x + 30 + i % 50, y + 40 + i % 70))) for i, (x, y) in enumerate(place)]
+    df = spark.createDataFrame(data, "k string, f long, x1 double, y1 double, x2 double, y2 double")
+    for down in (False, True):
+        want, prior = {}, None
+        for r in sorted(data[:2900], key=lambda r: -r[1] if down else r[1]):
+            x = np.array([r[2:]])
+            prior = x if prior is None else lanes._blend(x, prior, np.array([0.5]), np.array([0.24]), 1920, 1080)
+            want[r[1]] = prior[0]
+        out = lanes.ema_boxes(df, ["k"], 0.5, 0.24, 1920, 1080, descending=down)
+        got = {r.f: [r.x1, r.y1, r.x2, r.y2] for r in out.where("k = 'a'").collect()}
+        assert got.keys() == want.keys() and max(np.abs(want[f] - got[f]).max() for f in want) < 1e-9
+        assert out.where("k IS NULL").count() == 100
+    state = lambda r: np.array([(r[2] + r[4]) / 2, (r[3] + r[5]) / 2, r[4] - r[2], r[5] - r[3]])
+    got = {r.f: [r.vcx, r.vcy, r.vw, r.vh] for r in lanes.velocities(df, ["k"]).collect()}
+    v = np.zeros(4)
+    for i, r in enumerate(data):
+        v = np.zeros(4) if i in (0, 2900) else 0.45 * (state(r) - state(data[i - 1])) + 0.55 * v
+        assert np.abs(v - got[r[1]]).max() < 1e-9
+    plan = lanes.velocities(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+
+
 # -- payloads and scalars --------------------------------------------------------------------
 
 CASES = [
