@@ -188,6 +188,85 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
     return first.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__salt")
 
 
+def vector_topk_grouped(queries: DataFrame, items: DataFrame, group: str, k_groups: int, k_items: int, query_id: str = "query_id",
+                        item_id: str = "item_id", vec: str = "vec", digits: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The best ``k_groups`` groups of every query by their best item, and the best ``k_items`` items of each. Exact.
+
+    ``(query_id, group_rank, <group>, rank, item_id, score)``; ties go to the smaller group and item. Vectors are unit
+    length; ids and groups are integers; items without a group or vector take no part.
+
+    Two levels: a task keeps ``k_groups`` groups per query, which is enough, as a group that is among the best has its
+    best item in some task and is among that task's best. Then tasks keep ``k_items`` items of each chosen group. Only
+    those few rows are shuffled; items are read twice and never moved. Queries are shipped to the tasks, ``query_block``
+    of them at a time.
+    """
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("qv")).where("query_id IS NOT NULL AND qv IS NOT NULL")
+    i = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(group).cast("long").alias("grp"), F.col(vec).alias("iv"))
+    i = i.where("item_id IS NOT NULL AND grp IS NOT NULL AND iv IS NOT NULL")
+    blocks = 1 if fits_in_broadcast(q, query_block) else -(-q.count() * 2 // query_block)
+    parts = [_grouped_block(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), i, k_groups, k_items, digits) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumnRenamed("grp", group)
+
+
+def _grouped_block(q: DataFrame, i: DataFrame, k_groups: int, k_items: int, digits: int | None) -> DataFrame:
+    spark = q.sparkSession
+    local = q.toPandas()  # one block of queries
+    shared = spark.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["qv"])))
+
+    def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Query ids, and of each batch: items, scores, distinct groups and where they start; items in order of group and id."""
+        ids, m = shared.value
+        for b in batches:
+            if len(b) and len(ids):
+                b = b.sort_values(["grp", "item_id"])
+                scores = m @ _matrix(b["iv"]).T
+                scores = scores if digits is None else np.round(scores, digits)
+                groups, starts = np.unique(b["grp"].to_numpy(), return_index=True)
+                yield ids, b["item_id"].to_numpy(), scores, groups, np.append(starts, len(b))
+
+    def best_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for ids, _, scores, groups, starts in batches_of(batches):
+            top = np.maximum.reduceat(scores, starts[:-1], axis=1)
+            pick = np.argsort(-top, axis=1, kind="stable")[:, :k_groups]
+            new = pd.DataFrame({"query_id": np.repeat(ids, pick.shape[1]), "grp": groups[pick].ravel(), "score": np.take_along_axis(top, pick, 1).ravel()})
+            best = new if best is None else pd.concat([best, new]).groupby(["query_id", "grp"], as_index=False)["score"].max()
+            best = best.sort_values(["query_id", "score", "grp"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k_groups)
+        if best is not None:
+            yield best
+
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "grp")
+    found = i.mapInPandas(best_groups, "query_id long, grp long, score double").groupBy("query_id", "grp").agg(F.max("score").alias("score"))
+    chosen = checkpoint(found.withColumn("group_rank", F.row_number().over(by_score)).where(F.col("group_rank") <= k_groups).select("query_id", "grp", "group_rank"))
+    wanted: dict[int, set[int]] = {}
+    for r in chosen.collect():  # k_groups for each query of the block
+        wanted.setdefault(r["grp"], set()).add(r["query_id"])
+    of_group = spark.sparkContext.broadcast(wanted)
+
+    def best_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for ids, items, scores, groups, starts in batches_of(batches):
+            new = []
+            for g, lo, hi in zip(groups.tolist(), starts, starts[1:]):
+                rows = np.flatnonzero([x in of_group.value.get(g, ()) for x in ids.tolist()]) if g in of_group.value else ()
+                if len(rows):
+                    part = scores[rows, lo:hi]
+                    pick = np.argsort(-part, axis=1, kind="stable")[:, :k_items]
+                    new.append(pd.DataFrame({"query_id": np.repeat(ids[rows], pick.shape[1]), "grp": g, "item_id": items[lo:hi][pick].ravel(), "score": np.take_along_axis(part, pick, 1).ravel()}))
+            if new:
+                best = pd.concat(new if best is None else [best, *new])
+                best = best.sort_values(["query_id", "grp", "score", "item_id"], ascending=[True, True, False, True]).groupby(["query_id", "grp"], sort=False).head(k_items)
+        if best is not None:
+            yield best
+
+    within = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), "item_id")
+    hits = i.mapInPandas(best_items, "query_id long, grp long, item_id long, score double").withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k_items)
+    return hits.join(chosen, ["query_id", "grp"]).select("query_id", "group_rank", "grp", "rank", "item_id", "score")
+
+
 def _keep_top(df: pd.DataFrame, k: int) -> pd.DataFrame:
     df = df.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True], kind="stable")
     return df.groupby("query_id", sort=False).head(k)

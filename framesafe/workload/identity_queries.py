@@ -27,6 +27,19 @@ def vector_topk(spark, sf):
     return identity.vector_topk(q, i, 10, skip_self=True, digits=6)
 
 
+@query("vector_topk_by_video", """
+WITH e AS (SELECT vec_id, vec_id * 7 % 23 AS video_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.video_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 6) AS score FROM e a, e b),
+g AS (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, video_id) AS group_rank FROM s GROUP BY 1, 2),
+r AS (SELECT s.*, group_rank, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, item_id) AS rank FROM s JOIN g USING (query_id, video_id) WHERE group_rank <= 5)
+SELECT query_id, CAST(group_rank AS INTEGER) AS group_rank, video_id, CAST(rank AS INTEGER) AS rank, item_id, score FROM r WHERE rank <= 3""")
+def vector_topk_by_video(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    i = e.select(F.col("vec_id").alias("item_id"), (F.col("vec_id") * 7 % 23).alias("video_id"), F.col("embedding").alias("vec"))
+    return identity.vector_topk_grouped(q, i, "video_id", 5, 3, digits=6)
+
+
 def known_people(spark, sf, d):
     """One known vector per person: the encoding of the first object detection."""
     k = d.where("kind = 'object'").groupBy(*VP).agg(F.min_by("encoding", "seq").alias("encoding"))

@@ -237,6 +237,27 @@ def test_clusters_of_many_jobs_and_batches(spark):
     assert identity.cluster_faces(df.limit(0)).collect() == []
 
 
+def test_topk_by_group_in_blocks_and_batches(spark):
+    v = people(90, 1.0)
+    df = spark.createDataFrame([(i, i % 7 if i % 11 else None, v[i].tolist() if i % 13 else None) for i in range(90)], "id long, video long, vec array<double>").repartition(6)
+    q, it = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "item_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = [rows(identity.vector_topk_grouped(q, it, "video", 3, 2, digits=6, query_block=b)) for b in (1000, 40)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for n in (n for n in range(90) if n % 13):
+        best = {}
+        for i in range(90):
+            if i % 11 and i % 13:
+                best.setdefault(i % 7, []).append((-round(float(v[n] @ v[i]), 6), i))
+        for rank, (g, found) in enumerate(sorted(best.items(), key=lambda x: (min(x[1])[0], x[0]))[:3]):
+            want += [(n, rank + 1, g, k + 1, i, -s) for k, (s, i) in enumerate(sorted(found)[:2])]
+    assert got[0] == got[1] and [r[:5] for r in got[0]] == [r[:5] for r in sorted(want)]
+    assert identity.vector_topk_grouped(q, it.limit(0), "video", 3, 2).collect() == []
+
+
 def test_topk_blocks_equal_broadcast(spark):
     v = people(60, 1.0)
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "id long, vec array<double>")
