@@ -584,14 +584,33 @@ def _linked_keys(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tup
     return np.concatenate(a), np.concatenate(b)
 
 
-def resolve_identities(people: DataFrame, key: str = "person_key", vec: str = "centroid", threshold: float = LINK_SIM, block: int = 2048) -> DataFrame:
-    """Link people of different jobs that look alike: ``(key, identity)``.
+def resolve_identities(people: DataFrame, key: str = "person_key", vec: str = "centroid", threshold: float = LINK_SIM, block: int = 2048,
+                       centroid_sim: float | None = CENTROID_SIM) -> DataFrame:
+    """Link people of different jobs that look alike: ``(key, identity)``, the identity named by its smallest key.
 
-    Every pair of people is compared: blocks of vectors meet in pairs, one matrix product each, and a pair
-    of blocks gives a tree of its links. Links above the threshold are closed to connected components by
-    label passing. The work grows with the square of the people, divided over the pairs of blocks.
+    People above ``threshold`` are linked, links closed to connected components. Then rounds: identities whose
+    centroids (of unit vectors) are above ``centroid_sim`` are linked likewise, until a round merges nothing; ``None``
+    leaves the rounds out. Every round has fewer identities than the one before.
     """
     base = people.where(F.col(vec).isNotNull()).select(F.col(key).alias("node"), F.col(vec).alias("v")).distinct()
+    labels = checkpoint(_linked(base, threshold, block))
+    while centroid_sim is not None:
+        members = base.join(labels, "node").select("label", unit(F.col("v")).alias("v"))
+        centre = checkpoint(centroids(members, ["label"], "v").select(F.col("label").alias("node"), F.col("centroid").alias("v")))
+        merged = checkpoint(_linked(centre, centroid_sim, block))
+        if merged.where("node <> label").isEmpty():
+            break
+        step = merged.select(F.col("node").alias("label"), F.col("label").alias("__to"))
+        labels = checkpoint(labels.join(step, "label").select("node", F.col("__to").alias("label")))
+    return labels.select(F.col("node").alias(key), F.col("label").alias("identity"))
+
+
+def _linked(base: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``node, label`` of the components of all pairs of vectors above the threshold.
+
+    Every pair is compared: blocks of vectors meet in pairs, one matrix product each, and a pair of blocks gives a tree
+    of its links. The work grows with the square of the vectors, divided over the pairs of blocks.
+    """
     blocks = max(1, -(-base.count() // block))
     each = base.withColumn("mine", F.pmod(F.xxhash64("node", "v"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     met = each.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
@@ -607,8 +626,7 @@ def resolve_identities(people: DataFrame, key: str = "person_key", vec: str = "c
 
     kind = base.schema["node"].dataType.simpleString()
     edges = met.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
-    labels = connected_components(base.select("node"), edges)
-    return labels.select(F.col("node").alias(key), F.col("label").alias("identity"))
+    return connected_components(base.select("node"), edges)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -104,6 +104,16 @@ def cluster_people(spark, sf):
     return s.select("video_id", "person_id", "appearance_count", "best_seq", "order_pos")
 
 
+@query("link_identities", """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) > 0.38::DOUBLE * a.n * b.n),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT x AS person_key, min(y) AS identity FROM r GROUP BY x""")
+def link_identities(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("person_key"), F.col("embedding").alias("centroid"))
+    return identity.resolve_identities(e, centroid_sim=None)
+
+
 @query("resolve_identities")
 def resolve_identities(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("person_key"), F.col("embedding").alias("centroid"))

@@ -435,6 +435,34 @@ def test_mask_plan_thins_detector_objects_only(spark):
     assert got == {("face", "lane"): 1, ("face", "detection"): 6, ("object", "detection"): 2 + 6}
 
 
+def test_identities_merge_by_centroids_until_nothing_changes(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((5, 12))[rng.integers(0, 5, 90)] + 1.1 * rng.standard_normal((90, 12))
+    unit = lambda x: x / np.linalg.norm(x)
+    v = np.array([unit(x) * (1 + i % 3) for i, x in enumerate(v)])
+
+    def components(x, limit):
+        label = list(range(len(x)))
+        for i in range(len(x)):
+            for j in range(i):
+                if unit(x[i]) @ unit(x[j]) > limit and label[i] != label[j]:
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if w == high else w for w in label]
+        return label
+
+    want, rounds = components(v, 0.75), 0
+    while True:
+        names = sorted(set(want))
+        merged = components([np.mean([unit(v[i]) for i in range(90) if want[i] == n], axis=0) for n in names], 0.6)
+        if merged == list(range(len(names))):
+            break
+        want, rounds = [names[merged[names.index(w)]] for w in want], rounds + 1
+    assert rounds >= 2 and len(set(want)) > 1
+    people = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "person_key long, centroid array<double>")
+    got = {r.person_key: r.identity for r in identity.resolve_identities(people, threshold=0.75, block=30, centroid_sim=0.6).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_identities_link_every_pair_above_the_limit(spark):
     import numpy as np
     from framesafe.operators import identity
@@ -453,5 +481,5 @@ def test_identities_link_every_pair_above_the_limit(spark):
             low, high = sorted((want[x], want[y]))
             want = [low if w == high else w for w in want]
         for block in (2048, 40):
-            got = {r.person_key: r.identity for r in identity.resolve_identities(people, threshold=limit, block=block).collect()}
+            got = {r.person_key: r.identity for r in identity.resolve_identities(people, threshold=limit, block=block, centroid_sim=None).collect()}
             assert got == dict(enumerate(want))
