@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions.boxes import box_from_array, is_valid, valid_box
 from ..functions.scalars import artifact_id, digest, finite, safe_id
+from .files import write_files
 
 LANE_VERSION = 6
 DETECTION_VERSION = 1
@@ -131,11 +133,27 @@ def artifact_paths(df: DataFrame, root: str, prefix: str, job_dir: str, filename
     })
 
 
+def artifact_files(df: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of the documents of artifacts (see ``artifact_paths``), relative to ``root``.
+
+    Each artifact stands at its ``path`` and at the canonical one, and the newest of an id has a job record.
+    ``df``: ``artifact_id, path, canonical_path, record_path, status, updated_at`` and ``document``, the artifact as text.
+    Paths outside ``root`` are refused when written.
+    """
+    below = lambda c: F.regexp_replace(c, f"^{re.escape(root.rstrip('/'))}/", "")
+    places = F.array_distinct(F.array("path", "canonical_path"))
+    documents = df.select("updated_at", "artifact_id", F.explode(places).alias("path"), F.col("document").alias("content"))
+    newest = df.groupBy("artifact_id").agg(F.max(F.struct("updated_at", "status", "path", "record_path")).alias("m"))
+    record = F.to_json(F.struct(F.col("artifact_id").alias("job_id"), "m.status", F.col("m.path").alias("artifact_path"), F.lit(False).alias("cached"), "m.updated_at"))
+    records = newest.select("m.updated_at", "artifact_id", F.col("m.record_path").alias("path"), record.alias("content"))
+    # two artifacts of one place: the newest stays
+    each = documents.unionByName(records).groupBy("path").agg(F.max_by("content", F.struct("updated_at", "content")).alias("content"))
+    return each.select(below("path").alias("path"), F.col("content").cast("binary").alias("content"))
+
+
 def write_privacy_artifacts(df: DataFrame, root: str) -> None:
-    """Artifacts keyed by id, and one job record per id."""
-    df.write.mode("overwrite").json(f"{root}/artifacts")
-    records = df.select(F.col("artifact_id").alias("job_id"), "status", F.col("path").alias("artifact_path"), F.lit(False).alias("cached"), "updated_at")
-    records.dropDuplicates(["job_id"]).write.mode("overwrite").json(f"{root}/jobs")
+    """Write artifacts to both their paths and their job records, all files or none (see ``artifact_files``)."""
+    write_files(artifact_files(df, root), root)
 
 
 def resolve_cached_artifact(requests: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_filename
+from .files import write_files
 
 IMAGE_SUFFIX = r"(?i)\.(png|jpg|jpeg)$"
 
@@ -50,19 +49,8 @@ def snapshot_export_plan(faces: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def write_snapshots(plan: DataFrame, root: str) -> None:
-    """Write every snapshot under ``root/job_id``; ``root`` is a path all executors can reach."""
-    import os
-
-    def save(rows: Iterator) -> None:
-        for r in rows:
-            path = os.path.join(root, r["job_id"], r["path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            tmp = f"{path}.{os.getpid()}.tmp"
-            with open(tmp, "wb") as f:
-                f.write(r["content"])
-            os.replace(tmp, path)  # a retried task writes the same file again
-
-    plan.foreachPartition(save)
+    """Write every snapshot to ``root/job_id/path``, all of them or none; ``root`` is a folder that all executors can reach."""
+    write_files(plan.select(F.concat_ws("/", F.col("job_id").cast("string"), "path").alias("path"), "content"), root)
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framesafe import schemas
 from framesafe.operators import frames
-from framesafe.sources import documents, snapshots
+from framesafe.sources import documents, files, snapshots
 from framesafe.streaming import events, live
 
 
@@ -81,6 +81,40 @@ def test_snapshots(spark, tmp_path):
     assert (tmp_path / "out/j/faces/Jane_Doe.png").read_bytes() == b"abc"
 
 
+def test_files_appear_on_commit_only(spark, tmp_path):
+    files_ = spark.createDataFrame([(f"a/{i}.bin", bytes([i]) * i) for i in range(20)] + [("none", None), (None, b"x")], "path string, content binary").repartition(4)
+    broken = files_.withColumn("content", F.when(F.col("path") == "a/13.bin", F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_files(broken, str(tmp_path / "out"))
+    assert [p for p in (tmp_path / "out").rglob("*") if p.is_file()] == [] if (tmp_path / "out").exists() else True
+    for _ in range(2):
+        files.write_files(files_, (tmp_path / "out").as_uri())
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {f"a/{i}.bin": bytes([i]) * i for i in range(20)}
+    assert not (tmp_path / "out" / files.PENDING).exists()
+    for path in ("../x", "/x", "", "a/../../x", f"{files.PENDING}/x"):
+        with pytest.raises(ValueError):
+            files.safe_path(path)
+
+
+def test_artifacts_are_written_to_both_paths(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame(
+        [("k1", "v1", "j1", "ready", "2", "{\"n\": 1}"), ("k2", "v2", None, "failed", "1", "{\"n\": 2}"), ("k1", "v1", "j1", "queued", "1", "{\"n\": 0}")],
+        "cache_key string, video_id string, local_job_id string, status string, updated_at string, document string",
+    )
+    placed = documents.artifact_paths(df, root, "p", f"{root}/runs", "assist.json")
+    broken = placed.withColumn("document", F.when(F.col("video_id") == "v2", F.raise_error(F.lit("lost"))).otherwise(F.col("document")))
+    with pytest.raises(Exception, match="lost"):
+        documents.write_privacy_artifacts(broken, root)
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
+    documents.write_privacy_artifacts(placed, root)
+    for r in placed.where("updated_at <> '1' OR video_id = 'v2'").collect():
+        for path in (r.path, r.canonical_path):
+            assert json.loads(open(path).read()) == json.loads(r.document)
+        assert json.loads(open(r.record_path).read()) == {"job_id": r.artifact_id, "status": r.status, "artifact_path": r.path, "cached": False, "updated_at": r.updated_at}
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 5
+
+
 def test_frames_are_masked_and_audited(spark):
     rng = np.random.default_rng(0)
     img = rng.integers(0, 255, (120, 160, 3), dtype=np.uint8)
