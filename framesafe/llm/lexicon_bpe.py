@@ -39,6 +39,7 @@ from .common import PIECE_BYTES, per_batch, pieces, shared_folder, stored
 LEXICON = 131_072
 LONGEST = 64  # bytes of a word of the lexicon
 CACHE_BYTES = 32 << 20
+TOGETHER = 64  # bytes of words that are merged many at a time
 WAITING = 300_000  # words that a counting task holds
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 
@@ -81,18 +82,17 @@ class Vocabulary:
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        pairs = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], np.int64)
+        self.made = np.zeros(len(model["merges"]), np.int64)
+        for rank, new in self.merges.values():
+            self.made[rank] = new
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of a word: always the lowest-ranked pair, the leftmost of equals, is merged."""
         ids = [self.of_byte[b] for b in word]
         merges = self.merges
-        if len(ids) <= 24:
-            while True:
-                best = min(((*merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None)
-                if best is None:
-                    break
-                ids[best[2] : best[2] + 2] = [best[1]]
-            return tuple(ids)
         n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*merges[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
@@ -112,6 +112,57 @@ class Vocabulary:
         return tuple(i for i in ids if i >= 0)
 
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair, or the number of merges where there is none (``b`` below 0: no pair)."""
+        none = len(self.made)
+        if not len(self.pair_keys):
+            return np.full(len(a), none)
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (b >= 0), self.pair_ranks[at], none)
+
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many words: those of like length step together, each by its own leftmost lowest pair."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(size, kind="stable")
+        short = order[(size[order] > 0) & (size[order] <= TOGETHER)]
+        for i in order[size[order] > TOGETHER].tolist():
+            out[i] = self.merge(words[i])
+        of_byte, none = np.array(self.of_byte, np.int64), len(self.made)
+        for at in range(0, len(short), 4096):
+            group = short[at : at + 4096]
+            width = int(size[group[-1]])
+            place = np.arange(width)
+            ids = np.full((len(group), width), -1, np.int64)
+            ids[place < size[group][:, None]] = of_byte[np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)]
+            ranks = np.full(ids.shape, none, np.int64)
+            ranks[:, :-1] = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(group), width - 1)
+            live = np.arange(len(group))
+            while True:
+                mine = ranks[live]
+                i = mine.argmin(1)
+                least = mine[np.arange(len(live)), i]
+                go = least < none
+                live, i, least, mine = live[go], i[go], least[go], mine[go]
+                if not len(live):
+                    break
+                row = np.arange(len(live))
+                ids[live, i] = self.made[least]
+                follow = np.minimum(place + (place > i[:, None]), width - 1)  # what stands behind the pair moves up
+                new, mine = np.take_along_axis(ids[live], follow, 1), np.take_along_axis(mine, follow, 1)
+                new[:, -1], mine[:, -1] = -1, none
+                right = new[row, np.minimum(i + 1, width - 1)]
+                mine[row, i] = self._ranks(new[row, i], np.where(i + 1 < width, right, -1))
+                left = np.flatnonzero(i > 0)
+                mine[left, i[left] - 1] = self._ranks(new[left, i[left] - 1], new[left, i[left]])
+                ids[live], ranks[live] = new, mine
+            counts = (ids >= 0).sum(1).tolist()
+            for i, n, found in zip(group.tolist(), counts, ids.tolist()):
+                out[i] = tuple(found[:n])
+        return out
+
+
 # -- splitting -------------------------------------------------------------------------------
 
 
@@ -374,16 +425,18 @@ class Encoder:
         self.token_ends = np.cumsum(self.token_sizes)
         self.token_bytes = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
 
-    def _unseen(self, word: bytes) -> tuple[int, ...]:
-        ids = self.seen.get(word)
-        if ids is None:
-            ids = self.vocabulary.merge(word)
-            self.seen_bytes += 150 + 2 * len(word) + 36 * len(ids)
-            if self.seen_bytes > CACHE_BYTES:
-                self.seen.clear()
-                self.seen_bytes = 150 + 2 * len(word) + 36 * len(ids)
-            self.seen[word] = ids
-        return ids
+    def _unseen(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of words that the lexicon does not hold; the last ones merged are remembered."""
+        new = list(dict.fromkeys(w for w in words if w not in self.seen))
+        if new:
+            merged = self.vocabulary.merge_many(new)
+            weight = lambda pairs: sum(150 + 2 * len(w) + 36 * len(m) for w, m in pairs)
+            if self.seen_bytes + weight(zip(new, merged)) > CACHE_BYTES:
+                self.seen = {w: self.seen[w] for w in words if w in self.seen}
+                self.seen_bytes = weight(self.seen.items())
+            self.seen_bytes += weight(zip(new, merged))
+            self.seen.update(zip(new, merged))
+        return [self.seen[w] for w in words]
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte ranges of the words of the texts of a piece, and the id of each that is a special token (else -1)."""
@@ -415,7 +468,8 @@ class Encoder:
         held &= token < 0
         lone = np.flatnonzero(~held)
         raw, plain = data.tobytes(), token[lone].tolist()
-        merged = [self._unseen(raw[a:b]) if t < 0 else (t,) for a, b, t in zip(starts[lone].tolist(), ends[lone].tolist(), plain)]
+        merged = self._unseen([raw[a:b] for a, b in zip(starts[lone].tolist(), ends[lone].tolist())])
+        merged = [m if t < 0 else (t,) for m, t in zip(merged, plain)]
         count[lone] = [len(m) for m in merged]
         begin_own = np.cumsum(count) - count
         ids = np.zeros(count.sum(), np.int32)
@@ -558,7 +612,7 @@ def prepare(docs: DataFrame, path: str, lexicon: int = LEXICON) -> tuple:
     vocabulary = Vocabulary(source)
     shared = spark.sparkContext.broadcast((hashlib.sha256(source.encode()).hexdigest(), source))
     words = frequent_words(count_words(docs, shared), lexicon)
-    return shared, _ship(spark, Transducer().build([(w, vocabulary.merge(w)) for w in words]).packed())
+    return shared, _ship(spark, Transducer().build(list(zip(words, vocabulary.merge_many(words)))).packed())
 
 
 def encode(docs: DataFrame, path: str, lexicon: int = LEXICON) -> DataFrame:
