@@ -6,6 +6,8 @@ whole documents at a time, so that a task's memory does not grow with the batch.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -408,3 +410,21 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like ``stored`` whose files go when the block ends; what the block returns must not read them later."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    number = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

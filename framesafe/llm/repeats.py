@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ from .common import (
     mix,
     per_batch,
     pieces,
+    scratch,
     seen_twice_filter,
     signed,
     stored,
@@ -148,27 +150,38 @@ def _places(docs: DataFrame, bits: int) -> DataFrame:
     return per_batch(docs.select("id", "mark", "text"), work, "id long, mark long, core long, context long, at int, lead short, tail short")
 
 
-def _context_bytes(docs: DataFrame, cores: DataFrame, bits: int) -> DataFrame:
-    """``core, context, bytes, lead`` of borders with one of the ``cores`` (and rare others), once per piece."""
-    bitmap = id_filter(cores, "core", bits)
+def _context_bytes(docs: DataFrame, cores: tuple, but: tuple | None = None) -> DataFrame:
+    """``core, context, bytes, lead`` of borders with one of the ``cores`` (and rare others), once per task.
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, _, data, offsets in pieces(batch.column("text")):
-            p = Parse(data, offsets)
-            cores = p.cores()
-            pick = np.flatnonzero(may_hold_ids(bitmap.value, signed(cores), bits))
-            context, once = np.unique(p.contexts(pick), return_index=True)
-            pick = pick[once]
-            if not len(pick):
-                continue
-            lo, sizes = p.at[pick] - p.lead[pick], p.lead[pick] + p.tail[pick]
-            every = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(cores[pick])), pa.array(signed(context)), byte_strings(sizes, data[every]), pa.array(p.lead[pick].astype(np.int16))],
-                ["core", "context", "bytes", "lead"],
-            )
+    ``cores``, and ``but`` for those to leave out, are bit maps with their sizes; a core is in or out as a whole.
+    """
 
-    return per_batch(docs.select("text"), work, "core long, context long, bytes binary, lead short")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.uint64)
+        for column in (b.column("text") for b in batches if b.num_rows):
+            for _, _, data, offsets in pieces(column):
+                p = Parse(data, offsets)
+                core = signed(p.cores())
+                wanted = may_hold_ids(cores[0].value, core, cores[1])
+                if but:
+                    wanted &= ~may_hold_ids(but[0].value, core, but[1])
+                pick = np.flatnonzero(wanted)
+                context, once = np.unique(p.contexts(pick), return_index=True)
+                place = np.searchsorted(sent, context)
+                fresh = np.flatnonzero(np.r_[sent, np.uint64(0)][place] != context)
+                fresh = np.r_[fresh, np.flatnonzero((place == len(sent)) & (context == 0))]
+                if not len(fresh):
+                    continue
+                sent = np.insert(sent, place[fresh], context[fresh])
+                context, pick = context[fresh], pick[once[fresh]]
+                lo, sizes = p.at[pick] - p.lead[pick], p.lead[pick] + p.tail[pick]
+                every = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core[pick]), pa.array(signed(context)), byte_strings(sizes, data[every]), pa.array(p.lead[pick].astype(np.int16))],
+                    ["core", "context", "bytes", "lead"],
+                )
+
+    return docs.select("text").mapInArrow(work, "core long, context long, bytes binary, lead short")
 
 
 def repeated_leads(group: np.ndarray, left: np.ndarray, lead: np.ndarray, right: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -207,7 +220,8 @@ def _runs(found: np.ndarray) -> list[list[dict]]:
     return out
 
 
-RUNS = "context long, runs array<struct<lo: int, hi: int>>"
+RUN_LIST = "array<struct<lo: int, hi: int>>"
+RUNS = f"context long, runs {RUN_LIST}"
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
@@ -228,15 +242,18 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in whole_groups(batches, ["core"]):
+            ids = t.column("context").to_numpy()
+            new = np.r_[True, (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])]  # tasks may send the same context
+            t, group = t.filter(pa.array(new)), group[new]
             found = repeated_leads(group, *_matrices(t))
             some = np.flatnonzero(found.any(1))
             ids = t.column("context").to_numpy()[some]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_runs(found[some]), _RUNS)], ["context", "runs"])
 
-    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(work, RUNS)
+    return contexts.repartition("core").sortWithinPartitions("core", "context").mapInArrow(work, RUNS)
 
 
-def _counted_repeats(contexts: DataFrame) -> DataFrame:
+def _counted_repeats(contexts: DataFrame, keep) -> DataFrame:
     """The same for cores of very many contexts, by counting windows across tasks."""
 
     def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -252,46 +269,50 @@ def _counted_repeats(contexts: DataFrame) -> DataFrame:
             leads = lead[of] - (start - base[of])
             yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(t.column("context").to_numpy()[of]), pa.array(leads.astype(np.int32))], ["window", "context", "k"])
 
-    each = stored(per_batch(contexts.select("context", "bytes", "lead"), windows, "window long, context long, k int"))
+    each = keep(per_batch(contexts.select("context", "bytes", "lead"), windows, "window long, context long, k int"))
     often = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hit = each.join(stored(often), "window").groupBy("context").agg(F.collect_set("k").alias("ks"))
+    hit = each.join(keep(often), "window").groupBy("context").agg(F.collect_set("k").alias("ks"))
     return hit.select("context", F.transform("ks", lambda k: F.struct(k.alias("lo"), k.alias("hi"))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``id, mark, spans`` (start and end bytes, not yet joined) of rows ``id, mark, text`` that hold repeated strings."""
+def _all_spans(docs: DataFrame, keep) -> DataFrame:
+    """``id, mark, spans`` (start * 2 ** 32 + end in bytes, not yet joined) of rows ``id, mark, text``; ``keep`` stores steps."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(size // EVERY)
-    places = stored(_places(docs, bits))
+    places = keep(_places(docs, bits))
     lone = places.where("tail < 0")
-    often = stored(lone.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context"))
-    covered = lone.join(often, "context").select("id", "mark", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end"))
+    often = lone.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context", F.lit(True).alias("whole"), F.lit(None).cast(RUN_LIST).alias("runs"))
 
     borders = places.where("tail >= 0")
-    dictionary = stored(borders.groupBy("context").agg(F.first("core").alias("core"), F.count("*").alias("n")))
-    twice = dictionary.where("n > 1").select("context")
-    spans = lambda lo, hi: (F.col("at") - hi, F.col("at") - lo + WINDOW)  # noqa: E731  the windows with leads from lo to hi
-    start, end = spans(F.greatest(F.lit(0), WINDOW - F.col("tail")), F.col("lead"))
-    covered = covered.union(borders.join(twice, "context").select("id", "mark", start.alias("start"), end.alias("end")))
+    dictionary = keep(borders.groupBy("context").agg(F.first("core").alias("core"), F.count("*").alias("n")))
+    twice = dictionary.where("n > 1").select("context", F.lit(True).alias("whole"), F.lit(None).cast(RUN_LIST).alias("runs"))
 
-    shared = stored(dictionary.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    shared = keep(dictionary.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1"))
     few = filter_bits(shared.count())
-    wanted = _context_bytes(docs, shared, few).groupBy("context").agg(F.first("core").alias("core"), F.first("bytes").alias("bytes"), F.first("lead").alias("lead"))
-    contexts = stored(wanted.join(shared, "core"))
-    runs = _sorted_repeats(contexts.where(F.col("contexts") <= HOT_CORE).select("core", "context", "bytes", "lead"))
-    hot = contexts.where(F.col("contexts") > HOT_CORE)
-    if not hot.isEmpty():
-        runs = runs.union(_counted_repeats(hot))
+    cores = (id_filter(shared, "core", few), few)
+    crowded = shared.where(F.col("contexts") > HOT_CORE)
+    n_hot = crowded.count()
+    hot = (id_filter(crowded, "core", filter_bits(n_hot)), filter_bits(n_hot)) if n_hot else None
+    runs = _sorted_repeats(_context_bytes(docs, cores, hot))
+    if hot:
+        contexts = _context_bytes(docs, hot).groupBy("context").agg(F.first("bytes").alias("bytes"), F.first("lead").alias("lead"))
+        runs = runs.union(_counted_repeats(contexts, keep))
+    # contexts of single borders only: all windows of the others are settled
     once = dictionary.where("n = 1").select("context")
-    partly = borders.join(stored(runs.join(once, "context", "left_semi")), "context").select("id", "mark", "at", F.explode("runs").alias("run"))
-    start, end = spans(F.col("run.lo"), F.col("run.hi"))
-    covered = covered.union(partly.select("id", "mark", start.alias("start"), end.alias("end")))
-    return covered.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    partly = runs.join(once, "context", "left_semi").select("context", F.lit(False).alias("whole"), "runs")
+
+    lo, hi = F.greatest(F.lit(0), WINDOW - F.col("tail")), F.col("lead")  # the leads of a border's windows that fit
+    whole = F.array(F.struct(F.when(F.col("tail") < 0, 0).otherwise(lo).cast("int").alias("lo"), hi.cast("int").alias("hi")))
+    found = places.join(keep(often.union(twice).union(partly)), "context")
+    found = found.select("id", "mark", "at", F.explode(F.when(F.col("whole"), whole).otherwise(F.col("runs"))).alias("run"))
+    start, end = (c.cast("long") for c in (F.col("at") - F.col("run.hi"), F.col("at") - F.col("run.lo") + WINDOW))
+    span = F.shiftleft(start, 32).bitwiseOR(end)  # packed: a list of structs takes four times the room
+    return found.groupBy("id", "mark").agg(F.collect_set(span).alias("spans"))
 
 
-def _joined(spans: list[dict]) -> list[tuple[int, int]]:
+def _joined(spans: list[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans):
+    for a, b in (divmod(s, 1 << 32) for s in sorted(spans)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -299,6 +320,17 @@ def _joined(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """``id, mark, spans`` (start * 2 ** 32 + end in bytes, ascending and apart) of rows ``id, mark, text`` that hold repeated strings."""
+
+    def join(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        spans = [[(a << 32) + b for a, b in _joined(x)] for x in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(spans, pa.list_(pa.int64()))], ["id", "mark", "spans"])
+
+    with scratch(docs.sparkSession) as keep:
+        return stored(per_batch(_all_spans(docs, keep), join, "id long, mark long, spans array<long>"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
     # ids may be null or come twice; rows of one id and one text have the same spans
@@ -306,19 +338,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(id_.alias("id"), F.xxhash64("text").alias("mark"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(rows.select("id", "mark", "text").where(F.octet_length("text") >= WINDOW))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names, schema = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
+
+    # most texts keep all their bytes: only the others (and rare ones besides) meet their spans in a shuffle
+    marks = F.xxhash64("id", "mark")
+    bits = filter_bits(spans.count())
+    bitmap = id_filter(spans.select(marks.alias("row")), "row", bits)
+
+    def split(touched: bool):
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            mine = batch.filter(pa.array(may_hold_ids(bitmap.value, batch.column("row").to_numpy(), bits) == touched))
+            if touched:
+                yield mine.select(["id", "mark", "doc_id", "text"])
+                return
+            text = mine.column("text").cast(pa.binary())
+            none = pa.array(np.zeros(mine.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([mine.column("doc_id"), pc.binary_length(text).cast(pa.int64()), none, none, text], names)
+
+        return per_batch(rows.withColumn("row", marks), work, f"id long, mark long, doc_id {kind}, text string" if touched else schema)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             out: tuple[list, ...] = ([], [], [], [])
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                raw, gone = text.encode(), _joined(spans or [])
+                raw, gone = text.encode(), [divmod(s, 1 << 32) for s in spans or []]
                 edges = [0, *[x for s in gone for x in s], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 for o, x in zip(out, (len(raw), len(raw) - len(kept), len(gone), kept)):
                     o.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(o, t) for o, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(o, t) for o, t in zip(out, kinds))], names)
 
-    joined = rows.join(spans, ["id", "mark"], "left").select("doc_id", "text", "spans")
-    return per_batch(joined, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = split(True).join(spans, ["id", "mark"], "left").select("doc_id", "text", "spans")
+    return per_batch(joined, cut, schema).union(split(False))
