@@ -57,7 +57,7 @@ WINDOW = 200
 GRAM, EVERY, DENSE = 8, 32, 8
 LEAD = 152  # of a window before its trigger, at most
 CORE = WINDOW - LEAD
-HOT_CORE = 20_000  # contexts; a larger group is counted window by window
+HOT_CORE = 4_096  # contexts; a larger group is counted window by window
 
 
 def _lead(lo: np.ndarray, hi: np.ndarray, of: np.ndarray, trigger: np.ndarray):
