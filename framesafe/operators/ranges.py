@@ -77,36 +77,71 @@ def bucketed_ranges(ranges: DataFrame, width: float, start: str = "start", end:
     return ranges.withColumn("__bucket", F.explode(F.sequence(b(start), b(end))))
 
 
-def with_bucket(points: DataFrame, t: str, width: float) -> DataFrame:
-    return points.withColumn("__bucket", F.floor(F.col(t) / F.lit(width)).cast("long"))
+FLAT = 16  # buckets; a shorter range stands in each of its buckets
+_EDGE = 1 << 60
 
 
-def points_in_ranges(points: DataFrame, ranges: DataFrame, on: Sequence[str], t: str = "t",
-                     width: float = 5.0, how: str = "inner") -> DataFrame:
-    """Equi join on ``(on…, bucket)`` with the exact inclusive test on top.
+def _bucket_of(c: Column, width: float) -> Column:
+    return F.greatest(F.lit(-_EDGE), F.least(F.lit(_EDGE), F.floor(c / F.lit(width)).cast("long")))
+
 
-    A point lies in one bucket, so no pair comes out twice. ``how`` may be inner, left_semi, left_anti
-    or left. The range columns must be named ``start`` and ``end`` and not occur in ``points``.
+def covered_ranges(ranges: DataFrame, width: float, start: str = "start", end: str = "end") -> DataFrame:
+    """Ranges as nodes ``(__level, __node)`` of a tree over time buckets: node i of level l holds 4^l buckets from i * 4^l.
+
+    A range of n > ``FLAT`` buckets becomes the at most 6 * log4(n) + 7 nodes that fill it and share no bucket,
+    a shorter one its buckets. Ranges that lack an end, or end before they start, give no row.
     """
-    p = with_bucket(points, t, width)
-    r = bucketed_ranges(ranges, width)
-    r = r.select(*(F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in r.columns if c != "__bucket"),
-                 F.col("__bucket").alias("__r_bucket"))
-    cond = (p["__bucket"] == r["__r_bucket"]) & p[t].between(r["start"], r["end"])
+    nodes = f"""CASE WHEN __b - __a < {FLAT} THEN transform(sequence(__a, __b), i -> struct(0 AS level, i AS node))
+    ELSE flatten(transform(sequence(0, (length(bin(__b - __a + 1)) - 1) DIV 2), l -> transform(flatten(transform(
+        array(struct(-shiftright(-__a, 2 * l) AS lo, shiftright(__b + 1, 2 * l) AS hi, -shiftright(-__a, 2 * l + 2) * 4 AS in_lo, shiftright(__b + 1, 2 * l + 2) * 4 AS in_hi)),
+        x -> CASE WHEN x.in_lo >= x.in_hi THEN IF(x.lo < x.hi, sequence(x.lo, x.hi - 1), array())
+             ELSE concat(IF(x.lo < x.in_lo, sequence(x.lo, x.in_lo - 1), array()), IF(x.in_hi < x.hi, sequence(x.in_hi, x.hi - 1), array())) END)),
+        i -> struct(CAST(l AS INT) AS level, i AS node)))) END"""
+    ends = ranges.where(F.col(start) <= F.col(end)).withColumns({"__a": _bucket_of(F.col(start), width), "__b": _bucket_of(F.col(end), width)})
+    each = ends.withColumn("__at", F.explode(F.expr(nodes)))
+    return each.withColumns({"__level": F.col("__at.level"), "__node": F.col("__at.node")}).drop("__a", "__b", "__at")
+
+
+def _meet(points: DataFrame, ranges: DataFrame, on: Sequence[str], t: str, width: float, start: str, end: str) -> DataFrame:
+    """Each point with each range of its key that holds it: one equal join, a point asks the node above it on every level in use."""
+    r = covered_ranges(ranges, width, start, end)
+    levels = F.coalesce(r.agg(F.sort_array(F.collect_set("__level"))).scalar(), F.array(F.lit(0)))  # at most 31 numbers
+    asked = points.withColumn("__ask", F.explode(levels)).withColumn("__bucket", _bucket_of(F.col(t), width))
+    p = asked.withColumn("__bucket", F.expr("shiftright(__bucket, 2 * __ask)"))
+    r = r.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    cond = (p["__ask"] == r["__level"]) & (p["__bucket"] == r["__node"]) & p[t].between(r[start], r[end])
     for c in on:
         cond = cond & (p[c] == r[f"__r_{c}"])
-    out = p.join(r, cond, how)
-    return out.drop("__bucket", "__r_bucket", *(f"__r_{c}" for c in on))
+    return p.join(r, cond).drop("__ask", "__bucket", "__level", "__node", *(f"__r_{c}" for c in on))
+
+
+def points_in_ranges(points: DataFrame, ranges: DataFrame, on: Sequence[str], t: str = "t",
+                     width: float = 5.0, how: str = "inner") -> DataFrame:
+    """Equi join on ``(on…, node)`` of a tree over time buckets, with the exact inclusive test on top.
+
+    The nodes of a range share no bucket, so no pair comes out twice, and a range of any length is some
+    dozens of rows. ``how`` may be inner, left_semi, left_anti or left. The range columns must be named
+    ``start`` and ``end`` and not occur in ``points``.
+    """
+    if how == "inner":
+        return _meet(points, ranges, on, t, width, "start", "end")
+    if how == "left_semi":
+        # merged ranges are disjoint, so a point meets at most one
+        whole = merge_ranges(ranges.where("start <= end"), on, 0).withColumnsRenamed({"start": "__start", "end": "__end"})
+        return _meet(points, whole, on, t, width, "__start", "__end").select(*points.columns)
+    hits = _meet(points.select(*on, t).distinct(), ranges, on, t, width, "start", "end")
+    if how == "left_anti":
+        return points.join(hits.select(*on, t).distinct(), [*on, t], "left_anti").select(*points.columns)
+    return points.join(hits, [*on, t], "left").select(*points.columns, *(c for c in ranges.columns if c not in on))
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, on: Sequence[str], t: str = "t", width: float = 5.0,
               empty_means_all: bool = False) -> DataFrame:
     """Points inside any range of their key. With ``empty_means_all`` keys without ranges keep all points."""
+    inside = points_in_ranges(points, ranges, on, t, width, "left_semi")
     if not empty_means_all:
-        return points_in_ranges(points, ranges, on, t, width, "left_semi")
-    keyed = ranges.select(*on).distinct()
-    free = points.join(keyed, list(on), "left_anti")
-    return points_in_ranges(points, ranges, on, t, width, "left_semi").unionByName(free)
+        return inside
+    return inside.unionByName(points.join(ranges.select(*on).distinct(), list(on), "left_anti"))
 
 
 def detection_schedule(frames: DataFrame, every_n: Column | int, has_faces: Column | bool = False,

@@ -51,6 +51,31 @@ def test_merge_equals_plain_merge_with_a_hot_key(spark, gap):
     assert again == want
 
 
+def test_points_meet_ranges_of_any_length(spark):
+    rng = random.Random(11)
+    spans = []
+    for i in range(400):
+        s = rng.uniform(-3e4, 3e4)
+        spans.append((rng.choice(["hot", "hot", "a", None]), i, s, s + rng.choice([0.0, 0.3, 70.0, 81.0, 500.0, 2e4, -5.0])))
+    spans += [("far", 400, -1e9, 1e9), ("far", 401, float("-inf"), float("inf")), ("a", 402, None, 5.0), ("a", 403, 5.0, None)]
+    at = [(i, rng.choice(["hot", "a", "far", "none", None]), rng.choice([rng.uniform(-4e4, 4e4), float(rng.randrange(-50, 50)), None])) for i in range(600)]
+    at += [(600, "hot", spans[0][2]), (601, "far", 1e12), (601, "far", 1e12)]
+    r = spark.createDataFrame(spans, "k string, r int, start double, end double")
+    p = spark.createDataFrame(at, "i int, k string, t double")
+    holds = lambda x, y: None not in (x[1], x[2], y[0], y[2], y[3]) and x[1] == y[0] and y[2] <= x[2] <= y[3]
+    pairs = [(x, y) for x in at for y in spans if holds(x, y)]
+    inside = {x for x, _ in pairs}
+    order = lambda z: sorted(z, key=repr)
+    meet = lambda how: ranges.points_in_ranges(p, r, ["k"], "t", 5.0, how)
+    assert order(tuple(z) for z in meet("inner").select("i", "r").collect()) == order((x[0], y[1]) for x, y in pairs)
+    assert order(tuple(z) for z in meet("left_semi").collect()) == order(x for x in at if x in inside)
+    assert order(tuple(z) for z in meet("left_anti").collect()) == order(x for x in at if x not in inside)
+    assert order(tuple(z) for z in meet("left").select("i", "r").collect()) == order([(x[0], y[1]) for x, y in pairs] + [(x[0], None) for x in at if x not in inside])
+    assert ranges.points_in_ranges(p, r.limit(0), ["k"], "t", 5.0, "left_anti").count() == len(at)
+    rows_of_long = ranges.covered_ranges(r.where("r = 400"), 5.0).count()
+    assert rows_of_long < 100
+
+
 def test_scan_carries_state_across_chunks(spark):
     rng = random.Random(5)
     data = [(rng.choice("ab"), i, rng.choice([None, None, i])) for i in range(400)]
