@@ -349,6 +349,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", settle: int = SETTL
     return checkpoint(found.select("node", F.col("to").alias("component")))
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but ``doc_id`` and ``text`` named by their position, so that none clashes with a step's own."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, filter_bits, id_filter, may_hold_ids, per_batch, pieces, signed
+from .common import Words, filter_bits, id_filter, may_hold_ids, per_batch, pieces, plain_names, signed
 
 GRAM = 3
 SALTS = 16
@@ -192,4 +192,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that hold a copy of a benchmark item."""
     bad = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(bad, docs.doc_id.cast("long") == F.col("_leak_id"), "left_anti")
+    rows = plain_names(docs)
+    return rows.join(bad, rows.doc_id.cast("long") == F.col("_leak_id"), "left_anti").toDF(*docs.columns)

@@ -39,12 +39,19 @@ LABELLED = [
     (3, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 1), (25, 0.4, 30, 0.0, 45, 0.1, 0, 1, 0, 1), (2, 1.0, 30, 0.0, 45, 0.0, 0, 1, 0, 1),
     (140, 0.02, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1), (1, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 1),
     (30, 1.0, 10, 0.2, 10, 0.2, 0, 1, 0, 1), (6, 0.5, 6, 0.5, 6, 0.5, 0, 1, 0, 1), (12, 0.0, 80, 0.1, 1, 1.0, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 5, 0.0, 1, 1, 0, 1), (2, 0.0, 1, 1.0, 5, 0.0, 1, 1, 0, 1), (5, 0.0, 1, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (4, 0.9, 1, 1.0, 60, 0.0, 0, 1, 0, 1), (6, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1), (8, 0.0, 4, 0.5, 0, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 2, 1.0, 5, 0.6, 1, 1, 0, 1), (40, 0.6, 10, 0.5, 12, 1.0, 0, 1, 0, 1), (25, 0.8, 60, 0.0, 30, 0.9, 0, 1, 0, 1),
+    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1), (5, 0.2, 90, 0.0, 3, 1.0, 0, 1, 0, 1), (4, 0.0, 4, 1.0, 4, 0.0, 0, 1, 0, 1),
     (6, 0.0, 80, 0.0, 60, 0.0, 0, 1, 1, 0), (25, 0.0, 40, 0.0, 70, 0.0, 0, 1, 1, 0), (60, 0.0, 50, 0.0, 20, 0.0, 0, 1, 1, 0),
     (1, 1.0, 40, 0.0, 1, 1.0, 0, 1, 1, 0), (3, 0.0, 120, 0.0, 60, 0.0, 1, 1, 1, 0), (90, 0.1, 2, 0.0, 40, 0.0, 0, 1, 1, 0),
     # outside of the article that the page marks: nothing
     (12, 0.0, 1, 1.0, 9, 0.0, 0, -1, 0, 0), (60, 0.0, 12, 0.0, 9, 0.0, 0, -1, 0, 0), (14, 0.0, 80, 0.0, 0, 0.0, 0, -1, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, -1, 1, 0), (5, 0.0, 0, 0.0, 60, 0.0, 1, -1, 0, 0), (150, 0.0, 90, 0.0, 80, 0.0, 0, -1, 0, 0),
     (20, 0.0, 60, 0.0, 0, 0.0, 0, -1, 1, 0), (40, 0.5, 20, 0.0, 10, 1.0, 0, -1, 0, 0), (8, 1.0, 8, 1.0, 8, 1.0, 0, -1, 1, 0),
+    (45, 0.0, 6, 0.0, 60, 0.0, 0, -1, 0, 0), (120, 0.05, 45, 0.0, 30, 0.1, 0, -1, 0, 0), (22, 0.1, 80, 0.0, 50, 0.0, 0, -1, 0, 0),
+    (35, 0.2, 2, 1.0, 45, 0.0, 0, -1, 0, 0), (70, 0.25, 30, 0.0, 3, 0.8, 0, -1, 0, 0), (80, 0.0, 20, 0.0, 0, 0.0, 0, -1, 0, 0),
+    (40, 0.0, 80, 0.0, 0, 0.0, 0, -1, 0, 0), (3, 0.0, 45, 0.0, 90, 0.0, 1, -1, 0, 0), (9, 0.0, 30, 0.1, 40, 0.0, 0, -1, 0, 0),
     # pages that mark no article: long blocks of few links, and what stands among them
     (45, 0.0, 6, 0.0, 60, 0.0, 0, 0, 0, 1), (120, 0.05, 45, 0.0, 30, 0.1, 0, 0, 0, 1), (22, 0.1, 80, 0.0, 50, 0.0, 0, 0, 0, 1),
     (18, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 45, 0.0, 0, 0, 0, 1), (70, 0.25, 30, 0.0, 3, 0.8, 0, 0, 0, 1),
@@ -65,10 +72,19 @@ FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form label menu
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # a word of a class, id or role; the second kind stands for page furniture only outside an article
 FURNITURE = re.compile(
-    r"(?i)(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus\w*|respond|replies|reply|cookies?|consent"
-    r"|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|sidebar"
-    r"|widgets?|breadcrumbs?|pagination|pager|navigation|nav|navbar|menu|toolbar|complementary|contentinfo|search|form|dialog|disclaimer)(?![a-z])"
+    r"(?i)(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus\w*|cookies?"
+    r"|gdpr|notification|popup|modal|overlay|newsletter|sidebar"
+    r"|widgets?|breadcrumbs?|pagination|pager|navigation|nav|navbar|menu|toolbar|complementary|contentinfo)(?![a-z])"
 )
+# words that name furniture by themselves or beside the words after them, and topics otherwise ("social-science")
+WEAK = frozenset(
+    "alert consent dialog disclaimer form login notice notices recommended related replies reply respond search share sharing signup social subscribe".split()
+)
+BESIDE_WEAK = WEAK | frozenset(
+    "area article articles bar block body bottom box btn button buttons col column contact container content email follow footer group header heading"
+    " icon icons info inner input item items left legal link links list main media message module more network networks new news page panel post posts"
+    " region right row section sign site stories story text this title to tools top up us view wrap wrapper".split()
+) | {""}
 OUTER = re.compile(r"(?i)(?<![a-z])(?:header|masthead|footer|banner|topbar|bottom|copyright|aside|side)(?![a-z])")
 ARTICLE = re.compile(r"(?i)(?<![a-z])(?:articlebody|main)(?![a-z])")
 # what an article's name may say besides
@@ -94,6 +110,14 @@ NAMED = re.compile(r"""(?i)(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*
 OPEN_ARTICLE = re.compile(r"(?i)<(?:article|main)\b")
 
 
+def _names_furniture(names: str) -> bool:
+    """Whether one name is furniture's: by a strong word anywhere in it, or by a weak word among words of layout only."""
+    if FURNITURE.search(names):
+        return True
+    parts = (set(re.split("[^a-z]+", n.lower())) for n in names.split())
+    return any(p & WEAK and p <= BESIDE_WEAK for p in parts)
+
+
 def _names_article(names: str) -> bool:
     """Whether one name is an article's, and no "main-nav" or "main-logo"."""
     return any(ARTICLE.search(n) and WITH_MAIN.issuperset(re.split("[^a-z]+", n.lower())) for n in names.split())
@@ -173,7 +197,7 @@ def flat_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             names = MODIFIER.sub(" ", names) if names else ""
             opens = tag in ("article", "main") or bool(names) and tag not in FURNITURE_TAGS and tag != "header" and _names_article(names)
             if names and tag not in ("html", "body", "article", "main") and furniture != FIRM:
-                if FURNITURE.search(names):
+                if _names_furniture(names):
                     furniture = LISTED if furniture in (LISTED, IN_LISTED) or LISTS.search(names) else SOFT
                 elif not article and not opens and not furniture and OUTER.search(names):
                     furniture = FRAME

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import LOWER, SPACE, RangeHash, distinct_in_rows, filter_bits, may_hold, per_batch, pieces, seen_twice_filter, signed
+from .common import LOWER, SPACE, RangeHash, distinct_in_rows, filter_bits, may_hold, per_batch, pieces, plain_names, seen_twice_filter, signed
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -130,3 +130,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     done = per_batch(joined.select(*rows.columns, n_lines.alias("n_lines"), "keys"), cut, f"{schema}, n_lines long, dropped long")
     return done.toDF(*names, "_n_lines", "_n_dropped")
+
+
+def cut_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with ``text`` cut and all other columns as they are, whatever their names."""
+    rows = plain_names(docs)
+    return dedup_lines(rows, min_chars, min_docs).select(*rows.columns).toDF(*docs.columns)

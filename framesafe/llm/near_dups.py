@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, byte_strings, components, distinct_in_rows, filter_bits, id_filter, may_hold_ids, mix, per_batch, pieces, seeds, signed, whole_groups
+from .common import Words, byte_strings, components, distinct_in_rows, filter_bits, id_filter, may_hold_ids, mix, per_batch, pieces, plain_names, seeds, signed, whole_groups
 
 WORDS, PERCENT = 5, 75
 TREES, LEVELS, BRANCHES = 16, 3, 2
@@ -336,4 +336,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that a smaller ``doc_id`` of their component replaces."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("_gone_id"), "left_anti")
+    rows = plain_names(docs)
+    return rows.join(gone, rows.doc_id.cast("long") == F.col("_gone_id"), "left_anti").toDF(*docs.columns)

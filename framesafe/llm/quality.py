@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct_in_rows, per_batch, pieces, shingle_hashes
+from .common import Words, distinct_in_rows, per_batch, pieces, plain_names, shingle_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "symbols", "calls", "spaces", "wide", "log_lines",
@@ -197,7 +197,7 @@ def held_out(c: str | Column = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Gam:
-    """Fit on the labelled documents outside the held-out fold."""
+    """Fit on the labelled documents outside the held-out fold: at most ``max_rows`` labels, and as many rows."""
     usable = labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("label_q"))
     usable = usable.where(~held_out("label_id")).groupBy("label_id").agg(F.avg("label_q").alias("label_q"))
     usable = usable.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
@@ -210,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Gam:
             part = batch.slice(first, end - first)
             yield pa.RecordBatch.from_arrays([part.column("label_id"), part.column("label_q"), values], ["label_id", "q", "x"])
 
-    rows = per_batch(texts, work, "label_id long, q double, x array<double>").collect()
+    features = per_batch(texts, work, "label_id long, q double, x array<double>")
+    rows = features.orderBy(F.xxhash64("label_id"), "label_id", "q", "x").limit(max_rows).collect()
     rows.sort(key=lambda r: (r["label_id"], r["q"], r["x"]))
     return fit(np.array([r["x"] for r in rows]), np.array([r["q"] for r in rows]))
 
@@ -231,4 +232,5 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Documents that the model does not reject, with their own columns."""
-    return score(docs, train(docs, labels)).where(F.col("_score") >= threshold).select(*docs.columns)
+    rows = plain_names(docs)
+    return score(rows, train(docs, labels)).where(F.col("_score") >= threshold).select(*rows.columns).toDF(*docs.columns)

@@ -110,6 +110,45 @@ def test_seen_twice_filter_misses_no_repeat(spark):
 # page text
 
 
+@pytest.mark.parametrize("name", ["social-science", "form-study", "search-theory", "notice-period", "alert-fatigue", "related-work", "share-prices", "dialog-systems"])
+def test_topics_in_names_are_no_furniture(name):
+    text = prose(random.Random(7), 60)
+    for tag in ("article", "main"):
+        assert html_text.main_text(f'<body><{tag}><div class="{name}"><p>{text}</p></div></{tag}></body>') == text
+        assert html_text.main_text(f'<body><{tag} class="{name}"><p>{text}</p></{tag}></body>') == text
+
+
+@pytest.mark.parametrize("name", ["social", "social-links", "share-buttons", "search-form", "related-posts", "notice", "site-notice", "login-box", "reply-form"])
+def test_furniture_names_stay_furniture(name):
+    text = prose(random.Random(8), 60)
+    assert html_text.main_text(f'<body><article><p>{text}</p><div class="{name}">{prose(random.Random(9), 30)}</div></article></body>') == text
+
+
+@pytest.mark.parametrize("words", [3, 10, 25, 40, 80, 150])
+def test_text_outside_of_the_article_goes(words):
+    text, other = prose(random.Random(3), 70), prose(random.Random(4), words)
+    assert html_text.main_text(f"<body><p>{other}</p><article><p>{text}</p></article><p>{other}</p><div>{other}</div></body>") == text
+    assert html_text.main_text(f"<body><h2>{other}</h2><main><p>{text}</p></main><h2>{other}</h2></body>") == text
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = "a line that is long enough to count\nsome more words in a text of its own"
+    rows = [(i, text if i < 4 else f"words number {i} alone in here {i * 7}", 0.1 * i, i, f"g{i}", None, i) for i in range(8)] + [(None, None, None, None, None, None, None), (4, "", 0.0, 0, "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _score double, _n_lines int, _gone_id string, _leak_id string, c0 int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    for stage in (lambda d: quality.accept(d, labels, 0.0), line_dedup.cut_lines, near_dups.keep_one, lambda d: decontaminate.clean(d, items)):
+        for given in (docs, docs.limit(0)):
+            got = stage(given)
+            assert got.columns == docs.columns
+            kept = [r.asDict() for r in got.collect()]
+            own = [dict(zip(docs.columns, r)) for r in rows]
+            rest = lambda r: {k: v for k, v in r.items() if k != "text"}
+            assert all(rest(r) in [rest(x) for x in own] for r in kept)
+    assert quality.accept(docs, labels, 0.0).count() == len(rows)
+    assert {r._gone_id for r in decontaminate.clean(docs, items).collect()} == {None, "", "g4", "g5", "g6", "g7"}
+
+
 def test_main_text_leaves_furniture_out():
     page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies.</div>
     <main><article><header><h1>Title &amp; more</h1></header><p>First &nbsp; para<br>goes <a href="">on</a>.<p>Second &lt;b&gt;<div class="ad">Buy now</div>
