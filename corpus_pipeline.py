@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go, documents stay; ``n_chars`` follows the text."""
-    cut = line_dedup.dedup_lines(docs).drop("_n_lines", "_n_dropped")
+    cut = line_dedup.cut_lines(docs)
     if "n_chars" not in docs.columns:
         return cut
     kind = docs.schema["n_chars"].dataType
