@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_str, null_safe_hash, overview_from_metadata
+from ..session import checkpoint
 from . import asof
 
 # Fixed values.
@@ -113,51 +115,83 @@ def list_orphans(files: DataFrame, name: str = "name") -> DataFrame:
 JOB_BONUS = {"input_": 45.0}
 VIDEO_BONUS = {"index_": 60.0, "upload_": 45.0, "input_": 30.0}
 EXACT_NAME_BONUS = 240.0
+SIZE_COST, DURATION_COST = 1.5, 30.0
+# Cells of files without a size or duration, and of targets that take files of any.
+UNKNOWN, ANY = -(1 << 62), -(1 << 62) - 1
 
 
 def infer_source(targets: DataFrame, files: DataFrame, key: str = "job_id", variant: str = "job", bucket: float = 3600.0) -> DataFrame:
     """The most likely source file of each job or video.
 
     Score = |time difference| − name bonus + 1.5·size difference + 30·duration difference; lowest wins, the
-    smaller path on ties. The file nearest in time, and the nearest of equal size, give a bound; only files
-    that could still beat it are compared, found through time buckets instead of a pair of all with all.
+    smaller path on ties. The file nearest in time, also among those of equal size or of the same second of duration,
+    gives a bound. A file that beats it lies within bound + its own bonus of the target in time, size and duration;
+    such files are found through cells of all three, as wide as that distance, one search for each bonus.
     ``targets``: key, ``time``, ``width``, ``height``, ``duration`` and for videos ``filename``; ``files``: ``path``,
     ``name``, ``mtime``, ``width``, ``height``, ``duration``. Targets without a time get no file.
     """
     bonus_of = JOB_BONUS if variant == "job" else VIDEO_BONUS
-    reach = max(bonus_of.values()) + (0.0 if variant == "job" else EXACT_NAME_BONUS)
     name = F.lower("name")
     bonus = F.lit(0.0)
     for prefix, v in reversed(list(bonus_of.items())):
         bonus = F.when(name.startswith(prefix), v).otherwise(bonus)
-    f = files.select(F.lit(1).alias("__all"), "path", name.alias("__name"), F.col("mtime").cast("double").alias("t"),
+    f = files.select("path", name.alias("__name"), F.col("mtime").cast("double").alias("t"),
                      F.col("width").alias("__w"), F.col("height").alias("__h"), F.col("duration").alias("__d"), bonus.alias("__b"))
-    t = targets.where(F.col("time").isNotNull()).select("*", F.col("time").cast("double").alias("t"), F.lit(1).alias("__all"))
-    diff = lambda a, b, k: F.when((F.coalesce(a, F.lit(0)) != 0) & (F.coalesce(b, F.lit(0)) != 0), F.abs(a - b) * k).otherwise(0.0)
+    alike = ["t", "__w", "__h", "__d", "__b", *(["__name"] if variant == "video" else [])]
+    f = f.groupBy(*alike).agg(F.min(F.struct("path")).alias("__p")).select(*alike, F.col("__p.path").alias("path"))  # files that score alike
+    t = targets.where(F.col("time").isNotNull()).withColumn("t", F.col("time").cast("double"))
+    t = t.select(key, "t", "width", "height", "duration", *([F.lower(clean_str("filename")).alias("__want")] if variant == "video" else []))
+    known = lambda c: F.coalesce(c != 0, F.lit(False))
+    diff = lambda a, b, k: F.when(known(a) & known(b), F.abs(a - b) * k).otherwise(0.0)
 
     def score(get, time: Column) -> Column:
         s = F.abs(get("t") - time) - get("__b")
-        s = s + diff(get("__w"), F.col("width"), 1.5) + diff(get("__h"), F.col("height"), 1.5) + diff(get("__d"), F.col("duration"), 30.0)
+        s = s + diff(get("__w"), F.col("width"), SIZE_COST) + diff(get("__h"), F.col("height"), SIZE_COST) + diff(get("__d"), F.col("duration"), DURATION_COST)
         if variant == "video":
-            want = F.lower(clean_str("filename"))
-            s = s - F.when((want != "") & (get("__name") == want), EXACT_NAME_BONUS).otherwise(0.0)
+            s = s - F.when((F.col("__want") != "") & (get("__name") == F.col("__want")), EXACT_NAME_BONUS).otherwise(0.0)
         return s
 
-    # two upper bounds on the best score; time chunks keep the one-key lookups spread over tasks
+    # upper bounds on the best score; time chunks keep the lookups spread over tasks
     near = lambda c: F.col(f"near.{c}")
-    n1 = asof.nearest(t, f, ["__all"], "t", "path", chunk=bucket).withColumn("__u", score(near, F.col("t"))).select(key, "__u")
-    sized = f.withColumnsRenamed({"__w": "width", "__h": "height"})
-    n2 = asof.nearest(t, sized.select("width", "height", "path", "__name", "t", "__d", "__b"), ["width", "height"], "t", "path", chunk=bucket)
-    same = F.abs(near("t") - F.col("t")) - near("__b") + diff(near("__d"), F.col("duration"), 30.0)
-    n2 = n2.withColumn("__u", same).select(key, "__u")
-    best = n1.unionByName(n2).groupBy(key).agg(F.min("__u").alias("__u"))
-    b = lambda c: F.floor(c / bucket).cast("long")
-    span = F.col("__u") + reach
-    wide = t.join(best, key).withColumn("__k", F.explode(F.sequence(b(F.col("t") - span), b(F.col("t") + span))))
-    fk = f.drop("__all").withColumnRenamed("t", "__t").withColumn("__k", b(F.col("__t")))
-    j = wide.join(fk, "__k")
+    size, second = {"__kw": ("width", "__w"), "__kh": ("height", "__h")}, {"__kd": ("duration", "__d")}
+    found = []
+    for same in ({}, size, second, size | second):
+        of = lambda c: F.floor(c).cast("long") if c == "duration" or c == "__d" else F.col(c).cast("double")
+        probes = t.withColumns({"__all": F.lit(1)} | {k: of(x) for k, (x, _) in same.items()})
+        builds = f.withColumns({"__all": F.lit(1)} | {k: of(x) for k, (_, x) in same.items()})
+        found.append(asof.nearest(probes, builds, ["__all", *same], "t", "path", chunk=bucket).select(key, score(near, F.col("t")).alias("__u")))
+    best = functools.reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("__u").alias("__u"))
+    best = checkpoint(t.join(best, key).where("__u IS NOT NULL"))
+
+    # cells: the search (a bonus or an exact name), its width, and the cells of time, size and duration
+    searches = [best.withColumns({"__of": F.lit(f"{b:g}"), "__r": F.col("__u") + b}) for b in sorted({0.0, *bonus_of.values()})]
+    fk = f.withColumn("__of", F.format_string("%.0f", "__b"))
+    if variant == "video":
+        searches.append(best.where("__want <> ''").withColumns({"__of": F.concat(F.lit("name "), "__want"), "__r": F.col("__u") + max(bonus_of.values()) + EXACT_NAME_BONUS}))
+        fk = fk.unionByName(f.where("__name <> ''").withColumn("__of", F.concat(F.lit("name "), "__name")))
+    slack, unknown, any_ = F.lit(1e-5), F.lit(UNKNOWN), F.lit(ANY)  # slack: rounding of the sums
+    wide = functools.reduce(DataFrame.unionByName, searches).withColumn("__r", F.col("__r") + slack).where("__r >= 0")
+    wide = wide.withColumn("__wide", F.pow(F.lit(4.0), F.ceil(F.log(F.greatest("__r", F.lit(1.0))) / F.log(F.lit(4.0)))))
+    wide = wide.withColumns({"__sized": known(F.col("width")) & known(F.col("height")), "__timed": known(F.col("duration"))})
+    cell = lambda c, cost: F.floor(c / F.col("__wide") * cost).cast("long")
+    around = lambda c, cost: F.sequence(cell(c - F.col("__r") / cost, cost), cell(c + F.col("__r") / cost, cost))
+    sizes = F.flatten(F.transform(around(F.col("width"), SIZE_COST), lambda w: F.transform(around(F.col("height"), SIZE_COST), lambda h: F.xxhash64(w, h))))
+    wide = wide.withColumns({  # a target without a size looks at every size, and a file without one is looked at by all
+        "__ct": around(F.col("t"), 1.0), "__cs": F.when(F.col("__sized"), F.concat(sizes, F.array(unknown))).otherwise(F.array(any_)),
+        "__cd": F.when(F.col("__timed"), F.concat(around(F.col("duration"), DURATION_COST), F.array(unknown))).otherwise(F.array(any_)),
+    })
+    asked = wide.select("__of", "__wide", "__sized", "__timed").distinct()  # a few rows for each search
+    for c in ("__ct", "__cs", "__cd"):
+        wide = wide.withColumn(c, F.explode(c))
+    place = F.xxhash64("__of", "__wide", "__ct", "__cs", "__cd").alias("__cell")
+    fk = fk.withColumnRenamed("t", "__t").join(asked, "__of")
+    own_size = F.when(known(F.col("__w")) & known(F.col("__h")), F.xxhash64(cell(F.col("__w"), SIZE_COST), cell(F.col("__h"), SIZE_COST))).otherwise(unknown)
+    own_time = F.when(known(F.col("__d")), cell(F.col("__d"), DURATION_COST)).otherwise(unknown)
+    fk = fk.withColumns({"__ct": cell(F.col("__t"), 1.0), "__cs": F.when(F.col("__sized"), own_size).otherwise(any_), "__cd": F.when(F.col("__timed"), own_time).otherwise(any_)})
+    fk = fk.select("path", "__name", "__t", "__w", "__h", "__d", "__b", place) if variant == "video" else fk.select("path", "__t", "__w", "__h", "__d", "__b", place)
     get = lambda c: F.col("__t") if c == "t" else F.col(c)
-    won = j.groupBy(key).agg(F.min(F.struct(score(get, F.col("t")).alias("score"), "path")).alias("m"))
+    j = wide.select(*best.columns, place).join(fk, "__cell").withColumn("__score", score(get, F.col("t"))).where(F.col("__score") <= F.col("__u") + slack)
+    won = j.groupBy(key).agg(F.min(F.struct(F.col("__score").alias("score"), "path")).alias("m"))
     return won.select(key, "m.path", "m.score")
 
 
