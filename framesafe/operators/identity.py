@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -107,28 +108,55 @@ def match_any(dets: DataFrame, targets: DataFrame, on: Sequence[str], key: Seque
 
 # -- vector search ---------------------------------------------------------------------------
 
-QUERY_BLOCK = 4_096  # queries held by one task
-ITEM_BLOCK = 16_384
+QUERY_BLOCK = 4_096  # queries shipped to every task
+QUERY_HELD, ITEM_BLOCK = 32_768, 65_536  # vectors of a pair of blocks that one task holds
+SALTED_FROM = 64  # blocks
+SCORES = 1 << 21  # scores held at a time
 
 
 def _local_top(q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, x: np.ndarray, k: int, skip_self: bool,
                digits: int | None) -> pd.DataFrame:
     """Top k items of one block for every query, ordered by (score desc, id)."""
-    s = q @ x.T
-    if digits is not None:
-        s = np.round(s, digits)
-    if skip_self:
-        s = np.where(q_ids[:, None] == i_ids[None, :], -np.inf, s)
     by_id = np.argsort(i_ids, kind="stable")
-    s, ids = s[:, by_id], i_ids[by_id]
-    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    picked = np.take_along_axis(s, order, axis=1)
-    out = pd.DataFrame(
-        {"query_id": np.repeat(q_ids, order.shape[1]), "item_id": ids[order].ravel(), "score": picked.ravel()}
-    )
+    ids, x = i_ids[by_id], x[by_id]
+    parts = []
+    step = max(1, SCORES // max(1, len(ids)))
+    for at in range(0, len(q_ids), step):
+        mine = q_ids[at : at + step]
+        s = q[at : at + step] @ x.T
+        if skip_self:
+            lo, hi = np.searchsorted(ids, mine), np.searchsorted(ids, mine, "right")
+            for row in np.flatnonzero((lo < hi) & (mine == mine)):
+                s[row, lo[row] : hi[row]] = -np.inf
+        row, item, score = _best(s, k, digits)
+        parts.append(pd.DataFrame({"query_id": mine[row], "item_id": ids[item], "score": score}))
+    out = pd.concat(parts) if parts else pd.DataFrame({"query_id": q_ids[:0], "item_id": i_ids[:0], "score": np.zeros(0)})
     return out[np.isfinite(out["score"])]
 
 
+def _best(s: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of the ``k`` best of every row, the smaller column first among equals.
+
+    Only scores that can round to the k-th best are rounded and sorted.
+    """
+    rows, n = s.shape
+    width = max(1, min(64, n // (4 * k + 1)))
+    tops = np.maximum.reduceat(s, np.arange(0, n, width), axis=1) if n else s  # the k-th best of them is no more than that of all
+    if np.isnan(tops).any():
+        s = np.where(np.isnan(s), -np.inf, s)
+        tops = np.maximum.reduceat(s, np.arange(0, n, width), axis=1)
+    near = 0.0 if digits is None else 10.0**-digits
+    groups = tops.shape[1]
+    floor = np.partition(tops, groups - k, axis=1)[:, groups - k] - near if 0 < k < groups else np.full(rows, -np.inf)
+    row, column = np.nonzero(s >= floor[:, None])
+    score = s[row, column] if digits is None else np.round(s[row, column], digits)
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], column[keep], score[keep]
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
 
@@ -145,6 +173,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("qv"))
     i = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(vec).alias("iv"))
     schema = "query_id long, item_id long, score double"
+    spans = None  # blocks of items that a query meets, where they are counted
     if fits_in_broadcast(q, query_block):
         local = q.toPandas()
         q_ids, qm = local["query_id"].to_numpy(), _matrix(local["qv"])
@@ -163,14 +192,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
 
         partial = i.mapInPandas(scan, schema)
     else:
-        nq = q.count() // query_block + 1
-        ni = i.count() // ITEM_BLOCK + 1
-        qb = q.withColumn("jq", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
-            "ji", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long")))
-        )
-        ib = i.withColumn("ji", F.pmod(F.xxhash64("item_id"), F.lit(ni))).withColumn(
-            "jq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))
-        )
+        qb, ib, spans = _crossed(q, i, query_block)
 
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
@@ -179,13 +201,28 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, query_id: str = "q
                               skip_self, digits)
 
         partial = qb.groupBy("jq", "ji").cogroup(ib.groupBy("jq", "ji")).applyInPandas(block, schema)
-    # partial results: a salted round first, so that one query with many blocks is not one task
+    # partial results: where they are many, a salted round first, so that one query with many blocks is not one task
     order = [F.col("score").desc(), F.col("item_id")]
-    salted = partial.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(32)))
-    w1 = Window.partitionBy("query_id", "__salt").orderBy(*order)
     w2 = Window.partitionBy("query_id").orderBy(*order)
-    first = salted.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k)
-    return first.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__salt")
+    if spans is None or spans > SALTED_FROM:
+        w1 = Window.partitionBy("query_id", "__salt").orderBy(*order)
+        salted = partial.withColumn("__salt", F.pmod(F.xxhash64("item_id"), F.lit(32)))
+        partial = salted.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k).drop("__salt", "rank")
+    return partial.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def _crossed(q: DataFrame, i: DataFrame, query_block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Queries and items with ``jq, ji``, their pairs of blocks, and the number of item blocks.
+
+    A vector is sent once to every block of the other side, so the blocks of a large table are as large as a task can hold.
+    """
+    n = q.count()
+    nq = n // max(query_block, min(QUERY_HELD, n // 16)) + 1
+    ni = i.count() // ITEM_BLOCK + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    qb = q.withColumn("jq", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("ji", every(ni))
+    ib = i.withColumn("ji", F.pmod(F.xxhash64("item_id"), F.lit(ni))).withColumn("jq", every(nq))
+    return qb, ib, ni
 
 
 def vector_topk_grouped(queries: DataFrame, items: DataFrame, group: str, k_groups: int, k_items: int, query_id: str = "query_id",
@@ -196,75 +233,120 @@ def vector_topk_grouped(queries: DataFrame, items: DataFrame, group: str, k_grou
     length; ids and groups are integers; items without a group or vector take no part.
 
     Two levels: a task keeps ``k_groups`` groups per query, which is enough, as a group that is among the best has its
-    best item in some task and is among that task's best. Then tasks keep ``k_items`` items of each chosen group. Only
-    those few rows are shuffled; items are read twice and never moved. Queries are shipped to the tasks, ``query_block``
-    of them at a time.
+    best item in some task and is among that task's best. Then tasks keep ``k_items`` items of each chosen group. Up to
+    ``query_block`` queries are shipped to the tasks, and items never move; more go through blocks of queries against
+    blocks of items. A task holds one block of either, however many there are.
     """
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("qv")).where("query_id IS NOT NULL AND qv IS NOT NULL")
     i = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(group).cast("long").alias("grp"), F.col(vec).alias("iv"))
     i = i.where("item_id IS NOT NULL AND grp IS NOT NULL AND iv IS NOT NULL")
-    blocks = 1 if fits_in_broadcast(q, query_block) else -(-q.count() * 2 // query_block)
-    parts = [_grouped_block(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), i, k_groups, k_items, digits) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = (_grouped_shipped if fits_in_broadcast(q, query_block) else functools.partial(_grouped_crossed, query_block=query_block))(q, i, k_groups, k_items, digits)
     return out.withColumnRenamed("grp", group)
 
 
-def _grouped_block(q: DataFrame, i: DataFrame, k_groups: int, k_items: int, digits: int | None) -> DataFrame:
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, SCORES // max(1, columns))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def _best_groups(ids: np.ndarray, m: np.ndarray, b: pd.DataFrame, k_groups: int, digits: int | None) -> pd.DataFrame:
+    """The best groups of every query among the items of ``b``."""
+    x, grp = _matrix(b["iv"]), b["grp"].to_numpy()
+    order = np.argsort(grp, kind="stable")
+    x, (groups, starts) = x[order], np.unique(grp[order], return_index=True)
+    parts = []
+    for some in _slices(len(ids), len(x)):
+        row, column, score = _best(np.maximum.reduceat(m[some] @ x.T, starts, axis=1), k_groups, digits)
+        parts.append(pd.DataFrame({"query_id": ids[some][row], "grp": groups[column], "score": score}))
+    return pd.concat(parts)
+
+
+def _best_items(ids: np.ndarray, m: np.ndarray, wanted: dict[int, np.ndarray], b: pd.DataFrame, k_items: int, digits: int | None) -> pd.DataFrame:
+    """The best items of ``b`` for every query and each group that ``wanted`` names for some of their rows."""
+    b = b[b["grp"].isin(list(wanted))].sort_values(["grp", "item_id"])
+    x, items = _matrix(b["iv"]), b["item_id"].to_numpy()
+    groups, starts = np.unique(b["grp"].to_numpy(), return_index=True)
+    parts = [pd.DataFrame({"query_id": ids[:0], "grp": groups[:0], "item_id": items[:0], "score": np.zeros(0)})]
+    for g, lo, hi in zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(b)]):
+        rows = wanted[g]
+        for some in _slices(len(rows), hi - lo):
+            row, column, score = _best(m[rows[some]] @ x[lo:hi].T, k_items, digits)
+            parts.append(pd.DataFrame({"query_id": ids[rows[some]][row], "grp": g, "item_id": items[lo + column], "score": score}))
+    return pd.concat(parts)
+
+
+GROUPS, ITEMS = "query_id long, grp long, score double", "query_id long, grp long, item_id long, score double"
+
+
+def _ranked_groups(found: DataFrame, k_groups: int) -> DataFrame:
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "grp")
+    found = found.groupBy("query_id", "grp").agg(F.max("score").alias("score"))
+    return checkpoint(found.withColumn("group_rank", F.row_number().over(by_score)).where(F.col("group_rank") <= k_groups).select("query_id", "grp", "group_rank"))
+
+
+def _ranked_items(hits: DataFrame, chosen: DataFrame, k_items: int) -> DataFrame:
+    within = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), "item_id")
+    hits = hits.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k_items)
+    return hits.join(chosen, ["query_id", "grp"]).select("query_id", "group_rank", "grp", "rank", "item_id", "score")
+
+
+def _grouped_crossed(q: DataFrame, i: DataFrame, k_groups: int, k_items: int, digits: int | None, query_block: int) -> DataFrame:
+    """By pairs of blocks, which are dealt over the tasks."""
+    qb, ib, _ = _crossed(q, i, query_block)
+
+    def groups(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "grp": [], "score": []})
+        return _best_groups(a["query_id"].to_numpy(), _matrix(a["qv"]), b, k_groups, digits)
+
+    def items(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "grp": [], "item_id": [], "score": []})
+        picked = a["groups"].explode().reset_index(drop=True)
+        row = np.repeat(np.arange(len(a)), a["groups"].map(len))
+        wanted = {g: row[at] for g, at in picked.groupby(picked.astype("int64")).indices.items()}
+        return _best_items(a["query_id"].to_numpy(), _matrix(a["qv"]), wanted, b, k_items, digits)
+
+    by = ("jq", "ji")
+    chosen = _ranked_groups(qb.groupBy(*by).cogroup(ib.groupBy(*by)).applyInPandas(groups, GROUPS), k_groups)
+    listed = qb.join(chosen.groupBy("query_id").agg(F.collect_list("grp").alias("groups")), "query_id")
+    return _ranked_items(listed.groupBy(*by).cogroup(ib.groupBy(*by)).applyInPandas(items, ITEMS), chosen, k_items)
+
+
+def _grouped_shipped(q: DataFrame, i: DataFrame, k_groups: int, k_items: int, digits: int | None) -> DataFrame:
+    """Few queries are shipped to every task."""
     spark = q.sparkSession
-    local = q.toPandas()  # one block of queries
+    local = q.toPandas()
     shared = spark.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["qv"])))
 
-    def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Query ids, and of each batch: items, scores, distinct groups and where they start; items in order of group and id."""
-        ids, m = shared.value
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (ids, m), best = shared.value, None
         for b in batches:
             if len(b) and len(ids):
-                b = b.sort_values(["grp", "item_id"])
-                scores = m @ _matrix(b["iv"]).T
-                scores = scores if digits is None else np.round(scores, digits)
-                groups, starts = np.unique(b["grp"].to_numpy(), return_index=True)
-                yield ids, b["item_id"].to_numpy(), scores, groups, np.append(starts, len(b))
-
-    def best_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for ids, _, scores, groups, starts in batches_of(batches):
-            top = np.maximum.reduceat(scores, starts[:-1], axis=1)
-            pick = np.argsort(-top, axis=1, kind="stable")[:, :k_groups]
-            new = pd.DataFrame({"query_id": np.repeat(ids, pick.shape[1]), "grp": groups[pick].ravel(), "score": np.take_along_axis(top, pick, 1).ravel()})
-            best = new if best is None else pd.concat([best, new]).groupby(["query_id", "grp"], as_index=False)["score"].max()
-            best = best.sort_values(["query_id", "score", "grp"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k_groups)
+                best = pd.concat([best, _best_groups(ids, m, b, k_groups, digits)]).groupby(["query_id", "grp"], as_index=False)["score"].max()
+                best = best.sort_values(["query_id", "score", "grp"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k_groups)
         if best is not None:
             yield best
 
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "grp")
-    found = i.mapInPandas(best_groups, "query_id long, grp long, score double").groupBy("query_id", "grp").agg(F.max("score").alias("score"))
-    chosen = checkpoint(found.withColumn("group_rank", F.row_number().over(by_score)).where(F.col("group_rank") <= k_groups).select("query_id", "grp", "group_rank"))
-    wanted: dict[int, set[int]] = {}
-    for r in chosen.collect():  # k_groups for each query of the block
-        wanted.setdefault(r["grp"], set()).add(r["query_id"])
-    of_group = spark.sparkContext.broadcast(wanted)
+    chosen = _ranked_groups(i.mapInPandas(groups, GROUPS), k_groups)
+    at: dict[int, list[int]] = {}
+    for n, x in enumerate(local["query_id"].tolist()):
+        at.setdefault(x, []).append(n)
+    wanted: dict[int, list[int]] = {}
+    for r in chosen.collect():  # k_groups for each query
+        wanted.setdefault(r["grp"], []).extend(at[r["query_id"]])
+    of_group = spark.sparkContext.broadcast({g: np.array(rows) for g, rows in wanted.items()})
 
     def best_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for ids, items, scores, groups, starts in batches_of(batches):
-            new = []
-            for g, lo, hi in zip(groups.tolist(), starts, starts[1:]):
-                rows = np.flatnonzero([x in of_group.value.get(g, ()) for x in ids.tolist()]) if g in of_group.value else ()
-                if len(rows):
-                    part = scores[rows, lo:hi]
-                    pick = np.argsort(-part, axis=1, kind="stable")[:, :k_items]
-                    new.append(pd.DataFrame({"query_id": np.repeat(ids[rows], pick.shape[1]), "grp": g, "item_id": items[lo:hi][pick].ravel(), "score": np.take_along_axis(part, pick, 1).ravel()}))
-            if new:
-                best = pd.concat(new if best is None else [best, *new])
+        (ids, m), best = shared.value, None
+        for b in batches:
+            if len(b) and len(ids):
+                best = pd.concat([best, _best_items(ids, m, of_group.value, b, k_items, digits)])
                 best = best.sort_values(["query_id", "grp", "score", "item_id"], ascending=[True, True, False, True]).groupby(["query_id", "grp"], sort=False).head(k_items)
         if best is not None:
             yield best
 
-    within = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), "item_id")
-    hits = i.mapInPandas(best_items, "query_id long, grp long, item_id long, score double").withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k_items)
-    return hits.join(chosen, ["query_id", "grp"]).select("query_id", "group_rank", "grp", "rank", "item_id", "score")
+    return _ranked_items(i.mapInPandas(best_items, ITEMS), chosen, k_items)
 
 
 def _keep_top(df: pd.DataFrame, k: int) -> pd.DataFrame:

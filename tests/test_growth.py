@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from framesafe.operators import catalog
+from framesafe.operators import catalog, identity
 
 
 def most_joined(df) -> int:
@@ -55,3 +56,20 @@ def test_source_files_equal_all_pairs_and_few_are_compared(spark):
     timed = t.withColumn("time", F.col("job_id") * 2.0).where("width > 0 AND height > 0 AND duration IS NOT NULL")
     full = f.where("width > 0 AND height > 0 AND duration > 0")
     assert most_joined(catalog.infer_source(timed, full, bucket=600.0)) < timed.count() * full.count() // 10
+
+
+def test_topk_by_group_sends_no_queries_through_the_driver(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = np.repeat(r.normal(size=(40, 8)), 5, axis=0)  # copies of vectors: ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, k % 9, v[k].tolist()) for k in range(200)], "id long, video long, vec array<double>").repartition(5)
+    q, it = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "item_id")
+    ordered = lambda d: sorted(tuple(x) for x in d.collect())
+    top = lambda block: ordered(identity.vector_topk(q, it, 6, digits=6, skip_self=True, query_block=block).select("query_id", "rank", "item_id", "score"))
+    by_group = lambda block: identity.vector_topk_grouped(q, it, "video", 3, 2, digits=6, query_block=block)
+    shipped, plain = ordered(by_group(1000)), top(1000)
+    monkeypatch.setattr(identity, "ITEM_BLOCK", 70)
+    monkeypatch.setattr(identity, "SCORES", 64)
+    assert top(30) == plain
+    monkeypatch.setattr(type(q), "toPandas", None)
+    assert ordered(by_group(30)) == shipped
