@@ -358,30 +358,36 @@ def _keep_top(df: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def centroids(df: DataFrame, keys: Sequence[str], vec: str = "encoding", normalise: bool = True) -> DataFrame:
-    """Mean vector per key. Tasks add up vectors first; only sums are shuffled, one row per dimension."""
+    """Mean vector per key. Tasks add up vectors first; sums are shuffled, and added up in order of their keys."""
     keys = list(keys)
-    src = df.where(F.col(vec).isNotNull()).select(*keys, F.col(vec).alias("__v"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v")
+    src = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(*keys, F.col(vec).alias("__v"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v") + ", n long, s array<double>"
+
+    def added(b: pd.DataFrame, counts: np.ndarray, vectors: pd.Series) -> pd.DataFrame:
+        codes, firsts = _codes(b, keys)
+        order = np.argsort(codes, kind="stable")
+        sums = np.add.reduceat(_matrix(vectors)[order], np.searchsorted(codes[order], np.arange(len(firsts))), axis=0)
+        return b.iloc[firsts][keys].assign(n=np.bincount(codes, counts, len(firsts)).astype(np.int64), s=list(sums))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            codes, firsts = _codes(b, keys)
-            sums = np.zeros((len(firsts), len(b["__v"].iloc[0])))
-            np.add.at(sums, codes, _matrix(b["__v"]))
-            out = b.iloc[firsts][keys].copy()
-            out["n"] = np.bincount(codes, minlength=len(firsts))
-            out["s"] = list(sums)
-            yield out
-
-    part = src.mapInPandas(add_up, f"{schema}, n long, s array<double>")
-    wide = part.select(*keys, "n", F.posexplode("s").alias("pos", "x"))
-    per_dim = wide.groupBy(*keys, "pos").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
-    out = per_dim.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("centroid"),
-        F.max("n").alias("members"),
-    )
+            if len(b):
+                yield added(b, np.ones(len(b)), b["__v"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # the last key, which may go on
+        for b in batches:
+            if len(b):
+                b = b if last is None else pd.concat([last, b], ignore_index=True)
+                b = added(b, b["n"], b["s"])
+                last = b.iloc[-1:]
+                yield b.iloc[:-1]
+        if last is not None:
+            yield last
+
+    part = src.mapInPandas(add_up, schema)
+    met = spread(part, *keys).sortWithinPartitions(*keys).mapInPandas(meet, schema)
+    out = met.select(*keys, F.transform("s", lambda x: x / F.col("n")).alias("centroid"), F.col("n").alias("members"))
     return out.withColumn("centroid", unit(F.col("centroid"))) if normalise else out
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
+
 FW, FH, FPS = 1920.0, 1080.0, 25.0
 EPOCH_US = 1704067200000000
+FEW_VECTORS = 20_000  # embeddings that are sent to every task
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -109,6 +112,8 @@ SEG = """seg AS (
 def with_encoding(spark: SparkSession, sf: str, d: DataFrame, noise: float = 0.2) -> DataFrame:
     """Detections with an encoding: the person's vector plus some noise."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    used = d.select("base_vec").distinct().union(d.select("noise_vec").distinct()).distinct()
+    e = maybe_broadcast(e.join(used.toDF("vec_id"), "vec_id", "left_semi"), FEW_VECTORS)  # else detections move with their vectors
     base = e.select(F.col("vec_id").alias("base_vec"), F.col("embedding").alias("__b"))
     nz = e.select(F.col("vec_id").alias("noise_vec"), F.col("embedding").alias("__n"))
     mix = F.zip_with("__b", "__n", lambda a, b: a.cast("double") + b.cast("double") * noise)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framesafe.operators import catalog, identity
+from framesafe.workload import bindings
 
 
 def most_joined(df) -> int:
@@ -73,3 +74,35 @@ def test_topk_by_group_sends_no_queries_through_the_driver(spark, monkeypatch):
     assert top(30) == plain
     monkeypatch.setattr(type(q), "toPandas", None)
     assert ordered(by_group(30)) == shipped
+
+
+def test_centroids_are_added_up_without_a_row_per_dimension(spark):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(300, 5))
+    rows = [("hot" if k % 3 else None, None if k % 7 == 0 else k % 4, v[k].tolist() if k % 5 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "job string, person int, encoding array<double>").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = identity.centroids(df, ["job", "person"], normalise=False)
+        got = {(x.job, x.person): (x.members, x.centroid) for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = {}
+    for k, (j, p, x) in enumerate(rows):
+        if x is not None:
+            of.setdefault((j, p), []).append(v[k])
+    assert set(got) == set(of) and all(got[g][0] == len(x) and np.allclose(got[g][1], np.mean(x, axis=0)) for g, x in of.items())
+    assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_detections_stay_where_they_are_when_few_vectors_are_used(spark, sf):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables of embeddings
+    try:
+        d = bindings.with_encoding(spark, sf, bindings.faces(spark, sf))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin [base_vec" not in plan and "SortMergeJoin [noise_vec" not in plan
+    e = bindings.table(spark, sf, "embeddings").select("vec_id").distinct().count()
+    assert d.count() == bindings.faces(spark, sf).where(f"base_vec < {e} AND noise_vec < {e}").count()
