@@ -18,7 +18,7 @@ def ingest(dets: DataFrame, people: DataFrame, people_ranges: DataFrame, job: st
     ``dets``: job, seq, frame_idx, t, box, det_score, sharpness, encoding. ``people``: job, desc_index, name,
     description, flags, tags, confidence, redaction_reason. ``people_ranges``: job, desc_index, range_id, start, end.
     """
-    assigned = identity.cluster_faces(dets, job)
+    assigned = checkpoint(identity.cluster_faces(dets, job))  # the costly step; its header and its ranges read it
     rows = dets.join(assigned, [job, "seq"])
     header = identity.summarise_people(rows, job).withColumn("face_pos", F.col("order_pos") - 1)
     app = rows.join(header.select(job, "cluster", "person_id", "face_pos"), [job, "cluster"])

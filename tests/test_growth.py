@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framesafe.operators import catalog, identity
-from framesafe.workload import bindings
+from framesafe.plans import jobs
+from framesafe.workload import bindings, identity_queries
 
 
 def most_joined(df) -> int:
@@ -106,3 +107,19 @@ def test_detections_stay_where_they_are_when_few_vectors_are_used(spark, sf):
     assert "SortMergeJoin [base_vec" not in plan and "SortMergeJoin [noise_vec" not in plan
     e = bindings.table(spark, sf, "embeddings").select("vec_id").distinct().count()
     assert d.count() == bindings.faces(spark, sf).where(f"base_vec < {e} AND noise_vec < {e}").count()
+
+
+def test_ingestion_clusters_once(spark, sf, monkeypatch):
+    dets, people, ranges = identity_queries.ingest_tables(spark, sf)
+    runs = spark.sparkContext.accumulator(0)
+    add = identity.JobClusters.add
+
+    class Counted(identity.JobClusters):
+        def add(self, x, quality):
+            runs.add(len(x))
+            add(self, x, quality)
+
+    monkeypatch.setattr(identity, "JobClusters", Counted)
+    faces, _ = jobs.ingest(dets, people, ranges, job="video_id")
+    faces.collect()
+    assert runs.value == dets.count()
