@@ -352,9 +352,10 @@ class _Track:
         self.box: tuple[float, ...] | None = None
         self.v = (0.0, 0.0, 0.0, 0.0)
         self.unseen = 0
+        self.still: bool | None = None  # set while a step without a measurement changes neither box nor velocity: before the cap or after it
 
     def pin(self, b: tuple[float, ...]) -> None:
-        self.box, self.v, self.unseen = b, (0.0, 0.0, 0.0, 0.0), 0
+        self.box, self.v, self.unseen, self.still = b, (0.0, 0.0, 0.0, 0.0), 0, None
 
     def state(self) -> tuple[float, float, float, float]:
         x1, y1, x2, y2 = self.box
@@ -452,6 +453,10 @@ def _step(t: _Track, anchors, signals: dict) -> tuple[tuple[float, ...], str, fl
         return best, "anchor", 1.0
     if t.unseen >= LOST_GRACE:
         return None
+    early = t.unseen < PREDICTION_CAP
+    if not signals and t.still is early:
+        t.unseen += 1
+        return t.box, "predicted", 0.4
     opt, tem, tra, glo = (signals.get(s) for s in ("optical", "template", "tracker", "global"))
     measured = any(x is not None for x in (opt, tem, tra, glo))
     expected = t.expected()
@@ -465,17 +470,19 @@ def _step(t: _Track, anchors, signals: dict) -> tuple[tuple[float, ...], str, fl
         cands.append((tra[0], SOURCE_WEIGHTS["tracker"] * (_penalty(tra[0], other[0]) if other else 1.0)))
     if glo and glo[1] >= 0.14:
         cands.append((glo[0], SOURCE_WEIGHTS["global"] + glo[1]))
-    if expected is not None and (measured or t.unseen < PREDICTION_CAP):
+    if expected is not None and (measured or early):
         cands.append((expected, SOURCE_WEIGHTS["velocity"]))
     fused = _limit_scale(_fuse(cands, t.fw, t.fh) or t.box, t.box, t.fw, t.fh)
     before = t.state()
     rate = math.hypot(t.v[0], t.v[1]) / max(8.0, math.hypot(before[2], before[3]))
     zoom = max(abs(t.v[2]) / max(1.0, before[2]), abs(t.v[3]) / max(1.0, before[3]))
     a, s = _lock_alphas(rate, zoom)
-    out = _ease(fused, t.box, a, s, t.fw, t.fh)
+    was, out = t.box, _ease(fused, t.box, a, s, t.fw, t.fh)
     t.box = out
     now = t.state()
-    t.v = tuple(VELOCITY_ALPHA * (n - b) + (1 - VELOCITY_ALPHA) * v for n, b, v in zip(now, before, t.v))
+    speed = tuple(VELOCITY_ALPHA * (n - b) + (1 - VELOCITY_ALPHA) * v for n, b, v in zip(now, before, t.v))
+    t.still = early if not measured and out == was and speed == t.v else None
+    t.v = speed
     t.unseen = 0 if measured else t.unseen + 1
     has_glo = bool(glo and glo[1] >= 0.14)
     for yes, src, conf in (
@@ -533,7 +540,7 @@ def replay_tracks(frames: DataFrame, keys: Sequence[str], fw: float, fh: float)
 
 def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Frame rows for :func:`replay_tracks`: the forward run from the first anchor to the segment end, the
-    backward run from the last anchor to the segment start.
+    backward run from the last anchor to the segment start, without the frames in which a lost track waits for an anchor.
 
     ``segments``: keys, ``segment``, ``start_frame``, ``end_frame``; ``anchors``: keys, ``segment``, ``f``, ``seq``, box;
     ``signals``: keys, ``segment``, ``direction``, ``f``, ``source``, ``score``, box.
@@ -541,11 +548,20 @@ def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame |
     k = [*keys, "segment"]
     ends = anchors.groupBy(*k).agg(F.min("f").alias("__first"), F.max("f").alias("__last"))
     s = segments.join(ends, k)
-    run = lambda d, a, z: s.select(*k, F.lit(d).alias("direction"), F.explode(F.sequence(a, z)).alias("f"))
     # the end is never before the start, so both sequences rise
-    fwd = run(1, F.col("__first"), F.greatest("__first", "end_frame"))
-    bwd = run(-1, F.least("__last", "start_frame"), F.col("__last"))
-    grid = fwd.unionByName(bwd)
+    runs = s.select(*k, F.lit(1).alias("direction"), F.col("__first").alias("__lo"), F.greatest("__first", "end_frame").alias("__hi")).unionByName(
+        s.select(*k, F.lit(-1).alias("direction"), F.least("__last", "start_frame").alias("__lo"), F.col("__last").alias("__hi"))
+    )
+    seen = anchors.select(*k, F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction"), "f")
+    if signals is not None:
+        seen = seen.unionByName(signals.select(*k, F.col("direction").cast("int").alias("direction"), "f"))
+    # a track that saw nothing for LOST_GRACE frames ends in the next one, and nothing happens until it sees something again
+    step = F.col("f") * F.col("direction")
+    after = F.lead(step).over(Window.partitionBy(*k, "direction").orderBy(step))
+    until = F.least(step + LOST_GRACE + 1, F.coalesce(after - 1, step + LOST_GRACE + 1)) * F.col("direction")
+    near = seen.distinct().withColumn("__until", until).join(runs, [*k, "direction"]).where("f BETWEEN __lo AND __hi")
+    a, z = F.greatest("__lo", F.least("f", "__until")), F.least("__hi", F.greatest("f", "__until"))
+    grid = near.select(*k, "direction", F.explode(F.sequence(a, z)).alias("f"))
     pins = anchors.groupBy(*k, "f").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", *Box._fields))), lambda x: F.struct(*(x[n].cast("double").alias(n) for n in Box._fields))).alias("anchors")
     )

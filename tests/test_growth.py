@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from framesafe.operators import catalog, identity
+from framesafe.operators import catalog, identity, lanes
 from framesafe.plans import jobs
 from framesafe.workload import bindings, identity_queries
 
@@ -123,3 +124,21 @@ def test_ingestion_clusters_once(spark, sf, monkeypatch):
     faces, _ = jobs.ingest(dets, people, ranges, job="video_id")
     faces.collect()
     assert runs.value == dets.count()
+
+
+@pytest.mark.parametrize("with_signals", [False, True])
+def test_replay_leaves_out_frames_of_lost_tracks_only(spark, with_signals):
+    r = random.Random(2)
+    at = [5, 20, 64, 65, 66, 112, 113, 160, 400, 900, 946, 993]  # gaps around the grace, and long ones
+    box = lambda f: (10.0 + f % 7, 20.0, 60.0 + f % 9, 90.0)
+    anchors = [("v", 0, f, n, *box(f + n)) for f in at for n in range(1 + (f % 2))]
+    signals = [("v", 0, d, f, "optical", 0.9, *box(f)) for d in (1, -1) for f in r.sample(range(1000), 30)] + [("v", 0, 1, 1000, "global", 0.1, *box(3))]
+    a = spark.createDataFrame(anchors, "k string, segment int, f long, seq long, x1 double, y1 double, x2 double, y2 double")
+    sg = spark.createDataFrame(signals, "k string, segment int, direction int, f long, source string, score double, x1 double, y1 double, x2 double, y2 double")
+    seg = spark.createDataFrame([("v", 0, 0, 2000)], "k string, segment int, start_frame long, end_frame long")
+    frames = lanes.replay_frames(seg, a, sg if with_signals else None, ["k"])
+    every = frames.select("k", "segment").distinct().crossJoin(spark.createDataFrame([(1, 5, 2000), (-1, 0, 993)], "direction int, lo long, hi long"))
+    every = every.select("k", "segment", "direction", F.explode(F.sequence("lo", "hi")).alias("f")).join(frames, ["k", "segment", "direction", "f"], "left")
+    of = lambda df: sorted((x.direction, x.f, *(round(x[n], 9) for n in ("x1", "y1", "x2", "y2")), x.src, x.conf) for x in lanes.replay_tracks(df, ["k", "segment"], 640, 480).collect())
+    assert of(frames) == of(every)
+    assert with_signals or frames.count() < 1200
