@@ -323,7 +323,8 @@ def _grouped_shipped(q: DataFrame, i: DataFrame, k_groups: int, k_items: int, di
         (ids, m), best = shared.value, None
         for b in batches:
             if len(b) and len(ids):
-                best = pd.concat([best, _best_groups(ids, m, b, k_groups, digits)]).groupby(["query_id", "grp"], as_index=False)["score"].max()
+                new = _best_groups(ids, m, b, k_groups, digits)
+                best = new if best is None else pd.concat([best, new]).groupby(["query_id", "grp"], as_index=False)["score"].max()
                 best = best.sort_values(["query_id", "score", "grp"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k_groups)
         if best is not None:
             yield best
