@@ -10,9 +10,9 @@ flagged, display drops it. ``live_display`` chains both in one query; the first
 and watermark to the second. State that has run out (tracks after ``MAX_GAP``, boxes after their hold) is dropped by
 timers, and what numbers a job's tracks after ``forget`` seconds without rows.
 
-The batch replays cut a job at gaps after which no state is left, and run the same steps with one state per run; the
-numbers of tracks are made up from the counts per run. So a job is spread over tasks, and a stream can be checked
-against its replay.
+The batch replays cut a job at gaps after which no state is left, and step with one state per run, many runs at once
+(``lockstep``); the numbers of tracks are made up from the counts per run. So a job is spread over tasks, and a stream
+can be checked against its replay.
 """
 
 from __future__ import annotations
@@ -29,35 +29,15 @@ from pyspark.sql.types import StructType
 
 from ..operators import scans
 from ..session import checkpoint, spread
+from . import lockstep
+from .rules import (
+    DECAY, DOUBTFUL_OVERLAP, HOLD, HOLD_IDENTIFIED, KEEP_CONFIDENCE, LAG, LEAD, LEAST_OVERLAP, MAX_GAP, MOST_GROWTH, MOTION_CAP, PAD, SHIFT,
+    SHOW_BONUS_KEYED, SHOW_REACH, SHOW_REACH_KEYED, SHOW_WEIGHTS, SIZE, SLOWING, SMOOTH, TOP_SIZE_SPEED, TOP_SPEED, TRACK_BONUS, TRACK_REACH,
+    TRACK_WEIGHTS, UNSEEN, VELOCITY, VELOCITY_BLEND,
+)
 
-SIZE = ("x", "y", "width", "height")
-VELOCITY = ("vx", "vy", "vwidth", "vheight")
 KINDS = ("face", "object")  # column order of the tables below
 
-# Fixed values of tracking.
-MAX_GAP = 0.85
-KEEP_CONFIDENCE, DECAY = 0.12, 0.94
-TRACK_REACH = (0.16, 0.22)
-TRACK_WEIGHTS = {"iou": 5.0, "distance": -1.2, "growth": -0.2, "motion": 0.9}
-TRACK_BONUS = (4.0, 2.0)
-MOTION_CAP = 0.28  # the most that motion adds to a score
-LEAST_OVERLAP, DOUBTFUL_OVERLAP, MOST_GROWTH = 0.04, 0.08, 3.0
-# A track that nothing continues ends this many seconds after its last detection.
-UNSEEN = 1.4
-
-# Fixed values of display smoothing.
-HOLD, HOLD_IDENTIFIED = 1.4, 1.8
-PAD = (0.01, 0.08)
-LAG, LEAD = (0.05, 0.08), (0.18, 0.28)
-TOP_SPEED, TOP_SIZE_SPEED = (1.45, 1.8), 1.3
-VELOCITY_BLEND, SMOOTH = 0.58, 0.34
-SHOW_WEIGHTS = {"iou": 5.2, "distance": -1.35, "change": -0.35, "confidence": 0.15}
-SHOW_REACH = (0.15, 0.18)
-SHOW_REACH_KEYED, SHOW_BONUS_KEYED = 0.34, 10.0
-SLOWING = np.array([0.86, 0.86, 0.82, 0.82])
-#: For identified faces and for all else: still, moving; then bounds of distance and of size change for both.
-SHIFT = np.array([[0.28, 0.82, 0.035, 0.18, 0.18, 0.45], [0.22, 0.72, 0.028, 0.16, 0.16, 0.5]])
-
 IN_COLUMNS = ["time_sec", "det_id", "kind", "label", "person_id", "object_class", "confidence", *SIZE, "motion_strength", "tracking_mode"]
 TRACK_SCHEMA = "job_id string, event_time timestamp, time_sec double, det_id long, track_id string, kind string, label string, person_id string, object_class string, confidence double, x double, y double, width double, height double, late boolean"
 STABLE_SCHEMA = "job_id string, event_time timestamp, time_sec double, id string, track_id string, kind string, label string, person_id string, confidence double, x double, y double, width double, height double, held boolean"
@@ -406,45 +386,35 @@ def _run_stream(df: DataFrame, step: Step, schema: str, void_after: float, forge
     )
 
 
-def _runs(df: DataFrame, void_after: float, chunk: float = 600.0) -> DataFrame:
-    """``df`` with ``__run``: a job is cut where more than ``void_after`` seconds pass without a row."""
-    order = ["time_sec", "det_id", "track_id"]
-    gaps = scans.scan(df, ["job_id"], order, chunk, {"__prior": scans.last(F.col("time_sec"), current=False)})
-    gaps = gaps.withColumn("__new", F.col("time_sec") - F.col("__prior") > void_after)
-    return scans.scan(gaps, ["job_id"], order, chunk, {"__run": scans.count_so_far(F.col("__new"))}).drop("__prior", "__new")
-
+def _runs(df: DataFrame, void_after: float, show_after: float | None = None, chunk: float = 600.0) -> DataFrame:
+    """``df`` with ``__run`` and its ``__start``: a job is cut where more than ``void_after`` seconds pass without a row.
 
-def _replay(df: DataFrame, step: Step, schema: str, void_after: float) -> DataFrame:
-    """The same steps over a table: runs of jobs spread over tasks, one state at a time per task."""
-    cols = [c for c in _names(schema) if c != "event_time"]
-    types = ", ".join(c for c in schema.split(", ") if not c.startswith("event_time "))
-    src = spread(_runs(_prepared(df), void_after), "job_id", "__run").sortWithinPartitions("job_id", "__run", "time_sec", "det_id", "track_id")
+    With ``show_after``, also ``__show`` and ``__show_start`` for that many seconds.
+    """
+    order, time = ["time_sec", "det_id", "track_id"], F.col("time_sec")
+    cuts = {"__run": ("__start", void_after)} | ({"__show": ("__show_start", show_after)} if show_after is not None else {})
+    gaps = scans.scan(df.withColumn("__job", F.struct("job_id")), ["__job"], order, chunk, {"__prior": scans.last(time, current=False)})
+    specs = {}
+    for run, (start, gap) in cuts.items():
+        new = time - F.col("__prior") > gap
+        gaps = gaps.withColumns({f"__new{run}": new, f"__first{run}": F.when(F.col("__prior").isNull() | new, time)})
+        specs |= {run: scans.count_so_far(F.col(f"__new{run}")), start: scans.last(F.col(f"__first{run}"))}
+    return scans.scan(gaps, ["__job"], order, chunk, specs).select(*df.columns, *specs)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, t, state, pending = None, None, {}, []
 
-        def flush() -> list[dict]:
-            nonlocal state
-            got, state = step(run[0], state, t, pending)
-            return [{**r, "__run": run[1]} for r in got]
+def _replay(df: DataFrame, rule: type, schema: str, put: Callable, counted: Callable | None = None) -> DataFrame:
+    """The same steps over a table with ``__run`` and ``__start``: runs of jobs spread over tasks, many stepped at once."""
+    bucket = F.coalesce(F.floor((F.col("time_sec") - F.col("__start")) / lockstep.BUCKET).cast("long"), F.lit(-1))
+    # rows of one time and number have a fixed order too, so that a second pass finds the same
+    order = ["__bucket", "job_id", "__run", "time_sec", "det_id", "track_id"]
+    order += [c for c in _names(ROW) if c not in order]
+    src = spread(df.withColumn("__bucket", bucket), "job_id", "__run").sortWithinPartitions(*order)
+    columns = [*_names(ROW), *(["id"] if rule is lockstep.Display else [])]
+    return src.mapInArrow(lambda batches: lockstep.fold(batches, rule, columns, put, counted), schema)
 
-        for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                here = (r["job_id"], r["__run"])
-                if run is not None and (here != run or r["time_sec"] != t):
-                    out += flush()
-                    pending = []
-                if here != run:
-                    state = {}
-                run, t = here, r["time_sec"]
-                pending.append(_clean(r))
-            if out:
-                yield pd.DataFrame(out, columns=[*cols, "__run"])
-        if pending:
-            yield pd.DataFrame(flush(), columns=[*cols, "__run"])
 
-    return src.mapInPandas(scan, f"{types}, __run long")
+def _without(schema: str, name: str) -> str:
+    return ", ".join(c for c in schema.split(", ") if c.split()[0] != name)
 
 
 def live_tracks(stream: DataFrame, delay: str = "2 seconds", forget: float = 86_400.0) -> DataFrame:
@@ -456,15 +426,21 @@ def live_tracks(stream: DataFrame, delay: str = "2 seconds", forget: float = 86_
     return _run_stream(_event_time(stream).withWatermark("event_time", delay), _track_rows, TRACK_SCHEMA, MAX_GAP, forget, True)
 
 
-def replay_live_tracks(df: DataFrame) -> DataFrame:
-    """The same for a table, without ``event_time``; nothing is late there."""
-    stepped = checkpoint(_replay(df, _track_rows, TRACK_SCHEMA, MAX_GAP).withColumn("__no", F.substring_index("track_id", ":", -1).cast("long")))
-    counts = stepped.groupBy("job_id", "__run").agg((F.max("__no") + 1).alias("n"))
+def replay_live_tracks(df: DataFrame, display_runs: bool = False) -> DataFrame:
+    """The same for a table, without ``event_time``; nothing is late there, and rows without a job are left out.
+
+    A first pass counts the tracks of each run, a second one puts them out with their numbers. ``display_runs`` adds the
+    runs of ``replay_stabilize`` (``__show, __show_start``): the times are the same, so they need not be looked for again.
+    """
+    rows = _prepared(df).where(F.col("job_id").isNotNull())
+    runs = checkpoint(_runs(rows, MAX_GAP, HOLD_IDENTIFIED if display_runs else None))
+    counts = _replay(runs, lockstep.Tracking, "job_id string, __run long, n long", lockstep.put_tracks, lockstep.put_counts)
+    counts = counts.groupBy("job_id", "__run").agg(F.max("n").alias("n"))
     before = Window.partitionBy("job_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     # a run's own numbers start at 0, so the count of new tracks before it is the sum over earlier runs
     offset = counts.select("job_id", "__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    numbered = stepped.join(offset, ["job_id", "__run"]).withColumn("track_id", F.concat("job_id", F.lit(":"), (F.col("__before") + F.col("__no")).cast("string")))
-    return numbered.select(*[c for c in _names(TRACK_SCHEMA) if c != "event_time"])
+    schema = _without(TRACK_SCHEMA, "event_time") + (", __show long, __show_start double" if display_runs else "")
+    return _replay(runs.join(offset, ["job_id", "__run"]), lockstep.Tracking, schema, lockstep.put_tracks)
 
 
 def stabilize(stream: DataFrame, delay: str | None = "2 seconds", forget: float = 86_400.0) -> DataFrame:
@@ -475,7 +451,11 @@ def stabilize(stream: DataFrame, delay: str | None = "2 seconds", forget: float
 
 def replay_stabilize(df: DataFrame) -> DataFrame:
     """The same for a table, without ``event_time``."""
-    return _replay(df, _stable_rows, STABLE_SCHEMA, HOLD_IDENTIFIED).drop("__run")
+    if "__show" in df.columns:
+        runs = _prepared(df, F.col("__show").alias("__run"), F.col("__show_start").alias("__start"))
+    else:
+        runs = _runs(_prepared(df), HOLD_IDENTIFIED)
+    return _replay(runs, lockstep.Display, _without(STABLE_SCHEMA, "event_time"), lockstep.put_display)
 
 
 def live_display(stream: DataFrame, delay: str = "2 seconds", forget: float = 86_400.0) -> DataFrame:

@@ -362,3 +362,71 @@ def test_artifact_ingest_is_repeatable(spark, tmp_path):
     events.ingest_artifacts(spark, str(tmp_path / "in"), schema, str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination(120)
     cur = events.current_artifacts(spark, str(tmp_path / "sink"))
     assert [r.metadata.status for r in cur.collect()] == ["ready"]
+
+
+def mixed_rows(n_jobs=6, n=120, seed=3):
+    """Rows with equal times, missing values, gaps and doubtful matches, as ``live.IN_COLUMNS`` after the job."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n_jobs):
+        t = 0.0
+        for i in range(n):
+            t += rng.choice([0.0, 0.0, 0.1, 0.2, 0.4, 0.9, 2.0])
+            kind = rng.choice(["face", "face", "object", None])
+            box = [rng.choice([0.1, 0.4, 0.7, 0.9]) + rng.random() * 0.05 for _ in range(2)] + [rng.choice([0.05, 0.1, 0.3]) for _ in range(2)]
+            box[rng.randrange(4)] = None if rng.random() < 0.05 else 0.2
+            out.append((f"j{k}", round(t, 3), i, kind, rng.choice(["Face", "car", None]), rng.choice(["p1", "p2", None]), rng.choice(["c", None]), rng.choice([0.75, 0.7525, 0.3, None]), *box, rng.choice([None, 0.02, 0.3]), rng.choice(["global", None])))
+    return out
+
+
+MIXED = LIVE + ", motion_strength double, tracking_mode string"
+
+
+def stepped(data, step, names):
+    """The rows of the plain steps, one job and one time after another."""
+    out = []
+    for job in sorted({r[0] for r in data}):
+        state, mine = {}, [live._clean(dict(zip(names, r))) for r in data if r[0] == job]
+        for t in sorted({r["time_sec"] for r in mine}):
+            got, state = step(job, state, t, sorted((r for r in mine if r["time_sec"] == t), key=lambda r: (r["det_id"], r.get("track_id") or "")))
+            out += got
+    return out
+
+
+def test_replay_equals_plain_steps(spark, monkeypatch):
+    monkeypatch.setattr(live.lockstep, "BUCKET", 2.5)
+    names = [c.split()[0] for c in MIXED.split(", ")]
+    df = spark.createDataFrame(mixed_rows(), MIXED)
+    as_rows = lambda rs, schema: sorted((tuple(r[c] for c in live._names(schema) if c != "event_time") for r in rs), key=repr)
+    want = stepped(mixed_rows(), live._track_rows, names)
+    tracks = live.replay_live_tracks(df)
+    assert as_rows(tracks.collect(), live.TRACK_SCHEMA) == as_rows(want, live.TRACK_SCHEMA) and len(want) > 1000
+    shown = stepped([tuple(r.get(c) for c in ("job_id", *live.IN_COLUMNS, "track_id")) for r in want], live._stable_rows, ["job_id", *live.IN_COLUMNS, "track_id"])
+    for got in (live.replay_stabilize(tracks), live.replay_stabilize(live.replay_live_tracks(df, display_runs=True))):
+        assert as_rows(got.collect(), live.STABLE_SCHEMA) == as_rows([{"track_id": None, **r} for r in shown], live.STABLE_SCHEMA)
+    plain = stepped(mixed_rows(), live._stable_rows, names)
+    assert as_rows(live.replay_stabilize(df).collect(), live.STABLE_SCHEMA) == as_rows([{"track_id": None, **r} for r in plain], live.STABLE_SCHEMA)
+
+
+@pytest.mark.parametrize("rule, put", [("Tracking", "put_tracks"), ("Display", "put_display")])
+def test_replay_steps_many_runs_at_once(monkeypatch, rule, put):
+    """The number of steps follows the longest run of a buffer, not the rows; small buffers give the same rows."""
+    import pyarrow as pa
+
+    from framesafe.streaming import lockstep
+
+    names, n_runs, n_times = live._names(live.ROW), 60, 40
+    kinds = {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([("job_id", pa.string()), ("__run", pa.int64()), ("__bucket", pa.int64()), ("__before", pa.int64()), *((c.split()[0], kinds[c.split()[1]]) for c in live.ROW.split(", "))])
+    row = lambda k, i: {"job_id": f"j{k}", "__run": k, "__bucket": int(i * 0.2 / lockstep.BUCKET), "__before": 0, "time_sec": i * 0.2, "det_id": i, "kind": "face", "label": "Face", "confidence": 0.8, "x": 0.1 + i % 3 * 0.2, "y": 0.2, "width": 0.1, "height": 0.1}
+    data = sorted((row(k, i) for k in range(n_runs) for i in range(n_times)), key=lambda r: (r["__bucket"], r["job_id"], r["time_sec"]))
+    table = pa.Table.from_pylist([{c: None for c in names} | r for r in data], schema)
+    kind, calls = getattr(lockstep, rule), []
+    step = kind.step
+    monkeypatch.setattr(kind, "step", lambda *a: calls.append(1) or step(*a))
+    columns = [*names, *(["id"] if rule == "Display" else [])]
+    fold = lambda: sorted((r for b in lockstep.fold(iter(table.to_batches(max_chunksize=100)), kind, columns, getattr(lockstep, put)) for r in b.to_pylist()), key=repr)
+    once = fold()
+    assert len(calls) == n_times and len(once) >= n_runs * n_times
+    monkeypatch.setattr(lockstep, "ROWS", 70)
+    assert fold() == once
