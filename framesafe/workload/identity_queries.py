@@ -313,4 +313,4 @@ def stabilize_replay(spark, sf):
 @query("display_replay")
 def display_replay(spark, sf):
     """Tracking, then display: what the chained stream shows."""
-    return live.replay_stabilize(live.replay_live_tracks(live_rows(spark, sf)))
+    return live.replay_stabilize(live.replay_live_tracks(live_rows(spark, sf), display_runs=True))
