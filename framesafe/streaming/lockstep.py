@@ -201,16 +201,17 @@ class Tracking:
         found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         for i, j in _pairs(kept["run"], det_run):
             t, d = kept["ref"][i], det[j]
+            same = {c: x[t] == x[d] for c, x in self.code.items()}
+            alike = same["kind"] & np.where(self.face[t], ~(self.person[t] & self.person[d]) | same["person_id"], same["label"])
+            i, j, t, d = i[alike], j[alike], t[alike], d[alike]
             pair = _geometry(box[:, i], box_d[:, j])
             face, named, strength = self.face[t], self.person[t] & self.person[d], self.strength[t]
-            same = {c: x[t] == x[d] for c, x in self.code.items()}
-            alike = same["kind"] & np.where(face, ~named | same["person_id"], same["label"])
             reach = np.where(face, *R.TRACK_REACH) + np.minimum(0.24, strength * 3.0) + 0.05 * self.moving[t]
             near = (pair["iou"] >= R.LEAST_OVERLAP) | (pair["distance"] <= reach)
             steady = (pair["growth"] <= R.MOST_GROWTH - 1.0) | (pair["iou"] >= R.DOUBTFUL_OVERLAP)
             bonus = np.where(face & named, R.TRACK_BONUS[0], np.where(self.object[t] & self.classed[t] & self.classed[d], R.TRACK_BONUS[1], 0.0))
             pair["motion"] = np.minimum(R.MOTION_CAP, R.TRACK_WEIGHTS["motion"] * strength)
-            can = np.flatnonzero(alike & near & steady)
+            can = np.flatnonzero(near & steady)
             found.append((i[can], j[can], (bonus + _weighted(pair, R.TRACK_WEIGHTS | {"motion": 1.0}))[can]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -285,16 +286,19 @@ class Display:
         found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0))]
         for i, j in _pairs(kept["run"], det_run):
             p, d = kept["ref"][i], det[j]
-            pair = _geometry(ahead[:, i], box[:, j])
             both = self.keyed[p] & self.keyed[d]
             equal = both & (self.key[p] == self.key[d])
+            some = np.flatnonzero(~both | equal)
+            i, j, p, d, equal = i[some], j[some], p[some], d[some], equal[some]
             same = {c: x[p] == x[d] for c, x in self.code.items()}
             other_name = ~same["label"] & (self.object[p] | (self.face[p] & ~self.keyed[p] & ~(self.unnamed[p] | self.unnamed[d])))
-            alike = same["kind"] & (~both | equal) & ~other_name
+            alike = same["kind"] & ~other_name
+            i, j, d, equal = i[alike], j[alike], d[alike], equal[alike]
+            pair = _geometry(ahead[:, i], box[:, j])
             near = (pair["iou"] >= R.LEAST_OVERLAP) | (pair["distance"] <= reaches[i])
             steady = (pair["change"] <= 1.15) | (pair["distance"] <= 0.09) | (pair["iou"] >= R.DOUBTFUL_OVERLAP)
             pair["confidence"] = self.conf[d]
-            can = np.flatnonzero(alike & near & steady)
+            can = np.flatnonzero(near & steady)
             score = R.SHOW_BONUS_KEYED * equal + _weighted(pair, R.SHOW_WEIGHTS)
             found.append((i[can], j[can], score[can], pair["distance"][can], pair["change"][can]))
         return tuple(np.concatenate(x) for x in zip(*found))
