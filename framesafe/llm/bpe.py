@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import PIECE_BYTES, per_batch, pieces, runs
 
-CACHE_PARTS = 600_000
+CACHE_PARTS = 100_000
 NONE = np.int32(np.iinfo(np.int32).max)
 TREE_CELLS = 1 << 18  # positions that step together
 
@@ -221,11 +221,30 @@ def _share(spark: SparkSession, path: str, pattern: str):
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    for at in range(0, batch.num_rows, 512):
-        part = batch.slice(at, 512)
+    for first, end, _, _ in pieces(batch.column(name)):
+        part = batch.slice(first, end - first)
         yield part, part.column(name).to_pylist()
 
 
+def _with_ids(bpe: Bpe, batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    for part, texts in _texts(batch, text):
+        packed = bpe.encode_batch(texts)
+        offsets = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+        values = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+
+
+def _with_bytes(bpe: Bpe, batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
+    sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy()
+    for first, end in runs(np.r_[0, np.cumsum(sizes, dtype=np.int64)], PIECE_BYTES // 4):
+        part = batch.slice(first, end - first)
+        packed, ends = part.column(ids).flatten().to_numpy().astype("<u4"), np.cumsum(sizes[first:end])
+        found = [bpe.decode(packed[b - n : b].tobytes()) for b, n in zip(ends, sizes[first:end])]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, "bytes"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``_ids`` (array of token ids of the whole text); a column of that name is replaced."""
     shared = _share(docs.sparkSession, path, pattern)
@@ -234,14 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     text = f"c{names.index('text')}"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(shared)
-        for part, texts in _texts(batch, text):
-            packed = bpe.encode_batch(texts)
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            values = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+        return _with_ids(_bpe(shared), batch, text)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return per_batch(rows, work, f"{schema}, ids array<int>").toDF(*names, "_ids")
@@ -255,16 +267,28 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "_ids") -> Dat
     at = f"c{names.index(ids)}"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(shared)
-        for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
-            found = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, "bytes"])
+        return _with_bytes(_bpe(shared), batch, at)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return per_batch(rows, work, f"{schema}, bytes binary").toDF(*names, "_bytes")
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``_ids`` and ``_bytes``: ``encode``, then ``decode`` of its ids, by one Python worker for both."""
+    shared = _share(docs.sparkSession, path, pattern)
+    names = [c for c in docs.columns if c not in ("_ids", "_bytes")]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    text = f"c{names.index('text')}"
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(shared)
+        for part in _with_ids(bpe, batch, text):
+            yield from _with_bytes(bpe, part, "ids")
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return per_batch(rows, work, f"{schema}, ids array<int>, bytes binary").toDF(*names, "_ids", "_bytes")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes the ids and digests both, in one pass."""
     shared = _share(docs.sparkSession, path, pattern)

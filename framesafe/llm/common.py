@@ -1,6 +1,6 @@
 """Shared pieces: hashing of whole text batches with numpy, bounded two-level bit filters, connected components.
 
-Texts reach Python as Arrow batches and are handled as UTF-8 bytes, a piece of about a megabyte of
+Texts reach Python as Arrow batches and are handled as UTF-8 bytes, a piece of about a quarter of a megabyte of
 whole documents at a time, so that a task's memory does not grow with the batch.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -88,17 +88,23 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a column into runs of whole rows of about ``limit`` bytes: first row, end row, bytes, offsets within."""
-    raw, offsets = text_buffers(column)
+def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of whole rows of about ``limit`` values, from the ``len + 1`` offsets of the rows."""
     first, n = 0, len(offsets) - 1
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         end = min(n, max(end, first + 1))
-        yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        yield first, end
         first = end
 
 
+def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a column into runs of whole rows of about ``limit`` bytes: first row, end row, bytes, offsets within."""
+    raw, offsets = text_buffers(column)
+    for first, end in runs(offsets, limit):
+        yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a piece, with A-Z lower-cased for the hashes."""
 
@@ -164,6 +170,17 @@ def distinct_in_rows(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
     return h[first], r[first], np.diff(np.r_[first, len(h)])
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers give freed memory back at the end of a task, as others of their executor run on."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the latter is the C library's, numpy's too
+            pool.release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that take one batch at a time."""
 
@@ -172,7 +189,7 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -284,7 +301,7 @@ def seen_twice_filter(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator
         for bucket, (_, twice) in maps.items():
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["bucket", "bits"])
 
-    parts = df.mapInArrow(own, "bucket int, once binary, twice binary").repartition("bucket").mapInArrow(add_up, "bucket int, bits binary")
+    parts = map_batches(map_batches(df, own, "bucket int, once binary, twice binary").repartition("bucket"), add_up, "bucket int, bits binary")
     whole = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (BUCKET_BITS - 3)
     for r in parts.collect():  # at most 2 ** bits bits
@@ -341,7 +358,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", settle: int = SETTL
             nodes = list(parent)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "to"])
 
-    hops.append(e.select("u", "v").coalesce(1).mapInArrow(union_find, "node long, to long"))
+    hops.append(map_batches(e.select("u", "v").coalesce(1), union_find, "node long, to long"))
     found = hops[0]
     for hop in hops[1:]:
         step = hop.select(F.col("node").alias("to"), F.col("to").alias("beyond"))

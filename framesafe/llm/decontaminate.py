@@ -33,7 +33,7 @@ from .common import Words, filter_bits, id_filter, may_hold_ids, per_batch, piec
 GRAM = 3
 SALTS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
-CELLS = 1 << 21  # of the alignment rows that are computed together
+CELLS = 1 << 19  # of the alignment rows that are computed together
 
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False

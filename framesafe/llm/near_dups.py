@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from framesafe.session import checkpoint
 
-from .common import Words, byte_strings, components, distinct_in_rows, filter_bits, id_filter, may_hold_ids, mix, per_batch, pieces, plain_names, seeds, signed, whole_groups
+from .common import Words, byte_strings, components, distinct_in_rows, filter_bits, id_filter, map_batches, may_hold_ids, mix, per_batch, pieces, plain_names, seeds, signed, whole_groups
 
 WORDS, PERCENT = 5, 75
 TREES, LEVELS, BRANCHES = 16, 3, 2
@@ -172,7 +172,7 @@ def _first_partners(members: DataFrame) -> DataFrame:
             a, b = np.r_[ids[low[has]], ids[only]], np.r_[ids[has], ids[up[only]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _dealt(members).mapInArrow(work, "a long, b long").distinct()
+    return map_batches(_dealt(members), work, "a long, b long").distinct()
 
 
 def _still_open(members: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _still_open(members: DataFrame) -> DataFrame:
                 active[x] = active[y] = True
             yield from t.select(["node", "block", "id", "comp"]).filter(pa.array(active)).combine_chunks().to_batches()
 
-    return _dealt(members).mapInArrow(work, "node long, block int, id long, comp long").distinct()
+    return map_batches(_dealt(members), work, "node long, block int, id long, comp long").distinct()
 
 
 def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _links_of_blocks(active: DataFrame, sets: DataFrame) -> DataFrame:
 
     joined = active.join(sets, "id").select("node", "block", "id", "comp", "shingles")
     dealt = joined.repartition("node", "block").sortWithinPartitions("node", "block", "id")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return map_batches(dealt, work, "a long, b long").distinct()
 
 
 def _intersections(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:

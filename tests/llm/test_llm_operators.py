@@ -8,10 +8,12 @@ import itertools
 import json
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -579,3 +581,42 @@ def test_registry_has_eleven_queries():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert {k.split("_")[0] for k in queries if re.match(r"op\d+_", k)} == {f"op{n}" for n in range(1, 11)} and "pipeline" in queries
     assert json.dumps(sorted(k for k in sql if k.startswith("op"))) == json.dumps(["op10_line_dedup", "op4_warc", "op9_near_dups"])
+
+
+def test_pieces_of_a_large_batch_need_little_memory():
+    column = pa.array(["some words that a text may hold " * 64] * 4096)  # 8 MB
+    tracemalloc.start()
+    for _, _, data, offsets in common.pieces(column):
+        common.distinct_in_rows(*common.Words(data, offsets).shingles(5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
+def test_bpe_worker_keeps_few_parts():
+    encoder = bpe.Bpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    rows = [" ".join(f"w{k * 150 + i:x}" for i in range(150)) for k in range(1024)]
+    most, n = 0, 0
+    for _, texts in bpe._texts(pa.RecordBatch.from_arrays([pa.array(rows)], ["text"]), "text"):
+        assert [encoder.decode(p).decode() for p in encoder.encode_batch(texts)] == texts
+        most, n = max(most, len(encoder.parts)), n + len(texts)
+    assert n == len(rows) and most <= 100_000
+
+
+def test_bpe_decodes_nulls_and_runs_of_ids(spark):
+    rows = [(0, None), (1, []), (2, [64] * 70_000), (3, [65]), (4, None), (5, [64, 65])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, _ids array<int>").coalesce(1), RANKS, public_tokenizers.PATTERN).collect()
+    tokens = bpe.read_ranks(RANKS)
+    assert {r.doc_id: bytes(r["_bytes"]) for r in got} == {k: b"".join(tokens[i] for i in ids or []) for k, ids in rows}
+
+
+def test_bpe_pipeline_needs_one_python_worker_a_core(spark):
+    rows = [(0, None), (1, ""), (2, "a b" * 70_000), (3, "two words"), (4, "two  words\n")]
+    docs = spark.createDataFrame(rows, DOC).coalesce(1)
+    both = bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN)
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.select(*both.columns).collect()))
+    import corpus_pipeline
+
+    last = corpus_pipeline.tokenize(spark, docs.selectExpr("doc_id", "'en' lang", "'web' source", "text"), "")
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
