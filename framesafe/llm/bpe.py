@@ -2,13 +2,14 @@
 
 Each distinct pretoken is a row of byte positions. A segment tree over the positions holds the leftmost
 minimum rank of the pairs of live neighbours; a merge takes the root's pair, joins the two positions and
-updates the three leaves it touches, each along its path to the root. The trees of many pretokens are
-levels of numpy arrays and step together, so that a step costs a few vectorised operations for all.
+updates the three leaves it touches, together along their paths to the root. The trees of many pretokens are
+levels of flat numpy arrays and step together, so that a step costs a few vectorised operations for all.
 
 Texts are cut where a single space stands between two other characters: a pretoken holds a space only at
-its start, so such cuts never divide one, and each distinct part is split by the pattern and encoded once
-per worker (a cache of bounded size; its content changes the speed only). Texts with other white space
-next to a space are split by the pattern as a whole.
+its start, so such cuts never divide one. A worker keeps the ids of parts and of their pretokens in a cache of
+bounded size, whose content changes the speed only: when half of it is full, it becomes the older half, from
+which only what is used again comes back. Texts with other white space next to a space are split by the
+pattern as a whole.
 
 Null and empty texts have no tokens and decode to nothing. Repeated rows are encoded alike. Extra columns
 pass through ``encode`` unchanged.
@@ -63,6 +64,7 @@ class Bpe:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens = tokens
+        self.token_bytes = np.array(tokens, object)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
         self.bytes_rank = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int64)
@@ -76,7 +78,9 @@ class Bpe:
                     pairs[(a << 32) | b] = i
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        self.byte_pairs = self._ranks(np.repeat(self.bytes_rank, 256), np.tile(self.bytes_rank, 256))
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair makes, or ``NONE``."""
@@ -105,73 +109,80 @@ class Bpe:
 
     def _merge_group(self, words: list[bytes], sizes: np.ndarray, width: int) -> Iterator[bytes]:
         n = len(words)
-        ids = np.full((n, width), -1, np.int64)
-        inside = np.arange(width) < sizes[:, None]
-        ids[inside] = self.bytes_rank[np.frombuffer(b"".join(words), np.uint8)]
-        span = np.arange(width)
-        after = np.broadcast_to(span + 1, (n, width)).copy()  # the next live position; the length at the end
-        before = np.broadcast_to(span - 1, (n, width)).copy()
-        leaves = np.full((n, width), NONE, np.int32)
-        if width > 1:
-            both = inside[:, 1:]
-            leaves[:, :-1][both] = self._ranks(ids[:, :-1][both], ids[:, 1:][both])
+        cells = n * width  # the position behind the last one stands for no neighbour
+        inside = (np.arange(width) < sizes[:, None]).ravel()
+        text = np.zeros(cells, np.uint8)
+        text[inside] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.full(cells + 1, -1, np.int64)
+        ids[:-1][inside] = self.bytes_rank[text[inside]]
+        last = np.arange(n) * width + sizes - 1
+        after = np.arange(1, cells + 2)  # the next live position
+        after[last] = cells
+        before = np.arange(-1, cells)
+        before[:cells:width] = cells
         # a cell of the tree is (rank, position) in one number, so that the minimum is the leftmost minimum rank
-        levels = [(leaves.astype(np.int64) << 32) | span]
-        while levels[-1].shape[1] > 1:
-            levels.append(np.minimum(levels[-1][:, 0::2], levels[-1][:, 1::2]))
-        none = int(NONE)
-
-        def put(row: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> None:
-            levels[0][row, pos] = (rank.astype(np.int64) << 32) | pos
-            for k in range(1, len(levels)):
-                pos = pos >> 1
-                levels[k][row, pos] = np.minimum(levels[k - 1][row, 2 * pos], levels[k - 1][row, 2 * pos + 1])
+        paired = inside.copy()
+        paired[last] = False
+        at = np.flatnonzero(paired)
+        leaves = np.full(cells + 2, int(NONE) << 32)
+        leaves[at] = (self.byte_pairs[(text[at].astype(np.int64) << 8) | text[at + 1]].astype(np.int64) << 32) | at
+        levels = [leaves]
+        while cells >> len(levels) - 1 > n:
+            levels.append(np.full((cells >> len(levels)) + 2, int(NONE) << 32))
+            np.minimum(levels[-2][0:-2:2], levels[-2][1:-1:2], out=levels[-1][:-2])
 
         row = np.arange(n)
         while True:
-            root = levels[-1][row, 0]
-            live = (root >> 32) < none
+            root = levels[-1][row]
+            live = (root >> 32) < NONE
             row, root = row[live], root[live]
             if not len(row):
                 break
             pos = root & 0xFFFFFFFF
-            gone = after[row, pos]
-            ids[row, pos] = root >> 32
-            ids[row, gone] = -1
-            follow = after[row, gone]
-            after[row, pos] = follow
-            has = follow < sizes[row]
-            before[row[has], follow[has]] = pos[has]
-            put(row, gone, np.full(len(row), NONE))
-            right = np.full(len(row), NONE)
-            right[has] = self._ranks(ids[row[has], pos[has]], ids[row[has], follow[has]])
-            put(row, pos, right)
-            prior = before[row, pos]
-            has = prior >= 0
-            if has.any():
-                r, p = row[has], prior[has]
-                put(r, p, self._ranks(ids[r, p], ids[r, pos[has]]))
-        left = ids >= 0
-        flat = ids[left].astype("<u4").tobytes()
-        ends = np.cumsum(left.sum(1) * 4).tolist()
+            ids[pos] = root >> 32
+            gone = after[pos]
+            ids[gone] = -1
+            follow, prior = after[gone], before[pos]
+            after[pos], before[follow] = follow, pos
+            joined = ids[pos]
+            ranks = self._ranks(np.concatenate([joined, ids[prior]]), np.concatenate([ids[follow], joined]))
+            up = np.concatenate([pos, prior, gone])
+            leaves[up[: len(ranks)]] = (ranks.astype(np.int64) << 32) | up[: len(ranks)]
+            leaves[gone] = int(NONE) << 32
+            for below, level in zip(levels, levels[1:]):
+                up >>= 1
+                level[up] = np.minimum(below[2 * up], below[2 * up + 1])
+        left = ids[:-1] >= 0
+        flat = ids[:-1][left].astype("<u4").tobytes()
+        ends = np.cumsum(left.reshape(n, width).sum(1) * 4).tolist()
         for a, b in zip([0, *ends], ends):
             yield flat[a:b]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Put the packed ids of new parts into the cache."""
-        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.find(p) for p in parts]
-        known: dict[str, bytes] = {}
-        todo: list[str] = []
-        for piece in dict.fromkeys(x for s in split for x in s):
-            whole = self.rank.get(piece.encode())
+    def _learn(self, parts: set[str]) -> None:
+        """Put the packed ids of new parts, and of the pretokens that they consist of, into the cache."""
+        split = {}
+        todo = set()
+        for p in parts:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                todo.add(p)
+            else:
+                split[p] = self.find(p)
+        found = set().union(*split.values()).difference(self.parts, todo)
+        self.parts.update((x, self.older[x]) for x in found & self.older.keys())
+        todo.update(found.difference(self.older))
+        merging, words = [], []
+        for piece in todo:
+            word = piece.encode()
+            whole = self.rank.get(word)
             if whole is None:
-                todo.append(piece)
+                merging.append(piece)
+                words.append(word)
             else:
-                known[piece] = whole.to_bytes(4, "little")
-        for piece, ids in zip(todo, self.merge([x.encode() for x in todo])):
-            known[piece] = ids
-        for p, s in zip(parts, split):
-            self.parts[p] = known[p] if len(s) == 1 else b"".join([known[x] for x in s])
+                self.parts[piece] = whole.to_bytes(4, "little")
+        self.parts.update(zip(merging, self.merge(words)))
+        get = self.parts.__getitem__
+        for p, found_in in split.items():
+            self.parts[p] = b"".join(map(get, found_in))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian ids of each text."""
@@ -187,19 +198,18 @@ class Bpe:
         out: list[bytes] = []
         for at in range(0, len(cut), 512):
             group = cut[at : at + 512]
-            new = set().union(*group).difference(self.parts)
-            if new:
-                if len(self.parts) + len(new) > CACHE_PARTS:
-                    self.parts.clear()
-                    new = set().union(*group)
-                self._learn(sorted(new))
+            used = set().union(*group)
+            new = used.difference(self.parts)
+            if len(self.parts) + len(new) > CACHE_PARTS // 2:  # what is used again comes back from the older half
+                self.older, self.parts, new = self.parts, {}, used
+            self.parts.update((p, self.older[p]) for p in new & self.older.keys())
+            self._learn(new.difference(self.older))
             get = self.parts.__getitem__
-            out += [b"".join([get(p) for p in parts]) for parts in group]
+            out += [b"".join(map(get, parts)) for parts in group]
         return out
 
     def decode(self, packed: bytes) -> bytes:
-        get = self.tokens.__getitem__
-        return b"".join([get(i) for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(self.token_bytes[np.frombuffer(packed, "<u4")].tolist())
 
 
 _in_worker: dict[str, Bpe] = {}

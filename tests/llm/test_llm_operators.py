@@ -603,6 +603,41 @@ def test_bpe_worker_keeps_few_parts():
     assert n == len(rows) and most <= 100_000
 
 
+def test_bpe_worker_merges_frequent_pretokens_once(monkeypatch):
+    encoder = bpe.Bpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    merged = []
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda words: merged.extend(words) or merge(words))
+    common_words = [f"qzx{a}{b}vk" for a in "abcdefghij" for b in "abcdefghij"]
+    for k in range(800):  # 160,000 words that come once, more than the cache takes
+        text = " ".join(["x", *common_words, *(w + "!" * (1 + k % 3) for w in common_words), *(f"w{k * 200 + i:x}" for i in range(200))])
+        assert encoder.decode(encoder.encode_batch([text])[0]).decode() == text
+    assert [merged.count(f" {w}".encode()) for w in common_words] == [1] * 100
+    assert len(encoder.parts) + len(encoder.older) <= 100_000
+
+
+def test_bpe_merges_as_the_plain_rule():
+    rng = random.Random(3)
+    tokens = [bytes([b]) for b in range(256)]
+    while len(tokens) < 400:
+        token = rng.choice(tokens[97:100] + tokens[256:]) + rng.choice(tokens[97:100] + tokens[256:])
+        if token not in tokens:
+            tokens.append(token)
+    encoder = bpe.Bpe(tokens, public_tokenizers.PATTERN)
+
+    def plain(word):
+        parts = [bytes([b]) for b in word]
+        while True:
+            ranks = [encoder.rank.get(a + b, len(tokens)) for a, b in zip(parts, parts[1:])]
+            if min(ranks, default=len(tokens)) == len(tokens):
+                return [encoder.rank[p] for p in parts]
+            at = ranks.index(min(ranks))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    words = [bytes(rng.choice(b"aaabbcd") for _ in range(n)) for n in [*range(70), *[5] * 50, 300]] + [b"a" * 257, b"\xff\x00"]
+    assert [np.frombuffer(p, "<u4").tolist() for p in encoder.merge(words)] == [plain(w) for w in words]
+
+
 def test_bpe_decodes_nulls_and_runs_of_ids(spark):
     rows = [(0, None), (1, []), (2, [64] * 70_000), (3, [65]), (4, None), (5, [64, 65])]
     got = bpe.decode(spark.createDataFrame(rows, "doc_id long, _ids array<int>").coalesce(1), RANKS, public_tokenizers.PATTERN).collect()
