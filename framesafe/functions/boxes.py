@@ -197,16 +197,22 @@ def box_expand(b: Box, factor, fw, fh, integer: bool = True) -> Box:
 
 def mask_pad(b: Box, fw, fh, preset: str = "mask") -> Box:
     """Asymmetric padding: whole pixels in, rounded pixels out, original box if nothing is left."""
+    out = padded_mask(b, fw, fh, preset)
+    return choose(is_valid(out), out, b)
+
+
+def padded_mask(b: Box, fw, fh, preset: str = "mask") -> Box:
+    """The padding of :func:`mask_pad`, also where nothing is left."""
+    # rint is the half-even rounding of _round_int without a decimal per value; a zero never keeps its sign here
     px, pt, pb = MASK_PADS[preset]
     i = Box(*(c.cast("long").cast("double") for c in b))
     w, h = F.greatest(i.x2 - i.x1, F.lit(1.0)), F.greatest(i.y2 - i.y1, F.lit(1.0))
-    out = Box(
-        F.greatest(F.lit(0.0), _round_int(i.x1 - w * px)),
-        F.greatest(F.lit(0.0), _round_int(i.y1 - h * pt)),
-        F.least(_num(fw), _round_int(i.x2 + w * px)),
-        F.least(_num(fh), _round_int(i.y2 + h * pb)),
+    return Box(
+        F.greatest(F.lit(0.0), F.rint(i.x1 - w * px)),
+        F.greatest(F.lit(0.0), F.rint(i.y1 - h * pt)),
+        F.least(_num(fw), F.rint(i.x2 + w * px)),
+        F.least(_num(fh), F.rint(i.y2 + h * pb)),
     )
-    return choose(is_valid(out), out, b)
 
 
 def safety_ratio(b: Box, src: Column | None = None) -> Column:
@@ -218,14 +224,19 @@ def safety_ratio(b: Box, src: Column | None = None) -> Column:
 
 def safety_margin(m: Box, r: Column, fw, fh) -> Box:
     """A masked box grown by a share ``r`` of its size, with 40 % more on top; null when nothing is left."""
+    out = padded_margin(m, r, fw, fh)
+    return keep_if(is_valid(out), out)
+
+
+def padded_margin(m: Box, r: Column, fw, fh) -> Box:
+    """The box of :func:`safety_margin`, also where nothing is left."""
     w, h = F.greatest(m.x2 - m.x1, F.lit(1.0)), F.greatest(m.y2 - m.y1, F.lit(1.0))
-    out = Box(
+    return Box(
         F.greatest(F.lit(0.0), m.x1 - w * r),
         F.greatest(F.lit(0.0), m.y1 - h * r - h * (r * 0.4)),
         F.least(_num(fw), m.x2 + w * r),
         F.least(_num(fh), m.y2 + h * r),
     )
-    return keep_if(is_valid(out), out)
 
 
 def safety_pad(b: Box, fw, fh, src: Column | None = None, ratio: Column | None = None) -> Box:

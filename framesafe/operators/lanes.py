@@ -2,13 +2,15 @@
 
 A lane row is ``(keys…, f, x1, y1, x2, y2, src, conf)``. Recursive rules (exponential smoothing, track
 replay) run over rows that Spark has partitioned and sorted; a task streams through its rows and
-holds one state, so a long lane needs no more memory than a short one.
+holds one state, so a long lane needs no more memory than a short one. Replay, fusing, scale, smoothing
+and output also take lanes as :class:`LaneBlocks` and then run one after the other in one Python stage.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,9 @@ from ..functions.scalars import null_safe_hash
 from ..session import spread
 from . import scans
 
+if TYPE_CHECKING:
+    from .lane_blocks import LaneBlocks
+
 # Fixed values.
 PINNED = ["anchor", "verified"]
 SCALE_SOURCES = [*PINNED, "head_fallback"]
@@ -39,9 +44,11 @@ def is_pinned(src: Column | str) -> Column:
 # -- directions and scale --------------------------------------------------------------------
 
 
-def fuse_lanes(fwd: DataFrame, bwd: DataFrame, keys: Sequence[str], fw: float, fh: float) -> DataFrame:
+def fuse_lanes(fwd: DataFrame | LaneBlocks, bwd: DataFrame | LaneBlocks, keys: Sequence[str], fw: float, fh: float) -> DataFrame | LaneBlocks:
     """Forward and backward lanes into one: a pinned side wins, two pinned sides by confidence, else the
     confidence-weighted mean."""
+    if not isinstance(fwd, DataFrame):
+        return fwd.fuse(bwd, fw, fh)
     cols = ["x1", "y1", "x2", "y2", "src", "conf"]
     a = fwd.select(*keys, "f", F.struct(*cols).alias("a"))
     b = bwd.select(*keys, "f", F.struct(*cols).alias("b"))
@@ -63,12 +70,14 @@ def fuse_lanes(fwd: DataFrame, bwd: DataFrame, keys: Sequence[str], fw: float, f
     return j.select(*keys, "f", out.alias("o")).select(*keys, "f", "o.*")
 
 
-def stabilize_scale(lane: DataFrame, keys: Sequence[str], fw: float, fh: float) -> DataFrame:
+def stabilize_scale(lane: DataFrame | LaneBlocks, keys: Sequence[str], fw: float, fh: float) -> DataFrame | LaneBlocks:
     """Sizes between scale references are interpolated in frame; centres stay; pinned rows stay.
 
     Before the first and after the last reference the nearest size is used. Lanes with fewer than two
     references are left alone.
     """
+    if not isinstance(lane, DataFrame):
+        return lane.stabilize(fw, fh)
     ref = F.when(F.col("src").isin(SCALE_SOURCES), F.struct("f", B.width(box()).alias("w"), B.height(box()).alias("h")))
     specs = {"__l": scans.last(ref), "__r": scans.following(ref), "__refs": scans.total(F.col("src").isin(SCALE_SOURCES))}
     j = scans.scan(lane, keys, ["f"], LANE_CHUNK, specs)
@@ -182,8 +191,10 @@ def ema_boxes(df: DataFrame, keys: Sequence[str], alpha: Column | float, size_al
     return parted.mapInPandas(scan, schema)
 
 
-def smooth_bidirectional(lane: DataFrame, keys: Sequence[str], alpha: float = 0.6, fw: float = 1920, fh: float = 1080) -> DataFrame:
+def smooth_bidirectional(lane: DataFrame | LaneBlocks, keys: Sequence[str], alpha: float = 0.6, fw: float = 1920, fh: float = 1080) -> DataFrame | LaneBlocks:
     """Forward then backward smoothing that never moves pinned rows; runs restart at every pinned row."""
+    if not isinstance(lane, DataFrame):
+        return lane.smooth(alpha, fw, fh)
     pinned = is_pinned("src")
     ahead = scans.scan(lane, keys, ["f"], LANE_CHUNK, {"__pins": scans.count_so_far(pinned)})
     # backward runs end with the pinned row that opens them, so they count pins before the row
@@ -269,6 +280,13 @@ def choose_anchor(anchors: DataFrame, refs: DataFrame, keys: Sequence[str], seq:
     return best.select(*keys, (-F.col("m.first")).alias(seq), *(F.col(f"m.{n}").alias(n) for n in Box._fields))
 
 
+def without_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows that have all of ``cols``. One filter each: what was filtered before is recognised, unlike with ``dropna``."""
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def choose_seed(anchors: DataFrame, keys: Sequence[str], refs: DataFrame | None = None, forward: bool = True,
                 seq: str = "seq") -> DataFrame:
     """The anchor a track starts from: at the first (last) anchor frame of the key, the candidate that fits
@@ -276,43 +294,37 @@ def choose_seed(anchors: DataFrame, keys: Sequence[str], refs: DataFrame | None
 
     ``anchors``: keys, ``f``, ``seq``, box. Ties go to the smaller ``seq``.
     """
-    frames = anchors.select(*keys, "f").distinct()
-    edge = frames.groupBy(*keys).agg((F.min if forward else F.max)("f").alias("__f0"))
-    cands = anchors.join(edge, list(keys)).where(F.col("f") == F.col("__f0"))
-    # the four outermost frames by repeated extremes: no sort of a whole key
-    limits, rest = edge, frames
-    outer = edge.select(*keys, F.col("__f0").alias("f"))
-    for _ in range(3):
-        rest = rest.join(limits.select(*keys, F.col("__f0").alias("__last")), list(keys))
-        rest = rest.where((F.col("f") > F.col("__last")) if forward else (F.col("f") < F.col("__last"))).drop("__last")
-        limits = rest.groupBy(*keys).agg((F.min if forward else F.max)("f").alias("__f0"))
-        outer = outer.unionByName(limits.select(*keys, F.col("__f0").alias("f")))
-    near = outer.join(edge, list(keys)).where(F.col("f") != F.col("__f0")).select(*keys, "f")
-    nb = anchors.join(near, [*keys, "f"], "left_semi").select(*keys, F.col("f").alias("__nf"), F.col(seq).alias("__ns"),
-                                                               *(F.col(n).alias(f"__n_{n}") for n in Box._fields))
-    c = cands.select(*keys, "f", seq, *Box._fields)
-    pair = c.join(nb, list(keys), "left")
+    k = list(keys)
+    known = without_nulls(anchors.select(*k, "f", seq, *Box._fields), [*k, "f"])
+    # the four outermost frames; Spark cuts the rows to them before it deals them out by key
+    nth = F.dense_rank().over(Window.partitionBy(*k).orderBy(F.col("f").asc() if forward else F.col("f").desc()))
+    outer = known.withColumn("__nth", nth).where(F.col("__nth") <= 4)
+    nb = outer.where(F.col("__nth") > 1).select(*k, F.col("f").alias("__nf"), F.col(seq).alias("__ns"),
+                                                *(F.col(n).alias(f"__n_{n}") for n in Box._fields))
+    c = outer.where((F.col("__nth") == 1) & F.col(seq).isNotNull()).drop("__nth").withColumns({"__fit": F.lit(0.0), "__has": F.lit(0)})
     b, n = box(), box("__n_")
+    if refs is not None:
+        c = c.drop("__fit", "__has").join(refs.select(*k, *(F.col(x).alias(f"__r_{x}") for x in Box._fields)), k, "left")
+        ref = box("__r_")
+        fit = B.box_iou(b, ref) * 4.0 - B.center_ratio(b, ref) * 1.55 - B.log_area_gap(b, ref) * 0.3
+        has = ref.x1.isNotNull()
+        c = c.withColumns({"__fit": F.when(has, fit).otherwise(0.0), "__has": F.when(has, 1).otherwise(0)})
+    pair = c.join(nb, k, "left")
     # the neighbour a candidate would pick in that frame; alone in its frame it needs no score
-    chosen = pair.groupBy(*keys, seq, "__nf").agg(
+    chosen = pair.groupBy(*k, seq, "__nf").agg(
         F.max(F.struct(continuity_score(n, b).alias("c"), (-F.col("__ns")).alias("first"),
-                       (B.box_iou(b, n) * 2.6 - B.box_center_dist(b, n) / F.greatest(B.box_diag(b), F.lit(1.0))).alias("s"))).alias("m")
+                       (B.box_iou(b, n) * 2.6 - B.box_center_dist(b, n) / F.greatest(B.box_diag(b), F.lit(1.0))).alias("s"))).alias("m"),
+        F.max(F.struct("__fit", "__has", "f", *Box._fields)).alias("own"),
     )
-    total = chosen.groupBy(*keys, seq).agg(
+    scored = chosen.groupBy(*k, seq).agg(
         F.sum(F.when(F.col("__nf").isNotNull(), F.col("m.s")).otherwise(0.0)).alias("__s"),
         F.count("__nf").alias("__n"),
+        F.max("own").alias("own"),
     )
-    scored = c.join(total, [*keys, seq])
-    if refs is not None:
-        r = refs.select(*keys, *(F.col(x).alias(f"__r_{x}") for x in Box._fields))
-        scored = scored.join(r, list(keys), "left")
-        ref = box("__r_")
-        fit = B.box_iou(box(), ref) * 4.0 - B.center_ratio(box(), ref) * 1.55 - B.log_area_gap(box(), ref) * 0.3
-        has = ref.x1.isNotNull()
-        scored = scored.withColumns({"__s": F.col("__s") + F.when(has, fit).otherwise(0.0), "__n": F.col("__n") + F.when(has, 1).otherwise(0)})
-    mean = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(F.lit(0.0))
-    top = scored.groupBy(*keys).agg(F.max(F.struct(mean.alias("score"), (-F.col(seq)).alias("first"), "f", *Box._fields)).alias("m"))
-    return top.select(*keys, F.col("m.f").alias("f"), (-F.col("m.first")).alias(seq), *(F.col(f"m.{x}").alias(x) for x in Box._fields))
+    n, s = F.col("__n") + F.col("own.__has"), F.col("__s") + F.col("own.__fit")
+    mean = F.when(n > 0, s / n).otherwise(F.lit(0.0))
+    top = scored.groupBy(*k).agg(F.max(F.struct(mean.alias("score"), (-F.col(seq)).alias("first"), "own.f", *(f"own.{x}" for x in Box._fields))).alias("m"))
+    return top.select(*k, F.col("m.f").alias("f"), (-F.col("m.first")).alias(seq), *(F.col(f"m.{x}").alias(x) for x in Box._fields))
 
 
 def lane_confidence(optical: Column, template: Column, tracker: Column, global_: Column) -> Column:
@@ -494,15 +506,19 @@ def _step(t: _Track, anchors, signals: dict) -> tuple[tuple[float, ...], str, fl
     return None
 
 
-def replay_tracks(frames: DataFrame, keys: Sequence[str], fw: float, fh: float) -> DataFrame:
+def replay_tracks(frames: DataFrame | LaneBlocks, keys: Sequence[str], fw: float, fh: float, direction: int | None = None) -> DataFrame | LaneBlocks:
     """Replay tracks over candidate boxes instead of pixels.
 
     ``frames`` has one row per key, direction and frame: ``direction`` (1 or -1), ``f``, ``anchors``
     (array of box structs) and ``signals`` (array of ``struct(source, score, x1, y1, x2, y2)``). Tracks are
     independent, so forward and backward runs of every segment are spread over tasks; a task streams
-    through its sorted frames with one state. Output: keys, direction, f, box, src, conf.
+    through its sorted frames with one state. Output: keys, direction, f, box, src, conf. Lane blocks are
+    replayed in the one ``direction`` that is given.
     """
+    if not isinstance(frames, DataFrame):
+        return frames.replay(direction, fw, fh)
     keys = list(keys)
+    frames = frames if direction is None else frames.where(F.col("direction") == direction)
     step = F.col("f") * F.col("direction")
     src = frames.withColumns({"__step": step, "__g": null_safe_hash(*keys, "direction")})
     parted = spread(src, *keys, "direction").sortWithinPartitions(*keys, "direction", "__step")
@@ -538,14 +554,19 @@ def replay_tracks(frames: DataFrame, keys: Sequence[str], fw: float, fh: float)
     return parted.mapInPandas(scan, schema)
 
 
-def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame | None, keys: Sequence[str], grid: bool = True) -> DataFrame | LaneBlocks:
     """Frame rows for :func:`replay_tracks`: the forward run from the first anchor to the segment end, the
     backward run from the last anchor to the segment start, without the frames in which a lost track waits for an anchor.
 
     ``segments``: keys, ``segment``, ``start_frame``, ``end_frame``; ``anchors``: keys, ``segment``, ``f``, ``seq``, box;
-    ``signals``: keys, ``segment``, ``direction``, ``f``, ``source``, ``score``, box.
+    ``signals``: keys, ``segment``, ``direction``, ``f``, ``source``, ``score``, box. Without ``grid`` the same frames are
+    laid out only where the tracks are replayed, and rows of what is seen go there.
     """
     k = [*keys, "segment"]
+    if not grid:
+        from .lane_blocks import seen_rows  # which takes its rules from here
+
+        return seen_rows(segments, anchors, signals, keys)
     ends = anchors.groupBy(*k).agg(F.min("f").alias("__first"), F.max("f").alias("__last"))
     s = segments.join(ends, k)
     # the end is never before the start, so both sequences rise
@@ -576,19 +597,25 @@ def replay_frames(segments: DataFrame, anchors: DataFrame, signals: DataFrame |
 # -- output ----------------------------------------------------------------------------------
 
 
-def serialize_lane(lane: DataFrame, keys: Sequence[str], fps: Column | float, fw: float, fh: float) -> DataFrame:
+def serialize_lane(lane: DataFrame | LaneBlocks, keys: Sequence[str], fps: Column | float, fw: float, fh: float) -> DataFrame:
     """Lane rows as stored: safety pad applied, time from the frame, rounded."""
+    lane = lane if isinstance(lane, DataFrame) else lane.rows()
     f = fps if isinstance(fps, Column) else F.lit(float(fps))
-    m = lane.withColumns({f"__m_{n}": c for n, c in zip(Box._fields, B.mask_pad(box(), fw, fh))})
-    m = m.withColumn("__r", B.safety_ratio(box(), F.col("src")))
-    padded = B.safety_margin(box("__m_"), F.col("__r"), fw, fh)
-    rows = m.select(
+    m = _step_out(lane.withColumn("__r", B.safety_ratio(box(), F.col("src"))), "__o", B.padded_mask(box(), fw, fh))
+    m = _step_out(m, "__m", B.choose(B.is_valid(box_of("__o")), box_of("__o"), box()))
+    m = _step_out(m, "__p", B.padded_margin(box_of("__m"), F.col("__r"), fw, fh))
+    return m.where(B.is_valid(box_of("__p"))).select(
         *keys, "f", F.bround(F.col("f") / F.greatest(f, F.lit(1.0)), 4).alias("t"),
-        *(F.bround(c, 3).alias(n) for n, c in zip(Box._fields, padded)),
+        *(F.bround(c, 3).alias(n) for n, c in zip(Box._fields, box_of("__p"))),
         F.coalesce(F.nullif("src", F.lit("")), F.lit("track")).alias("src"),
         F.bround(F.coalesce("conf", F.lit(0.0)), 4).alias("conf"),
     )
-    return rows.where(F.col("x1").isNotNull())
+
+
+def _step_out(df: DataFrame, name: str, b: Box) -> DataFrame:
+    """Add a box through a generator: it is computed once, not again in every term that reads it, and in a method of its
+    own; the JVM does not compile one that holds all terms of a row."""
+    return df.withColumn(name, F.explode(F.array(b.struct())))
 
 
 def lane_stats(lane: DataFrame, keys: Sequence[str]) -> DataFrame:

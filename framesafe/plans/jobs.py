@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.boxes import Box
 from ..operators import identity, lanes, privacy, ranges, review
 from ..operators.ranges import overlap_score
-from ..session import checkpoint
+from ..session import checkpoint, spread
 
 
 def ingest(dets: DataFrame, people: DataFrame, people_ranges: DataFrame, job: str = "job_id") -> tuple[DataFrame, DataFrame]:
@@ -41,24 +42,26 @@ def build_lanes(appearances: DataFrame, signals: DataFrame | None, entity_ranges
     seg = seg.withColumn("segment", F.col("start_frame"))
     width = 15_000.0  # frames per bucket of the frame-in-segment join
     as_ranges = seg.select(*keys, "segment", F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))
-    anchors = ranges.points_in_ranges(appearances.select(*keys, "f", "seq", "x1", "y1", "x2", "y2"), as_ranges, keys, "f", width)
-    anchors = checkpoint(anchors.drop("start", "end"))  # read by both seeds and the pins
+    # without what cannot meet a range: else Spark infers that filter later, and not alike for all who read the anchors
+    seen = lanes.without_nulls(appearances.select(*keys, "f", "seq", *Box._fields), [*keys, "f"])
+    anchors = ranges.points_in_ranges(seen, as_ranges, keys, "f", width)
     k = [*keys, "segment"]
+    # the one shuffle of the anchors: seeds, pins and replay go on where it puts them
+    anchors = spread(anchors.select(*k, "f", "seq", *Box._fields), *k)
     # one seed per direction replaces the other candidates of the first and last anchor frame
-    first = lanes.choose_seed(anchors, k, own, forward=True)
-    last = lanes.choose_seed(anchors, k, own, forward=False)
-    rivals = anchors.join(first.select(*k, "f", F.col("seq").alias("__s")), [*k, "f"]).where(F.col("seq") != F.col("__s"))
-    rivals = rivals.select(*k, "f", "seq").unionByName(
-        anchors.join(last.select(*k, "f", F.col("seq").alias("__s")), [*k, "f"]).where(F.col("seq") != F.col("__s")).select(*k, "f", "seq")
-    )
-    pins = anchors.join(rivals.distinct(), [*k, "f", "seq"], "left_anti")
+    pins, rival = anchors, F.lit(False)
+    for n, forward in enumerate((True, False)):
+        seed = lanes.choose_seed(anchors, k, own, forward=forward)
+        pins = pins.join(seed.select(*k, F.col("f").alias(f"__f{n}"), F.col("seq").alias(f"__seq{n}")), k, "left")
+        rival = rival | F.coalesce((F.col("f") == F.col(f"__f{n}")) & (F.col("seq") != F.col(f"__seq{n}")), F.lit(False))
+    pins = pins.where(~rival).select(*anchors.columns)
     sig = None
     if signals is not None:
         sig = ranges.points_in_ranges(signals, as_ranges, keys, "f", width).drop("start", "end")
-    # the replay is the costly step: run it once, both directions and the later scans read the result
-    run = checkpoint(lanes.replay_tracks(lanes.replay_frames(seg, pins, sig, keys), k, fw, fh))
-    fwd = run.where("direction = 1").drop("direction")
-    bwd = run.where("direction = -1").drop("direction")
+    # frames are laid out in the stage that replays them and leave it as lane rows: none of them is shuffled or stored
+    frames = lanes.replay_frames(seg, pins, sig, keys, grid=False)
+    fwd = lanes.replay_tracks(frames, k, fw, fh, direction=1)
+    bwd = lanes.replay_tracks(frames, k, fw, fh, direction=-1)
     fused = lanes.fuse_lanes(fwd, bwd, k, fw, fh)
     stable = lanes.stabilize_scale(fused, k, fw, fh)
     smooth = lanes.smooth_bidirectional(stable, k, 0.5, fw, fh)
